@@ -113,19 +113,28 @@ class Knapsack:
         return float(last), pattern
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 3000, smooth: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a row each) and their fractional counts: revised simplex with columns priced by the knapsack.
 
-    It ends when the bound from the best price (the restricted optimum over that price) shows that the
-    count of sequences is within half a sequence, or a share of `gap`, of the linear program's optimum.
+    Patterns are priced at duals drawn towards those with the best bound so far, which needs fewer rounds.
+    It ends when the bound (the demand at the duals, over the best price there) shows that the count of
+    sequences is within half a sequence, or a share of `gap`, of the linear program's optimum.
     """
     knapsack = Knapsack(sizes, capacity)
     basis = np.diag(capacity // sizes).astype(np.int64)
     inverse = np.diag(1.0 / (capacity // sizes))
     level = inverse @ demand
+    good, bound = inverse.sum(axis=0), 0.0
     for _ in range(rounds):
-        price, pattern = knapsack.best(inverse.sum(axis=0))
-        if price <= 1 + gap or level.sum() * (1 - 1 / price) < 0.5:
+        duals = inverse.sum(axis=0)
+        for trial in (smooth * good + (1 - smooth) * duals, duals):
+            price, pattern = knapsack.best(trial)
+            if (b := float(demand @ trial) / max(price, 1.0)) > bound:
+                bound, good = b, trial
+            if duals @ pattern > 1 + 1e-9:
+                break
+        cost = float(level.sum())
+        if cost - bound < max(0.5, gap * cost) or duals @ pattern <= 1 + 1e-9:
             break
         u = inverse @ pattern
         with np.errstate(divide="ignore", invalid="ignore"):
