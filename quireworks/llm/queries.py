@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import shared_dir, table
-from quireworks.llm import langid, lm, packing, sharding, tokens, toxicity, vafile, warc
+from quireworks.llm import langid, lm, packing, setjoin, sharding, tokens, toxicity, vafile, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_toxicity, op4_warc, op5_token_counts, op6_sharding, op8_language, op9_language_model, op10_vector_search)
+    f.__name__: f for f in (op1_packing, op2_toxicity, op4_warc, op5_token_counts, op6_sharding, op7_set_join, op8_language, op9_language_model, op10_vector_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
