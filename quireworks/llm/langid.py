@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import id_fold, small_batches
@@ -187,6 +187,17 @@ class Labeller:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         return words, np.repeat(np.arange(len(words)), lengths), self.letters[at], viterbi(self.scores[at], lengths)
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Each text's language and that language's share of the letters."""
+        langs, n = self.profiles.langs, len(texts)
+        if not langs:
+            return ["und"] * n, np.zeros(n)
+        _, owner, letters, label = self.paths(texts)
+        share = np.bincount(owner * len(langs) + label, letters, n * len(langs)).reshape(n, len(langs))
+        total = share.sum(axis=1)
+        names = [langs[k] if t else "und" for k, t in zip(share.argmax(axis=1).tolist(), total.tolist())]
+        return names, share.max(axis=1) / np.maximum(total, 1)
+
 
 def fit(train: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """Profiles from train(text, lang). Each language gives about fit_rows texts at most, picked by a hash of the text among all its rows."""
@@ -249,14 +260,9 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     source = docs.select("doc_id", (id_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, langs = Labeller(shared.value), shared.value.langs
+        labeller = Labeller(shared.value)
         for batch in batches:
-            n = batch.num_rows
-            _, owner, letters, label = labeller.paths(batch.column("text").to_pylist())
-            share = np.bincount(owner * len(langs) + label, letters, n * len(langs)).reshape(n, len(langs)) if langs else np.zeros((n, 1))
-            total = share.sum(axis=1)
-            names = [langs[k] if t else "und" for k, t in zip(share.argmax(axis=1).tolist(), total.tolist())]
-            score = share.max(axis=1) / np.maximum(total, 1)
+            names, score = labeller.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
@@ -265,3 +271,18 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the rows of docs(doc_id, text, lang) outside the held-out fold and predicts every row."""
     return predict(docs, fit(docs.where(id_fold("doc_id", FOLDS) != HELD_OUT).select("text", "lang")))
+
+
+def label_of(spark: SparkSession, profiles: Profiles, text: Column) -> Column:
+    """struct(lang_pred, score) of a text column, for filters that keep other columns."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(profiles)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def labels(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(shared.value)
+        for texts in parts:
+            names, score = labeller.predict([None if t is None else t for t in texts])
+            yield pd.DataFrame({"lang_pred": names, "score": score})
+
+    return labels(text)

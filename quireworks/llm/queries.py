@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import shared_dir, table
-from quireworks.llm import langid, lm, packing, setjoin, sharding, tokens, toxicity, vafile, warc
+import corpus_pipeline
+from quireworks.llm.common import table
+from quireworks.llm import decontam, langid, lm, packing, setjoin, sharding, tokens, toxicity, vafile, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"))
-    if not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -54,8 +56,8 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_toxicity, op4_warc, op5_token_counts, op6_sharding, op7_set_join, op8_language, op9_language_model, op10_vector_search)
-}
+    f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_warc, op5_token_counts, op6_sharding, op7_set_join, op8_language, op9_language_model, op10_vector_search)
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import durable, id_fold, small_batches
@@ -233,3 +233,14 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def score_of(spark: SparkSession, classifier: Classifier, text: Column) -> Column:
+    """The score of a text column, for filters that keep other columns."""
+    shared = spark.sparkContext.broadcast(classifier)
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+
+    return scores(F.coalesce(text, F.lit("")))

@@ -181,7 +181,15 @@ def archive(pages: DataFrame, path: str | None = None) -> str:
     """Writes pages(page_id, url, html) to archives and returns their folder."""
     spark = pages.sparkSession
     path = path or new_shared_path(spark, "warc")
-    some = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(SAMPLE_ROWS).drop("h").collect()
+    ids = [r.page_id for r in pages.select("page_id", F.xxhash64("page_id").alias("h")).where("page_id is not null").orderBy("h", "page_id").limit(SAMPLE_ROWS).collect()]
+    head = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")
+    some = pages.where(F.col("page_id").isin(ids)).select("page_id", "url", head).limit(2 * SAMPLE_ROWS).collect()
     dictionary = train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), "0" * 64, None) for r in some])
+    # the dictionary alone, so that a folder without records can be read too
+    empty = ArchiveWriter(dictionary)
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/part-dictionary.warc.zst") as out:
+        out.write(empty.out.getbuffer())
     write_archives(mark_revisits(pages), path, dictionary).agg(F.sum("records")).collect()
     return path
