@@ -236,12 +236,14 @@ def is_contaminated(spark: SparkSession, benchmark: DataFrame, text: Column, blo
     small_batches(spark)
     out = F.lit(False)
     for block in item_blocks(benchmark, block_bytes):
-        index = spark.sparkContext.broadcast(block)
+        out = out | _holds_item(spark.sparkContext.broadcast(block))(text)
+    return out
 
-        @F.pandas_udf("boolean")
-        def found(texts: pd.Series, index=index) -> pd.Series:
-            hit = {m[0] for m in index.value.match(list(texts))}
-            return pd.Series([k in hit for k in range(len(texts))], dtype=bool)
 
-        out = out | found(text)
-    return out
+def _holds_item(index):
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        hit = {m[0] for m in index.value.match(list(texts))}
+        return pd.Series([k in hit for k in range(len(texts))], dtype=bool)
+
+    return found

@@ -134,7 +134,7 @@ def write_archives(marked: DataFrame, path: str, dictionary: bytes, archive_byte
         def close() -> pd.DataFrame:
             name = f"part-{task.partitionId():06d}-{part:04d}.warc.zst"
             store.create_dir(root, recursive=True)
-            with store.open_output_stream(draft := f"{root}/_{name}.{task.taskAttemptId()}") as out:
+            with store.open_output_stream(draft := f"{root}/_{name}.{task.taskAttemptId()}", compression=None) as out:
                 out.write(writer.out.getbuffer())
             store.move(draft, f"{root}/{name}")
             return pd.DataFrame([[name, n, writer.out.tell()]], columns=["name", "records", "bytes"])
@@ -189,7 +189,7 @@ def archive(pages: DataFrame, path: str | None = None) -> str:
     empty = ArchiveWriter(dictionary)
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/part-dictionary.warc.zst") as out:
+    with store.open_output_stream(f"{root}/part-dictionary.warc.zst", compression=None) as out:
         out.write(empty.out.getbuffer())
     write_archives(mark_revisits(pages), path, dictionary).agg(F.sum("records")).collect()
     return path
