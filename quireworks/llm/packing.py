@@ -13,8 +13,11 @@ repeated rows are pieces of their own; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,12 +31,20 @@ from quireworks.llm.common import durable, small_batches
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_300_000
 END_ID = 1
 
 
+_POINTS = b".,;:!?"
+_LETTERS_POINTS = re.compile(rb"([A-Za-z]+)([.,;:!?]*)").fullmatch
+
+
 class WordIds:
-    """Ids of whole texts, word by word. The vocabulary drops white space and no token crosses it, so the library is asked once for each distinct word."""
+    """Ids of whole texts, word by word. The vocabulary drops white space and no token crosses it, so the library is asked once for each distinct word.
+
+    It is also blind to case and splits letters from signs, so a word with points after its last letter is
+    the lower-case word, then the points; words that may hold a special string or an apostrophe are left whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,18 +53,34 @@ class WordIds:
         self.encode = Tokenizer.from_file(path).encode_batch
         self.known: dict[bytes, bytes] = {}
 
-    def encode_text(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a UTF-8 text."""
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes]:
+        if plain := _LETTERS_POINTS(word):
+            return plain[1].lower(), plain[2]
+        core = word.rstrip(_POINTS)
+        if b"<" in word or b"'" in word or not core or not core.decode()[-1].lower()[-1].isalpha():
+            return word, b""
+        return core.lower(), word[len(core) :]
+
+    def learn(self, words: set[bytes]) -> None:
+        known = self.known
+        split = {w: self.parts(w) for w in words}
+        new = [p for p in {p for both in split.values() for p in both if p} if p not in known]
+        for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for w, (core, points) in split.items():
+            if core != w:
+                known[w] = known[core] + known[points] if points else known[core]
+
+    def encode_texts(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of UTF-8 texts."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        words = [t.split() for t in texts]
+        if new := set(chain.from_iterable(words)).difference(self.known):
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -67,8 +94,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
         for batch in batches:
             words = words or WordIds(public_tokenizers.path(tokenizer))
             row, start, length, crc, tokens = [], [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = words.encode_text(text) + end
+            for k, ids in enumerate(words.encode_texts(batch.column("text").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     part = ids[4 * at : 4 * (at + capacity)]
