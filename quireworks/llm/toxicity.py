@@ -156,8 +156,9 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     """Fits on docs(doc_id, text) and labels(doc_id, toxic) outside the held-out fold.
 
-    Lexicons and classifier come from a bounded sample of labelled rows; votes are counted over every text
-    that may be learned from, of which the driver gets counts by pattern (2 ** VOTERS * 3 at most).
+    Lexicons and classifier come from a bounded sample of labelled rows, whose ids (fit_rows or so) are
+    broadcast; votes are counted over every text that may be learned from, and meet the labels by id without
+    the text. The driver gets counts by pattern (2 ** VOTERS * 3 at most).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     if not n:
         return Classifier(Voters([]), np.zeros(3), -30.0, None)
     some = open_labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_rows / n) * (1 << 20))))
-    sample = durable(open_docs.join(some, "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxic-sample")
+    sample = durable(open_docs.join(F.broadcast(some), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxic-sample")
 
     def count_entries(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -189,16 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     voters = Voters([r.entry for r in picked])
     shared = spark.sparkContext.broadcast(voters)
 
-    def vote(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for frame in frames:
-            for text, toxic in zip(frame["text"], frame["toxic"]):
-                found, k = shared.value.hits(text)
-                seen[shared.value.votes(text, found, k), int(toxic)] += 1
-        yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["votes", "toxic", "n"])
+    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [shared.value.votes(t, *shared.value.hits(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.int64())], ["doc_id", "votes"])
 
-    voted = open_docs.join(some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-    table = voted.mapInPandas(vote, "votes long, toxic long, n long").groupBy("votes", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    voted = open_docs.mapInArrow(vote, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes bigint")
+    marked = voted.join(open_labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left")
+    table = marked.groupBy("votes", F.coalesce("toxic", F.lit(-1)).cast("long").alias("toxic")).agg(F.count("*").alias("n")).toArrow()
     model = LabelModel(table["votes"].to_numpy(), table["toxic"].to_numpy(), table["n"].to_numpy(), float(positive))
 
     def inputs(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
