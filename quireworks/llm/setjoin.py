@@ -5,13 +5,18 @@ similar ones, a group stores the union of its members' signature tokens, and a s
 overlap with its own signature reaches the bound that a link implies. Opened pairs are compared exactly.
 
 Why no link is lost. A link (100 * intersection >= 80 * union) leaves at most n // 5 tokens of either set
-unshared. Take the first n // 5 + ceil(n / 32) tokens of each set in one global order as its signature: two
-linked sets share at least ceil(n / 40) signature tokens, and so does any group that holds one of them. The
-order puts tokens found in many sets last, so a passage that many documents share stays out of signatures.
-
-Why no group is squared. Copies are one set. Near copies are first linked to a leader of their group, by
-least tokens; linked sets are then one component, and a component's sets are never matched with each other.
-Of two components only the smaller one's sets open groups of the larger one.
+unshared. The first P = n // 5 + ceil(n / 16) tokens of each set in one global order are its signature. Of two
+sets, take the one whose signature ends first in that order: its signature tokens that the other set has are
+in the other's signature too. So if s signature tokens are shared, the intersection is at most s plus the
+larger n - P, and a link needs so many shared ones (`needed`); a group of sets needs no more than its sizes
+allow. The order puts tokens found in many sets last, so a passage that many documents share stays out of
+signatures.
+
+Why no group is squared. Copies are one set. A set that shares too few signature tokens with all sets of any
+size that could be linked to it is dropped. Near copies are first linked to a leader, the set among those with
+one least token that has most shared tokens, which is the one most like all others; linked sets are then one
+component, and a component's sets are never matched with each other. Of two components only the smaller
+one's sets open groups of the larger one.
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing; texts under five
 words have one shingle, the whole sequence; rows that repeat an id keep one component each; ties of the
@@ -64,9 +69,9 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n // 5 + ceil(n / 32) tokens: rare ones by hash, then frequent ones from the less frequent on (frequent: tokens, ascending, with their rank)."""
+    """The first n // 5 + ceil(n / 16) tokens: rare ones by hash, then frequent ones from the less frequent on (frequent: tokens, ascending, with their rank)."""
     n = len(tokens)
-    size = n // 5 + -(-n // 32)
+    size = n // 5 + -(-n // 16)
     at = np.searchsorted(frequent["token"], tokens)
     hot = (at < len(frequent)) & (frequent["token"][np.minimum(at, len(frequent) - 1)] == tokens) if len(frequent) else np.zeros(n, bool)
     rare = tokens[~hot]
@@ -215,21 +220,38 @@ def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return values[begin].tolist(), begin.tolist(), np.r_[begin[1:], len(values)].astype(int).tolist() if len(begin) else []
 
 
-def enough(shared: Column, n: Column) -> Column:
-    """Whether so many shared signature tokens allow a link of a set of n tokens."""
-    return shared * 40 >= n
+def signature_size(n: Column) -> Column:
+    return F.floor(n / 5) + F.ceil(n / 16)
+
+
+def needed(n: Column, least: Column, most: Column) -> Column:
+    """Shared signature tokens that a link of a set of n tokens to one of least to most tokens needs; null if sizes rule a link out. One less than the bound, for tokens of a set that clash when folded."""
+    lo, hi = F.greatest(least, F.ceil(n * 4 / 5)), F.least(most, F.floor(n * 5 / 4))
+
+    def bound(m: Column) -> Column:
+        return F.ceil((n + m) * 4 / 9) - F.greatest(n - signature_size(n), m - signature_size(m)) - 1
+
+    # between the ends the bound rises up to m = n and falls after it, so the least is at an end
+    return F.when(lo <= hi, F.greatest(F.lit(1), F.least(bound(lo), bound(hi))))
+
+
+def size_class(n: Column) -> Column:
+    """Classes of sizes a tenth apart."""
+    return F.floor(F.log(n) / F.log(F.lit(1.1)) + 1e-9).cast("int")
 
 
 def prune(postings: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """postings (token, key, n) of sets that still share enough signature tokens with some other set."""
-    now = postings.join(sets.select("key", "n"), "key")
-    for k in range(rounds):
-        if k:
-            several = now.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
-            now = now.join(several, "token", "left_semi")
-        keep = now.groupBy("key").agg(F.count_distinct("token").alias("shared") if not k else F.count("*").alias("shared"), F.first("n").alias("n")).where(enough(F.col("shared"), F.col("n"))).select("key")
-        now = durable(now.join(keep, "key", "left_semi").dropDuplicates(["token", "key"]) if not k else now.join(keep, "key", "left_semi"), "postings")
-    return now
+    """postings (token, key, n) of sets that share enough signature tokens with the sets of some class of sizes."""
+    now = postings.join(sets.select("key", "n"), "key").dropDuplicates(["token", "key"])
+    for _ in range(rounds):
+        now = durable(now, "postings").withColumn("cls", size_class(F.col("n")))
+        others = now.groupBy("token", F.col("cls").alias("other")).agg(F.min("key").alias("a"), F.max("key").alias("b"))
+        near = F.col("other").between(F.col("cls") - 3, F.col("cls") + 3) & ~((F.col("a") == F.col("key")) & (F.col("b") == F.col("key")))
+        met = now.join(others, "token").where(near).groupBy("key", "n", "other").agg(F.count("*").alias("shared"))
+        least, most = F.floor(F.pow(F.lit(1.1), F.col("other") - 1e-6)), F.ceil(F.pow(F.lit(1.1), F.col("other") + 1 + 1e-6))
+        keep = met.where(F.col("shared") >= needed(F.col("n"), least, most)).select("key").distinct()
+        now = now.join(keep, "key", "left_semi").select("token", "key", "n")
+    return durable(now, "postings")
 
 
 def token_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,31 +283,32 @@ def check_pairs(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def stars(sets: DataFrame, by: str, tokens: DataFrame) -> DataFrame:
-    """Links (a: leader, b) of sets to the least key that has the same least token."""
-    leaders = sets.groupBy(by).agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a <> last").select(by, "a")
+    """Links (a: leader, b) of sets to a leader that has the same least token: the one with the smallest share of tokens that no other set has, then the least key."""
+    leaders = sets.groupBy(by).agg(F.min(F.struct("alone", "key"))["key"].alias("a"), F.count("*").alias("size")).where("size > 1").select(by, "a")
     pairs = sets.join(leaders, by).where("key <> a").select("a", F.col("key").alias("b"))
     return durable(check_pairs(pairs, tokens), "star-links")
 
 
 def open_groups(postings: DataFrame, homes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of different components. homes(key, comp) gives every set its component; groups are parts of a component of GROUP_SETS or so.
+    """Links (a, b) between sets of different components. homes(key, n, comp) gives every set its component; a group is a part of a component of sets of like size, GROUP_SETS or so.
 
     The matrix has a row for each token and group. A set counts the tokens it has in common with a group of
     a larger component and opens it if the count allows a link.
     """
     sizes = homes.groupBy("comp").agg(F.count("*").alias("size"))
-    placed = homes.join(sizes, "comp").withColumn("grp", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP_SETS).cast("long"))).withColumn("home", F.struct("size", "comp"))
-    held = durable(postings.join(placed.select("key", "home", "grp"), "key"), "homed-postings")
+    part = F.struct(size_class(F.col("n")).alias("cls"), F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP_SETS).cast("long")).alias("slice"))
+    placed = durable(homes.join(sizes, "comp").select("key", "n", F.struct("size", "comp").alias("home"), part.alias("part")), "placed")
+    held = durable(postings.select("token", "key").join(placed, "key"), "homed-postings")
     span = held.groupBy("token").agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least < most")
     live = held.join(span, "token")
-    matrix = live.where("home > least").groupBy("token", "home", "grp").agg(F.lit(1).alias("one")).select("token", F.col("home").alias("other"), F.col("grp").alias("part"))
-    probes = live.where("home < most").select("token", "key", "n", "home")
-    opened = durable(
-        probes.join(matrix, "token").where("home < other").groupBy("key", "n", F.col("other.comp").alias("comp"), "part").agg(F.count("*").alias("shared")).where(enough(F.col("shared"), F.col("n"))).select("key", "comp", "part"),
-        "opened",
-    )
-    members = placed.select("comp", F.col("grp").alias("part"), F.col("key").alias("b"))
-    pairs = opened.join(members, ["comp", "part"]).select(F.col("key").alias("a"), "b")
+    matrix = live.where("home > least").select("token", F.col("home").alias("other"), F.col("part").alias("grp")).distinct()
+    groups = placed.groupBy(F.col("home").alias("other"), F.col("part").alias("grp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    probes = live.where("home < most").select("token", "key", "n", "home", "part")
+    near = F.abs(F.col("grp.cls") - F.col("part.cls")) <= 3
+    counts = probes.join(matrix, "token").where((F.col("home") < F.col("other")) & near).groupBy("key", "n", "other", "grp").agg(F.count("*").alias("shared"))
+    opened = durable(counts.join(groups, ["other", "grp"]).where(F.col("shared") >= needed(F.col("n"), F.col("lo"), F.col("hi"))).select("key", "n", "other", "grp"), "opened")
+    members = placed.select(F.col("home").alias("other"), F.col("part").alias("grp"), F.col("key").alias("b"), F.col("n").alias("m"))
+    pairs = opened.join(members, ["other", "grp"]).where("100 * least(n, m) >= 80 * greatest(n, m)").select(F.col("key").alias("a"), "b")
     return check_pairs(pairs, tokens)
 
 
@@ -319,14 +342,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
 
     postings = prune(shared_signatures(source, frequent_tokens(described)), sets)
-    live = durable(sets.join(postings.select("key").distinct(), "key"), "live-sets")
+    held = postings.groupBy("key").agg(F.count("*").alias("shared"))
+    live = durable(sets.join(held, "key").withColumn("alone", F.round(1 - F.col("shared") / signature_size(F.col("n")), 3)).drop("shared"), "live-sets")
     tokens = durable(token_sets(source, live), "token-sets")
 
     one = stars(live, "first", tokens)
-    homes = live.join(one.select(F.col("b").alias("key"), F.col("a").alias("comp")), "key", "left").select("key", "second", F.coalesce("comp", "key").alias("comp"))
+    homes = live.join(one.select(F.col("b").alias("key"), F.col("a").alias("comp")), "key", "left").select("key", "n", "second", "alone", F.coalesce("comp", "key").alias("comp"))
     two = stars(homes.where("key = comp"), "second", tokens)
-    homes = homes.join(two.select(F.col("b").alias("comp"), F.col("a").alias("top")), "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
-    links = one.unionByName(two).unionByName(open_groups(postings, durable(homes, "homes"), tokens))
+    homes = homes.join(two.select(F.col("b").alias("comp"), F.col("a").alias("top")), "comp", "left").select("key", "n", F.coalesce("top", "comp").alias("comp"))
+    links = one.unionByName(two).unionByName(open_groups(postings, homes, tokens))
 
     of_key = components(links)
     homed = sets.select("key", "rep").join(of_key, "key")
