@@ -145,13 +145,16 @@ def expand_query(query: Column, synonyms: dict[str, list[str]]) -> Column:
     return F.trim(F.concat_ws(" ", F.trim(query), F.array_join(fresh, " ")))
 
 
-def exact_quotes(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """quote_id, card_id where the text holds the whole quote in normal form. Candidates share the quote's first 24 characters, found by hash, not by pairing."""
-    head = 24
+def exact_quotes(quotes: DataFrame, corpus: DataFrame, block: int = 12) -> DataFrame:
+    """quote_id, card_id where the text holds the whole quote (2 * block characters or more) in normal form.
+
+    Texts are cut into blocks; wherever such a quote stands, it covers a whole block. So texts meet quotes by
+    equal blocks, and only those pairs are compared.
+    """
     n = lambda c: T.normal_retrieval(F.col(c))
-    q = quotes.select("quote_id", n("quote").alias("q")).where(F.length("q") >= head).withColumn("h", F.xxhash64(F.substring("q", 1, head)))
-    wanted = q.select("h").distinct()
-    c = corpus.select("card_id", n("text").alias("t")).where(F.length("t") >= head)
-    starts = c.select("card_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - head + 1), lambda i: F.xxhash64(F.substr(F.col("t"), i, F.lit(head)))))).alias("h"))
-    found = starts.join(wanted, "h", "left_semi").join(q, "h").join(c, "card_id").where(F.contains("t", F.col("q")))
-    return found.select("quote_id", "card_id").distinct()
+    q = quotes.select("quote_id", n("quote").alias("q")).where(F.length("q") >= 2 * block)
+    c = corpus.select("card_id", n("text").alias("t"))
+    windows = q.select("quote_id", "q", F.explode(F.array_distinct(T.grams(F.col("q"), block))).alias("b"))
+    blocks = c.select("card_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?s)(.{{{block}}})"), F.lit(1)))).alias("b"))
+    pairs = blocks.join(windows, "b").select("quote_id", "card_id", "q").distinct()
+    return pairs.join(c, "card_id").where(F.contains("t", F.col("q"))).select("quote_id", "card_id")

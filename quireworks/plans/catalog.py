@@ -228,7 +228,7 @@ def coverage_gap(t):
     return checks.coverage(t("part").select(F.col("p_partkey").alias("k")), t("lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
-SPANS = """with e as (select user_id, epoch(ts)::bigint as lo, epoch(ts)::bigint + 21600 as hi from events),
+SPANS = """with e as (select user_id, floor(epoch(ts))::bigint as lo, floor(epoch(ts))::bigint + 21600 as hi from events),
 m as (select *, case when lo > max(hi) over (partition by user_id order by lo, hi rows between unbounded preceding and 1 preceding) then 1 else 0 end as new from e),
 i as (select *, sum(new) over (partition by user_id order by lo, hi rows unbounded preceding) as island from m), u as (select user_id, min(lo) as lo, max(hi) as hi from i group by user_id, island) """
 
@@ -247,7 +247,7 @@ def span_gaps(t):
     return checks.interval_gaps(_spans(t), "user_id", "lo", "hi")
 
 
-@query("""with e as (select user_id, event_id, epoch(ts)::bigint as lo, epoch(ts)::bigint + 21600 as hi from events) select user_id, event_id, lo, hi from (select *, lead(lo) over (partition by user_id order by lo, hi) as nx from e) where nx <= hi""")
+@query("""with e as (select user_id, event_id, floor(epoch(ts))::bigint as lo, floor(epoch(ts))::bigint + 21600 as hi from events) select user_id, event_id, lo, hi from (select *, lead(lo) over (partition by user_id order by lo, hi) as nx from e) where nx <= hi""")
 def span_overlaps(t):
     e = t("events").select("user_id", "event_id", F.unix_timestamp("ts").alias("lo"), (F.unix_timestamp("ts") + 21600).alias("hi"))
     return checks.overlaps_next(e, "user_id", "lo", "hi")
