@@ -82,8 +82,8 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def single_substitution(a: Column, b: Column) -> Column:
     """struct(wrong, right) if the texts have equal length and differ at one place, else null."""
-    pairs = F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["0"] != p["1"])
-    return F.when((F.length(a) == F.length(b)) & (F.size(pairs) == 1), F.struct(pairs[0]["0"].alias("wrong"), pairs[0]["1"].alias("right")))
+    pairs = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("wrong"), y.alias("right"))), lambda p: p["wrong"] != p["right"])
+    return F.when((F.length(a) == F.length(b)) & (F.size(pairs) == 1), F.get(pairs, F.lit(0)))
 
 
 def char_overlap(a: Column, b: Column) -> Column:
