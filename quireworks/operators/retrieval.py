@@ -70,7 +70,8 @@ def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 5, over: int = 3, alp
     """query_id, rank, card_id, score, bm25_score, tfidf_score.
 
     Candidates are the k * over best of either scorer, with scores rounded to 4 digits; BM25 is min-max
-    scaled among a query's candidates (0 where all are equal, and for those BM25 lacks).
+    scaled among a query's candidates (0 where all are equal, and for those BM25 lacks). Halves of the last
+    digit, which mixed 4-digit scores often give, go up.
     """
     a = ranked(bm25(queries, corpus), F.col("raw"), k * over).select("query_id", "card_id", "ord", F.col("score").alias("bm25_score"), F.col("rank").alias("at_a"))
     b = ranked(tfidf(queries, corpus), F.col("raw"), k * over).select("query_id", "card_id", "ord", F.col("score").alias("tfidf_score"), F.col("rank").alias("at_b"))
@@ -81,7 +82,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 5, over: int = 3, alp
     mixed = scaled.withColumn("raw", alpha * F.col("bm25_norm") + (1 - alpha) * F.col("tfidf_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", TIE_DIGITS)), F.asc_nulls_last("at_a"), "at_b")
     top = mixed.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("raw") > 0))
-    return top.select("query_id", "rank", "card_id", "ord", F.round("raw", 4).alias("score"), "bm25_score", "tfidf_score")
+    return top.select("query_id", "rank", "card_id", "ord", F.round(F.col("raw") + 1e-9, 4).alias("score"), "bm25_score", "tfidf_score")
 
 
 def field_boost(queries: DataFrame, fields: DataFrame) -> DataFrame:

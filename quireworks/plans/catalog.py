@@ -170,7 +170,7 @@ z as (select *, 0.5 * case when hi > lo then (bm25_score - lo) / (hi - lo) else
 h as (select *, row_number() over (partition by query_id order by round(raw, 9) desc, at_a nulls last, at_b) as rank from z) """
 
 
-@query(HYBRID + "select query_id, rank::int as rank, card_id, round(raw, 4) as score, bm25_score, tfidf_score from h where rank <= 5 and raw > 0")
+@query(HYBRID + "select query_id, rank::int as rank, card_id, round(raw + 1e-9, 4) as score, bm25_score, tfidf_score from h where rank <= 5 and raw > 0")
 def hybrid_topk(t):
     return retrieval.hybrid(_asked(t), _cards(t)).drop("ord")
 
@@ -479,15 +479,15 @@ def box_iou(t):
 
 
 @query("""with r as (select p_brand as key, p_type as page, p_size / 50.0 as rel from part), m as (select *, case when rel - lag(rel) over (partition by key order by rel) > 0.03 then 1 else 0 end as new from r),
-i as (select *, sum(new) over (partition by key order by rel rows unbounded preceding) as island from m), o as (select key, island, page, avg(rel) as at from i group by all)
-select key, island::bigint as island, count(*) as pages, round(avg(at), 6) as mean, round(max(at) - min(at), 6) as spread from o group by key, island""")
+i as (select *, sum(new) over (partition by key order by rel rows unbounded preceding) as island from m), o as (select key, island, page, avg(rel) as pos from i group by all)
+select key, island::bigint as island, count(*) as pages, round(avg(pos), 6) as mean, round(max(pos) - min(pos), 6) as spread from o group by key, island""")
 def structure_bands(t):
     r = t("part").select(F.col("p_brand").alias("key"), F.col("p_type").alias("page"), (F.col("p_size") / 50.0).alias("rel"))
     return bands.merge_bands(r, "key", "page", "rel", 0.03).withColumn("mean", F.round("mean", 6)).withColumn("spread", F.round("spread", 6))
 
 
-@query("""with e as (select distinct p_brand as page, p_size / 60.0 as at from part union select distinct p_brand, 0.0 from part union select distinct p_brand, 1.0 from part)
-select page, region, round(lo, 6) as lo, round(hi, 6) as hi from (select page, (row_number() over w - 1)::int as region, at as lo, lead(at) over w as hi from e window w as (partition by page order by at)) where hi is not null""")
+@query("""with e as (select distinct p_brand as page, p_size / 60.0 as pos from part union select distinct p_brand, 0.0 from part union select distinct p_brand, 1.0 from part)
+select page, region, round(lo, 6) as lo, round(hi, 6) as hi from (select page, (row_number() over w - 1)::int as region, pos as lo, lead(pos) over w as hi from e window w as (partition by page order by pos)) where hi is not null""")
 def page_regions(t):
     r = bands.regions(t("part").select(F.col("p_brand").alias("page"), (F.col("p_size") / 60.0).alias("rel")), "page", "rel")
     return r.withColumn("lo", F.round("lo", 6)).withColumn("hi", F.round("hi", 6))
