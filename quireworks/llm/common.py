@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,30 @@ def small_batches(spark: SparkSession, records: int = ARROW_RECORDS) -> None:
 def id_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+#: Places of an id filter: 2 MB of bits, and so many bytes at most for any number of ids.
+FILTER_BITS, FILTER_SLICE = 1 << 24, 32_768
+
+
+def may_hold(ids: DataFrame, id_col: str, of: str) -> Column:
+    """A filter on column `of`: true for every id of ids, and for few others (a bit for each hash of an id).
+
+    It keeps rows with other ids out of a shuffle; a join after it decides. The bits are built by slices in a
+    grouped aggregate, so what is gathered is FILTER_BITS / 8 bytes whatever the number of ids.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    slices = (
+        ids.select(place(id_col).alias("p")).groupBy(F.floor(F.col("p") / FILTER_SLICE).alias("slice")).agg(F.bitmap_construct_agg(F.col("p") % FILTER_SLICE).alias("bits")).collect()
+    )
+    bits = np.zeros((FILTER_BITS // FILTER_SLICE, FILTER_SLICE // 8), dtype=np.uint8)
+    for r in slices:
+        bits[r.slice] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return held(place(of))

@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quireworks.llm.common import durable, small_batches
+from quireworks.llm.common import durable, may_hold, small_batches
 
 #: Words of a shingle; members of a group; sets that make a token frequent; most frequent tokens handed to tasks.
 WORDS, GROUP_SETS, FREQUENT, FREQUENT_MOST = 5, 32, 48, 1_000_000
 #: Tokens, and signature tokens, that a task gathers before it hands them on; buckets signatures are dealt into.
-FLUSH_TOKENS, BUCKETS = 2_000_000, 1024
+FLUSH_TOKENS, BUCKETS = 1_000_000, 1024
 #: Sets of one token that a task sends for counting; more are shared beyond doubt.
 LOCAL_MOST = 16
 
@@ -180,7 +180,7 @@ def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 s = shingle_set(text)
                 if not len(s) or (key := set_key(s)) in done:
                     continue
-                if len(done) < 1_000_000:
+                if len(done) < 300_000:
                     done.add(key)
                 t = np.unique((signature(s, shared.value) >> np.uint64(32)).astype(np.uint32))
                 tokens.append(t)
@@ -267,7 +267,8 @@ def token_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
                     found.append(t.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep, pa.int64())), pa.array(found, pa.binary())], ["key", "tokens"])
 
-    held = docs.join(sets.select("key", F.col("rep").alias("doc_id")), "doc_id").select("key", "text")
+    reps = sets.select("key", F.col("rep").alias("doc_id"))
+    held = docs.where(may_hold(reps, "doc_id", "doc_id")).join(reps, "doc_id").select("key", "text")
     return held.mapInArrow(run, "key bigint, tokens binary").dropDuplicates(["key"])
 
 
