@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm import decontam, langid, packing, setjoin, toxicity
-from quireworks.llm.common import durable, id_fold, table
+from quireworks.llm.common import durable, id_fold, may_hold, table
 
 #: Least share of a text's letters that its language must have.
 LEAST_SHARE = 0.5
@@ -32,9 +32,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates the document with the smallest id; rows repeated whole are kept once."""
-    gone = setjoin.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Keeps of each component of near duplicates the document with the smallest id; rows repeated whole are kept once.
+
+    Only rows whose id may be among those that go, or occurs again, are shuffled with their texts.
+    """
+    found = durable(setjoin.near_duplicates(docs).select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    marked = docs.withColumn("_may", may_hold(gone.unionByName(again), "doc_id", "doc_id"))
+    rest = marked.where("_may").drop("_may").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return marked.where("not _may").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
