@@ -44,7 +44,7 @@ def text_features(text: str) -> set[str]:
 
 
 class Voters:
-    """Votes of a text: a lexicon group fires if it holds an entry, two more if several words do, and each pattern if found."""
+    """Votes of a text: a lexicon group fires if it holds an entry, two more if two or three words do, and each pattern if found."""
 
     def __init__(self, entries: list[str]):
         self.entry = {e: k for k, e in enumerate(entries)}
@@ -52,18 +52,19 @@ class Voters:
         self.start4 = {e[:-1] for e in entries if e[-1] == "-" and len(e) == 5}
         self.start5 = {e[:-1] for e in entries if e[-1] == "-" and len(e) == 6}
 
-    def hits(self, text: str) -> tuple[list[int], int]:
-        """Entries in the text, and how many distinct words hold one."""
-        words = set(_WORD.findall(text.lower()))
+    def hits(self, text: str) -> tuple[list[int], int, float]:
+        """Entries in the text, how many of its words hold one (repeats count), and that number for each 50 words."""
+        every = _WORD.findall(text.lower())
+        words = set(every)
         whole = words & self.whole
         at4, at5 = self.start4.intersection(w[:4] for w in words), self.start5.intersection(w[:5] for w in words)
-        found = [self.entry[e] for e in whole]
-        n = len(whole)
-        if at4 or at5:
-            near4, near5 = {w for w in words if len(w) > 4 and w[:4] in at4}, {w for w in words if len(w) > 5 and w[:5] in at5}
-            found += [self.entry[f"{s}-"] for s in {w[:4] for w in near4} | {w[:5] for w in near5}]
-            n = len(whole | near4 | near5)
-        return found, n
+        if not (whole or at4 or at5):
+            return [], 0, 0.0
+        near4, near5 = {w for w in words if len(w) > 4 and w[:4] in at4}, {w for w in words if len(w) > 5 and w[:5] in at5}
+        found = [self.entry[e] for e in whole | {f"{w[:4]}-" for w in near4} | {f"{w[:5]}-" for w in near5}]
+        holding = whole | near4 | near5
+        n = sum(w in holding for w in every)
+        return found, n, 50 * n / len(every)
 
     def votes(self, text: str, found: list[int], n: int) -> int:
         """The votes as bits."""
@@ -118,9 +119,13 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def features(found: list[int], n: int, entries: int) -> tuple[list[int], list[float]]:
-    """Sparse inputs of the classifier: entries present, and how many words hold one."""
-    return [*found, entries, entries + 1, entries + 2], [1.0] * len(found) + [min(n, 6) / 3.0, float(n >= 2), float(n >= 3)]
+#: Inputs of the classifier besides the entries.
+COUNTS = 4
+
+
+def features(found: list[int], n: int, density: float, entries: int) -> tuple[list[int], list[float]]:
+    """Sparse inputs of the classifier: entries present, how many words hold one, and how densely."""
+    return [*found, *range(entries, entries + COUNTS)], [1.0] * len(found) + [min(n, 6) / 3.0, float(n >= 2), float(n >= 3), min(density, 2.0)]
 
 
 def train_linear(rows: list[tuple[list[int], list[float]]], target: np.ndarray, width: int, rounds: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -147,8 +152,8 @@ class Classifier:
         self.voters, self.weights, self.bias, self.label_model = voters, weights, bias, label_model
 
     def score(self, text: str) -> float:
-        found, n = self.voters.hits(text)
-        at, value = features(found, n, len(self.voters.entry))
+        found, n, density = self.voters.hits(text)
+        at, value = features(found, n, density, len(self.voters.entry))
         z = self.bias + sum(self.weights[k] * v for k, v in zip(at, value))
         return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
@@ -166,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     open_labels = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(id_fold("doc_id", FOLDS) != HELD_OUT)
     n, positive = open_labels.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
     if not n:
-        return Classifier(Voters([]), np.zeros(3), -30.0, None)
+        return Classifier(Voters([]), np.zeros(COUNTS), -30.0, None)
     some = open_labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_rows / n) * (1 << 20))))
     sample = durable(open_docs.join(F.broadcast(some), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxic-sample")
 
@@ -192,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [shared.value.votes(t, *shared.value.hits(t)) for t in batch.column("text").to_pylist()]
+            votes = [shared.value.votes(t, *shared.value.hits(t)[:2]) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.int64())], ["doc_id", "votes"])
 
     voted = open_docs.mapInArrow(vote, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes bigint")
@@ -204,18 +209,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
         for frame in frames:
             rows = []
             for text, toxic in zip(frame["text"], frame["toxic"]):
-                found, k = shared.value.hits(text)
-                rows.append((found, k, shared.value.votes(text, found, k), int(toxic)))
-            yield pd.DataFrame(rows, columns=["found", "words", "votes", "toxic"])
+                found, k, density = shared.value.hits(text)
+                rows.append((found, k, density, shared.value.votes(text, found, k), int(toxic)))
+            yield pd.DataFrame(rows, columns=["found", "words", "density", "votes", "toxic"])
 
-    fitted = sample.mapInPandas(inputs, "found array<int>, words int, votes long, toxic int").toArrow()  # about fit_rows rows of a few numbers
+    fitted = sample.mapInPandas(inputs, "found array<int>, words int, density double, votes long, toxic int").toArrow()  # about fit_rows rows of a few numbers
     if not len(fitted):
-        return Classifier(voters, np.zeros(len(picked) + 3), -30.0, model)
+        return Classifier(voters, np.zeros(len(picked) + COUNTS), -30.0, model)
     posterior, toxic = model.posterior(fitted["votes"].to_numpy()), fitted["toxic"].to_numpy()
     # a label is one more voter, right 98 times of 100
     odds = np.log(posterior / (1 - posterior)) + np.where(toxic > 0, 1, -1) * np.log(49)
-    rows = [features(f, k, len(picked)) for f, k in zip(fitted["found"].to_pylist(), fitted["words"].to_pylist())]
-    weights, bias = train_linear(rows, 1 / (1 + np.exp(-odds)), len(picked) + 3)
+    rows = [features(*x, len(picked)) for x in zip(*(fitted[c].to_pylist() for c in ("found", "words", "density")))]
+    weights, bias = train_linear(rows, 1 / (1 + np.exp(-odds)), len(picked) + COUNTS)
     return Classifier(voters, weights, bias, model)
 
 
