@@ -68,6 +68,19 @@ ORACLE_SQL: dict[str, str] = {
                case when first_id <> page_id then 'revisit' else 'response' end as record_type,
                case when first_id <> page_id then first_id end as refers_to
         from h left join f using (payload_digest)""",
+    "op7_set_join": r"""
+        with recursive w as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g
+              from w, lateral (select unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i) where len(ws) > 0),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+        e as (select x, y from l union select y, x from l),
+        r(doc_id, m) as (select doc_id, doc_id from documents union select e.x, r.m from r join e on e.y = r.doc_id),
+        c as (select doc_id, min(m) as component_id from r group by doc_id)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from documents d left join n using (doc_id) left join c using (doc_id)""",
     "op10_vector_search": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
                    from embeddings where embedding is not null
