@@ -85,3 +85,46 @@ def ledger_fields(lines: Column) -> Column:
         F.trim(F.array_join(F.filter(lines, lambda t: ~has(t)), "")).alias("name"), F.regexp_extract(text, DIRECTION, 0).alias("direction"),
         F.regexp_extract(text, CURRENCY, 0).alias("currency"), raw.alias("raw"), amount(raw).alias("value"),
     )
+
+
+# Eras of rosters, cycle characters and degrees.
+ROSTER_ERAS = (
+    "洪武|建文|永乐|洪熙|宣德|正統|正统|景泰|天順|天顺|成化|弘治|正德|嘉靖|隆慶|隆庆|萬曆|万历|泰昌|天啟|天启|崇禎|崇祯|順治|顺治|康熙|雍正|乾隆|嘉慶|嘉庆|道光|咸豐|咸丰|"
+    "同治|光緒|光绪|宣統|宣统|民國|民国|同光|宣光"
+)
+STEMS, BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
+DEGREES = "進士|进士|舉人|举人|貢生|贡生|歲貢|岁贡|拔貢|拔贡|優貢|优贡|恩貢|恩贡|副貢|副贡|孝廉|狀元|状元|榜眼|探花|翰林|內閣|内阁|中書|中书"
+
+
+def roster_fields(text: Column) -> Column:
+    """struct(name, year, degree, rest) of a roster entry; what is not found is ''. The name is what stands before the first sign or era, up to six characters; the rest keeps the other characters in order."""
+    era = F.regexp_extract(text, f"(?:{ROSTER_ERAS})[{STEMS}]{{0,2}}[{BRANCHES}]{{0,2}}[初元零一二三四五六七八九十]{{0,4}}[年科]?", 0)
+    cycle = F.regexp_extract(text, f"[{STEMS}][{BRANCHES}]", 0)
+    year = F.when((cycle != "") & ~F.contains(era, cycle), F.concat(era, cycle)).otherwise(era)
+    degree = F.regexp_extract(text, DEGREES, 0)
+    head = F.trim(F.regexp_extract(text, f"^((?s:.*?))(?:{ROSTER_ERAS}|[，,、。；;：:（(【\\[]|$)", 1))
+    name = F.when(F.length(head).between(1, 6), head).otherwise("")
+
+    def without(t: Column, part: Column) -> Column:
+        at = F.position(part, t)
+        return F.when((part != "") & (at > 0), F.concat(F.substr(t, F.lit(1), at - 1), F.substr(t, at + F.length(part)))).otherwise(t)
+
+    rest = F.regexp_replace(without(without(without(text, name), year), degree), "^[，,、。 ．.]+|[，,、。 ．.]+$", "")
+    return F.struct(name.alias("name"), year.alias("year"), degree.alias("degree"), rest.alias("rest"))
+
+
+def same_as_above(text: Column) -> Column:
+    return text.rlike("上同|同上")
+
+
+def anchor_counts(text: Column, anchors: dict[str, list[str]]) -> Column:
+    """struct(hits, types): how often the anchor patterns of each attribute occur in the text without white space, and how many attributes have one."""
+    bare = F.regexp_replace(text, r"\s", "")
+    per = [sum((F.size(F.regexp_extract_all(bare, F.lit(f"({p})"), F.lit(1))) for p in ps), F.lit(0)) for ps in anchors.values()]
+    return F.struct(sum(per, F.lit(0)).alias("hits"), sum(((n > 0).cast("int") for n in per), F.lit(0)).alias("types"))
+
+
+def triage(text: Column, anchors: dict[str, list[str]], least_hits: int = 3, least_chars: int = 20) -> Column:
+    """ok from three anchor hits, suspect below, unmeasurable for under 20 characters or without anchors."""
+    n = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""))
+    return F.when((n < least_chars) | F.lit(not anchors), "unmeasurable").when(anchor_counts(F.coalesce(text, F.lit("")), anchors)["hits"] >= least_hits, "ok").otherwise("suspect")

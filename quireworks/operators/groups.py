@@ -68,3 +68,10 @@ def overlay(base: DataFrame, changes: DataFrame, key: list[str], values: list[st
 def seeded_order(*cols: str | Column, seed: int = 0) -> Column:
     """A random order that any number of tasks agrees on."""
     return F.xxhash64(*cols, F.lit(seed))
+
+
+def inherit_marked(rows: DataFrame, key: list[str], order: list[str], value: str, marked: Column) -> DataFrame:
+    """value with '' filled from the last one given before in the key, on marked rows only; inherited says where."""
+    given = F.last(F.when(F.col(value) != "", F.col(value)), ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    take = marked & (F.col(value) == "") & given.isNotNull()
+    return rows.withColumn("inherited", F.coalesce(take, F.lit(False))).withColumn(value, F.when(F.col("inherited"), given).otherwise(F.col(value)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.functions import geometry as G
+from quireworks.functions import rules as R
 from quireworks.functions import text as T
 from quireworks.operators import checks, corpus, groups, learning, lines, retrieval, review
 from quireworks.plans import bands
@@ -539,3 +540,40 @@ def latest_state(t):
     from quireworks.streaming.ingest import latest_status
 
     return latest_status(t("events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+
+
+@query(None)
+def quote_verdicts(t):
+    """Each turn against the turn before it, by the best window ratio."""
+    from pyspark.sql import Window
+
+    c = t("conversations")
+    before = c.withColumn("source", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("source is not null")
+    return review.verify_quotes(before.select(F.col("conv_id").alias("answer_id"), F.substring("text", 1, 40).alias("quote"), F.col("source").alias("text")))
+
+
+@query("""with b as (select doc_id, regexp_replace(coalesce(text, ''), '\\s', '', 'g') as t from documents), h as (select doc_id, length(t) as n, len(regexp_extract_all(t, 'token')) + len(regexp_extract_all(t, 'License')) + len(regexp_extract_all(t, '[0-9]{3}')) as hits from b)
+select doc_id, case when n < 20 then 'unmeasurable' when hits >= 3 then 'ok' else 'suspect' end as verdict from h""")
+def page_triage(t):
+    return t("documents").select("doc_id", R.triage(F.col("text"), {"secret": ["token"], "license": ["License"], "number": ["[0-9]{3}"]}).alias("verdict"))
+
+
+@query("""with e as (select event_id, user_id, ts, case when event_type = 'purchase' then 'p' || event_id else '' end as v, event_type = 'view' as marked from events),
+g as (select *, last_value(nullif(v, '') ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as given from e)
+select event_id, case when marked and v = '' and given is not null then given else v end as v, marked and v = '' and given is not null as inherited from g""")
+def inherit_above(t):
+    e = t("events").withColumn("v", F.when(F.col("event_type") == "purchase", F.concat(F.lit("p"), F.col("event_id"))).otherwise(""))
+    return groups.inherit_marked(e, ["user_id"], ["ts", "event_id"], "v", F.col("event_type") == "view").select("event_id", "v", "inherited")
+
+
+@query("""with c as (select c_custkey as stem, c_acctbal > 0 as has_text, c_mktsegment = 'BUILDING' as has_gold, c_nationkey % 2 = 0 as has_draft from customer)
+select stem, case when not has_text then 'needs_ocr' when has_gold then 'done' when has_draft then 'needs_adjudication' else 'needs_annotation' end as page_status from c""")
+def page_next_step(t):
+    c = t("customer").select(F.col("c_custkey").alias("stem"), (F.col("c_acctbal") > 0).alias("has_text"), (F.col("c_mktsegment") == "BUILDING").alias("has_gold"), (F.col("c_nationkey") % 2 == 0).alias("has_draft"))
+    return review.page_status(c, "has_text", "has_gold", "has_draft").select("stem", "page_status")
+
+
+@query("""with g as (select l_returnflag as fold, count(*) as n, sum(case when l_discount > 0.05 then 1 else 0 end) as hit from lineitem group by 1) select round(sum(hit) / sum(n), 4) as ratio, sum(hit)::bigint as hits, sum(n)::bigint as rows from g""")
+def fold_weighted_ratio(t):
+    g = t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("hit"))
+    return review.fold_ratio(g, "hit", "n")

@@ -86,3 +86,15 @@ def test_gram_frequency_counts_pages(spark):
     df = spark.createDataFrame([(1, "abcabc"), (2, "abc"), (3, None)], "p int, t string")
     got = {r.gram: r.pages_hit for r in corpus.gram_frequency(df, "p", "t", least_ratio=0.5).collect()}
     assert got["abc"] == 2
+
+
+def test_roster_fields(spark):
+    got = one(spark, rules.roster_fields(F.col("t")), t="張三，光緒乙未科進士，句容人")
+    assert (got["name"], got["year"], got["degree"]) == ("張三", "光緒乙未科", "進士")
+    assert tuple(one(spark, rules.roster_fields(F.col("t")), t="")) == ("", "", "", "")
+
+
+def test_triage(spark):
+    anchors = {"date": ["年"], "place": ["縣|府"]}
+    long = "某年某縣某府" + "文" * 20
+    assert [one(spark, rules.triage(F.col("t"), anchors), t=t) for t in (long, "文" * 30, "年")] == ["ok", "suspect", "unmeasurable"]
