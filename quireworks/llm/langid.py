@@ -29,7 +29,9 @@ FIT_ROWS = 5000
 #: Hashed n-grams of 1 to MAX_N characters; the penalty for a switch, in nats; words of a Viterbi chunk.
 BUCKETS, MAX_N, SWITCH, CHUNK = 1 << 15, 3, 12.0, 64
 #: Words whose scores a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: New words that are scored at once; bounds what n-gram tables of a batch take.
+SCORED_WORDS = 20_000
 FOLDS, HELD_OUT = 4, 2
 
 # First and last code points of scripts.
@@ -180,9 +182,9 @@ class Labeller:
         flat = list(chain.from_iterable(words))
         new = [w for w in dict.fromkeys(flat) if w not in self.at]
         if new:
-            scores, letters = self.profiles.word_scores(new)
             self.at |= {w: k for k, w in enumerate(new, len(self.at))}
-            self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+            parts = [self.profiles.word_scores(new[k : k + SCORED_WORDS]) for k in range(0, len(new), SCORED_WORDS)]
+            self.scores, self.letters = (np.concatenate([kept, *some]) for kept, some in zip((self.scores, self.letters), zip(*parts)))
         at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         return words, np.repeat(np.arange(len(words)), lengths), self.letters[at], viterbi(self.scores[at], lengths)
