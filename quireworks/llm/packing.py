@@ -31,7 +31,7 @@ from quireworks.llm.common import durable, small_batches
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 1_300_000
+CACHE_WORDS = 500_000
 END_ID = 1
 
 
@@ -51,7 +51,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # of words as they stand
+        self.cores: dict[bytes, bytes] = {}  # of lower-case words and of points
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
@@ -63,14 +64,16 @@ class WordIds:
         return core.lower(), word[len(core) :]
 
     def learn(self, words: set[bytes]) -> None:
-        known = self.known
-        split = {w: self.parts(w) for w in words}
-        new = [p for p in {p for both in split.values() for p in both if p} if p not in known]
-        for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
+        if len(self.cores) > CACHE_WORDS:
+            self.cores.clear()
+        cores, split = self.cores, {w: self.parts(w) for w in words}
+        new = [p for p in {p for both in split.values() for p in both if p} if p not in cores]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for w, e in zip(some, self.encode([w.decode() for w in some], add_special_tokens=False)):
+                cores[w] = array("I", e.ids).tobytes()
         for w, (core, points) in split.items():
-            if core != w:
-                known[w] = known[core] + known[points] if points else known[core]
+            self.known[w] = cores[core] + cores[points] if points else cores[core]
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of UTF-8 texts."""
