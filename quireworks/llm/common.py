@@ -18,13 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir), with its store named in full; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quireworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="quireworks-"))
+        found = _OWN_FOLDER[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1).rstrip("/") if whole.startswith("file:/") and not whole.startswith("file://") else whole.rstrip("/")
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
