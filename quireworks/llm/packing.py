@@ -13,11 +13,9 @@ repeated rows are pieces of their own; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +34,8 @@ END_ID = 1
 
 
 _POINTS = b".,;:!?"
-_LETTERS_POINTS = re.compile(rb"([A-Za-z]+)([.,;:!?]*)").fullmatch
+#: Words between the separators of one text handed to the library, and texts of one call.
+_JOINED, _CALL = 256, 64
 
 
 class WordIds:
@@ -44,43 +43,58 @@ class WordIds:
 
     It is also blind to case and splits letters from signs, so a word with points after its last letter is
     the lower-case word, then the points; words that may hold a special string or an apostrophe are left whole.
+    The library gets many words as one text, with a special token between any two.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        library = Tokenizer.from_file(path)
+        self.encode = library.encode_batch_fast
+        self.between = next((t.content, n) for n, t in sorted(library.get_added_tokens_decoder().items()) if t.special)
         self.known: dict[bytes, bytes] = {}  # of words as they stand
         self.cores: dict[bytes, bytes] = {}  # of lower-case words and of points
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, none of which holds a special string."""
+        mark, mark_id = self.between
+        texts = [mark.join([w.decode() for w in words[k : k + _JOINED]]) for k in range(0, len(words), _JOINED)]
+        found: list[bytes] = []
+        for k in range(0, len(texts), _CALL):
+            for e in self.encode(texts[k : k + _CALL], add_special_tokens=False):
+                ids = np.array(e.ids, dtype="<u4")
+                stops = (np.flatnonzero(ids == mark_id) * 4).tolist()
+                raw = ids.tobytes()
+                found += [raw[i:j] for i, j in zip([0, *[s + 4 for s in stops]], [*stops, len(raw)])]
+        return found
+
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
-        if plain := _LETTERS_POINTS(word):
-            return plain[1].lower(), plain[2]
         core = word.rstrip(_POINTS)
-        if b"<" in word or b"'" in word or not core or not core.decode()[-1].lower()[-1].isalpha():
-            return word, b""
-        return core.lower(), word[len(core) :]
+        if core.isalpha() or core and b"'" not in word and core.decode()[-1].lower()[-1].isalpha():
+            return core, word[len(core) :]
+        return word, b""
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.cores) > CACHE_WORDS:
             self.cores.clear()
-        cores, split = self.cores, {w: self.parts(w) for w in words}
-        new = [p for p in {p for both in split.values() for p in both if p} if p not in cores]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.encode([w.decode() for w in some], add_special_tokens=False)):
-                cores[w] = array("I", e.ids).tobytes()
-        for w, (core, points) in split.items():
-            self.known[w] = cores[core] + cores[points] if points else cores[core]
+        cores = self.cores
+        marked = [w for w in words if b"<|" in w]
+        if marked:
+            words = words.difference(marked)
+            self.known |= {w: array("I", e.ids).tobytes() for w, e in zip(marked, self.encode([w.decode() for w in marked], add_special_tokens=False))}
+        split = [(w, *self.parts(w)) for w in words]
+        new = list({p for _, core, points in split for p in (core, points) if p and p not in cores})
+        cores.update(zip(new, self.encode_words(new)))
+        self.known |= {w: cores[core] + cores[points] if points else cores[core] for w, core, points in split}
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of UTF-8 texts."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        words = [t.split() for t in texts]
-        if new := set(chain.from_iterable(words)).difference(self.known):
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if new := set().union(*words).difference(self.known):
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
