@@ -36,6 +36,8 @@ END_ID = 1
 _POINTS = b".,;:!?"
 #: Words between the separators of one text handed to the library, and texts of one call.
 _JOINED, _CALL = 256, 64
+# Fixed value: how the vocabulary marks the end of a word.
+WORD_END = "</w>"
 
 
 class WordIds:
@@ -43,30 +45,39 @@ class WordIds:
 
     It is also blind to case and splits letters from signs, so a word with points after its last letter is
     the lower-case word, then the points; words that may hold a special string or an apostrophe are left whole.
-    The library gets many words as one text, with a special token between any two.
+    The library gets many words as one text. Lower-case words of A-Z need none of its text forms, so only its
+    merges run on them, and a token with the word-end sign closes each; other words have a special token between them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        library = Tokenizer.from_file(path)
-        self.encode = library.encode_batch_fast
-        self.between = next((t.content, n) for n, t in sorted(library.get_added_tokens_decoder().items()) if t.special)
+        self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, WhitespaceSplit()
+        self.between = next((t.content, n) for n, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special)
+        self.closes = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.closes[[n for token, n in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}  # of words as they stand
         self.cores: dict[bytes, bytes] = {}  # of lower-case words and of points
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words, none of which holds a special string."""
-        mark, mark_id = self.between
+    def encode_words(self, words: list[bytes], plain: bool) -> list[bytes]:
+        """Ids of words, none of which holds a special string. plain: all are lower-case words of A-Z."""
+        mark, mark_id = (" ", None) if plain else self.between
+        encode = (self.merges if plain else self.library).encode_batch_fast
         texts = [mark.join([w.decode() for w in words[k : k + _JOINED]]) for k in range(0, len(words), _JOINED)]
         found: list[bytes] = []
         for k in range(0, len(texts), _CALL):
-            for e in self.encode(texts[k : k + _CALL], add_special_tokens=False):
+            for e in encode(texts[k : k + _CALL], add_special_tokens=False):
                 ids = np.array(e.ids, dtype="<u4")
-                stops = (np.flatnonzero(ids == mark_id) * 4).tolist()
                 raw = ids.tobytes()
-                found += [raw[i:j] for i, j in zip([0, *[s + 4 for s in stops]], [*stops, len(raw)])]
+                if plain:
+                    stops = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+                    found += [raw[i:j] for i, j in zip([0, *stops], stops)]
+                else:
+                    stops = (np.flatnonzero(ids == mark_id) * 4).tolist()
+                    found += [raw[i:j] for i, j in zip([0, *[s + 4 for s in stops]], [*stops, len(raw)])]
         return found
 
     @staticmethod
@@ -83,10 +94,13 @@ class WordIds:
         marked = [w for w in words if b"<|" in w]
         if marked:
             words = words.difference(marked)
-            self.known |= {w: array("I", e.ids).tobytes() for w, e in zip(marked, self.encode([w.decode() for w in marked], add_special_tokens=False))}
+            self.known |= {w: array("I", e.ids).tobytes() for w, e in zip(marked, self.library.encode_batch_fast([w.decode() for w in marked], add_special_tokens=False))}
         split = [(w, *self.parts(w)) for w in words]
         new = list({p for _, core, points in split for p in (core, points) if p and p not in cores})
-        cores.update(zip(new, self.encode_words(new)))
+        plain = [p for p in new if p.isalpha() and p.islower()]
+        other = [p for p in new if not (p.isalpha() and p.islower())]
+        cores.update(zip(plain, self.encode_words(plain, True), strict=True))
+        cores.update(zip(other, self.encode_words(other, False), strict=True))
         self.known |= {w: cores[core] + cores[points] if points else cores[core] for w, core, points in split}
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
