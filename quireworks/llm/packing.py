@@ -29,7 +29,7 @@ from quireworks.llm.common import durable, small_batches
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 END_ID = 1
 
 
