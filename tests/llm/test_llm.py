@@ -54,6 +54,15 @@ def test_counter_on_random_strings():
         assert c.count(s) == len(t.encode(s, add_special_tokens=False).ids), s
 
 
+def test_word_ids_on_random_strings():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    t, w = Tokenizer.from_file(path), packing.WordIds(path)
+    parts = [*"aAbBé É'.,;:!?<|>3½中ªΣσςİß\u0301 \n\t\x0b\x1c\x85", "the", "Of,", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "😀"]
+    cases = ["".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(5000)]
+    for text, got in zip(cases, w.encode_texts([c.encode() for c in cases])):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_is_whole_and_tight(docs, nothing):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = packing.pack(docs).collect()
