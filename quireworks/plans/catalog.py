@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quireworks.functions import geometry as G
 from quireworks.functions import rules as R
 from quireworks.functions import text as T
-from quireworks.operators import checks, corpus, groups, learning, lines, retrieval, review
+from quireworks.operators import checks, corpus, drafts, groups, learning, lines, retrieval, review
 from quireworks.plans import bands
 from quireworks.sources import pages as page_source
 
@@ -577,3 +577,100 @@ def page_next_step(t):
 def fold_weighted_ratio(t):
     g = t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("hit"))
     return review.fold_ratio(g, "hit", "n")
+
+
+# drafts and pools
+
+
+@query("""with v as (select conv_id, max(turn) as value_id, substring(arg_max(text, turn), 1, 10) as value from conversations group by conv_id),
+m as (select v.conv_id, v.value_id, case when c.text = v.value then 0 when contains(c.text, v.value) and length(v.value) > 0 then 1 end as kind, c.turn from v join conversations c using (conv_id)),
+b as (select conv_id, value_id, kind, turn from (select *, row_number() over (partition by conv_id, value_id order by kind, turn) as r from m where kind is not null) where r = 1)
+select conv_id, value_id, case kind when 0 then 'exact' when 1 then 'contains' else 'none' end as kind, turn as line_id from v left join b using (conv_id, value_id)""")
+def value_location(t):
+    c = t("conversations")
+    values = c.groupBy("conv_id").agg(F.max("turn").alias("value_id"), F.substring(F.max_by("text", "turn"), 1, 10).alias("value"))
+    return drafts.locate_values(values, c.select("conv_id", F.col("turn").alias("line_id"), F.col("text").alias("line")), "conv_id")
+
+
+@query("""select doc_id, case when n = 1 then 'located' when n > 1 then 'ambiguous' else 'missing' end as found from (select doc_id, (length(text) - length(replace(text, lang, ''))) / length(lang) as n from documents)""")
+def anchoring_stats(t):
+    return t("documents").select("doc_id", drafts.occurrence_class(F.col("text"), F.col("lang")).alias("found"))
+
+
+@query("select p_partkey, unnest(string_split(p_type, ' ')) as segment, generate_subscripts(string_split(p_type, ' '), 1)::int - 1 as seg from part")
+def draft_segments(t):
+    return drafts.segment_rows(t("part").select("p_partkey", F.split("p_type", " ").alias("parts")), ["p_partkey"], "parts")
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R') order by md5(o_orderkey::varchar || '|7'), o_orderkey limit 20")
+def pool_outside_sample(t):
+    taken = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return drafts.outside_sample(t("orders").select("o_orderkey"), taken, "o_orderkey", 20, 7)
+
+
+@query("""with u as (select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as r from events) where r = 1)
+select user_id, event_type, event_id, rank from (select *, row_number() over (partition by event_type order by event_id desc, user_id, event_type)::int as rank from u) where rank <= 30""")
+def fewshot_pool(t):
+    e = t("events").select("user_id", "event_type", "event_id", "value")
+    kept = drafts.capped_pool(e.where("value <= 50"), e.where("value > 50 or value is null"), ["user_id", "event_type"], "event_type", "event_id")
+    return kept.select("user_id", "event_type", "event_id", "rank")
+
+
+@query("""select p_brand as wrong, min(p_type) as "right" from part where p_size <= 25 group by 1 union all
+select p_brand, max(p_type) from part where p_size > 25 and p_brand not in (select p_brand from part where p_size <= 25) group by 1""")
+def char_candidates_added(t):
+    p = t("part")
+    base = p.where("p_size <= 25").groupBy(F.col("p_brand").alias("wrong")).agg(F.min("p_type").alias("right"))
+    return drafts.insert_missing(base, p.where("p_size > 25").groupBy(F.col("p_brand").alias("wrong")).agg(F.max("p_type").alias("right")), ["wrong"])
+
+
+@query("select md5(text) as hash, min(doc_id) as doc_id from documents where text is not null and md5(text) not in (select md5(text) from benchmark where text is not null) group by 1")
+def import_dedup(t):
+    return drafts.first_unseen(t("documents"), t("benchmark").where("text is not null"), "text", "doc_id")
+
+
+@query("""select doc_id, 'unit' as kind from labels union all select doc_id, 'page' from documents where doc_id not in (select doc_id from labels)""")
+def prose_fusion(t):
+    return drafts.fuse(t("labels").select("doc_id", F.lit("unit").alias("kind")), t("documents").select("doc_id", F.lit("page").alias("kind")), "doc_id")
+
+
+@query("""with o as (select l_shipmode as fold, count(q) as held_n, sum(q) as s from (select l_returnflag || l_linestatus as l_shipmode, l_quantity as q from lineitem) group by 1), w as (select sum(held_n)::bigint as all_n, sum(s) as all_s from o)
+select fold, held_n, round(s / held_n, 4) as held_mean, all_n - held_n as train_n, round((all_s - s) / (all_n - held_n), 4) as train_mean from o, w""")
+def leave_one_out(t):
+    return drafts.held_out_folds(t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("fold"), "l_quantity"), "fold", "l_quantity")
+
+
+@query("""with m as (select quantile_cont(p_size, 0.5) as w, quantile_cont(p_retailprice, 0.5) as h from part) select p_partkey, p_size < 0.5 * w or p_retailprice < 0.5 * h as is_crop from part, m""")
+def crop_rejection(t):
+    return drafts.reject_crops(t("part"), "p_size", "p_retailprice").select("p_partkey", "is_crop")
+
+
+@query("""with o as (select distinct p_brand, p_type from part where p_size <= 5), n as (select distinct p_brand, p_type from part where p_size >= 45)
+select coalesce(o.p_brand, n.p_brand) as p_brand, coalesce(o.p_type, n.p_type) as p_type, case when n.p_brand is null then 'removed' else 'added' end as change from o full join n on o.p_brand = n.p_brand and o.p_type = n.p_type where o.p_brand is null or n.p_brand is null""")
+def map_set_diff(t):
+    p = t("part")
+    return drafts.set_changes(p.where("p_size <= 5"), p.where("p_size >= 45"), "p_brand", "p_type")
+
+
+STATES = """with s as (select event_id, user_id, case when value > 40 then 'content' when value > 10 then 'sparse' else 'rule' end as state from events),
+f as (select *, case when lag(state) over w <> state then 1 else 0 end as new from s window w as (partition by user_id order by event_id)), r as (select *, sum(new) over (partition by user_id order by event_id rows unbounded preceding) as run from f) """
+
+
+def _states(t) -> DataFrame:
+    return t("events").select("event_id", "user_id", F.when(F.col("value") > 40, "content").when(F.col("value") > 10, "sparse").otherwise("rule").alias("state"))
+
+
+@query(STATES + """select event_id, case when state = 'sparse' and count(*) over (partition by user_id, run) <= 14 and run > 0 and run < max(run) over (partition by user_id) then 'content' else state end as closed from r""")
+def morphological_close(t):
+    return drafts.close_sparse(_states(t), "user_id", "event_id", "state").select("event_id", "closed")
+
+
+@query("""with s as (select event_id, user_id, value > 40 as content from events), f as (select *, case when lag(content) over w <> content then 1 else 0 end as new from s window w as (partition by user_id order by event_id)),
+r as (select *, sum(new) over (partition by user_id order by event_id rows unbounded preceding) as run from f) select user_id, min(event_id) as lo, max(event_id) as hi, count(*) as n from r where not content or content is null group by user_id, run having count(*) >= 2""")
+def row_separators(t):
+    return drafts.separators(_states(t), "user_id", "event_id", "state", 2)
+
+
+@query(LINES + """select doc_id, col_index, line_id, rank from (select l.*, row_number() over (partition by doc_id, col_index order by line_id)::int as rank from l where doc_id in (select doc_id from labels where toxic = 1)) where rank <= 3""")
+def hit_expansion(t):
+    return drafts.expand_hits(t("labels").where("toxic = 1"), numbered(t), "doc_id").select("doc_id", "col_index", "line_id", "rank")
