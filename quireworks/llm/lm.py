@@ -2,8 +2,12 @@
 
 Word counts and unit bigrams are counted over every training text. The unit of a frequent word is the word,
 that of any other word is the group of its ending; exchange clustering moves units between classes while
-the likelihood of the class bigrams grows, so every word type has a class. A text's probability is the
-product over its tokens of P(class | class before) and P(word | class), both smoothed.
+the likelihood of the class bigrams grows. That gives the classes their first members. Then every other word
+type of the training texts gets a class of its own: a pass over the texts counts the classes before and after
+it, and it goes to the class that makes these contexts most likely; so the words that are placed grow with
+the vocabulary. Class bigrams are counted again with all words in their places. Only words that no training
+text holds go by their ending. A text's probability is the product over its tokens of
+P(class | class before) and P(word | class), both smoothed.
 
 Tokens: words of bytes other than white space (space, \\t to \\r) with A-Z lower-cased, then one end token.
 
@@ -30,10 +34,12 @@ from quireworks.llm.common import durable, id_fold, small_batches
 
 #: Frequent words whose counts every task holds; the counts of other words come by a join.
 HEAD_WORDS = 150_000
-#: Clustering units: words of their own, and groups of endings; classes.
+#: Units of the first clustering: words of their own, and groups of endings; classes (at most 128).
 WORD_UNITS, ENDING_UNITS, CLASSES = 1000, 400, 64
-#: Distinct words a task gathers before it hands them on.
-FLUSH_WORDS = 300_000
+#: Tokens whose contexts, like those of its ending's group, are added to a word's own when it is placed.
+ENDING_WEIGHT = 1.0
+#: Distinct words, and words with their contexts, a task gathers before it hands them on.
+FLUSH_WORDS, FLUSH_CONTEXTS = 300_000, 2_000_000
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -151,6 +157,98 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> n
     return of
 
 
+_CONTEXT = np.dtype([("code", np.uint8), ("n", np.uint32)])
+
+
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def count_contexts(train: DataFrame, lexicon, model) -> DataFrame:
+    """word, contexts (packed codes and counts) of words without a unit of their own: code c for class c before the word, CLASSES + c for class c after it. Pre-added in each task; classes are those of the units."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.value.of
+        number, unit, gathered, held = _Numbers(), np.zeros(0, np.int32), [], 0
+
+        def emit() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(gathered), return_counts=True)
+            owner = keys // (2 * CLASSES)
+            packed = np.empty(len(keys), _CONTEXT)
+            packed["code"], packed["n"] = keys % (2 * CLASSES), n
+            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            raw, ends = packed.tobytes(), np.r_[begin[1:], len(keys)] * _CONTEXT.itemsize
+            words = list(number)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([words[k] for k in owner[begin].tolist()], pa.binary()), pa.array([raw[s:e] for s, e in zip((begin * _CONTEXT.itemsize).tolist(), ends.tolist())], pa.binary())], ["word", "contexts"]
+            )
+
+        for batch in batches:
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            flat = list(chain.from_iterable(texts))
+            at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+            if len(number) > len(unit):
+                unit = np.concatenate([unit, lexicon.value.units(list(number)[len(unit) :])[1]])
+            ends = np.cumsum([len(t) for t in texts])
+            whole = np.concatenate([[-1], np.insert(at, ends, -1)])  # -1: the end, before the first word too
+            cls = np.where(whole >= 0, of[unit[whole]] if len(unit) else of[0], of[0])
+            own = np.flatnonzero((whole >= 0) & (unit[whole] > WORD_UNITS)) if len(unit) else np.zeros(0, np.int64)
+            if len(own):
+                gathered += [whole[own] * (2 * CLASSES) + cls[own - 1], whole[own] * (2 * CLASSES) + CLASSES + cls[own + 1]]
+                held += 2 * len(own)
+            if held > FLUSH_CONTEXTS or len(number) > FLUSH_WORDS:
+                if held:
+                    yield emit()
+                number, unit, gathered, held = _Numbers(), np.zeros(0, np.int32), [], 0
+        if held:
+            yield emit()
+
+    return train.mapInArrow(run, "word binary, contexts binary")
+
+
+def place_words(contexts: DataFrame, model, ending_contexts: np.ndarray) -> DataFrame:
+    """word, c, cls: the class of each word of contexts(word, contexts) that makes its contexts most likely."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        gain = np.concatenate([m.transition, m.transition.T])  # by code, for each class
+        prior = ENDING_WEIGHT * (ending_contexts @ gain - ending_contexts.sum(axis=1, keepdims=True) / 2 * m.denominator)
+        for batch in batches:
+            words, parts = batch.column("word").to_pylist(), batch.column("parts").to_pylist()
+            joined = [b"".join(p) for p in parts]
+            own = np.frombuffer(b"".join(joined), _CONTEXT)
+            row = np.repeat(np.arange(len(words)), np.fromiter(map(len, joined), np.int64, len(words)) // _CONTEXT.itemsize)
+            seen = np.bincount(row * (2 * CLASSES) + own["code"], own["n"], len(words) * 2 * CLASSES).reshape(len(words), 2 * CLASSES)
+            c = seen[:, :CLASSES].sum(axis=1)
+            ending = np.fromiter(map(ending_unit, words), np.int64, len(words)) - 1 - WORD_UNITS
+            cls = (seen @ gain - c[:, None] * m.denominator + prior[ending]).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.astype(np.int64)), pa.array(cls, pa.int32())], ["word", "c", "cls"])
+
+    return contexts.groupBy("word").agg(F.collect_list("contexts").alias("parts")).mapInArrow(run, "word binary, c bigint, cls int")
+
+
+def count_classes(classes: DataFrame, end: int) -> np.ndarray:
+    """Class bigrams of rows of classes(classes: a byte a token and one for the end after the text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for batch in batches:
+            # each text begins after an end: that of the text before it, or the first one here
+            whole = np.frombuffer(bytes([end]) + b"".join(batch.column("classes").to_pylist()), np.uint8).astype(np.int64)
+            total += np.bincount(whole[:-1] * CLASSES + whole[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    for r in classes.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r.pair] = r.n
+    return table.reshape(CLASSES, CLASSES)
+
+
 class ClassModel:
     """log10 P(class | class before) and the log10 denominator of P(word | class)."""
 
@@ -158,7 +256,11 @@ class ClassModel:
         self.of = exchange(bigrams.astype(np.float64), classes)
         table = np.zeros((classes, classes))
         np.add.at(table, (self.of[:, None], self.of[None, :]), bigrams)
-        tokens, types = np.bincount(self.of, unit_tokens, classes), np.bincount(self.of, unit_types, classes)
+        self.fit(table, np.bincount(self.of, unit_tokens, classes), np.bincount(self.of, unit_types, classes), prior)
+
+    def fit(self, table: np.ndarray, tokens: np.ndarray, types: np.ndarray, prior: float = 10.0) -> None:
+        """Both from class bigrams and each class's tokens and word types."""
+        classes = len(table)
         share = (tokens + 1) / (tokens.sum() + classes)
         self.transition = np.log10((table + prior * share) / (table.sum(axis=1, keepdims=True) + prior))
         self.denominator = np.log10(tokens + 0.5 * (types + 1))
@@ -167,9 +269,10 @@ class ClassModel:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
-    Three passes over the text: word counts, unit bigrams, scores. Counts of words that are not frequent
-    are joined to the texts that hold them by word; the driver holds the frequent words, the units' bigram
-    matrix and the class model, whose sizes are parameters.
+    Four passes over the text: word counts, unit bigrams, contexts of words, classes; then two over the
+    classes, a byte a token: class bigrams, scores. Counts and classes of words that are not frequent are
+    joined to the texts that hold them by word; the driver holds the frequent words, the units' bigram matrix
+    and the class model, whose sizes are parameters.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -204,12 +307,25 @@ def score(docs: DataFrame) -> DataFrame:
     per_unit[:, 0] = n_texts, n_texts > 0
     for r in counts.mapInPandas(unit_types, "unit int, tokens long, types long").groupBy("unit").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():
         per_unit[:, r.unit] = r.tokens, r.types
-    model = sc.broadcast(ClassModel(bigrams, *per_unit))
+    first = ClassModel(bigrams, *per_unit)
+    model = sc.broadcast(first)
     base_floor = math.log10(total + 0.5 * (distinct + 1))
     end_log = math.log10(n_texts + 0.5)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, m = lexicon.value, model.value
+    # every word type of the training texts in a class: those of the first clustering stay
+    member = np.eye(CLASSES)[first.of]
+    around = np.concatenate([bigrams.T @ member, bigrams @ member], axis=1)[1 + WORD_UNITS :]
+    around /= np.maximum(around[:, :CLASSES].sum(axis=1, keepdims=True), 1)
+    own_units = spark.createDataFrame(
+        [(bytearray(w.as_py()), c.as_py(), int(first.of[1 + k])) for k, (w, c) in enumerate(zip(head["word"][:WORD_UNITS], head["c"][:WORD_UNITS]))], "word binary, c bigint, cls int"
+    )
+    words = durable(place_words(count_contexts(train, lexicon, model), model, around).unionByName(own_units), "word-classes")
+    placed = words.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).select("cls").toArrow()  # the order of the frequent words above
+    head_class = sc.broadcast(placed["cls"].to_numpy().astype(np.uint8))
+    end_class = int(first.of[0])
+
+    def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, of, classes_of = lexicon.value, model.value.of, head_class.value
         for batch in batches:
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             flat = list(chain.from_iterable(texts))
@@ -220,38 +336,75 @@ def score(docs: DataFrame) -> DataFrame:
             known = np.bincount(doc[at >= 0], minlength=len(texts)) + (n_texts > 0)
             log_sum = np.bincount(doc, logs, len(texts)) + end_log
             ends = np.cumsum(lengths)
-            cls = m.of[np.insert(unit, ends, 0)]  # an end after each text
-            before = np.concatenate([[m.of[0]], cls[:-1]])
-            owner = np.insert(doc, ends, np.arange(len(texts)))
-            rest = np.bincount(owner, m.transition[before, cls] - m.denominator[cls], len(texts))
+            cls = np.where(at >= 0, classes_of[at] if len(classes_of) else 0, of[unit]).astype(np.uint8)
+            raw = np.insert(cls, ends, end_class).tobytes()  # an end after each text
+            stop = (ends + np.arange(1, len(texts) + 1)).tolist()
             rows = batch.column("row")
             none = lambda n, t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column("doc_id"), batch.column("held_out"), none(len(texts), pa.binary()), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(log_sum), pa.array(rest)],
+                [rows, batch.column("doc_id"), batch.column("held_out"), none(len(texts), pa.binary()), none(len(texts), pa.binary()), none(len(texts), pa.int32()), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(log_sum), pa.array([raw[s:e] for s, e in zip([0, *stop], stop)], pa.binary())],
                 names,
             )
             rare = np.flatnonzero(at < 0)
             if len(rare):
-                number = rows.to_numpy(zero_copy_only=False)
-                pairs = Counter(zip(number[doc[rare]].tolist(), [flat[k] for k in rare.tolist()]))
+                number, place = rows.to_numpy(zero_copy_only=False), np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+                pairs: dict[tuple[int, bytes], list[int]] = {}
+                for r, k, p in zip(number[doc[rare]].tolist(), rare.tolist(), place[rare].tolist()):
+                    pairs.setdefault((r, flat[k]), []).append(p)
                 n = len(pairs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pairs], pa.int64()), none(n, batch.column("doc_id").type), none(n, pa.bool_()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64())],
+                    [pa.array([p[0] for p in pairs], pa.int64()), none(n, batch.column("doc_id").type), none(n, pa.bool_()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([np.array(p, np.uint32).tobytes() for p in pairs.values()], pa.binary()), pa.array([int(of[ending_unit(p[1])]) for p in pairs], pa.int32()), pa.array(list(map(len, pairs.values())), pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.binary())],
                     names,
                 )
 
-    names = ["row", "doc_id", "held_out", "word", "n", "known", "log_sum", "rest"]
-    scored = durable(
-        source.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, word binary, n bigint, known bigint, log_sum double, rest double"),
+    names = ["row", "doc_id", "held_out", "word", "places", "by_ending", "n", "known", "log_sum", "classes"]
+    tagged = durable(
+        source.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(tag, f"row bigint, doc_id {kind}, held_out boolean, word binary, places binary, by_ending int, n bigint, known bigint, log_sum double, classes binary"),
         "lm-partial",
     )
-    rare_counts = counts.where(F.col("c") <= floor) if floor else counts
+    rare_words = words.where(F.col("c") <= floor) if floor else words
     rare = (
-        scored.where("word is not null").select("row", "word", "n").join(rare_counts, "word", "left").groupBy("row")
-        .agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"))
+        tagged.where("word is not null").select("row", "word", "places", "by_ending", "n").join(rare_words, "word", "left").groupBy("row")
+        .agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
+             F.collect_list(F.when(F.col("cls") != F.col("by_ending"), F.struct("places", "cls"))).alias("moved"))
     )
-    logs = F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0))
-    return scored.where("word is null").drop("word").join(rare, "row", "left").select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n") * base_floor).alias("base_score"), (logs + F.col("rest")).alias("score"),
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw, moved in zip(batch.column("classes").to_pylist(), batch.column("moved").to_pylist()):
+                if moved:
+                    cls = np.frombuffer(raw, np.uint8).copy()
+                    at = [np.frombuffer(x["places"], np.uint32) for x in moved]
+                    cls[np.concatenate(at)] = np.repeat(np.array([x["cls"] for x in moved], np.uint8), list(map(len, at)))
+                    raw = cls.tobytes()
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "classes"])
+
+    kept = ["doc_id", "held_out", "n", "known", "logs"]
+    whole = tagged.where("word is null").select("row", "doc_id", "held_out", "n", "known", "log_sum", "classes").join(rare, "row", "left").select(
+        "doc_id", "held_out", "n", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("known"), (F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0))).alias("logs"), "classes", "moved"
+    )
+    classed = durable(whole.mapInArrow(put, f"doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, classes binary"), "lm-classes")
+
+    members = np.zeros((2, CLASSES))
+    members[:, end_class] = n_texts, n_texts > 0
+    for r in words.groupBy("cls").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
+        members[:, r.cls] += r.tokens, r.types
+    last = ClassModel.__new__(ClassModel)
+    last.fit(count_classes(classed.where(~F.col("held_out")).select("classes"), end_class), *members)
+    final = sc.broadcast(last)
+
+    def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = final.value
+        for batch in batches:
+            texts = batch.column("classes").to_pylist()
+            cls = np.frombuffer(b"".join(texts), np.uint8)
+            before = np.concatenate([[end_class], cls[:-1]]).astype(np.int64)
+            owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.bincount(owner, m.transition[before, cls] - m.denominator[cls], len(texts)))], [*kept, "rest"])
+
+    return classed.mapInArrow(rest, f"doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, rest double").select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n") * base_floor).alias("base_score"), (F.col("logs") + F.col("rest")).alias("score"),
     )

@@ -239,6 +239,24 @@ def test_language_model_base_score(docs, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def test_language_model_places_rare_words_by_their_contexts(spark):
+    r = random.Random(8)
+    a, b = [f"{k}left" for k in range(600)], [f"{k}right" for k in range(600)]
+    few_a, few_b = [f"p{k}same" for k in range(150)], [f"q{k}same" for k in range(150)]  # one ending for both sides
+    rows = []
+    for k in range(300):
+        text = [w for _ in range(100) for w in (r.choice(a), r.choice(b))]
+        for w, v in ((few_a[k % 150], 0), (few_b[k % 150], 1)):
+            text[2 * r.randrange(50) + v] = w
+        rows.append((k if zlib.crc32(str(k).encode()) % 5 != 1 else 1000 + next(x for x in range(k * 50, k * 50 + 50) if zlib.crc32(str(1000 + x).encode()) % 5 != 1), " ".join(text)))
+    held = [x for x in range(100_000, 100_100) if zlib.crc32(str(x).encode()) % 5 == 1][:2]
+    right, wrong = [w for k in range(100) for w in (few_a[k], few_b[k])], [*few_a[:100], *few_b[:100]]
+    rows += [(held[0], " ".join(right)), (held[1], " ".join(wrong))]
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("doc_id").isin(held)).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 50
+
+
 def test_class_model_is_a_distribution_and_exchange_separates():
     big = np.zeros((1 + lm.WORD_UNITS + lm.ENDING_UNITS,) * 2)
     big[1:4, 4:7] = 10
