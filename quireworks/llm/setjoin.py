@@ -42,6 +42,8 @@ WORDS, GROUP_SETS, FREQUENT, FREQUENT_MOST = 5, 32, 48, 1_000_000
 FLUSH_TOKENS, BUCKETS = 1_000_000, 1024
 #: Sets of one token that a task sends for counting; more are shared beyond doubt.
 LOCAL_MOST = 16
+#: Sets that a task remembers, so as not to send their copies; copies of others are sent again.
+REMEMBERED = 300_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -145,7 +147,7 @@ def frequent_tokens(described: DataFrame, most: int = FREQUENT_MOST) -> np.ndarr
     return np.sort(out, order="token")
 
 
-def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def shared_signatures(docs: DataFrame, frequent: np.ndarray, remembered: int = REMEMBERED) -> DataFrame:
     """(token, key) for signature tokens that two sets or more have. Tokens are folded to 32 bits: a clash adds a candidate, no link.
 
     Tasks deal blocks of (token, key) into buckets by token; what a task itself saw in many sets is known to
@@ -161,8 +163,10 @@ def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         def blocks() -> pa.RecordBatch:
             nonlocal turn
             t, k = np.concatenate(tokens), np.concatenate(keys)
-            order = np.argsort(t, kind="stable")
+            order = np.lexsort((k, t))
             t, k = t[order], k[order]
+            new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]  # a copy says nothing: the two rows that are sent for counting must be two sets
+            t, k = t[new], k[new]
             begin = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             length = np.diff(np.r_[begin, len(t)])
             rank = np.arange(len(t)) - np.repeat(begin, length)
@@ -180,7 +184,7 @@ def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 s = shingle_set(text)
                 if not len(s) or (key := set_key(s)) in done:
                     continue
-                if len(done) < 300_000:
+                if len(done) < remembered:
                     done.add(key)
                 t = np.unique((signature(s, shared.value) >> np.uint64(32)).astype(np.uint32))
                 tokens.append(t)

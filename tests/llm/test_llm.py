@@ -164,6 +164,23 @@ def test_set_join_equals_brute_force(spark, nothing):
     assert setjoin.near_duplicates(nothing).count() == 0
 
 
+def test_shared_signatures_keep_sets_whose_copies_come_first(spark):
+    r = random.Random(3)
+    base = [f"w{k}x{r.randrange(10**6)}" for k in range(100)]
+    family = [" ".join([*base[:90], *(f"e{k}y{j}" for j in range(10))]) for k in range(24)]
+    rows = [family[0], family[0], *family[1:]]  # more than LOCAL_MOST sets with shared tokens, copies of the first at the front
+    none = np.zeros(0, dtype=[("token", np.uint64), ("rank", np.int64)])
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
+    found = lambda n: {(x.token, x.key) for x in setjoin.shared_signatures(docs, none, remembered=n).collect()}
+    signed = {}
+    for t in family:
+        s = setjoin.shingle_set(t.encode())
+        for token in {int(x) >> 32 for x in setjoin.signature(s, none)}:
+            signed.setdefault(token, set()).add(setjoin.set_key(s))
+    want = {(token, key) for token, keys in signed.items() if len(keys) > 1 for key in keys}
+    assert want and found(0) == want and found(300_000) == want
+
+
 def test_needed_is_never_above_what_links_share():
     r = np.random.default_rng(3)
     none = np.zeros(0, dtype=[("token", np.uint64), ("rank", np.int64)])
