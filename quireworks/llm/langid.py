@@ -48,8 +48,8 @@ _OTHER = len(_NAMES)
 
 
 def _letters_table() -> np.ndarray:
-    """Which code points of the basic plane are letters."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 _LETTER = _letters_table()
@@ -62,7 +62,7 @@ class WordGrams:
         code = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
         owner = np.repeat(np.arange(len(words)), lengths)
-        is_letter = (code >= 0x10000) | _LETTER[np.minimum(code, 0xFFFF)]
+        is_letter = _LETTER[code]
         self.letters = np.bincount(owner[is_letter], minlength=len(words))
         at = np.searchsorted(_STARTS, code, side="right") - 1
         script = np.where((at >= 0) & (code <= _ENDS[at]), _KIND[at], _OTHER)

@@ -240,6 +240,15 @@ def test_language_labels_and_spans(spark, nothing):
     assert langid.identify(nothing).count() == 0 and {r.lang_pred for r in langid.predict(d, langid.fit(d.limit(0))).collect()} == {"und"}
 
 
+def test_emoji_are_no_letters(spark):
+    rows = ["les élans de la maison est que vous", "der hund und die katze zu straße haus"] * 20
+    d = spark.createDataFrame([(k, t, ("fr", "de")[k % 2]) for k, t in enumerate(rows)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(0, "😀 🎉"), (1, "12 😀😀"), (2, "🀄!")], "doc_id long, text string")
+    got = langid.predict(odd, langid.fit(d)).collect()
+    assert [g.lang_pred for g in got] == ["und"] * 3
+    assert langid.WordGrams(["a😀", "𝐚𠀀", "😀"]).letters.tolist() == [1, 2, 0]
+
+
 def test_language_model_base_score(docs, nothing):
     rows = [(t or "").encode().lower().split() for t in texts()]
     train, ends = Counter(), 0
