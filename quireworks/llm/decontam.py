@@ -3,7 +3,9 @@
 Texts and items are word sequences. A CGK embedding walks a sequence, at each step writing the current word
 and moving on or not by a random bit of (step, word); few edits leave few differing positions, so edit
 distance becomes Hamming distance. Signatures sample positions of several embeddings; windows of an item's
-size whose signature equals the item's in any repetition are verified by exact edit distance.
+size whose signature equals the item's in any repetition are verified by exact edit distance. How many
+positions a signature has, and how many signatures there are, follows from the item's size and RECALL: long
+items at their edit bound differ in more positions, so they get shorter or more signatures.
 
 Only windows that a link permits are embedded: an item within its edit bound of a window shares an unbroken
 run of words with it (k edits leave a run of ceil((n - k) / (k + 1)) of n words), so windows start where such
@@ -17,6 +19,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +32,10 @@ from quireworks.llm.common import small_batches
 
 #: Least similarity: word edits may be 1 - SIMILARITY of the item's words.
 SIMILARITY = 0.8
-#: Words of a run, embeddings, signatures of each embedding, and positions of a signature.
+#: Words of a run, embeddings, and signatures of each embedding and positions of a signature for short items.
 RUN, EMBEDDINGS, SAMPLES, BITS = 3, 4, 10, 4
+#: Least chance that a window at the edit bound agrees with its item in a signature; pairs drawn to learn it, and sizes (a quarter apart) it is learned for, at most.
+RECALL, DRAWN, LONGEST = 0.99, 48, 2000
 #: UTF-8 bytes of items that tasks hold at once; more items are matched in blocks.
 BLOCK_BYTES = 8 << 20
 #: Windows that are embedded at once.
@@ -103,6 +108,32 @@ def signatures(windows: np.ndarray, sizes: np.ndarray, embeddings: int = EMBEDDI
     return np.concatenate(out, axis=1)
 
 
+@lru_cache(maxsize=None)
+def differing(size: int) -> np.ndarray:
+    """Shares of positions (pairs x embeddings) in which embeddings of random items of a size and of windows at the edit bound differ."""
+    r = np.random.default_rng(size)
+    items = r.integers(1, 2**63, (DRAWN, size)).astype(np.uint64)
+    edited = []
+    for row in items.tolist():
+        for kind in r.integers(0, 3, edit_bound(size)).tolist():
+            at = int(r.integers(len(row)))
+            row[at : at + (kind != 1)] = [] if kind == 2 else [int(r.integers(1, 2**63))]
+        edited.append([*row, *r.integers(1, 2**63, size).tolist()][:size])
+    sizes = np.full(DRAWN, size)
+    return np.stack([(embed(items, sizes, seed) != embed(np.array(edited, np.uint64), sizes, seed)).mean(axis=1) for seed in range(EMBEDDINGS)], axis=1)
+
+
+def repetitions(size: int) -> tuple[int, int]:
+    """(signatures of each embedding, positions of a signature) for items of a size: the first choice that reaches RECALL."""
+    step = min(LONGEST, int(1.25 ** np.ceil(np.log(max(size, 1)) / np.log(1.25) - 1e-9)) + 1)
+    apart = differing(step)
+    for samples, bits in [*((SAMPLES, b) for b in range(BITS, 1, -1)), (2 * SAMPLES, 2), *((SAMPLES << k, 1) for k in range(1, 7))]:
+        missed = ((1 - (1 - apart) ** bits) ** samples).prod(axis=1).mean()
+        if missed <= 1 - RECALL:
+            break
+    return samples, bits
+
+
 def side_by_side(hashes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Windows as rows, filled up with 0."""
     out = np.zeros((len(hashes), int(sizes.max(initial=0))), np.uint64)
@@ -148,9 +179,19 @@ class ItemIndex:
         self.sizes = np.array([len(h) for _, h in self.items], np.int64)
         self.distinct = [set(h.tolist()) for _, h in self.items]
         if self.items:
-            flat = signatures(side_by_side([h for _, h in self.items], self.sizes), self.sizes).ravel()
-            order = np.argsort(flat, kind="stable")
-            self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.items)), EMBEDDINGS * SAMPLES)[order]
+            self.plan = {n: repetitions(n) for n in set(self.sizes.tolist())}
+            self.signed = {}
+            for (samples, bits), own in self.by_plan(self.sizes):
+                flat = signatures(side_by_side([self.items[k][1] for k in own.tolist()], self.sizes[own]), self.sizes[own], EMBEDDINGS, samples, bits).ravel()
+                order = np.argsort(flat, kind="stable")
+                self.signed[samples, bits] = flat[order], np.repeat(own, EMBEDDINGS * samples)[order]
+
+    def by_plan(self, sizes: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        """Each number of signatures and positions in use, with the places of the sizes that have it."""
+        kinds, which = np.unique(sizes, return_inverse=True)
+        plans = [self.plan[n] for n in kinds.tolist()]
+        for plan in sorted(set(plans)):
+            yield plan, np.flatnonzero(np.array([p == plan for p in plans])[which])
 
     def windows(self, h: np.ndarray) -> np.ndarray:
         """Distinct (size, start) of windows that some item's run points to."""
@@ -170,12 +211,16 @@ class ItemIndex:
 
     def candidates(self, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that agree in a signature."""
-        sig = signatures(windows, sizes)
-        low = np.searchsorted(self.flat, sig.ravel())
-        hit = np.flatnonzero((low < len(self.flat)) & (self.flat[np.minimum(low, len(self.flat) - 1)] == sig.ravel()))
-        count = np.searchsorted(self.flat, sig.ravel()[hit], side="right") - low[hit]
-        entry = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        pairs = np.unique(np.stack([np.repeat(hit // sig.shape[1], count), self.owner[entry]], axis=1), axis=0)
+        found = []
+        for (samples, bits), own in self.by_plan(sizes):
+            flat, owner = self.signed[samples, bits]
+            sig = signatures(windows[own, : sizes[own].max()], sizes[own], EMBEDDINGS, samples, bits).ravel()
+            low = np.searchsorted(flat, sig)
+            hit = np.flatnonzero((low < len(flat)) & (flat[np.minimum(low, len(flat) - 1)] == sig))
+            count = np.searchsorted(flat, sig[hit], side="right") - low[hit]
+            entry = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            found.append(np.stack([np.repeat(own[hit // (EMBEDDINGS * samples)], count), owner[entry]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
     def match(self, texts: list[str | None]) -> list[tuple[int, object, int, int, int]]:

@@ -211,6 +211,21 @@ def test_decontamination_finds_edited_passages(spark, nothing):
     assert decontam.contamination(nothing, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 160])
+def test_decontamination_recall_of_long_items_at_the_edit_bound(size):
+    r = random.Random(size)
+    items = [[f"w{r.randrange(5000)}" for _ in range(size)] for _ in range(100)]
+    rows = []
+    for item in items:
+        w = list(item)
+        for k in range(decontam.edit_bound(size)):
+            at, kind = r.randrange(len(w)), r.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 2 else [f"new{k}"]
+        rows.append(" ".join([*(f"a{r.randrange(10**6)}" for _ in range(40)), *w, *(f"b{r.randrange(10**6)}" for _ in range(40))]))
+    found = {(m[0], m[1]) for m in decontam.ItemIndex([(k, " ".join(w)) for k, w in enumerate(items)]).match(rows)}
+    assert sum((k, k) in found for k in range(len(items))) >= 98
+
+
 def test_viterbi_equals_plain_dynamic_programming():
     r = np.random.default_rng(0)
     for _ in range(60):
