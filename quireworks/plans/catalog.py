@@ -99,6 +99,12 @@ def ngram_df(t):
     return corpus.gram_frequency(t("conversations"), "conv_id", "text", least_ratio=0.2)
 
 
+@query(None)
+def ngram_df_documents(t):
+    """As ngram_df, over the whole of the documents."""
+    return corpus.gram_frequency(t("documents"), "doc_id", "text", least_ratio=0.2)
+
+
 SHAPE = """case when regexp_matches(trim(line), '光緒|光绪|宣統|宣统|康熙|乾隆|嘉慶|嘉庆|道光|咸豐|咸丰|同治|順治|顺治|雍正|民國|民国|明治|大正|昭和') and regexp_matches(line, '[年月日]') then 'dateish'
 when regexp_matches(line, '[0-9零一二三四五六七八九十百千两兩]') and regexp_matches(line, '[元圓圆两兩万萬千股]') then 'money'
 when length(trim(line)) <= 6 then 'short' when length(trim(line)) >= 12 then 'body' else 'other' end"""

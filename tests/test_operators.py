@@ -73,3 +73,17 @@ def test_islands(spark, rows, want):
     df = spark.createDataFrame(rows, "k int, v double")
     got = groups.islands(df, ["k"], "v", 0.5).orderBy("island").collect()
     assert [(r.n, pytest.approx(r["mean"])) for r in got] == want
+
+
+def test_gram_frequency_of_documents_equals_brute_force(spark, tmp_path):
+    from quireworks.plans.catalog import QUERIES
+
+    rows = [(0, "abcabcabd"), (1, "xabcd \n光緒元年"), (2, None), (3, "ab"), (4, "光緒元年 abc" * 40), (5, "zabcz"), (5, "光緒元年"), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for k, t in rows:
+        for n in range(3, 7):
+            for at in range(len(t or "") - n + 1):
+                seen.setdefault(t[at : at + n], set()).add(k)
+    want = {g: len(k) for g, k in seen.items() if len(k) >= 0.2 * 7}
+    assert {r.gram: r.pages_hit for r in QUERIES["ngram_df_documents"](spark, str(tmp_path)).collect()} == want
