@@ -40,7 +40,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ Why no link is lost. A link (100 * intersection >= 80 * union) leaves at most n
 unshared. The first P = n // 5 + ceil(n / 16) tokens of each set in one global order are its signature. Of two
 sets, take the one whose signature ends first in that order: its signature tokens that the other set has are
 in the other's signature too. So if s signature tokens are shared, the intersection is at most s plus the
-larger n - P, and a link needs so many shared ones (`needed`); a group of sets needs no more than its sizes
-allow. The order puts tokens found in many sets last, so a passage that many documents share stays out of
+larger n - P, and a link needs so many shared ones. n - P moves in steps, so `needed` takes the least over a
+range of sizes term by term, each from a bound without steps; a group of sets needs no more than its range of
+sizes allows. Tokens keep all 64 bits, as the sets do. The order puts tokens found in many sets last, so a passage that many documents share stays out of
 signatures.
 
 Why no group is squared. Copies are one set. A set that shares too few signature tokens with all sets of any
@@ -19,8 +20,9 @@ component, and a component's sets are never matched with each other. Of two comp
 one's sets open groups of the larger one.
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing; texts under five
-words have one shingle, the whole sequence; rows that repeat an id keep one component each; ties of the
-leader go to the smallest key; an empty table gives an empty result; other columns are ignored.
+words have one shingle, the whole sequence; rows that repeat an id keep one component each; a row without an
+id stands for no set and takes the component of rows with its set, or none; ties of the leader go to the
+smallest key; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quireworks.llm.common import durable, may_hold, small_batches
+from quireworks.llm.common import attach, durable, gives_back, may_hold, small_batches
 
 #: Words of a shingle; members of a group; sets that make a token frequent; most frequent tokens handed to tasks.
 WORDS, GROUP_SETS, FREQUENT, FREQUENT_MOST = 5, 32, 48, 1_000_000
-#: Tokens, and signature tokens, that a task gathers before it hands them on; buckets signatures are dealt into.
-FLUSH_TOKENS, BUCKETS = 1_000_000, 1024
+#: Tokens, and signature tokens, that a task gathers before it hands them on; signature tokens of a bucket, about, and buckets at least and at most.
+FLUSH_TOKENS, BUCKET_TOKENS, BUCKETS_LEAST, BUCKETS_MOST = 1_000_000, 1 << 20, 1024, 1 << 20
 #: Sets of one token that a task sends for counting; more are shared beyond doubt.
 LOCAL_MOST = 16
 #: Sets that a task remembers, so as not to send their copies; copies of others are sent again.
@@ -91,7 +93,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, key, n, first, second: the two least tokens by two orders), and rows (token, seen) for tokens that a task saw in two sets or more."""
+    """A row for each row of docs(doc_id, text, text_hash) (with key, n, first, second: the two least tokens by two orders), and rows (token, seen) for tokens that a task saw in two sets or more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def describe(docs: DataFrame) -> DataFrame:
             token, seen = np.unique(np.concatenate([*kept.values(), np.zeros(0, np.uint64)]), return_counts=True)
             token, seen = token[seen > 1].view(np.int64), seen[seen > 1]
             none = lambda t: pa.nulls(len(token), t)
-            return pa.RecordBatch.from_arrays([none(id_type), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(token), pa.array(seen.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none(id_type), *(none(pa.int64()) for _ in range(5)), pa.array(token), pa.array(seen.astype(np.int64))], names)
 
         for batch in batches:
             id_type = batch.column("doc_id").type
@@ -117,15 +119,15 @@ def describe(docs: DataFrame) -> DataFrame:
                     kept[keys[-1]] = t
                     held += len(t)
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (keys, sizes, first, second)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in (keys, sizes, first, second)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             if held > FLUSH_TOKENS:
                 yield frequent(id_type)
                 kept, held = {}, 0
         if kept:
             yield frequent(id_type)
 
-    names = ["doc_id", "key", "n", "first", "second", "token", "seen"]
-    return docs.mapInArrow(run, f"doc_id {kind}, key bigint, n bigint, first bigint, second bigint, token bigint, seen bigint")
+    names = ["doc_id", "text_hash", "key", "n", "first", "second", "token", "seen"]
+    return docs.mapInArrow(gives_back(run), f"doc_id {kind}, text_hash bigint, key bigint, n bigint, first bigint, second bigint, token bigint, seen bigint")
 
 
 def frequent_tokens(described: DataFrame, most: int = FREQUENT_MOST) -> np.ndarray:
@@ -147,13 +149,15 @@ def frequent_tokens(described: DataFrame, most: int = FREQUENT_MOST) -> np.ndarr
     return np.sort(out, order="token")
 
 
-def shared_signatures(docs: DataFrame, frequent: np.ndarray, remembered: int = REMEMBERED) -> DataFrame:
-    """(token, key) for signature tokens that two sets or more have. Tokens are folded to 32 bits: a clash adds a candidate, no link.
+def shared_signatures(docs: DataFrame, frequent: np.ndarray, size: int = 0, remembered: int = REMEMBERED) -> DataFrame:
+    """(token, key) for signature tokens that two sets or more have; size: signature tokens of all sets, about.
 
-    Tasks deal blocks of (token, key) into buckets by token; what a task itself saw in many sets is known to
-    be shared and goes to any bucket.
+    Tasks deal blocks of (token, key) into buckets by the leading bits of the token, which is spread by an odd
+    factor first; what a task itself saw in many sets is known to be shared and goes to any bucket. A bucket
+    is counted when all of its blocks have come, so a task holds one bucket.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    bits = max(BUCKETS_LEAST, min(BUCKETS_MOST, -(-size // BUCKET_TOKENS))).bit_length() - 1
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -172,11 +176,12 @@ def shared_signatures(docs: DataFrame, frequent: np.ndarray, remembered: int = R
             rank = np.arange(len(t)) - np.repeat(begin, length)
             known = (np.repeat(length, length) > LOCAL_MOST) & (rank >= 2)
             rows = []
-            bucket = (t >> np.uint32(22)).astype(np.int64)  # the leading bits, so blocks are slices
-            for b, s, e in zip(*_runs(bucket[~known])):
-                rows.append((b, False, t[~known][s:e].tobytes(), k[~known][s:e].tobytes()))
-            for at in range(0, int(known.sum()), 4096):
-                rows.append(((turn := turn + 7919) % BUCKETS, True, t[known][at : at + 4096].tobytes(), k[known][at : at + 4096].tobytes()))
+            some_t, some_k = t[~known], k[~known]
+            for b, s, e in zip(*_runs((some_t >> np.uint64(64 - bits)).astype(np.int64))):
+                rows.append((b, False, some_t[s:e].tobytes(), some_k[s:e].tobytes()))
+            known_t, known_k = t[known], k[known]
+            for at in range(0, len(known_t), 4096):
+                rows.append(((turn := turn + 7919) % (1 << bits), True, known_t[at : at + 4096].tobytes(), known_k[at : at + 4096].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "known", "tokens", "keys"])
 
         for batch in batches:
@@ -186,37 +191,49 @@ def shared_signatures(docs: DataFrame, frequent: np.ndarray, remembered: int = R
                     continue
                 if len(done) < remembered:
                     done.add(key)
-                t = np.unique((signature(s, shared.value) >> np.uint64(32)).astype(np.uint32))
+                t = signature(s, shared.value) * _M1
                 tokens.append(t)
                 keys.append(np.full(len(t), key, dtype=np.int64))
                 held += len(t)
-            if held > FLUSH_TOKENS:
-                yield blocks()
-                tokens, keys, held = [], [], 0
+                if held > FLUSH_TOKENS:
+                    yield blocks()
+                    tokens, keys, held = [], [], 0
         if held:
             yield blocks()
 
-    def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, keys = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for frame in frames:
-            for known, t, k in zip(frame["known"], frame["tokens"], frame["keys"]):
-                t, k = np.frombuffer(t, np.uint32), np.frombuffer(k, np.int64)
+    def pairs(t: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(k)], ["token", "key"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, keys = None, [], []
+
+        def several() -> pa.RecordBatch:
+            t, k = np.concatenate(tokens), np.concatenate(keys)
+            order = np.lexsort((k, t))
+            t, k = t[order], k[order]
+            new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]
+            t, k = t[new], k[new]
+            same = t[1:] == t[:-1]
+            met = np.r_[same, False] | np.r_[False, same]
+            return pairs(t[met], k[met])
+
+        for batch in batches:
+            for bucket, known, t, k in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "tokens", "keys"))):
+                t, k = np.frombuffer(t, np.uint64), np.frombuffer(k, np.int64)
                 if known:
-                    yield pd.DataFrame({"token": t.astype(np.int64), "key": k})
-                else:
-                    tokens.append(t)
-                    keys.append(k)
-        t, k = np.concatenate(tokens), np.concatenate(keys)
-        order = np.lexsort((k, t))
-        t, k = t[order], k[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])][: len(t)]
-        t, k = t[new], k[new]
-        same = t[1:] == t[:-1]
-        several = np.r_[same, False][: len(t)] | np.r_[False, same][: len(t)]
-        yield pd.DataFrame({"token": t[several].astype(np.int64), "key": k[several]})
-
-    dealt = docs.mapInArrow(deal, "bucket int, known boolean, tokens binary, keys binary")
-    return dealt.repartition("bucket").mapInPandas(count, "token long, key long")
+                    yield pairs(t, k)
+                    continue
+                if bucket != now and tokens:
+                    yield several()
+                    tokens, keys = [], []
+                now = bucket
+                tokens.append(t)
+                keys.append(k)
+        if tokens:
+            yield several()
+
+    dealt = docs.select("text").mapInArrow(gives_back(deal), "bucket int, known boolean, tokens binary, keys binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gives_back(count), "token long, key long")
 
 
 def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -229,14 +246,16 @@ def signature_size(n: Column) -> Column:
 
 
 def needed(n: Column, least: Column, most: Column) -> Column:
-    """Shared signature tokens that a link of a set of n tokens to one of least to most tokens needs; null if sizes rule a link out. One less than the bound, for tokens of a set that clash when folded."""
-    lo, hi = F.greatest(least, F.ceil(n * 4 / 5)), F.least(most, F.floor(n * 5 / 4))
-
-    def bound(m: Column) -> Column:
-        return F.ceil((n + m) * 4 / 9) - F.greatest(n - signature_size(n), m - signature_size(m)) - 1
+    """Shared signature tokens that a link of a set of n tokens to one of least to most tokens needs, or fewer; null if sizes rule a link out.
 
-    # between the ends the bound rises up to m = n and falls after it, so the least is at an end
-    return F.when(lo <= hi, F.greatest(F.lit(1), F.least(bound(lo), bound(hi))))
+    To a set of m tokens it is ceil(4 (n + m) / 9) - max(n - P(n), m - P(m)), and one at least. Over a range, the
+    term with n - P(n) is least at the smallest m. m - P(m) is at most 0.7375 m + 0.8, as P(m) is at least
+    m / 5 - 0.8 + m / 16; the term with that falls as m grows, so it is least at the largest m.
+    """
+    lo, hi = F.greatest(least, F.ceil(n * 4 / 5)), F.least(most, F.floor(n * 5 / 4))
+    rising = F.ceil((n + lo) * 4 / 9) - (n - signature_size(n))
+    falling = F.ceil((n + hi) * 4 / 9 - hi * 0.7375 - 0.8 - 1e-6)
+    return F.when(lo <= hi, F.greatest(F.lit(1), F.least(rising, falling)))
 
 
 def size_class(n: Column) -> Column:
@@ -273,7 +292,7 @@ def token_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     reps = sets.select("key", F.col("rep").alias("doc_id"))
     held = docs.where(may_hold(reps, "doc_id", "doc_id")).join(reps, "doc_id").select("key", "text")
-    return held.mapInArrow(run, "key bigint, tokens binary").dropDuplicates(["key"])
+    return held.mapInArrow(gives_back(run), "key bigint, tokens binary").dropDuplicates(["key"])
 
 
 def check_pairs(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -317,11 +336,12 @@ def open_groups(postings: DataFrame, homes: DataFrame, tokens: DataFrame) -> Dat
     return check_pairs(pairs, tokens)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(key, comp) for every key of links(a, b): comp is the least key reachable. Large-star and small-star steps until nothing changes; each round ends in the shared folder."""
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
+    state, before = (lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()), None
+    while (now := state(edges)) != before:
+        before = now
         # large star: neighbours above u go to the least of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -330,25 +350,30 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     found = edges.select(F.col("u").alias("key"), F.col("v").alias("comp"))
     return found.unionByName(found.select(F.col("comp").alias("key"), "comp").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text); component_id is the smallest doc_id reachable by links."""
+    """doc_id, n_shingles, component_id, text_hash, set_group of every row of docs(doc_id, text).
+
+    component_id is the smallest doc_id reachable by links; text_hash is xxhash64 of the text; rows are in one
+    component if their set_group is equal (null for those with an empty set).
+    """
     small_batches(docs.sparkSession)
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    source = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     described = durable(describe(source), "described")
-    rows = described.where("n is not null").select("doc_id", "key", "n", "first", "second")
-    sets = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
-
-    postings = prune(shared_signatures(source, frequent_tokens(described)), sets)
+    rows = described.where("n is not null").select("doc_id", "text_hash", "key", "n")
+    with_set = described.where("key is not null and doc_id is not null")
+    sets = durable(
+        with_set.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"), F.count("*").alias("copies")), "sets"
+    )
+    n_rows, size = sets.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(signature_size(F.col("n"))), F.lit(0))).first()
+
+    postings = prune(shared_signatures(source, frequent_tokens(described), size), sets)
     held = postings.groupBy("key").agg(F.count("*").alias("shared"))
-    live = durable(sets.join(held, "key").withColumn("alone", F.round(1 - F.col("shared") / signature_size(F.col("n")), 3)).drop("shared"), "live-sets")
+    live = durable(sets.drop("copies").join(held, "key").withColumn("alone", F.round(1 - F.col("shared") / signature_size(F.col("n")), 3)).drop("shared"), "live-sets")
     tokens = durable(token_sets(source, live), "token-sets")
 
     one = stars(live, "first", tokens)
@@ -357,9 +382,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     homes = homes.join(two.select(F.col("b").alias("comp"), F.col("a").alias("top")), "comp", "left").select("key", "n", F.coalesce("top", "comp").alias("comp"))
     links = one.unionByName(two).unionByName(open_groups(postings, homes, tokens))
 
-    of_key = components(links)
-    homed = sets.select("key", "rep").join(of_key, "key")
-    names = homed.groupBy("comp").agg(F.min("rep").alias("component"))
-    linked_keys = homed.join(names, "comp").select("key", "component")
-    named = sets.select("key", "rep").join(linked_keys, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    homed = durable(sets.join(components(links), "key", "left").select("key", "rep", "copies", F.coalesce("comp", "key").alias("comp")), "homed")
+    names = homed.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("copies"))
+    placed = attach(homed, names.where("copies > 1"), "comp", "component", homed.count(), "key")
+    named = placed.select("key", F.struct(F.coalesce("component", "rep").alias("component"), F.col("comp").alias("set_group")).alias("home"), "copies")
+    return attach(rows, durable(named, "named-sets"), "key", "home", n_rows, "doc_id").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("home.component", "doc_id").alias("component_id"), "text_hash", "home.set_group"
+    )

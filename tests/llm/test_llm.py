@@ -171,27 +171,64 @@ def test_shared_signatures_keep_sets_whose_copies_come_first(spark):
     rows = [family[0], family[0], *family[1:]]  # more than LOCAL_MOST sets with shared tokens, copies of the first at the front
     none = np.zeros(0, dtype=[("token", np.uint64), ("rank", np.int64)])
     docs = spark.createDataFrame([(t,) for t in rows], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
-    found = lambda n: {(x.token, x.key) for x in setjoin.shared_signatures(docs, none, remembered=n).collect()}
+    found = lambda n: {(x.token, x.key) for x in setjoin.shared_signatures(docs, none, 10_000_000_000, n).collect()}
     signed = {}
     for t in family:
         s = setjoin.shingle_set(t.encode())
-        for token in {int(x) >> 32 for x in setjoin.signature(s, none)}:
+        for token in (setjoin.signature(s, none) * setjoin._M1).view(np.int64).tolist():
             signed.setdefault(token, set()).add(setjoin.set_key(s))
     want = {(token, key) for token, keys in signed.items() if len(keys) > 1 for key in keys}
     assert want and found(0) == want and found(300_000) == want
 
 
-def test_needed_is_never_above_what_links_share():
-    r = np.random.default_rng(3)
-    none = np.zeros(0, dtype=[("token", np.uint64), ("rank", np.int64)])
-    for _ in range(200):
-        n = int(r.integers(5, 300))
-        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.93], r.integers(0, 2**63, max(1, n // 20)).astype(np.uint64)]))
-        if setjoin.linked(a, b):
-            shared = len(np.intersect1d(setjoin.signature(a, none), setjoin.signature(b, none)))
-            p = lambda m: m // 5 + -(-m // 16)
-            assert shared >= -(-(len(a) + len(b)) * 4 // 9) - max(len(a) - p(len(a)), len(b) - p(len(b))) - 1
+def test_needed_is_the_least_that_links_share_or_fewer(spark):
+    size = lambda m: m // 5 + -(-m // 16)
+    r = random.Random(7)
+    ranges = [(n, int(1.1**c - 1e-6), math.ceil(1.1 ** (c + 1) + 1e-6)) for n in [*range(1, 400), 1000, 2999, 99_999] for c in range(int(math.log(max(1, n * 0.7), 1.1)) - 1, int(math.log(n * 1.4, 1.1)) + 2)]
+    ranges += [(n, lo, lo + r.randrange(60)) for n in range(1, 400) for lo in (r.randrange(max(1, n // 2), 2 * n + 1) for _ in range(4))]
+    rows = spark.createDataFrame([(397, 461, 465), (245, 304, 304), *ranges], "n long, lo long, hi long")
+    for x in rows.withColumn("needed", setjoin.needed(F.col("n"), F.col("lo"), F.col("hi"))).collect():
+        bounds = [max(1, -(-4 * (x.n + m) // 9) - max(x.n - size(x.n), m - size(m))) for m in range(max(1, x.lo), x.hi + 1) if 4 * max(x.n, m) <= 5 * min(x.n, m)]
+        if bounds:
+            assert min(bounds) - 3 <= x.needed <= min(bounds), x
+    for _ in range(300):
+        n, none = r.randrange(1, 400), np.zeros(0, dtype=[("token", np.uint64), ("rank", np.int64)])
+        a = {r.getrandbits(63) for _ in range(n)}
+        b = {t for t in a if r.random() < 0.93} | {r.getrandbits(63) for _ in range(n // 20)}
+        x, y = (np.array(sorted(t), np.uint64) for t in (a, b))
+        if len(b) and setjoin.linked(x, y):
+            shared = len(np.intersect1d(setjoin.signature(x, none), setjoin.signature(y, none)))
+            assert shared >= max(1, -(-4 * (len(x) + len(y)) // 9) - max(len(x) - size(len(x)), len(y) - size(len(y))))
+
+
+def test_a_link_at_the_bound_is_kept_among_large_holders_of_its_passage(spark):
+    own = lambda d, n: [f"d{d}w{k}" for k in range(n)]
+    passage = own("t", 248)
+    rows = [" ".join([*passage, *own(0, 1)]), " ".join([*passage, *own(1, 60)]), *(" ".join([*passage, *own(d, 3000)]) for d in range(2, 62))]
+    assert setjoin.linked(*(setjoin.shingle_set(t.encode()) for t in rows[:2]))
+    got = {x.doc_id: x.component_id for x in setjoin.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, **{d: d for d in range(2, 62)}}
+
+
+def test_set_join_on_a_hot_group_and_rows_without_ids(spark, monkeypatch):
+    from quireworks.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 1 / 20)  # copies of one text, and empty texts, are hot here
+    r = random.Random(11)
+    words = [r.choice(WORDS) + str(r.randrange(9999)) for _ in range(90)]
+    chain = [" ".join(words[k : k + 80]) for k in range(0, 11)]  # each linked with the next ones
+    rows = [(k, chain[0]) for k in range(40)] + [(100 + k, t) for k, t in enumerate(chain)] + [(200, ""), (201, None), (None, chain[0]), (None, "alone here"), (5, "an id again, with other words")]
+    got = [(x.doc_id, x.n_shingles, x.component_id) for x in setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and {c for i, n, c in got if i is not None and n == 76} == {0}
+    assert (200, 0, 200) in got and (201, 0, 201) in got and (None, 76, 0) in got and (None, 1, None) in got and (5, 2, 5) in got
+
+
+def test_components_of_a_long_path(spark):
+    r = random.Random(12)
+    order = r.sample(range(80), 80)
+    links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(79)] + [(1000, 1001)], "a long, b long")
+    got = {x.key: x.comp for x in setjoin.components(links).collect()}
+    assert got == {**{k: 0 for k in range(80)}, 1000: 1000, 1001: 1000}
 
 
 def test_decontamination_finds_edited_passages(spark, nothing):
@@ -356,8 +393,23 @@ def test_pipeline_stages(spark, tmp_path):
     rows = [say() for _ in range(40)]
     item = say()
     rows += [rows[0], rows[1] + " x", f"{say()} {item} {say()}", "12 34", None]
+    assert corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows).limit(0), "").count() == 0
     frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == set(range(40))
+
+
+def test_near_duplicate_stage_tells_rows_apart_by_id_and_text(spark):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    say = lambda n=60: " ".join(r.choice(WORDS) + str(r.randrange(9999)) for _ in range(n))
+    a, b, c = say(), say(), say()
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, c, 4), (3, c, 4), (4, b + " x", 5), (5, "", 6), (6, None, 7), (None, a, 8), (7, say(), 9), (3, c + " x", 10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, may int")
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.text or "", x.may) for x in corpus_pipeline.drop_near_duplicates(spark, d, "").collect())
+    third = [x for x in got if x[0] == 3]
+    assert len(third) == 1 and third[0][1] in (c, c + " x")
+    assert [x for x in got if x[0] != 3] == sorted([(-1, a, 8), (1, a, 1), (2, b, 3), (5, "", 6), (6, "", 7), (7, rows[9][1], 9)])
