@@ -1,14 +1,15 @@
 """Exact top-k inner products by vector-approximation files.
 
-Vectors become integers floor(256 * x). They are kept in blocks; a block holds a quantised cell for each
-component, the cell edges, and apart from those the exact vectors. A query bounds its product with every
-cell vector, then reads exact vectors from the highest upper bound down until the kth score cannot be
-beaten. Bounds come from the block's own edges, so they hold for every row.
-
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of
-different lengths are not compared; ties go to the smaller id; repeated rows are candidates of their own,
-and no row with the query's id is a candidate; an empty table gives an empty result; other columns are
-ignored.
+Vectors become integers floor(256 * x). A block of the approximation file holds a quantised cell for each
+component of its vectors, and the cell edges; the exact vectors lie in a table apart. A first pass over the
+cells bounds every product from below; the kth best of these bounds is what a query's results reach for
+certain. A second pass keeps the vectors whose upper bound reaches that. Only those are read exactly, and the
+k best of them are the result: no other vector can be one. Bounds come from each block's own edges.
+
+Defined cases: vectors that are null, or hold null or non-finite components, and rows without an id take no
+part; components beyond 2**56 and scores beyond 64 bits are held at those limits; vectors of different lengths
+are not compared; ties go to the smaller id; repeated rows are candidates, and queries, of their own, and no
+row with the query's id is a candidate; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,108 +17,126 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import durable
+from quireworks.llm.common import durable, gives_back, small_batches
 
-#: Vectors of a block, queries of a block, and bits of a cell.
-BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS = 4096, 512, 6
-#: Groups of vector blocks that are searched apart; each gets every query block once.
-LANES = 64
-
-_BLOCK = "lane int, width int, ids binary, cells binary, low binary, step binary, exact binary"
+#: Vectors of a block, queries of a block, bits of a cell, and vector blocks that a lane searches.
+BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS, LANE_BLOCKS = 4096, 512, 6, 4
+#: Largest size of a component; the square of it times any usual length stays below 10 ** 38.
+LARGEST = 2**56
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and ints array<int> of the rows that take part."""
-    whole = F.expr("embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(double(x)) < double('Infinity'))")
-    return vectors.where(whole).select("vec_id", F.expr("transform(embedding, x -> int(floor(256 * double(x))))").alias("ints"))
-
-
-def _batches(frames: Iterable[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and matrices of at most so many rows, each of vectors of one length."""
-    kept: dict[int, tuple[list, list]] = {}
-    for frame in frames:
-        for i, v in zip(frame["vec_id"].to_numpy(), frame["ints"]):
-            ids, rows = kept.setdefault(len(v), ([], []))
-            ids.append(i)
-            rows.append(v)
-            if len(ids) == most:
-                yield np.array(ids, np.int64), np.array(rows, np.int32).reshape(most, len(v))
-                kept.pop(len(v))
-    for n, (ids, rows) in kept.items():
-        yield np.array(ids, np.int64), np.array(rows, np.int32).reshape(len(ids), n)
-
-
-def build_index(ints: DataFrame, lanes: int = LANES) -> DataFrame:
-    """The approximation file: a row for each block of vectors."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, exact in _batches(frames, BLOCK_ROWS):
-            low = exact.min(axis=0, initial=2**31 - 1)
-            step = np.maximum(1, -(-(exact.max(axis=0, initial=-(2**31)).astype(np.int64) - low + 1) // 2**CELL_BITS))
+    """vec_id, ints array<bigint> of the rows that take part."""
+    whole = F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(double(x)) < double('Infinity'))")
+    return vectors.where(whole).select("vec_id", F.expr(f"transform(embedding, x -> bigint(floor(greatest(least(256 * double(x), {LARGEST}D), -{LARGEST}D))))").alias("ints"))
+
+
+def _batches(batches: Iterable[pa.RecordBatch], columns: list[str], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of numbers, and matrices of `ints`, of at most so many rows, each of vectors of one length."""
+    kept: dict[int, list[tuple]] = {}
+
+    def matrix(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+        *numbers, ints = zip(*rows)
+        return [np.array(x) for x in numbers], np.array(ints, np.int64).reshape(len(rows), len(ints[0]))
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in [*columns, "ints"])):
+            rows = kept.setdefault(len(row[-1]), [])
+            rows.append(row)
+            if len(rows) == most:
+                yield matrix(kept.pop(len(row[-1])))
+    for rows in kept.values():
+        yield matrix(rows)
+
+
+def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The approximation file of rows(row, vec_id, ints): a row for each block of vectors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (row, ids), exact in _batches(batches, ["row", "vec_id"], block_rows):
+            low = exact.min(axis=0, initial=LARGEST)
+            step = np.maximum(1, -(-(exact.max(axis=0, initial=-LARGEST) - low + 1) // 2**CELL_BITS))
             cells = ((exact - low) // step).astype(np.uint8)
-            lane = int(ids[0] * 2654435761 % 2**32 % lanes)
-            yield pd.DataFrame([[lane, exact.shape[1], ids.tobytes(), cells.tobytes(), low.astype(np.int64).tobytes(), step.astype(np.int64).tobytes(), exact.tobytes()]], columns=["lane", "width", "ids", "cells", "low", "step", "exact"])
+            raw = [[x.tobytes()] for x in (row, ids.astype(np.int64), cells, low, step)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(row[0])]), pa.array([exact.shape[1]], pa.int32()), *(pa.array(x, pa.binary()) for x in raw)], names)
 
-    return ints.mapInPandas(run, _BLOCK)
+    names = ["block", "width", "rows", "ids", "cells", "low", "step"]
+    return rows.mapInArrow(gives_back(run), "block long, width int, rows binary, ids binary, cells binary, low binary, step binary")
 
 
-def query_blocks(ints: DataFrame) -> DataFrame:
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, exact in _batches(frames, BLOCK_QUERIES):
-            yield pd.DataFrame([[exact.shape[1], ids.tobytes(), exact.tobytes()]], columns=["width", "query_ids", "queries"])
+def query_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of queries(row, vec_id, reach, ints); reach: the score that is certain."""
 
-    return ints.mapInPandas(run, "width int, query_ids binary, queries binary")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (row, ids, reach), exact in _batches(batches, ["row", "vec_id", "reach"], BLOCK_QUERIES):
+            raw = [[x.tobytes()] for x in (row, ids.astype(np.int64), reach.astype(np.float64), exact)]
+            yield pa.RecordBatch.from_arrays([pa.array([exact.shape[1]], pa.int32()), *(pa.array(x, pa.binary()) for x in raw)], ["width", "query_rows", "query_ids", "reach", "queries"])
 
+    return rows.select("row", "vec_id", "reach", "ints").mapInArrow(gives_back(run), "width int, query_rows binary, query_ids binary, reach binary, queries binary")
 
-def search_block(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray, exact: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best of the block, ties to smaller ids. Products of integers below 2**53 are exact in doubles."""
-    q = q.astype(np.float64)
+
+def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest product of each query with each cell vector, widened by what doubles may round."""
+    q, side = q.astype(np.float64), step - 1.0
     floor = cells.astype(np.float64) * step + low
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
     base = q @ floor.T
-    lower, upper = base + (down @ (step - 1.0))[:, None], base + (up @ (step - 1.0))[:, None]
-    for r in range(len(q)):
-        other = ids != qids[r]
-        lo, hi = lower[r][other], upper[r][other]
-        if not len(lo):
-            continue
-        kth = np.partition(lo, len(lo) - k)[len(lo) - k] if len(lo) > k else -np.inf
-        near = np.flatnonzero(other)[hi >= kth]
-        near = near[np.argsort(-upper[r][near], kind="stable")]
-        best: list[tuple[float, int]] = []
-        for at in range(0, len(near), 4 * k):
-            if len(best) >= k and -best[k - 1][0] > upper[r][near[at]]:
-                break  # nothing that is left reaches the kth score
-            some = near[at : at + 4 * k]
-            best = sorted([*best, *zip((-(exact[some] @ q[r])).tolist(), ids[some].tolist())])[:k]
-        for score, i in best:
-            yield int(qids[r]), i, int(-score)
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 5, lanes: int = LANES) -> DataFrame:
+    rounded = np.abs(q) @ np.maximum(np.abs(low), np.abs(low + step.astype(np.float64) * 2**CELL_BITS)) * 1e-12
+    return base + (np.minimum(q, 0) @ side - rounded)[:, None], base + (np.maximum(q, 0) @ side + rounded)[:, None]
+
+
+def _meet(index: DataFrame, queries: DataFrame, lanes: int, found, schema: str) -> DataFrame:
+    """found(query rows, vector rows, other ids?, lower, upper, reach) over every pair of a query block and a vector block of one length. Query blocks go to every lane, a vector block to one."""
+    laned = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    pairs = laned.join(query_blocks(queries).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), ["lane", "width"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                rows, ids, low, step, query_rows, query_ids = (np.frombuffer(x[c], np.int64) for c in ("rows", "ids", "low", "step", "query_rows", "query_ids"))
+                q, cells = np.frombuffer(x["queries"], np.int64).reshape(len(query_rows), x["width"]), np.frombuffer(x["cells"], np.uint8).reshape(len(rows), x["width"])
+                yield pa.RecordBatch.from_arrays(*found(query_rows, rows, ids[None, :] != query_ids[:, None], *bounds(q, cells, low, step), np.frombuffer(x["reach"], np.float64)))
+
+    return pairs.drop("block", "lane").mapInArrow(gives_back(run), schema)
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer products of every row that is_query selects, against all rows.
 
-    Blocks of queries meet blocks of vectors by lane; a task holds one block of each. Of a block, a query
-    keeps k rows; those are ranked in a window by query.
+    A query keeps k bounds of each block in the first pass, and in the second the vectors that may still be
+    among its k best; those meet the exact vectors by row.
     """
-    ints = integer_vectors(vectors)
-    index = durable(build_index(ints, lanes), "va-index")
-    queries = query_blocks(ints.where(is_query).coalesce(8)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = index.join(queries, ["lane", "width"])
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for x in frame.itertuples():
-                n, qn, ids, qids = x.width, x.width, np.frombuffer(x.ids, np.int64), np.frombuffer(x.query_ids, np.int64)
-                found = search_block(
-                    qids, np.frombuffer(x.queries, np.int32).reshape(len(qids), qn), ids, np.frombuffer(x.cells, np.uint8).reshape(len(ids), n),
-                    np.frombuffer(x.low, np.int64), np.frombuffer(x.step, np.int64), np.frombuffer(x.exact, np.int32).reshape(len(ids), n).astype(np.float64), k,
-                )
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.mapInPandas(run, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    small_batches(vectors.sparkSession)
+    rows = durable(integer_vectors(vectors).withColumn("row", F.monotonically_increasing_id()), "va-exact")
+    index = durable(build_index(rows, block_rows), "va-index")
+    lanes = max(1, -(-index.count() // LANE_BLOCKS))
+    queries = rows.where(is_query).withColumn("reach", F.lit(float("-inf")))
+
+    def least(query_rows, rows, other, lower, upper, reach):
+        lower = np.where(other, lower, -np.inf)
+        best = lower if lower.shape[1] <= k else -np.partition(-lower, k - 1, axis=1)[:, :k]
+        keep = best > -np.inf
+        return [pa.array(np.repeat(query_rows, keep.sum(axis=1))), pa.array(best[keep])], ["row", "reach"]
+
+    kth = Window.partitionBy("row").orderBy(F.desc("reach"))
+    certain = _meet(index, queries, lanes, least, "row long, reach double").withColumn("n", F.row_number().over(kth)).where(F.col("n") <= k).where(F.col("n") == k).select("row", "reach")
+    reaching = durable(queries.drop("reach").join(certain, "row", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf")))), "va-queries")
+
+    def able(query_rows, rows, other, lower, upper, reach):
+        r, c = np.nonzero(other & (upper >= reach[:, None]))
+        return [pa.array(query_rows[r]), pa.array(rows[c])], ["query_row", "row"]
+
+    near = _meet(index, reaching, lanes, able, "query_row long, row long")
+    exact = near.join(reaching.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("ints").alias("q")), "query_row").join(rows.select("row", "vec_id", "ints"), "row")
+    product = F.expr("aggregate(zip_with(q, ints, (x, y) -> cast(x as decimal(18, 0)) * cast(y as decimal(18, 0))), cast(0 as decimal(38, 0)), (a, b) -> cast(a + b as decimal(38, 0)))")
+    most, width = rows.agg(F.max(F.expr("array_max(transform(ints, x -> abs(x)))")), F.max(F.size("ints"))).first()
+    if most is None or most * most * width < 2**62:
+        product = F.expr("aggregate(zip_with(q, ints, (x, y) -> x * y), 0L, (a, b) -> a + b)")
+    best = Window.partitionBy("query_row").orderBy(F.desc("exact"), "vec_id", "row")
+    limit = lambda c: F.least(F.greatest(c, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long") if "decimal" in kind else c
+    scored = exact.select("query_row", "query_id", "row", "vec_id", product.alias("exact"))
+    kind = scored.schema["exact"].dataType.simpleString()
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", limit(F.col("exact")).alias("score"))
