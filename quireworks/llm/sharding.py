@@ -1,9 +1,14 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group. A group above a small share of all bytes is sliced by a hash of its rows, the
-others are pooled by a hash of the text into a fixed number of pools; so the packer sees a bounded number of
-units, whatever the number of rows. Each unit, largest first, goes where the dot product of its vector with
-the residual capacity is highest. The law that holds is `bytes`: sizes of shards are near equal.
+Equal texts form a group. Small groups are pooled by a hash of the text into a fixed number of pools, large ones
+are units of their own; so the packer sees a bounded number of units, whatever the number of rows. Each unit,
+largest first, goes where the dot product of its vector with the residual capacity is highest. The law that
+holds is `bytes`: sizes of shards are near equal. A group stays whole unless that law forbids it: groups
+larger than a shard are sliced by a hash of their rows, and only if shards then differ by more than TOLERANCE,
+groups of half a shard, a quarter and so on are sliced too.
+
+Tokens are the words between white space, or what the caller names (as counts of a tokenizer, from
+`tokens.token_counts`).
 
 Defined cases: a null text has size 1; repeated rows are rows of their own, with slots of their own; an
 empty table gives an empty result; other columns of the input are ignored.
@@ -12,13 +17,15 @@ empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import durable
 
-#: Pools of small groups for each shard, and the share of a shard's bytes above which a group is sliced.
-POOLS_PER_SHARD, SLICES_PER_SHARD = 256, 64
+#: Pools of small groups for each shard, the inverse share of a shard's bytes above which a group is a unit of its own, and by how much of a shard sizes may differ before whole groups are sliced.
+POOLS_PER_SHARD, SLICES_PER_SHARD, TOLERANCE = 256, 64, 0.005
+#: Parts of a slice of a large group whose rows are ranked apart.
+SALTS = 64
 #: Weights of bytes, tokens and rows in the dot product; bytes lead, as their balance is the law.
 WEIGHTS = (4.0, 1.0, 1.0)
 
@@ -38,55 +45,67 @@ def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, n_words, text_crc32, unit, shard, slot of every row of docs(doc_id, text).
+def slices_of(groups: np.ndarray, pools: np.ndarray, shards: int) -> np.ndarray:
+    """How many slices each group (a vector each) gets, as few as the law allows beside the pools."""
+    shard_bytes = max(1.0, (groups[:, 0].sum() + pools[:, 0].sum()) / shards)
+    parts = 1
+    while True:
+        slices = np.minimum(np.ceil(groups[:, 0] * parts / shard_bytes), groups[:, 2]).astype(np.int64)
+        units = np.concatenate([pools, np.repeat(groups / slices[:, None], slices, axis=0)])
+        loads = np.bincount(place(units, shards), units[:, 0], shards)
+        if parts >= SLICES_PER_SHARD or loads.max() - loads.min() <= TOLERANCE * shard_bytes:
+            return slices
+        parts *= 2
+
+
+def shard(docs: DataFrame, shards: int = 16, tokens: Column | None = None) -> DataFrame:
+    """doc_id, size, n_tokens, text_crc32, unit, shard, slot of every row of docs(doc_id, text).
 
     The text is read once; all later steps move a few numbers a row. What is collected is bounded by
     parameters: at most shards * SLICES_PER_SHARD large groups, and their slices and the pools.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.size(F.split(F.trim(text), "[ \\t-\\r]+"))
     rows = durable(
         docs.select(
             "doc_id",
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-            F.size(F.split(text, " ")).cast("long").alias("n_words"),
+            F.coalesce(words if tokens is None else tokens, F.lit(0)).cast("long").alias("n_tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"),
         ).withColumn("row_hash", F.xxhash64("doc_id", "text_hash")),
         "shard-rows",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    quota = max(1, total // (shards * SLICES_PER_SHARD))
-    large = (
-        rows.groupBy("text_hash")
-        .agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        .where((F.col("bytes") > quota) & (F.col("n") > 1))
-        .select("text_hash", F.least(F.ceil(F.col("bytes") / quota), F.col("n")).cast("long").alias("slices"))
-        .orderBy("text_hash")
-        .collect()  # fewer than shards * SLICES_PER_SHARD rows: their bytes add up to at most the total
-    )
-    pools = shards * POOLS_PER_SHARD
-    first, table = pools, []
-    for r in large:
-        table.append((r.text_hash, r.slices, first))
-        first += r.slices
-    hot = spark.createDataFrame(table, "text_hash long, slices long, first long")
+    quota, pools = max(1, total // (shards * SLICES_PER_SHARD)), shards * POOLS_PER_SHARD
+    vector = [F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")]
+    grouped = rows.groupBy("text_hash").agg(*vector)
+    is_large = (F.col("bytes") > quota) & (F.col("n") > 1)
+    large = grouped.where(is_large).orderBy("text_hash").collect()  # fewer than shards * SLICES_PER_SHARD rows: their bytes add up to at most the total
+    small = grouped.where(~is_large).groupBy(F.pmod("text_hash", F.lit(pools))).agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).collect()
+    matrix = lambda found: np.array([list(r)[1:] for r in found], dtype=np.float64).reshape(-1, 3)
+    slices = slices_of(matrix(large), matrix(small), shards).tolist() if total else []
+    first = np.cumsum([pools, *slices]).tolist()
+    hot = spark.createDataFrame([(r.text_hash, n, f) for r, n, f in zip(large, slices, first)], "text_hash long, slices long, first long")
     units = (
         rows.join(F.broadcast(hot), "text_hash", "left")
         .withColumn("unit", F.coalesce(F.col("first") + F.pmod("row_hash", "slices"), F.pmod("text_hash", F.lit(pools))))
+        .withColumn("salt", F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("row_hash"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
         .drop("slices", "first", "text_hash")
     )
-    sums = units.groupBy("unit").agg(F.sum("size"), F.sum("n_words"), F.count("*")).orderBy("unit").collect()
-    vectors = np.array([list(r)[1:] for r in sums], dtype=np.float64).reshape(-1, 3)
+    sums = units.groupBy("unit", "salt").agg(*vector).orderBy("unit", "salt").collect()  # at most SALTS rows for a large group's slice, one for a pool
+    names, which = np.unique(np.array([r["unit"] for r in sums], dtype=np.int64), return_inverse=True)
+    vectors = np.zeros((len(names), 3))
+    np.add.at(vectors, which, np.array([[r["bytes"], r["tokens"], r["n"]] for r in sums], dtype=np.float64).reshape(-1, 3))
     placed, at, where = place(vectors, shards), np.zeros(shards, dtype=np.int64), []
-    for r, s in zip(sums, placed.tolist()):
-        where.append((r["unit"], s, int(at[s])))
-        at[s] += int(r[3])
-    homes = spark.createDataFrame(where, "unit long, shard int, slot_base long")
-    within = Window.partitionBy("unit").orderBy("doc_id", "text_crc32", "row_hash")
+    for r, s in zip(sums, placed[which].tolist()):
+        where.append((r["unit"], r["salt"], s, int(at[s])))
+        at[s] += int(r["n"])
+    homes = spark.createDataFrame(where, "unit long, salt long, shard int, slot_base long")
+    within = Window.partitionBy("unit", "salt").orderBy("doc_id", "text_crc32", "row_hash")
     return (
         units.withColumn("rank", F.row_number().over(within))
-        .join(F.broadcast(homes), "unit")
-        .select("doc_id", "size", "n_words", "text_crc32", "unit", "shard", (F.col("slot_base") + F.col("rank") - 1).alias("slot"))
+        .join(F.broadcast(homes), ["unit", "salt"])
+        .select("doc_id", "size", "n_tokens", "text_crc32", "unit", "shard", (F.col("slot_base") + F.col("rank") - 1).alias("slot"))
     )
