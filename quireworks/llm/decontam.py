@@ -26,9 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
-from quireworks.llm.common import small_batches
+from quireworks.llm.common import gives_back, small_batches
 
 #: Least similarity: word edits may be 1 - SIMILARITY of the item's words.
 SIMILARITY = 0.8
@@ -38,8 +39,8 @@ RUN, EMBEDDINGS, SAMPLES, BITS = 3, 4, 10, 4
 RECALL, DRAWN, LONGEST = 0.99, 48, 2000
 #: UTF-8 bytes of items that tasks hold at once; more items are matched in blocks.
 BLOCK_BYTES = 8 << 20
-#: Windows that are embedded at once.
-WINDOWS = 4096
+#: Windows that are embedded at once, at most, and words of a table of them (windows x the longest): tables are cut by size, so long items do not widen those of short ones.
+WINDOWS, TABLE_WORDS = 4096, 1 << 18
 
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -134,6 +135,16 @@ def repetitions(size: int) -> tuple[int, int]:
     return samples, bits
 
 
+def lots(sizes: np.ndarray, times: int = 1) -> Iterator[np.ndarray]:
+    """Places of the sizes, ascending by size, in lots of at most WINDOWS with at most TABLE_WORDS / times words when filled up, or of one."""
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        some = order[at : at + WINDOWS]
+        fits = int(np.searchsorted(np.arange(1, len(some) + 1) * sizes[some] * times, TABLE_WORDS, side="right"))
+        yield some[: max(1, fits)]
+        at += max(1, fits)
+
+
 def side_by_side(hashes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Windows as rows, filled up with 0."""
     out = np.zeros((len(hashes), int(sizes.max(initial=0))), np.uint64)
@@ -182,9 +193,10 @@ class ItemIndex:
             self.plan = {n: repetitions(n) for n in set(self.sizes.tolist())}
             self.signed = {}
             for (samples, bits), own in self.by_plan(self.sizes):
-                flat = signatures(side_by_side([self.items[k][1] for k in own.tolist()], self.sizes[own]), self.sizes[own], EMBEDDINGS, samples, bits).ravel()
+                parts = [own[lot] for lot in lots(self.sizes[own])]
+                flat = np.concatenate([signatures(side_by_side([self.items[k][1] for k in part.tolist()], self.sizes[part]), self.sizes[part], EMBEDDINGS, samples, bits).ravel() for part in parts])
                 order = np.argsort(flat, kind="stable")
-                self.signed[samples, bits] = flat[order], np.repeat(own, EMBEDDINGS * samples)[order]
+                self.signed[samples, bits] = flat[order], np.repeat(np.concatenate(parts), EMBEDDINGS * samples)[order]
 
     def by_plan(self, sizes: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         """Each number of signatures and positions in use, with the places of the sizes that have it."""
@@ -228,8 +240,8 @@ class ItemIndex:
         hashes = [word_hashes(words_of(t or "")) for t in texts]
         places = [(k, size, start) for k, h in enumerate(hashes) for size, start in self.windows(h).tolist()]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for lot in range(0, len(places), WINDOWS):
-            some = places[lot : lot + WINDOWS]
+        for lot in lots(np.array([p[1] for p in places], np.int64)):
+            some = [places[k] for k in lot.tolist()]
             sizes = np.array([p[1] for p in some], np.int64)
             block = side_by_side([hashes[k][start : start + size] for k, size, start in some], sizes)
             for r, item in zip(*(x.tolist() for x in self.candidates(block, sizes))):
@@ -259,7 +271,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     spark = docs.sparkSession
     small_batches(spark)
     kinds = {f.name: f.dataType.simpleString() for f in [docs.schema["doc_id"], benchmark.schema["item_id"]]}
-    item_type = {"string": pa.string(), "bigint": pa.int64()}.get(kinds["item_id"], pa.int32())
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     source, out = docs.select("doc_id", "text"), None
     for block in item_blocks(benchmark, block_bytes):
         index = spark.sparkContext.broadcast(block)
@@ -271,7 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
                 numbers = [pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array([f[1] for f in found], item_type), *numbers], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
-        got = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, first_word bigint, n_words bigint, edits bigint")
+        got = source.mapInArrow(gives_back(run), f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, first_word bigint, n_words bigint, edits bigint")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -286,9 +298,9 @@ def is_contaminated(spark: SparkSession, benchmark: DataFrame, text: Column, blo
 
 
 def _holds_item(index):
-    @F.pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
-        hit = {m[0] for m in index.value.match(list(texts))}
-        return pd.Series([k in hit for k in range(len(texts))], dtype=bool)
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            hit = {m[0] for m in index.value.match(list(texts))}
+            yield pd.Series([k in hit for k in range(len(texts))], dtype=bool)
 
-    return found
+    return F.pandas_udf(gives_back(found), "boolean")

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import id_fold, small_batches
+from quireworks.llm.common import gives_back, id_fold, small_batches
 
 #: Texts of each language that the n-gram profiles are fitted on, at most (expected size; picked by hash).
 FIT_ROWS = 5000
 #: Hashed n-grams of 1 to MAX_N characters; the penalty for a switch, in nats; words of a Viterbi chunk.
 BUCKETS, MAX_N, SWITCH, CHUNK = 1 << 15, 3, 12.0, 64
-#: Words whose scores a worker remembers.
-CACHE_WORDS = 200_000
+#: Words whose scores a worker remembers; longer words (in characters) are scored each time; labels a Viterbi table may hold at once.
+CACHE_WORDS, CACHE_LONGEST, TABLE_LABELS = 200_000, 64, 1 << 26
 #: New words that are scored at once; bounds what n-gram tables of a batch take.
 SCORED_WORDS = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -104,16 +104,48 @@ class Profiles:
         return out, g.letters
 
 
-def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH, chunk: int = CHUNK) -> np.ndarray:
-    """The best label of every word of many texts, exactly, for a constant penalty a switch.
-
-    Texts are cut into chunks that are solved side by side for every label before the chunk; the chunks of
-    a text are then joined in order, and the paths read back. So steps are as many as words in a chunk.
+def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH, chunk: int = CHUNK, most: int = TABLE_LABELS) -> np.ndarray:
+    """The best label of every word of many texts, exactly, for a constant penalty a switch; texts go by lots whose tables hold `most` labels or so, one that needs more by a table of words x labels."""
+    kinds = scores.shape[1]
+    if kinds == 1 or not len(scores):
+        return np.zeros(len(scores), dtype=np.int16)
+    need = np.maximum(1, -(-lengths // chunk)) * chunk * kinds * kinds
+    out, at = np.empty(len(scores), dtype=np.int16), 0
+    begin, ends = 0, np.cumsum(lengths)
+    while begin < len(lengths):
+        stop = begin + max(1, int(np.searchsorted(np.cumsum(need[begin:]), most, side="right")))
+        end = int(ends[stop - 1])
+        solve = viterbi_long if need[begin] > most else viterbi_chunks
+        out[at:end] = solve(scores[at:end], lengths[begin:stop], penalty, chunk)
+        begin, at = stop, end
+    return out
+
+
+def viterbi_long(scores: np.ndarray, lengths: np.ndarray, penalty: float, chunk: int) -> np.ndarray:
+    """The path of one text, word after word: with a constant penalty all switches into a word leave from one label."""
+    best, top, switch = scores[0].copy(), np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)
+    for t in range(1, len(scores)):
+        top[t] = k = best.argmax()
+        leap = best[k] - penalty
+        switch[t] = best < leap
+        best = np.maximum(best, leap) + scores[t]
+    path, now = np.empty(len(scores), np.int16), int(best.argmax())
+    for t in range(len(scores) - 1, -1, -1):
+        path[t] = now
+        if switch[t, now]:
+            now = int(top[t])
+    return path
+
+
+def viterbi_chunks(scores: np.ndarray, lengths: np.ndarray, penalty: float, chunk: int) -> np.ndarray:
+    """Paths of many texts. Texts are cut into chunks that are solved side by side for every label before the
+    chunk; the chunks of a text are then joined in order, and the paths read back. So steps are as many as
+    words in a chunk.
     """
     kinds = scores.shape[1]
     docs = np.flatnonzero(lengths)
-    if not len(docs) or kinds == 1:
-        return np.zeros(len(scores), dtype=np.int8)
+    if not len(docs):
+        return np.zeros(0, dtype=np.int16)
     per = -(-lengths[docs] // chunk)
     first = np.concatenate([[0], np.cumsum(per)[:-1]])
     n = int(per.sum())
@@ -126,9 +158,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH, ch
     padded = np.zeros((n, chunk, kinds))
     padded[inside] = scores
     best = padded[:, 0][:, None, :] - penalty * (1 - np.eye(kinds))
-    came = np.empty((chunk, n, kinds, kinds), dtype=np.int8)  # step, chunk, label before the chunk, label now -> label one word earlier
+    came = np.empty((chunk, n, kinds, kinds), dtype=np.int16)  # step, chunk, label before the chunk, label now -> label one word earlier
     came[0] = np.arange(kinds)[None, :, None]
-    keep = np.arange(kinds, dtype=np.int8)[None, None, :]
+    keep = np.arange(kinds, dtype=np.int16)[None, None, :]
     for t in range(1, chunk):
         top = best.argmax(axis=2)
         leap = np.take_along_axis(best, top[..., None], 2) - penalty
@@ -137,7 +169,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH, ch
         best = np.where(switch, leap, best) + padded[:, t][:, None, :]
     # join the chunks of each text
     total = np.zeros((len(docs), kinds))
-    entry = np.empty((n, kinds), dtype=np.int8)  # label before the chunk, for each label at its end
+    entry = np.empty((n, kinds), dtype=np.int16)  # label before the chunk, for each label at its end
     most = int(per.max())
     order = np.argsort(-per, kind="stable")
     for j in range(most):
@@ -154,7 +186,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH, ch
         last[at] = label[live]
         label[live] = entry[at, label[live]]
     enter = entry[np.arange(n), last].astype(np.int64)
-    path = np.empty((n, chunk), dtype=np.int8)
+    path = np.empty((n, chunk), dtype=np.int16)
     now, rows = last, np.arange(n)
     for t in range(chunk - 1, -1, -1):
         path[:, t] = now
@@ -176,16 +208,19 @@ class Labeller:
 
     def paths(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """words and, over all of them, owner text, letters and label."""
-        if len(self.at) > CACHE_WORDS:
+        if len(self.letters) > CACHE_WORDS:
             self.forget()
         words = [(t or "").lower().split() for t in texts]
         flat = list(chain.from_iterable(words))
         new = [w for w in dict.fromkeys(flat) if w not in self.at]
         if new:
-            self.at |= {w: k for k, w in enumerate(new, len(self.at))}
+            self.at |= {w: k for k, w in enumerate(new, len(self.letters))}
             parts = [self.profiles.word_scores(new[k : k + SCORED_WORDS]) for k in range(0, len(new), SCORED_WORDS)]
             self.scores, self.letters = (np.concatenate([kept, *some]) for kept, some in zip((self.scores, self.letters), zip(*parts)))
         at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        for w in new:
+            if len(w) > CACHE_LONGEST:
+                del self.at[w]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         return words, np.repeat(np.arange(len(words)), lengths), self.letters[at], viterbi(self.scores[at], lengths)
 
@@ -226,7 +261,7 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
         k, b = np.nonzero(sums)
         yield pd.DataFrame({"lang": k, "slot": b, "n": sums[k, b]})
 
-    got = some.mapInPandas(run, "lang int, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    got = some.mapInPandas(gives_back(run), "lang int, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(langs), width))
     sums[got["lang"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
     return Profiles(langs, sums[:, :BUCKETS], sums[:, BUCKETS:])
@@ -251,7 +286,7 @@ def label_spans(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 "letters": np.add.reduceat(letters, new), "lang": np.array(shared.value.langs)[label[new]],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, first_word long, n_words long, letters long, lang string")
+    return docs.select("doc_id", "text").mapInPandas(gives_back(run), f"doc_id {kind}, first_word long, n_words long, letters long, lang string")
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -267,7 +302,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             names, score = labeller.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(gives_back(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -280,11 +315,10 @@ def label_of(spark: SparkSession, profiles: Profiles, text: Column) -> Column:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang_pred string, score double")
     def labels(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for texts in parts:
             names, score = labeller.predict([None if t is None else t for t in texts])
             yield pd.DataFrame({"lang_pred": names, "score": score})
 
-    return labels(text)
+    return F.pandas_udf(gives_back(labels), "lang_pred string, score double")(text)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import durable, id_fold, small_batches
+from quireworks.llm.common import durable, gives_back, id_fold, small_batches
 
 #: Frequent words whose counts every task holds; the counts of other words come by a join.
 HEAD_WORDS = 150_000
@@ -67,7 +67,7 @@ def count_words(train: DataFrame) -> DataFrame:
         if seen:
             yield emit()
 
-    return train.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.mapInArrow(gives_back(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
@@ -103,7 +103,7 @@ def count_bigrams(train: DataFrame, lexicon) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at], pa.int64())], ["prev", "next", "n"])
 
-    return train.mapInArrow(run, "prev int, next int, n bigint").groupBy("prev", "next").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(gives_back(run), "prev int, next int, n bigint").groupBy("prev", "next").agg(F.sum("n").alias("n"))
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndarray:
@@ -207,7 +207,7 @@ def count_contexts(train: DataFrame, lexicon, model) -> DataFrame:
         if held:
             yield emit()
 
-    return train.mapInArrow(run, "word binary, contexts binary")
+    return train.mapInArrow(gives_back(run), "word binary, contexts binary")
 
 
 def place_words(contexts: DataFrame, model, ending_contexts: np.ndarray) -> DataFrame:
@@ -228,7 +228,7 @@ def place_words(contexts: DataFrame, model, ending_contexts: np.ndarray) -> Data
             cls = (seen @ gain - c[:, None] * m.denominator + prior[ending]).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.astype(np.int64)), pa.array(cls, pa.int32())], ["word", "c", "cls"])
 
-    return contexts.groupBy("word").agg(F.collect_list("contexts").alias("parts")).mapInArrow(run, "word binary, c bigint, cls int")
+    return contexts.groupBy("word").agg(F.collect_list("contexts").alias("parts")).mapInArrow(gives_back(run), "word binary, c bigint, cls int")
 
 
 def count_classes(classes: DataFrame, end: int) -> np.ndarray:
@@ -244,7 +244,7 @@ def count_classes(classes: DataFrame, end: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
 
     table = np.zeros(CLASSES * CLASSES)
-    for r in classes.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in classes.mapInArrow(gives_back(run), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         table[r.pair] = r.n
     return table.reshape(CLASSES, CLASSES)
 
@@ -359,7 +359,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     names = ["row", "doc_id", "held_out", "word", "places", "by_ending", "n", "known", "log_sum", "classes"]
     tagged = durable(
-        source.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(tag, f"row bigint, doc_id {kind}, held_out boolean, word binary, places binary, by_ending int, n bigint, known bigint, log_sum double, classes binary"),
+        source.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(gives_back(tag), f"row bigint, doc_id {kind}, held_out boolean, word binary, places binary, by_ending int, n bigint, known bigint, log_sum double, classes binary"),
         "lm-partial",
     )
     rare_words = words.where(F.col("c") <= floor) if floor else words
@@ -385,7 +385,7 @@ def score(docs: DataFrame) -> DataFrame:
     whole = tagged.where("word is null").select("row", "doc_id", "held_out", "n", "known", "log_sum", "classes").join(rare, "row", "left").select(
         "doc_id", "held_out", "n", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("known"), (F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0))).alias("logs"), "classes", "moved"
     )
-    classed = durable(whole.mapInArrow(put, f"doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, classes binary"), "lm-classes")
+    classed = durable(whole.mapInArrow(gives_back(put), f"doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, classes binary"), "lm-classes")
 
     members = np.zeros((2, CLASSES))
     members[:, end_class] = n_texts, n_texts > 0
@@ -404,7 +404,7 @@ def score(docs: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.bincount(owner, m.transition[before, cls] - m.denominator[cls], len(texts)))], [*kept, "rest"])
 
-    return classed.mapInArrow(rest, f"doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, rest double").select(
+    return classed.mapInArrow(gives_back(rest), f"doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, rest double").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n") * base_floor).alias("base_score"), (F.col("logs") + F.col("rest")).alias("score"),
     )

@@ -24,12 +24,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import durable, small_batches
+from quireworks.llm.common import durable, gives_back, small_batches
 
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+#: Bytes of words and ids that a worker remembers before it starts anew, and what an entry takes besides them.
+CACHE_BYTES, ENTRY_BYTES = 120 << 20, 200
 END_ID = 1
 
 
@@ -61,6 +61,7 @@ class WordIds:
         self.closes[[n for token, n in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}  # of words as they stand
         self.cores: dict[bytes, bytes] = {}  # of lower-case words and of points
+        self.held = 0
 
     def encode_words(self, words: list[bytes], plain: bool) -> list[bytes]:
         """Ids of words, none of which holds a special string. plain: all are lower-case words of A-Z."""
@@ -88,8 +89,6 @@ class WordIds:
         return word, b""
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
         cores = self.cores
         marked = [w for w in words if b"<|" in w]
         if marked:
@@ -102,11 +101,14 @@ class WordIds:
         cores.update(zip(plain, self.encode_words(plain, True), strict=True))
         cores.update(zip(other, self.encode_words(other, False), strict=True))
         self.known |= {w: cores[core] + cores[points] if points else cores[core] for w, core, points in split}
+        self.held += ENTRY_BYTES * (len(words) + len(new)) + 3 * sum(map(len, words)) + 3 * sum(map(len, new))
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of UTF-8 texts."""
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.cores.clear()
+            self.held = 0
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if new := set().union(*words).difference(self.known):
             self.learn(new)
@@ -138,7 +140,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
             columns = [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return source.mapInArrow(gives_back(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 class Knapsack:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import small_batches
+from quireworks.llm.common import gives_back, small_batches
 
 #: Pieces whose counts a worker remembers before it starts anew.
 CACHE_PIECES = 700_000
@@ -148,4 +148,4 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             over = pa.array([x > limit for x in n.to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return source.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return source.mapInArrow(gives_back(run), f"doc_id {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -7,8 +7,8 @@ patterns of votes of all texts that may be learned from; correlated voters share
 classifier is then trained on the posterior labels, and scores every text.
 
 Defined cases: a null or empty text is scored as a text without features; a null id counts as empty text in
-the fold; without labels every score is the prior (0); conflicting labels of one id vote each; repeated rows
-are scored each; an empty table gives an empty result; labels, lang, source and ids are no inputs of a score.
+the fold; without labels every score is the prior (0); of conflicting labels of one id or one text the toxic
+one counts; repeated rows are scored each; an empty table gives an empty result; labels, lang, source and ids are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import durable, id_fold, small_batches
+from quireworks.llm.common import durable, gives_back, id_fold, small_batches
 
 #: Labelled rows that lexicons and classifier are fitted on, at most (expected size; picked by a hash of the id).
 FIT_ROWS = 20_000
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     if not n:
         return Classifier(Voters([]), np.zeros(COUNTS), -30.0, None)
     some = open_labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_rows / n) * (1 << 20))))
-    sample = durable(open_docs.join(F.broadcast(some), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxic-sample")
+    sample = durable(open_docs.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
 
     def count_entries(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     n_toxic, n_clean = n_toxic or 0, n_clean or 0
     lift = (F.col("toxic") + 0.5) / (n_toxic + 1.0) / ((F.col("clean") + 0.5) / (n_clean + 1.0))
     picked = (
-        sample.mapInPandas(count_entries, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        sample.mapInPandas(gives_back(count_entries), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= LEAST_TEXTS) & (lift >= LEAST_LIFT)).select("entry", (F.col("toxic") * F.log(lift)).alias("weight"))
         .orderBy(F.desc("weight"), "entry").limit(ENTRIES).collect()
     )
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
             votes = [shared.value.votes(t, *shared.value.hits(t)[:2]) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.int64())], ["doc_id", "votes"])
 
-    voted = open_docs.mapInArrow(vote, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes bigint")
+    voted = open_docs.mapInArrow(gives_back(vote), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes bigint")
     marked = voted.join(open_labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left")
     table = marked.groupBy("votes", F.coalesce("toxic", F.lit(-1)).cast("long").alias("toxic")).agg(F.count("*").alias("n")).toArrow()
     model = LabelModel(table["votes"].to_numpy(), table["toxic"].to_numpy(), table["n"].to_numpy(), float(positive))
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
                 rows.append((found, k, density, shared.value.votes(text, found, k), int(toxic)))
             yield pd.DataFrame(rows, columns=["found", "words", "density", "votes", "toxic"])
 
-    fitted = sample.mapInPandas(inputs, "found array<int>, words int, density double, votes long, toxic int").toArrow()  # about fit_rows rows of a few numbers
+    fitted = sample.mapInPandas(gives_back(inputs), "found array<int>, words int, density double, votes long, toxic int").toArrow()  # about fit_rows rows of a few numbers
     if not len(fitted):
         return Classifier(voters, np.zeros(len(picked) + COUNTS), -30.0, model)
     posterior, toxic = model.posterior(fitted["votes"].to_numpy()), fitted["toxic"].to_numpy()
@@ -236,15 +236,16 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
             scores = np.array([shared.value.score(t) for t in batch.column("text").to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(gives_back(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def score_of(spark: SparkSession, classifier: Classifier, text: Column) -> Column:
     """The score of a text column, for filters that keep other columns."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(classifier)
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return scores(F.coalesce(text, F.lit("")))
+    return F.pandas_udf(gives_back(scores), "double")(F.coalesce(text, F.lit("")))

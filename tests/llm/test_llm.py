@@ -109,6 +109,22 @@ def test_shards_are_near_equal_and_slots_gapless(docs, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_equal_texts_stay_in_one_shard_unless_they_fill_it(spark):
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choice(WORDS) for _ in range(40))) for k in range(2000)]
+    rows += [(5000 + k, "a hot text " * 40) for k in range(900)] + [(9000 + 10 * g + k, f"group {g} " * 60) for g in range(30) for k in range(8)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    of, sizes = {}, Counter()
+    for x in got:
+        of.setdefault(dict(rows)[x.doc_id], set()).add(x.shard)
+        sizes[x.shard] += x.size
+    hot = of.pop("a hot text " * 40)
+    assert len(hot) > 1 and all(len(s) == 1 for s in of.values())  # the hot text fills more than a shard
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 4
+    plain = sharding.place(np.array([[3.0, 1, 1], [3, 1, 1], [2, 1, 1], [2, 1, 1], [2, 1, 1]]), 2)
+    assert np.bincount(plain, [3, 3, 2, 2, 2], 2).tolist() in ([6, 6], [5, 7], [7, 5])
+
+
 def test_packing_vectors_balance_a_dominant_group():
     v = np.array([[1.0, 1, 1]] * 400 + [[50.0, 10, 1]] * 16)
     got = np.bincount(sharding.place(v, 16), v[:, 0], 16)
@@ -128,6 +144,34 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_keep_large_ids_and_skip_what_a_lost_attempt_left(spark, tmp_path):
+    long, other = "y" * 500, "z" * 500
+    rows = [(9007199254740993, "u", long), (9007199254740995, "u", long), (None, "u", long), (None, "v", other), (7, "a", other), (7, "b", other), (8, "c", other)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    path = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    left = next(f for f in tmp_path.glob("w/part-*.warc.zst"))
+    (left.parent / "part-000000-0000-lost.warc.zst").write_bytes(left.read_bytes())
+    got = sorted(((r.page_id or 0, r.url, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()), key=str)
+    big = 9007199254740993
+    assert got == sorted([(big, "u", "response", None), (big + 2, "u", "revisit", big), (0, "u", "revisit", big), (0, "v", "revisit", 7), (7, "a", "response", None), (7, "b", "response", None), (8, "c", "revisit", 7)], key=str)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) >= min(int(before), 1000)
+
+
+def test_reading_an_archive_is_linear():
+    import time
+
+    def seconds(n):
+        w = warc.ArchiveWriter(b"WARC/1.1 text")
+        for k in range(n):
+            w.add(warc.record_bytes(k, "u", random.Random(k).randbytes(900) + b"a" * 900, "0", None))
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.read_archive(w.out.getvalue())) == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(8000) < 40 * max(seconds(500), 0.005)
+
+
 def brute_components(rows):
     sets = {}
     for k, t in enumerate(rows):
@@ -385,6 +429,23 @@ def test_vector_search_equals_brute_force(spark):
     assert vafile.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vector_search_over_blocks_with_ties_and_large_numbers(spark):
+    r = np.random.default_rng(4)
+    v = r.integers(-3, 4, (400, 4)).astype(float) / 256  # many ties at the kth score, over many blocks
+    rows = [(7 * k - 900, x.tolist()) for k, x in enumerate(v)] + [(None, [1.0] * 4), (0, [0.5] * 4), (0, [0.5] * 4)]
+    large = [(1, [1e8, -1e8, 3.0, 0.0]), (2, [1e8, 1e8, 0.0, 1.0]), (3, [3e38, 3e38, 3e38, 3e38])]
+    for given, chosen in ((rows, F.col("vec_id") % 50 == 0), (rows[:50] + large, F.col("vec_id").isin(1, 2, 3))):
+        d = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+        ints = [(i, [max(-(2**56), min(2**56, math.floor(256 * x))) for x in e]) for i, e in given if i is not None]
+        want = []
+        for q, a in ints:
+            if q % 50 == 0 if chosen is not None and given is rows else q in (1, 2, 3):
+                scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints if i != q)[:5]
+                want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+        got = [tuple(x) for x in vafile.top_k(d, chosen, block_rows=16).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
