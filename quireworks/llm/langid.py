@@ -29,7 +29,7 @@ FIT_ROWS = 5000
 #: Hashed n-grams of 1 to MAX_N characters; the penalty for a switch, in nats; words of a Viterbi chunk.
 BUCKETS, MAX_N, SWITCH, CHUNK = 1 << 15, 3, 12.0, 64
 #: Words whose scores a worker remembers; longer words (in characters) are scored each time; labels a Viterbi table may hold at once.
-CACHE_WORDS, CACHE_LONGEST, TABLE_LABELS = 200_000, 64, 1 << 26
+CACHE_WORDS, CACHE_LONGEST, TABLE_LABELS = 200_000, 64, 1 << 22
 #: New words that are scored at once; bounds what n-gram tables of a batch take.
 SCORED_WORDS = 20_000
 FOLDS, HELD_OUT = 4, 2

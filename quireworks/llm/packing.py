@@ -29,7 +29,7 @@ from quireworks.llm.common import durable, gives_back, small_batches
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
 #: Bytes of words and ids that a worker remembers before it starts anew, and what an entry takes besides them.
-CACHE_BYTES, ENTRY_BYTES = 120 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 END_ID = 1
 
 
@@ -54,8 +54,9 @@ class WordIds:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merges.normalizer, self.merges.pre_tokenizer = None, WhitespaceSplit()
+        self.library = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.library.model)  # the model is shared
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.between = next((t.content, n) for n, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special)
         self.closes = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.closes[[n for token, n in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
