@@ -73,3 +73,88 @@ def sub_box(b: Column, offset: Column, length: Column, n: Column) -> Column:
     cell = F.when(upright, b["y2"] - b["y1"]).otherwise(b["x2"] - b["x1"]) / n
     lo, hi = offset * cell, (offset + length) * cell
     return F.when(upright, box(b["x1"], b["y1"] + lo, b["x2"], b["y1"] + hi)).otherwise(box(b["x1"] + lo, b["y1"], b["x1"] + hi, b["y2"]))
+
+
+def union(boxes: Column) -> Column:
+    """The box around an array of boxes; null for none."""
+    edge = lambda f, k: f(F.transform(boxes, lambda b: b[k]))
+    return F.when(F.size(boxes) > 0, box(edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2")))
+
+
+def metrics(b: Column, text: Column) -> Column:
+    """struct(cx, cy, w, h, chars) of a line."""
+    return F.struct(((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), (b["x2"] - b["x1"]).alias("w"), (b["y2"] - b["y1"]).alias("h"), F.length(text).alias("chars"))
+
+
+def range_text(values: Column) -> Column:
+    """lowest-highest with one decimal; '' without values."""
+    return F.when(F.size(values) > 0, F.format_string("%.1f-%.1f", F.array_min(values), F.array_max(values))).otherwise("")
+
+
+def ids_text(ids: Column) -> Column:
+    """Two ids as a-b, any other number as a,b,c; '' for null."""
+    as_text = F.transform(ids, lambda i: i.cast("string"))
+    return F.coalesce(F.when(F.size(ids) == 2, F.array_join(as_text, "-")).otherwise(F.array_join(as_text, ",")), F.lit(""))
+
+
+def split_text(text: Column, weights: Column) -> Column:
+    """The text cut into as many parts as there are weights, of apportioned lengths; the parts joined are the text."""
+    counts = apportion(F.length(text), weights)
+    parts = F.transform(counts, lambda n, i: F.substr(text, (F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0).cast("long"), lambda s, c: s + c) + 1).cast("int"), n.cast("int")))
+    return F.when(F.size(weights) <= 1, F.array(text)).otherwise(parts)
+
+
+def split_by_heights(text: Column, boxes: Column) -> Column:
+    """split_text with the heights of the boxes, 1 at least, as weights."""
+    return split_text(text, F.transform(boxes, lambda b: F.greatest(F.lit(1.0), b["y2"] - b["y1"])))
+
+
+def char_fit_error(b: Column, chars: Column, cell: Column) -> Column:
+    """How far the height of an upright box is from chars cells, relative; null for boxes that lie, or without a cell."""
+    h = b["y2"] - b["y1"]
+    return F.when((h > b["x2"] - b["x1"]) & (chars > 0) & (cell > 0), F.abs(h - cell * chars) / (cell * chars))
+
+
+def char_boxes(b: Column, text: Column) -> Column:
+    """A box for each character, evenly over the width."""
+    step = (b["x2"] - b["x1"]) / F.length(text)
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: box(b["x1"] + i * step, b["y1"], b["x1"] + (i + 1) * step, b["y2"]))
+
+
+def column_boxes(b: Column, text: Column, advance: Column) -> Column:
+    """A box for each character of a column, from its top on with a fixed advance, not beyond its foot."""
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: box(b["x1"], b["y1"] + i * advance, b["x2"], F.least(b["y2"], b["y1"] + (i + 1) * advance)))
+
+
+def fit_cell(heights: Column, chars: Column, lo: float = 12.0, hi: float = 160.0, rounds: int = 80) -> Column:
+    """The cell height at which the heights, in whole cells of one at least, hold the characters: halving of lo to hi; 38 where there is nothing to fit."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        many = F.aggregate(heights, F.lit(0).cast("long"), lambda n, h: n + F.greatest(F.lit(1).cast("long"), F.bround(h / mid).cast("long"))) > chars
+        return F.struct(F.when(many, mid).otherwise(s["lo"]).alias("lo"), F.when(many, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when((chars > 0) & (F.size(heights) > 0), found).otherwise(38.0)
+
+
+def inside(x: Column, y: Column, zones: Column) -> Column:
+    """Whether a point lies in one of the zones, edges included."""
+    return F.exists(zones, lambda z: x.between(z["x1"], z["x2"]) & y.between(z["y1"], z["y2"]))
+
+
+def outside_zones(b: Column, text: Column, zones: Column) -> Column:
+    """The characters of a line whose centres are in none of the zones. Characters stand evenly along the longer side; a line without a box keeps none."""
+    w, h, n = b["x2"] - b["x1"], b["y2"] - b["y1"], F.length(text)
+    mid = lambda i: (i + 0.5) * F.greatest(w, h) / n
+    x = lambda i: F.when(h >= w, (b["x1"] + b["x2"]) / 2).otherwise(b["x1"] + mid(i))
+    y = lambda i: F.when(h >= w, b["y1"] + mid(i)).otherwise((b["y1"] + b["y2"]) / 2)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.filter(places, lambda i: ~inside(x(i), y(i), zones))
+    return F.when(b.isNull(), "").otherwise(F.array_join(F.transform(kept, lambda i: F.substr(text, i + 1, F.lit(1))), ""))
+
+
+def orientation(aspect: Column) -> Column:
+    return F.when(aspect < 1.0, "portrait").when(aspect >= 1.0, "landscape")

@@ -5,7 +5,7 @@ All are built-in column expressions, so they stay in the JVM. A null text gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Simplified characters and the traditional ones they are folded to.
@@ -166,3 +166,82 @@ def looks_like_name(text: Column) -> Column:
     """Two to eight characters that do not end in punctuation."""
     t = F.trim(text)
     return F.length(t).between(2, 8) & ~t.rlike("[，,、。；;：:]$")
+
+
+def normal_locate(text: Column, fold: tuple[str, str] = (FOLD_TO, FOLD_FROM)) -> Column:
+    """The form in which values are looked for: folded, without white space."""
+    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, ""), *fold)
+
+
+def plain_text(html: Column) -> Column:
+    """Without tags and white space."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", ""), r"\s+", "")
+
+
+def text_loss(before: Column, after: Column) -> Column:
+    """struct(raw, out, delta, same_order, same_multiset) of two texts: equal bags in another order are a new reading order, unequal bags a loss."""
+    bag = lambda t: F.array_join(F.array_sort(F.split(t, "")), "")
+    a, b = plain_text(before), plain_text(after)
+    return F.struct(F.length(a).alias("raw"), F.length(b).alias("out"), (F.length(b) - F.length(a)).alias("delta"), (a == b).alias("same_order"), (bag(a) == bag(b)).alias("same_multiset"))
+
+
+def positions(text: Column, part: Column) -> Column:
+    """0-based starts of a part in the text, without overlaps, left to right."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
+    ends = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda s, p: F.struct((s["at"] + F.length(p) + F.length(part)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found")), lambda s: s["found"],
+    )
+    return F.when(F.length(part) > 0, ends).otherwise(F.array().cast("array<int>"))
+
+
+def strip_constants(text: Column, constants: list[str]) -> Column:
+    """struct(text, removed): the text without every stretch that constants cover, where they overlap too; constants and text meet in their folded form, and what is cut keeps its own characters."""
+    folded = fold_stream(text)
+    spans_of = lambda c: F.transform(positions(folded, fold_stream(F.lit(c))), lambda i: F.struct(i.alias("lo"), (i + len(c)).alias("hi")))
+    hits = F.flatten(F.array(*map(spans_of, filter(None, constants))))
+    spans = union_spans(hits)
+    return F.struct(F.array_join(gap_texts(text, spans), "").alias("text"), F.transform(spans, lambda s: F.substr(text, s["lo"] + 1, s["hi"] - s["lo"])).alias("removed"))
+
+
+def line_numbers(spec: Column) -> Column:
+    """1,3-5 as [1, 3, 4, 5]: distinct and ascending; null for parts that are no number or run backwards, and for nothing."""
+    parts = F.filter(F.transform(F.split(F.replace(spec, F.lit("，"), F.lit(",")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    run = lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int"))
+    legal = F.forall(parts, lambda p: p.rlike(r"^\d+$") | (p.rlike(r"^\d+\s*-\s*\d+$") & F.coalesce(F.get(run(p), F.lit(0)) <= F.get(run(p), F.lit(1)), F.lit(False))))
+    numbers = F.flatten(F.transform(parts, lambda p: F.sequence(F.get(run(p), F.lit(0)), F.element_at(run(p), -1))))
+    return F.when((F.size(parts) > 0) & legal, F.array_sort(F.array_distinct(numbers)))
+
+
+def list_changes(old: Column, new: Column) -> Column:
+    """struct(added, removed, moved): elements in one list only, in its order, and places (from 1) of those that changed place, by the new one."""
+    moved = F.filter(F.transform(new, lambda x, i: F.struct(x.alias("item"), F.array_position(old, x).alias("from"), (i + 1).cast("long").alias("to"))), lambda m: (m["from"] > 0) & (m["from"] != m["to"]))
+    return F.struct(F.filter(new, lambda x: ~F.array_contains(old, x)).alias("added"), F.filter(old, lambda x: ~F.array_contains(new, x)).alias("removed"), moved.alias("moved"))
+
+
+def usable_correction(wrong: Column, right: Column) -> Column:
+    """Both sides given, and not the same."""
+    w, r = F.trim(F.coalesce(wrong, F.lit(""))), F.trim(F.coalesce(right, F.lit("")))
+    return (w != "") & (r != "") & (w != r)
+
+
+def sanitize_stem(name: Column, most: int = 80) -> Column:
+    """Without signs that file names must not hold, blanks run together, no blanks and dots at the ends, at most so many characters; imported if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', ""), r"\s+", " ")
+    ends = lambda t: F.regexp_replace(t, r"[ .]+$", "")
+    cut = ends(F.substring(ends(F.regexp_replace(bare, r"^[ .]+", "")), 1, most))
+    return F.when(cut == "", "imported").otherwise(cut)
+
+
+def deletions(text: Column) -> Column:
+    """The text and every text that is one character shorter: two texts within one edit share one of these."""
+    n = F.length(text)
+    shorter = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(text), shorter))
+
+
+def near_pairs(names: DataFrame, name: str) -> DataFrame:
+    """a, b: pairs of distinct names within one edit, a before b. Names meet by shared deletions, so not every pair is made."""
+    keyed = names.select(F.col(name).alias("a"), F.explode(deletions(F.col(name))).alias("_k"))
+    met = keyed.join(keyed.select(F.col("a").alias("b"), "_k"), "_k").where("a < b").select("a", "b").distinct()
+    return met.where(within_one_edit(F.col("a"), F.col("b")))

@@ -11,7 +11,7 @@ def union_intervals(rows: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy(key).orderBy(lo, hi)
     new = F.coalesce((F.col(lo) > F.max(hi).over(before)).cast("int"), F.lit(1))
-    return rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order)).groupBy(key, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).drop("_island")
+    return rows.select(key, lo, hi).distinct().withColumn("_new", new).withColumn("_island", F.sum("_new").over(order)).groupBy(key, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).drop("_island")
 
 
 def interval_gaps(rows: DataFrame, key: str, lo: str, hi: str) -> DataFrame:

@@ -46,10 +46,12 @@ def continuation_pairs(rows: DataFrame, key: str, order: str, attr: str, text: s
 
 
 def islands(rows: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
-    """One-dimensional clusters: a new island where the gap to the value before is above the tolerance. key, island, n, mean, lo, hi."""
+    """One-dimensional clusters: a new island where the gap to the value before is above the tolerance. key, island, n, mean, lo, hi. Rows are added up by value first, so equal values are never parted and a window sees each value once."""
     w = Window.partitionBy(*key).orderBy(value)
-    marked = rows.withColumn("_new", (F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0)) > tolerance).cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*key, "island").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    values = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
+    marked = values.withColumn("_new", (F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0)) > tolerance).cast("int")).withColumn("island", F.sum("_new").over(w))
+    total = F.sum("_n")
+    return marked.groupBy(*key, "island").agg(total.alias("n"), (F.sum(F.col(value) * F.col("_n")) / total).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
 def binned_mode(rows: DataFrame, key: list[str], value: str, width: float = 2.0) -> DataFrame:
@@ -75,3 +77,54 @@ def inherit_marked(rows: DataFrame, key: list[str], order: list[str], value: str
     given = F.last(F.when(F.col(value) != "", F.col(value)), ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     take = marked & (F.col(value) == "") & given.isNotNull()
     return rows.withColumn("inherited", F.coalesce(take, F.lit(False))).withColumn(value, F.when(F.col("inherited"), given).otherwise(F.col(value)))
+
+
+def unique_ids(rows: DataFrame, key: list[str], uid: str, order: str) -> DataFrame:
+    """uid with __dup2, __dup3 and so on after the first of its key, by order."""
+    n = F.row_number().over(Window.partitionBy(*key, uid).orderBy(order))
+    return rows.withColumn("unique_id", F.when(n == 1, F.col(uid)).otherwise(F.concat(F.col(uid), F.lit("__dup"), n.cast("string"))))
+
+
+def contiguous_groups(rows: DataFrame, key: list[str], lo: str, hi: str, least_gap: float = 20.0) -> DataFrame:
+    """group (from 0): a new one where the gap to the line before is above least_gap and above that line's height."""
+    w = Window.partitionBy(*key).orderBy(lo, hi)
+    before_lo, before_hi = F.lag(lo).over(w), F.lag(hi).over(w)
+    new = F.coalesce((F.col(lo) - before_hi > F.greatest(F.lit(least_gap), before_hi - before_lo)).cast("int"), F.lit(0))
+    return rows.withColumn("_new", new).withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def locate_spans(values: DataFrame, lines: DataFrame, page: str, most: int = 6) -> DataFrame:
+    """page, value_id, line_id, n_lines: where a value stands in the joined text of up to `most` lines, two at least: the first start, then the fewest lines. lines(page, line_id, line) meet the values(page, value_id, value) of their page only."""
+    w = Window.partitionBy(page).orderBy("line_id")
+    runs = F.array(*(F.struct(F.lit(n + 1).alias("n"), F.concat("line", *(F.lead("line", k).over(w) for k in range(1, n + 1))).alias("t")) for n in range(1, most)))
+    joined = lines.withColumn("_runs", runs).select(page, "line_id", F.inline("_runs")).where("t is not null")
+    met = joined.join(values.where("length(value) > 0"), page).where(F.contains("t", F.col("value")))
+    return met.groupBy(page, "value_id").agg(F.min(F.struct("line_id", "n")).alias("_b")).select(page, "value_id", F.col("_b.line_id").alias("line_id"), F.col("_b.n").alias("n_lines"))
+
+
+def reference_match(rows: DataFrame, drafts: DataFrame, page: str) -> DataFrame:
+    """rows(page, row_id, uid, idx) with draft_id of drafts(page, draft_id, uid, idx): the first draft with its uid, or else the one at its index."""
+    by_uid = drafts.where("uid <> ''").groupBy(page, "uid").agg(F.min_by("draft_id", "idx").alias("_u"))
+    by_idx = drafts.groupBy(page, "idx").agg(F.min("draft_id").alias("_i"))
+    return rows.join(by_uid, [page, "uid"], "left").join(by_idx, [page, "idx"], "left").select(page, "row_id", F.coalesce("_u", "_i").alias("draft_id"))
+
+
+def positional_differences(left: DataFrame, right: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """key, position, column where rows at one position differ, or a side has no row there (column is then count)."""
+    w = Window.partitionBy(key).orderBy(order)
+    number = lambda d, p: d.select(key, F.row_number().over(w).alias("position"), *(F.col(c).alias(f"{p}_{c}") for c in columns), F.lit(1).alias(f"{p}_in"))
+    both = number(left, "l").join(number(right, "r"), [key, "position"], "full_outer")
+    alone = F.col("l_in").isNull() | F.col("r_in").isNull()
+    kinds = F.array_compact(F.array(F.when(alone, "count"), *(F.when(~alone & ~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), c) for c in columns)))
+    return both.select(key, "position", F.explode(kinds).alias("column"))
+
+
+def live_rows(drafts: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """drafts with is_live: whether rows hold one of their key."""
+    return drafts.join(rows.select(*key).distinct().withColumn("_live", F.lit(True)), key, "left").withColumn("is_live", F.coalesce("_live", F.lit(False))).drop("_live")
+
+
+def drop_numbered(rows: DataFrame, key: str, order: str, numbers: DataFrame) -> DataFrame:
+    """rows without those at the 1-based places that numbers(key, number) lists."""
+    placed = rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return placed.join(numbers.select(key, "number"), [key, "number"], "left_anti")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireworks.operators.groups import islands, newest
+from quireworks.operators.groups import newest
 
 
 def merge_bands(lines: DataFrame, key: str, page: str, rel: str, tolerance: float = 0.007) -> DataFrame:
-    """key, island, pages, mean, spread: positions within the tolerance are one band; a page counts once in a band."""
+    """key, island, pages, mean, spread: positions within the tolerance are one band; a page counts once in a band. Islands are found over the distinct positions, so equal ones are never parted."""
     w = Window.partitionBy(key).orderBy(rel)
-    marked = lines.withColumn("_new", (F.coalesce(F.col(rel) - F.lag(rel).over(w), F.lit(0.0)) > tolerance).cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    places = lines.select(key, rel).distinct().withColumn("_new", (F.coalesce(F.col(rel) - F.lag(rel).over(w), F.lit(0.0)) > tolerance).cast("int"))
+    marked = lines.join(places.select(key, rel, F.sum("_new").over(w).alias("island")), [key, rel])
     one = marked.groupBy(key, "island", page).agg(F.avg(rel).alias("at"))
     return one.groupBy(key, "island").agg(F.count("*").alias("pages"), F.avg("at").alias("mean"), (F.max("at") - F.min("at")).alias("spread"))
 
@@ -42,7 +43,3 @@ def regions(edges: DataFrame, page: str, rel: str) -> DataFrame:
     every = edges.select(page, F.col(rel).alias("at")).unionByName(edges.select(page, F.lit(0.0).alias("at"))).unionByName(edges.select(page, F.lit(1.0).alias("at"))).distinct()
     w = Window.partitionBy(page).orderBy("at")
     return every.select(page, (F.row_number().over(w) - 1).alias("region"), F.col("at").alias("lo"), F.lead("at").over(w).alias("hi")).where("hi is not null")
-
-
-def cluster_values(rows: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
-    return islands(rows, key, value, tolerance)

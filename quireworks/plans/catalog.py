@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireworks.functions import geometry as G
@@ -12,24 +10,9 @@ from quireworks.functions import rules as R
 from quireworks.functions import text as T
 from quireworks.operators import checks, corpus, drafts, groups, learning, lines, retrieval, review
 from quireworks.plans import bands
+from quireworks.plans.registry import query
 from quireworks.sources import pages as page_source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 LINES = """with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_id from documents where text is not null),
 l as (select doc_id, line, line_id, (line_id // 12)::int as col_index, line_id % 12 as row_index from raw) """
 
@@ -197,15 +180,15 @@ def field_boost(t):
     return retrieval.field_boost(_asked(t), fields)
 
 
-@query("""with s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) as sim from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+@query("""with s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) as sim from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by round(sim, 9) desc, vec_id)::int as rank from s) select query_id, rank, vec_id, round(sim, 6) as sim from r where rank <= 5""")
 def dense_topk(t):
     e = t("embeddings").select("vec_id", "embedding")
-    return retrieval.dense_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e)
+    return retrieval.dense_top_k(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e)
 
 
 @query(f"""with q as (select item_id as quote_id, {BARE % "text"} as q from benchmark), d as (select doc_id as card_id, {BARE % "text"} as t from documents)
-select distinct quote_id, card_id from q join d on length(q) >= 24 and contains(t, q)""")
+select distinct quote_id, card_id from q join d on length(q) > 0 and contains(t, q)""")
 def quote_exact(t):
     return retrieval.exact_quotes(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), _cards(t))
 
@@ -235,7 +218,7 @@ def coverage_gap(t):
     return checks.coverage(t("part").select(F.col("p_partkey").alias("k")), t("lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
-SPANS = """with e as (select user_id, floor(epoch(ts))::bigint as lo, floor(epoch(ts))::bigint + 21600 as hi from events),
+SPANS = """with e as (select distinct user_id, floor(epoch(ts))::bigint as lo, floor(epoch(ts))::bigint + 21600 as hi from events),
 m as (select *, case when lo > max(hi) over (partition by user_id order by lo, hi rows between unbounded preceding and 1 preceding) then 1 else 0 end as new from e),
 i as (select *, sum(new) over (partition by user_id order by lo, hi rows unbounded preceding) as island from m), u as (select user_id, min(lo) as lo, max(hi) as hi from i group by user_id, island) """
 
@@ -354,9 +337,9 @@ def round_robin(t):
     return groups.round_robin(t("events").select("event_type", "event_id", "ts"), "event_type", [F.desc("ts"), F.asc("event_id")], 12).select("event_type", "event_id", "rank")
 
 
-@query("""with m as (select event_type, value, case when value - lag(value) over (partition by event_type order by value) > 0.05 then 1 else 0 end as new from events),
-i as (select *, sum(new) over (partition by event_type order by value rows unbounded preceding) as island from m)
-select event_type, island::bigint as island, count(*) as n, round(avg(value), 6) as mean, min(value) as lo, max(value) as hi from i group by event_type, island""")
+@query("""with v as (select event_type, value, count(*) as k from events where value is not null group by all), m as (select *, case when value - lag(value) over (partition by event_type order by value) > 0.05 then 1 else 0 end as new from v),
+i as (select *, sum(new) over (partition by event_type order by value) as island from m)
+select event_type, island::bigint as island, sum(k)::bigint as n, round(sum(value * k) / sum(k), 6) as mean, min(value) as lo, max(value) as hi from i group by event_type, island""")
 def value_islands(t):
     return groups.islands(t("events"), ["event_type"], "value", 0.05).withColumn("mean", F.round("mean", 6))
 
@@ -453,13 +436,14 @@ def version_diff(t):
     return learning.version_diff(o.where("k % 3 <> 0"), o.where("k % 4 <> 0").withColumn("s", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("s"))), ["k"], "s")
 
 
-@query("""with e as (select p_name as a, lead(p_name) over (order by p_partkey) as b from part), d as (select list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] <> p[2]) as d from e where length(a) = length(b)),
+@query("""with e as (select c_name as a, lead(c_name) over (partition by c_custkey // 30 order by c_custkey) as b from customer), d as (select list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] <> p[2]) as d from e where length(a) = length(b)),
 c as (select d[1][1] as wrong, d[1][2] as "right", count(*) as n from d where len(d) = 1 group by all) select wrong, "right", n, count(*) over (partition by wrong) > 1 as conflict from c""")
 def rule_candidates(t):
+    """Neighbours among thirty names stand for a wrong and a right reading."""
     from pyspark.sql import Window
 
-    p = t("part").withColumn("b", F.lead("p_name").over(Window.partitionBy(F.lit(1)).orderBy("p_partkey")))
-    return learning.rule_candidates(p.select(F.col("p_name").alias("wrong"), F.col("b").alias("right")))
+    c = t("customer").withColumn("b", F.lead("c_name").over(Window.partitionBy(F.expr("c_custkey div 30")).orderBy("c_custkey")))
+    return learning.rule_candidates(c.select(F.col("c_name").alias("wrong"), F.col("b").alias("right")))
 
 
 @query("""select l_shipyear as pub, round(m, 4) as mean, round(s, 4) as sd, round(m - 3 * greatest(s, abs(m) * 0.01), 4) as lo, round(m + 3 * greatest(s, abs(m) * 0.01), 4) as hi, n
@@ -485,8 +469,8 @@ def box_iou(t):
     return t("part").select(F.col("p_partkey").alias("k"), F.round(G.iou(b, fixed), 6).alias("iou"))
 
 
-@query("""with r as (select p_brand as key, p_type as page, p_size / 50.0 as rel from part), m as (select *, case when rel - lag(rel) over (partition by key order by rel) > 0.03 then 1 else 0 end as new from r),
-i as (select *, sum(new) over (partition by key order by rel rows unbounded preceding) as island from m), o as (select key, island, page, avg(rel) as pos from i group by all)
+@query("""with r as (select p_brand as key, p_type as page, p_size / 50.0::double as rel from part), d as (select distinct key, rel from r), m as (select *, case when rel - lag(rel) over (partition by key order by rel) > 0.03 then 1 else 0 end as new from d),
+i as (select r.key, r.page, r.rel, m.island from r join (select *, sum(new) over (partition by key order by rel) as island from m) m on r.key = m.key and r.rel = m.rel), o as (select key, island, page, avg(rel) as pos from i group by all)
 select key, island::bigint as island, count(*) as pages, round(avg(pos), 6) as mean, round(max(pos) - min(pos), 6) as spread from o group by key, island""")
 def structure_bands(t):
     r = t("part").select(F.col("p_brand").alias("key"), F.col("p_type").alias("page"), (F.col("p_size") / 50.0).alias("rel"))
@@ -511,15 +495,20 @@ def tolerant_json(t):
     return t("events").select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k")).where("k is not null")
 
 
-@query(None)
+@query("""with p as (select page_id, unnest(regexp_extract_all(html, '(?is)<ul[^>]*>(.*?)</ul>', 1)) as u, generate_subscripts(regexp_extract_all(html, '(?is)<ul[^>]*>(.*?)</ul>', 1), 1) - 1 as table_no from pages),
+r as (select page_id, table_no, unnest(regexp_extract_all(u, '(?is)<li[^>]*>(.*?)</li>', 1)) as c, generate_subscripts(regexp_extract_all(u, '(?is)<li[^>]*>(.*?)</li>', 1), 1) - 1 as row_no from p)
+select page_id, table_no::int as table_no, row_no::int as row_no, 0 as cell_no, trim(regexp_replace(c, '<[^>]*>', '', 'g'), ' ') as text from r""")
 def html_tables(t):
-    return page_source.html_cells(t("pages"), "page_id", "html")
+    """The pages have lists and no tables, so each list is written as a table of one column first."""
+    table = F.col("html")
+    for tag, new in (("ul", "table"), ("li", "tr")):
+        table = F.regexp_replace(F.regexp_replace(table, f"(?i)<{tag}\\b[^>]*>", f"<{new}>" + ("<td>" if tag == "li" else "")), f"(?i)</{tag}>", ("</td>" if tag == "li" else "") + f"</{new}>")
+    return page_source.html_cells(t("pages").select("page_id", table.alias("html")), "page_id", "html")
 
 
 @query("""select a.p_brand as a, b.p_brand as b from (select distinct p_brand from part) a join (select distinct p_brand from part) b on a.p_brand < b.p_brand and levenshtein(a.p_brand, b.p_brand) <= 1""")
 def near_names(t):
-    b = t("part").select("p_brand").distinct()
-    return b.select(F.col("p_brand").alias("a")).join(b.select(F.col("p_brand").alias("b")), T.within_one_edit(F.col("a"), F.col("b")) & (F.col("a") < F.col("b")))
+    return T.near_pairs(t("part").select("p_brand").distinct(), "p_brand")
 
 
 @query("""select conv_id, turn, concat_ws('；', case when role <> '' then 'role：' || role end, case when text <> '' then 'text：' || text end) as card from conversations""")
@@ -588,13 +577,13 @@ def fold_weighted_ratio(t):
 # drafts and pools
 
 
-@query("""with v as (select conv_id, max(turn) as value_id, substring(arg_max(text, turn), 1, 10) as value from conversations group by conv_id),
+@query("""with v as (select conv_id, max(turn) as value_id, arg_max(text, turn) as value from conversations group by conv_id),
 m as (select v.conv_id, v.value_id, case when c.text = v.value then 0 when contains(c.text, v.value) and length(v.value) > 0 then 1 end as kind, c.turn from v join conversations c using (conv_id)),
 b as (select conv_id, value_id, kind, turn from (select *, row_number() over (partition by conv_id, value_id order by kind, turn) as r from m where kind is not null) where r = 1)
 select conv_id, value_id, case kind when 0 then 'exact' when 1 then 'contains' else 'none' end as kind, turn as line_id from v left join b using (conv_id, value_id)""")
 def value_location(t):
     c = t("conversations")
-    values = c.groupBy("conv_id").agg(F.max("turn").alias("value_id"), F.substring(F.max_by("text", "turn"), 1, 10).alias("value"))
+    values = c.groupBy("conv_id").agg(F.max("turn").alias("value_id"), F.max_by("text", "turn").alias("value"))
     return drafts.locate_values(values, c.select("conv_id", F.col("turn").alias("line_id"), F.col("text").alias("line")), "conv_id")
 
 

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from quireworks.plans.catalog import ORACLE_SQL, QUERIES
+from quireworks.plans import catalog, catalog_cards, catalog_records  # noqa: F401  (each registers its queries)
+from quireworks.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("QUIREWORKS_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
