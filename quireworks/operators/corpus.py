@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as T
@@ -12,9 +12,9 @@ SHAPES = ["dateish", "money", "short", "body", "other"]
 
 def exact_constants(lines: DataFrame, page: str = "doc_id", shortest: int = 2, longest: int = 30) -> DataFrame:
     """text, pages_hit, ratio of normalised lines by distinct pages."""
-    n = lines.agg(F.count_distinct(page).alias("n_pages"))
-    found = lines.select(page, T.normal_line(F.col("line")).alias("text")).where(F.length("text").between(shortest, longest))
-    return found.groupBy("text").agg(F.count_distinct(page).alias("pages_hit")).join(F.broadcast(n)).select("text", "pages_hit", F.round(F.col("pages_hit") / F.col("n_pages"), 4).alias("ratio"))
+    n = lines.select(page).distinct().agg(F.count("*").alias("n_pages"))
+    found = lines.select(page, T.normal_line(F.col("line")).alias("text")).where(F.length("text").between(shortest, longest)).distinct()
+    return found.groupBy("text").agg(F.count("*").alias("pages_hit")).join(F.broadcast(n)).select("text", "pages_hit", F.round(F.col("pages_hit") / F.col("n_pages"), 4).alias("ratio"))
 
 
 def gram_frequency(texts: DataFrame, page: str, text: str, least_ratio: float = 0.9, shortest: int = 3, longest: int = 6) -> DataFrame:
@@ -27,9 +27,8 @@ def gram_frequency(texts: DataFrame, page: str, text: str, least_ratio: float =
 
 def shape_share(lines: DataFrame) -> DataFrame:
     """shape, n, share for the shapes that occur."""
-    total = lines.where("trim(line) <> ''").agg(F.count("*").alias("total"))
     kinds = lines.where("trim(line) <> ''").groupBy(T.line_shape(F.col("line")).alias("shape")).agg(F.count("*").alias("n"))
-    return kinds.join(F.broadcast(total)).select("shape", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return kinds.select("shape", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"))  # five rows at most
 
 
 def length_percentiles(lines: DataFrame) -> DataFrame:

@@ -47,7 +47,9 @@ def best_window_ratio(quote: str, text: str, enough: float = 0.85) -> float:
         return 1.0
     n, best = len(quote), 0.0
     for at in sorted({*range(0, max(1, len(text) - n + 1), max(1, n // 4)), max(0, len(text) - n)}):
-        best = max(best, difflib.SequenceMatcher(None, quote, text[at : at + n]).ratio())
+        match = difflib.SequenceMatcher(None, quote, text[at : at + n])
+        if match.real_quick_ratio() > best and match.quick_ratio() > best:  # bounds from above, which cost little
+            best = max(best, match.ratio())
         if best >= enough:
             break
     return best

@@ -539,12 +539,10 @@ def latest_state(t):
 
 @query(None)
 def quote_verdicts(t):
-    """Each turn against the turn before it, by the best window ratio."""
-    from pyspark.sql import Window
-
-    c = t("conversations")
-    before = c.withColumn("source", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("source is not null")
-    return review.verify_quotes(before.select(F.col("conv_id").alias("answer_id"), F.substring("text", 1, 40).alias("quote"), F.col("source").alias("text")))
+    """Benchmark items against whole documents that share a block with them, by the best window ratio."""
+    quotes = t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    met = retrieval.shared_blocks(quotes, _cards(t))
+    return review.verify_quotes(met.select(F.col("quote_id").alias("answer_id"), F.col("q").alias("quote"), F.col("t").alias("text")))
 
 
 @query("""with b as (select doc_id, regexp_replace(coalesce(text, ''), '\\s', '', 'g') as t from documents), h as (select doc_id, length(t) as n, len(regexp_extract_all(t, 'token')) + len(regexp_extract_all(t, 'License')) + len(regexp_extract_all(t, '[0-9]{3}')) as hits from b)
