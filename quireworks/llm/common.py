@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Records and bytes of one Arrow batch handed to Python; keeps a batch of long texts small.
-ARROW_RECORDS, ARROW_BYTES = 1000, 8 << 20
+ARROW_RECORDS, ARROW_BYTES = 250, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from quireworks.llm.common import durable, gives_back, small_batches
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
 #: Bytes of words and ids that a worker remembers before it starts anew, and what an entry takes besides them.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
 END_ID = 1
 
 

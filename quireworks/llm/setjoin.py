@@ -41,11 +41,11 @@ from quireworks.llm.common import attach, durable, gives_back, may_hold, small_b
 #: Words of a shingle; members of a group; sets that make a token frequent; most frequent tokens handed to tasks.
 WORDS, GROUP_SETS, FREQUENT, FREQUENT_MOST = 5, 32, 48, 1_000_000
 #: Tokens, and signature tokens, that a task gathers before it hands them on; signature tokens of a bucket, about, and buckets at least and at most.
-FLUSH_TOKENS, BUCKET_TOKENS, BUCKETS_LEAST, BUCKETS_MOST = 1_000_000, 1 << 20, 1024, 1 << 20
+FLUSH_TOKENS, BUCKET_TOKENS, BUCKETS_LEAST, BUCKETS_MOST = 300_000, 1 << 20, 1024, 1 << 20
 #: Sets of one token that a task sends for counting; more are shared beyond doubt.
 LOCAL_MOST = 16
 #: Sets that a task remembers, so as not to send their copies; copies of others are sent again.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
