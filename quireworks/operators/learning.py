@@ -9,8 +9,11 @@ from quireworks.functions import text as T
 
 
 def skeleton(rows: DataFrame, page: str = "stem", attr: str = "attr") -> DataFrame:
-    """attr, pages by page frequency, ties by name."""
-    return rows.groupBy(attr).agg(F.count_distinct(page).alias("pages")).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("pages"), attr)))
+    """attr, pages, pos by page frequency, ties by name: a place is the attributes with more pages, which are counted by number of pages, and the place among those with as many."""
+    seen = rows.groupBy(attr).agg(F.count_distinct(page).alias("pages"))
+    sizes = seen.groupBy("pages").agg(F.count("*").alias("_k"))
+    more = sizes.alias("a").join(sizes.alias("b"), F.col("b.pages") > F.col("a.pages"), "left").groupBy("a.pages").agg(F.coalesce(F.sum("b._k"), F.lit(0)).alias("_more"))
+    return seen.join(more, "pages").withColumn("pos", (F.col("_more") + F.row_number().over(Window.partitionBy("pages").orderBy(attr))).cast("int")).select(attr, "pages", "pos")
 
 
 def attr_support(rows: DataFrame, record: str, attr: str, required: float = 0.8, optional: float = 0.5) -> DataFrame:

@@ -85,7 +85,7 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def header_columns(sample: DataFrame, text: str) -> DataFrame:
     """Column names of the first line with two or more parts, by tab, comma, bar or ideographic comma."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.filter(F.transform(F.split(l, r"[\t,|，、]"), F.trim), lambda p: p != "")), lambda p: F.size(p) >= 2)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.filter(F.transform(F.split(l, r"[\t,|，、]"), lambda p: F.trim(p)), lambda p: p != "")), lambda p: F.size(p) >= 2)
     return sample.select(F.coalesce(F.get(lines, F.lit(0)), F.array().cast("array<string>")).alias("columns"))
 
 

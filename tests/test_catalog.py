@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from quireworks.plans import catalog, catalog_cards, catalog_records  # noqa: F401  (each registers its queries)
+from quireworks.plans import catalog, catalog_cards, catalog_governance, catalog_records  # noqa: F401  (each registers its queries)
 from quireworks.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("QUIREWORKS_TEST_DATA", "/root/testdata/sf0.001")
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return ""
     if isinstance(v, bool):
         return str(v)
