@@ -127,31 +127,58 @@ def extract_attributes(text: Column, template: list[Attribute], stops: list[str]
     for in the whole text, outside stretches already taken. A value that goes on from its anchor ends at the
     next anchor, at a stop word or after `most` characters.
     """
-    bounds = anchor_bounds(text, [a.pattern for a in template])
-    cursor, taken, values = F.lit(0), F.array().cast("array<struct<lo:int,hi:int>>"), []
-    for a in template:
-        ahead, any_ = found_at(text, a.pattern, cursor), found_at(text, a.pattern, F.lit(0))
-        at = F.coalesce(ahead, F.when(~_within(taken, any_), any_))
-        end = at + F.length(F.regexp_extract(F.substr(text, at + 1), f"({a.pattern})", 1))
-        if not a.whole:
-            limit = F.least(bound_after(bounds, end, F.length(text)), at + most)
-            end = F.least(limit, F.coalesce(stop_position(text, end, list(stops)), limit)) if stops else limit
-        value = F.trim(F.substr(text, at + 1, end - at))
-        got = at.isNotNull() & (value != "")
-        values.append(F.when(got, F.struct(F.lit(a.name).alias("key"), value.alias("value"))))
-        taken = F.when(got, F.concat(taken, F.array(F.struct(at.cast("int").alias("lo"), end.cast("int").alias("hi"))))).otherwise(taken)
-        cursor = F.when(got, F.greatest(cursor, end)).otherwise(cursor)
-    return F.map_from_entries(F.array_compact(F.array(*values)))
+    def step(s: Column, bounds: Column, a: Attribute) -> Column:
+        """The state after an attribute; what is used more than once is named by `let`."""
+        def taken(at: Column, end: Column) -> Column:
+            value = F.trim(F.substr(text, at + 1, end - at))
+            got = at.isNotNull() & (value != "")
+            return F.struct(
+                F.when(got, F.greatest(s["cursor"], end)).otherwise(s["cursor"]).cast("int").alias("cursor"),
+                F.when(got, F.concat(s["taken"], F.array(F.struct(at.cast("int").alias("lo"), end.cast("int").alias("hi"))))).otherwise(s["taken"]).alias("taken"),
+                F.when(got, F.concat(s["values"], F.array(F.struct(F.lit(a.name).alias("key"), value.alias("value"))))).otherwise(s["values"]).alias("values"),
+            )
+
+        place = let(found_at(text, a.pattern, F.lit(0)), lambda any_: F.coalesce(found_at(text, a.pattern, s["cursor"]), F.when(~_within(s["taken"], any_), any_)))
+        return let(place, lambda at: let(_value_end(text, a, at, bounds, stops, most), lambda end: taken(at, end)))
+
+    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<lo:int,hi:int>>").alias("taken"), F.array().cast("array<struct<key:string,value:string>>").alias("values"))
+
+    def fold(bounds: Column) -> Column:
+        state = start
+        for a in template:
+            state = let(state, _step_of(step, bounds, a))
+        return F.map_from_entries(state["values"])
+
+    return let(anchor_bounds(text, [a.pattern for a in template]), fold)
+
+
+def _step_of(step, bounds: Column, a: Attribute):
+    return lambda s: step(s, bounds, a)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _value_end(text: Column, a: Attribute, at: Column, bounds: Column, stops: list[str], most: int) -> Column:
+    """Where the value that begins at `at` ends."""
+    end = at + F.length(F.regexp_extract(F.substr(text, at + 1), f"({a.pattern})", 1))
+    if a.whole:
+        return end
+
+    def limited(e: Column) -> Column:
+        limit = F.least(bound_after(bounds, e, F.length(text)), at + most)
+        return F.least(limit, F.coalesce(stop_position(text, e, list(stops)), limit)) if stops else limit
+
+    return let(end, limited)
 
 
 def extract_one(text: Column, attribute: Attribute, template: list[Attribute], stops: list[str] = (), most: int = MOST_CHARS) -> Column:
     """The value of one attribute in a short text; null if its anchor is not there, so nothing vague is filled in."""
-    at = found_at(text, attribute.pattern, F.lit(0))
-    end = at + F.length(F.regexp_extract(F.substr(text, at + 1), f"({attribute.pattern})", 1))
-    if not attribute.whole:
-        limit = F.least(bound_after(anchor_bounds(text, [a.pattern for a in template]), end, F.length(text)), at + most)
-        end = F.least(limit, F.coalesce(stop_position(text, end, list(stops)), limit)) if stops else limit
-    return F.nullif(F.trim(F.substr(text, at + 1, end - at)), F.lit(""))
+    bounds = anchor_bounds(text, [a.pattern for a in template])
+    value = lambda at: F.nullif(F.trim(F.substr(text, at + 1, _value_end(text, attribute, at, bounds, stops, most) - at)), F.lit(""))
+    return let(found_at(text, attribute.pattern, F.lit(0)), value)
 
 
 def fill_share(values: Column, required: list[str]) -> Column:

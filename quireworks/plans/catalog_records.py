@@ -235,7 +235,7 @@ def record_texts(t):
 
 @query("""with c as (select conv_id, turn, text as t from conversations where text is not null), a as (select *, case when regexp_matches(t, '[0-9]+') then length(regexp_extract(t, '^(.*?)[0-9]+', 1, 's')) end as pos from c), b as (select *, case when pos is not null then pos + length(regexp_extract(substring(t, pos + 1), '[0-9]+')) end as hi from a),
 d as (select *, coalesce(hi, 0) as cur from b), e as (select *, case when regexp_matches(substring(t, cur + 1), '[xzq]') then cur + length(regexp_extract(substring(t, cur + 1), '^(.*?)[xzq]', 1, 's')) when regexp_matches(t, '[xzq]') and not coalesce(length(regexp_extract(t, '^(.*?)[xzq]', 1, 's')) between pos and hi - 1, false) then length(regexp_extract(t, '^(.*?)[xzq]', 1, 's')) end as w from d),
-f as (select *, regexp_extract(substring(t, w + 2), '^([^xzq0-9]*)', 1, 's') as rest from e)
+f as (select *, regexp_extract(substring(t, w + 2), '^(([0-9]+|.)?[^xzq0-9]*)', 1, 's') as rest from e)
 select conv_id, turn, case when pos is not null then substring(t, pos + 1, hi - pos) end as number, nullif(trim(substring(substring(t, w + 1, 1) || case when contains(rest, ',') then split_part(rest, ',', 1) else rest end, 1, 80), ' '), '') as word from f""")
 def attribute_values(t):
     template = [records.Attribute("number", "[0-9]+", True), records.Attribute("word", "[xzq]")]
@@ -244,7 +244,7 @@ def attribute_values(t):
     return v.select("conv_id", "turn", F.element_at("v", F.lit("number")).alias("number"), F.element_at("v", F.lit("word")).alias("word"))
 
 
-@query("""with c as (select conv_id, turn, text as t, length(regexp_extract(text, '^(.*?)[xzq]', 1, 's')) as w from conversations where regexp_matches(text, '[xzq]')) select conv_id, turn, nullif(trim(substring(t, w + 1, 1) || substring(regexp_extract(substring(t, w + 2), '^([^xzq0-9]*)', 1, 's'), 1, 79), ' '), '') as word from c""")
+@query("""with c as (select conv_id, turn, text as t, length(regexp_extract(text, '^(.*?)[xzq]', 1, 's')) as w from conversations where regexp_matches(text, '[xzq]')) select conv_id, turn, nullif(trim(substring(t, w + 1, 1) || substring(regexp_extract(substring(t, w + 2), '^(([0-9]+|.)?[^xzq0-9]*)', 1, 's'), 1, 79), ' '), '') as word from c""")
 def attribute_one(t):
     template = [records.Attribute("number", "[0-9]+", True), records.Attribute("word", "[xzq]")]
     c = t("conversations").where("text rlike '[xzq]'")

@@ -76,7 +76,8 @@ def test_islands(spark, rows, want):
 
 
 def test_gram_frequency_of_documents_equals_brute_force(spark, tmp_path):
-    from quireworks.plans.catalog import QUERIES
+    from quireworks.plans import catalog  # noqa: F401
+    from quireworks.plans.registry import QUERIES
 
     rows = [(0, "abcabcabd"), (1, "xabcd \n光緒元年"), (2, None), (3, "ab"), (4, "光緒元年 abc" * 40), (5, "zabcz"), (5, "光緒元年"), (6, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -87,3 +88,72 @@ def test_gram_frequency_of_documents_equals_brute_force(spark, tmp_path):
                 seen.setdefault(t[at : at + n], set()).add(k)
     want = {g: len(k) for g, k in seen.items() if len(k) >= 0.2 * 7}
     assert {r.gram: r.pages_hit for r in QUERIES["ngram_df_documents"](spark, str(tmp_path)).collect()} == want
+
+
+def test_maximal_strings_are_joined_at_longest_overlaps(spark):
+    from quireworks.operators.records import maximal_strings
+
+    line = "光緒三十年正月"
+    grams = [line[k : k + n] for n in (3, 4) for k in range(len(line) - n + 1)]
+    got = maximal_strings(spark.createDataFrame([(1, g) for g in grams] + [(2, "abc"), (2, "xyz"), (2, "cde")], "id int, g string"), ["id"], "g")
+    assert sorted((r.id, r.text) for r in got.collect()) == [(1, line), (2, "abcde"), (2, "xyz")]
+
+
+def test_forced_records_alternate(spark):
+    from pyspark.sql import functions as F
+
+    from quireworks.operators.records import record_texts, segment_records
+
+    kinds = ["n", "b", "o", "o", "o", "b", "n", "s", "b", "f", "f"]  # name, body, opens (long enough for a body), suffix, foot
+    rows = spark.createDataFrame([("p", k, kind) for k, kind in enumerate(kinds)], "page string, at int, kind string")
+    is_ = lambda *v: F.col("kind").isin(*v)
+    got = segment_records(rows, "page", "at", is_("n"), is_("b", "o"), is_("s"), is_("o"), is_("x")).orderBy("at").collect()
+    assert [r.is_start for r in got] == [True, False, True, False, True, False, True, False, False, False, False]
+    assert [r.forced for r in got] == [False, False, True, False, True, False, False, False, False, False, False]
+    assert [r.trimmed for r in got] == [False] * 9 + [True, True]
+    texts = record_texts(segment_records(rows, "page", "at", is_("n"), is_("b", "o"), is_("s"), is_("o"), is_("x")), "page", "at", "kind").orderBy("record").collect()
+    assert [(r.name, r.text) for r in texts] == [("n", "nb"), ("", "oo"), ("", "ob"), ("n", "nsb")]
+
+
+def test_constants_that_overlap_are_cut_whole(spark):
+    from pyspark.sql import functions as F
+
+    from quireworks.functions.text import line_numbers, strip_constants
+
+    d = spark.createDataFrame([("xABCyABz", "1，3-5, 4"), ("none", "5-3"), (None, "a")], "t string, spec string")
+    got = d.select(strip_constants(F.col("t"), ["AB", "BC", "Q.*"]).alias("s"), line_numbers(F.col("spec")).alias("n")).collect()
+    assert (got[0].s.text, got[0].s.removed, got[0].n) == ("xyz", ["ABC", "AB"], [1, 3, 4, 5])
+    assert (got[1].s.text, got[1].s.removed, got[1].n) == ("none", [], None) and got[2].n is None
+
+
+def test_attributes_by_anchors(spark):
+    from pyspark.sql import functions as F
+
+    from quireworks.operators.records import Attribute, extract_attributes, extract_one, strip_head_residue
+
+    template = [Attribute("date", "光緒[一二三十]+年", True), Attribute("address", "總號在"), Attribute("capital", "股分")]
+    d = spark.createDataFrame([("時益號光緒三十年創辦總號在北京股分洋銀十萬元每股百元",), ("股分銀總號在津光緒二年",), ("無",)], "t string")
+    got = [r.v for r in d.select(extract_attributes(F.col("t"), template, ["每股"]).alias("v")).collect()]
+    assert got[0] == {"date": "光緒三十年", "address": "總號在北京", "capital": "股分洋銀十萬元"}
+    assert got[1] == {"date": "光緒二年", "address": "總號在津", "capital": "股分銀"} and got[2] == {}
+    one = d.select(extract_one(F.col("t"), template[1], template).alias("v"), strip_head_residue(F.col("t"), "號", "光緒").alias("h")).collect()
+    assert [r.v for r in one] == ["總號在北京", "總號在津", None] and one[0].h.startswith("光緒三十年")
+
+
+def test_quote_verdicts_equal_brute_force(spark):
+    import random
+
+    from quireworks.operators import retrieval, review
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    quotes = ["".join(word() for _ in range(8)) for _ in range(5)] + ["abc", ""]
+    texts = ["".join(word() for _ in range(40)) for _ in range(6)]
+    texts += [texts[0][:50] + quotes[0] + texts[1][:50], texts[2][:50] + quotes[1][:20] + "zz" + quotes[1][22:] + texts[3][:40], texts[4] + "abc"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    c = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "card_id int, text string, ord int")
+    got = {(x.quote_id, x.card_id) for x in retrieval.exact_quotes(q, c).collect()}
+    assert got == {(k, j) for k, a in enumerate(quotes) for j, t in enumerate(texts) if a and a in t}
+    met = retrieval.shared_blocks(q, c)
+    close = {(x.quote_id, x.card_id) for x in met.where(review.quote_ratio("q", "t") >= 0.85).collect()}
+    assert close == {(k, j) for k, a in enumerate(quotes) for j, t in enumerate(texts) if a and review.best_window_ratio(a, t) >= 0.85}
