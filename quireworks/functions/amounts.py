@@ -1,4 +1,9 @@
-"""Chinese amounts as numbers, in liang, by a fold over the characters of the text."""
+"""Chinese amounts as numbers, in liang, by their grammar.
+
+An amount is a sum of parts of a liang (a digit and its unit), and of groups that 萬 (ten thousands) or 兩 (ones)
+closes. A group is a sum of places (a digit and its place; no digit is one) and a last digit. Patterns cut the
+text into these pieces, and each piece is looked up.
+"""
 
 from __future__ import annotations
 
@@ -14,37 +19,40 @@ AMOUNT_RUN = "([一二三四五六七八九十百千萬万零兩两拾仟][一
 SILVER = "[兩两錢钱]"
 
 
+_DIGIT, _PLACE, _PART, _CLOSE = ("[" + "".join(x) + "]" for x in (DIGITS, PLACES, DECIMALS, "萬万兩两"))
+_PIECES = "".join([*DIGITS, *PLACES, *DECIMALS, "萬万兩两"])
+
+
 def _lookup(table: dict[str, float], c: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, float(v)))), c)
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _terms(text: Column, unit: str, table: dict[str, float], no_digit: float) -> Column:
+    """The sum over all digits with a unit behind them; of several digits the last counts."""
+    found = F.regexp_extract_all(text, F.lit(f"({_DIGIT}?{unit})"), F.lit(1))
+    return _sum(F.transform(found, lambda t: F.when(F.length(t) > 1, _lookup(DIGITS, F.left(t, F.lit(1)))).otherwise(no_digit) * _lookup(table, F.right(t, F.lit(1)))))
+
+
+def _group(text: Column) -> Column:
+    last = F.regexp_extract(text, f"({_DIGIT}){_CLOSE}?$", 1)
+    return _terms(text, _PLACE, PLACES, 1.0) + F.coalesce(_lookup(DIGITS, last), F.lit(0.0))
+
+
 def amount(text: Column, keep_rest: bool = False) -> Column:
-    """The number, or null if nothing above 0 was read. keep_rest adds what stands after the last unit (兩千 is then 2000, else null)."""
-    chars = F.split(F.concat(text, F.lit("\u0000")), "")
-    steps = F.transform(F.slice(chars, F.lit(1), F.size(chars) - 1), lambda c, i: F.struct(c.alias("c"), F.get(chars, i + 1).alias("after")))
-    none = F.lit(None).cast("double")
-
-    def state(total: Column, section: Column, digit: Column) -> Column:
-        return F.struct(total.cast("double").alias("total"), section.cast("double").alias("section"), digit.cast("double").alias("digit"))
-
-    def step(s: Column, x: Column) -> Column:
-        c, held = x["c"], F.coalesce(s["digit"], F.lit(0.0))
-        digit, place, part = _lookup(DIGITS, c), _lookup(PLACES, c), _lookup(DECIMALS, c)
-        return (
-            F.when(digit.isNotNull(), state(s["total"], s["section"], digit))
-            .when(place.isNotNull(), state(s["total"], s["section"] + F.coalesce(s["digit"], F.lit(1.0)) * place, none))
-            .when(c.isin("萬", "万"), state(s["total"] + (s["section"] + held) * 10000, F.lit(0.0), none))
-            .when(c.isin("兩", "两") & x["after"].isin(*PLACES), state(s["total"], s["section"], F.lit(2.0)))
-            .when(c.isin("兩", "两"), state(s["total"] + s["section"] + held, F.lit(0.0), none))
-            .when(part.isNotNull() & s["digit"].isNotNull(), state(s["total"] + s["digit"] * part, s["section"], none))
-            .otherwise(s)
-        )
-
-    def end(s: Column) -> Column:
-        whole = s["total"] + (s["section"] + F.coalesce(s["digit"], F.lit(0.0)) if keep_rest else F.lit(0.0))
-        return F.when(whole > 0, whole)
-
-    return F.aggregate(steps, state(F.lit(0.0), F.lit(0.0), none), step, end)
+    """The number, or null if nothing above 0 was read. Characters that no amount has are skipped. keep_rest adds the group that nothing closes (兩千 is then 2000, else null)."""
+    two = F.regexp_replace(text, f"[兩两](?={_PLACE})", "二")  # before a place it is the digit two
+    pieces = F.regexp_replace(two, f"[^{_PIECES}]", "")
+    parts = _terms(pieces, _PART, DECIMALS, 0.0)
+    groups = F.regexp_replace(pieces, f"{_DIGIT}*{_PART}", "")
+    closed = F.regexp_extract_all(groups, F.lit(f"([^萬万兩两]*{_CLOSE})"), F.lit(1))
+    whole = _sum(F.transform(closed, lambda g: _group(g) * F.when(F.right(g, F.lit(1)).isin("萬", "万"), 10_000.0).otherwise(1.0))) + parts
+    if keep_rest:
+        whole = whole + _group(F.regexp_extract(groups, "([^萬万兩两]*)$", 1))
+    return F.when(whole > 0, whole)
 
 
 def amount_runs(text: Column) -> Column:

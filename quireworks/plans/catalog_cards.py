@@ -186,11 +186,11 @@ def _digit(c):
     return F.translate(c.cast("string"), "0123456789", DIGITS)
 
 
-@query("select p_partkey as k, ((1 + p_partkey % 9) * 10000 + (1 + p_size % 9) * 1000 + (1 + p_partkey % 7) * 100 + (1 + p_size % 5) * 10 + (1 + p_partkey % 3))::double + (1 + p_size % 8) / 10.0 as value from part")
+@query("select k, round(value, 4) as value from (select p_partkey as k, ((1 + p_partkey % 9) * 10000 + (1 + p_size % 9) * 1000 + (1 + p_partkey % 7) * 100 + (1 + p_size % 5) * 10 + (1 + p_partkey % 3))::double + (1 + p_size % 8) / 10.0::double as value from part)")
 def amount_values(t):
     d = lambda c, n: _digit(1 + F.col(c) % n)
     text = F.concat(d("p_partkey", 9), F.lit("萬"), d("p_size", 9), F.lit("千"), d("p_partkey", 7), F.lit("百"), d("p_size", 5), F.lit("十"), d("p_partkey", 3), F.lit("兩"), d("p_size", 8), F.lit("錢"))
-    return t("part").select(F.col("p_partkey").alias("k"), A.amount(text).alias("value"))
+    return t("part").select(F.col("p_partkey").alias("k"), F.round(A.amount(text), 4).alias("value"))
 
 
 @query("select p_partkey as k, ((1 + p_size % 9) * 1000)::double as with_rest, null::double as without_rest from part")

@@ -14,7 +14,7 @@ def one(spark, column, **values):
     return df.select(column.alias("r")).first().r
 
 
-@pytest.mark.parametrize("raw, plain, kept", [("五十九萬七千三百十二兩九錢一分三厘", 597312.913, 597312.913), ("兩千", None, 2000.0), ("三兩", 3.0, 3.0), ("", None, None), ("錢分", None, None)])
+@pytest.mark.parametrize("raw, plain, kept", [("五十九萬七千三百十二兩九錢一分三厘", 597312.913, 597312.913), ("兩千", None, 2000.0), ("三兩", 3.0, 3.0), ("三百零五兩", 305.0, 305.0), ("十萬", 100000.0, 100000.0), ("五十錢三兩", 53.0, 53.0), ("存洋二 千兩x四錢", 2000.4, 2000.4), ("二萬兩千五", 20000.0, 22005.0), ("百", None, 100.0), ("", None, None), ("錢分", None, None)])
 def test_amounts(spark, raw, plain, kept):
     for keep, want in ((False, plain), (True, kept)):
         got = one(spark, amounts.amount(F.col("t"), keep), t=raw)
