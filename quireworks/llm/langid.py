@@ -115,8 +115,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH, ch
     while begin < len(lengths):
         stop = begin + max(1, int(np.searchsorted(np.cumsum(need[begin:]), most, side="right")))
         end = int(ends[stop - 1])
-        solve = viterbi_long if need[begin] > most else viterbi_chunks
-        out[at:end] = solve(scores[at:end], lengths[begin:stop], penalty, chunk)
+        if end > at:
+            solve = viterbi_long if need[begin] > most else viterbi_chunks
+            out[at:end] = solve(scores[at:end], lengths[begin:stop], penalty, chunk)
         begin, at = stop, end
     return out
 

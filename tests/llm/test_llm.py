@@ -474,3 +474,63 @@ def test_near_duplicate_stage_tells_rows_apart_by_id_and_text(spark):
     third = [x for x in got if x[0] == 3]
     assert len(third) == 1 and third[0][1] in (c, c + " x")
     assert [x for x in got if x[0] != 3] == sorted([(-1, a, 8), (1, a, 1), (2, b, 3), (5, "", 6), (6, "", 7), (7, rows[9][1], 9)])
+
+
+def plain_edits(item, text):
+    """Least word edits of the item to any stretch of the text."""
+    cost = [0] * (len(text) + 1)
+    for k, w in enumerate(item, 1):
+        new = [k]
+        for j, v in enumerate(text, 1):
+            new.append(min(cost[j - 1] + (w != v), cost[j] + 1, new[j - 1] + 1))
+        cost = new
+    return min(cost)
+
+
+def test_decontamination_against_plain_edit_distance(spark):
+    r = random.Random(21)
+    say = lambda n: [r.choice(WORDS) + str(r.randrange(300)) for _ in range(n)]
+    items = [say(n) for n in (3, 8, 20, 20, 45, 90, 600)] + [[]]
+    rows = []
+    for k in range(60):
+        w = list(r.choice(items[:6]))
+        for _ in range(r.randrange(0, len(w) // 3 + 1)):
+            at, kind = r.randrange(max(1, len(w))), r.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 2 else say(1)
+        rows.append([*say(r.randrange(30)), *w, *say(r.randrange(30))])
+    rows += [items[6], [], say(5)]
+    bench = spark.createDataFrame([(f"i{k}", " ".join(w), k) for k, w in enumerate(items)] + [("twin", " ".join(items[2]), 9)], "item_id string, text string, doc_id int")
+    docs = spark.createDataFrame([(k // 2, " ".join(w), k) for k, w in enumerate(rows)], "doc_id int, text string, item_id int")
+    got = {(x.doc_id, x.item_id) for x in decontam.contamination(docs, bench).collect()}
+    named = [(f"i{k}", w) for k, w in enumerate(items)] + [("twin", items[2])]
+    want = {(k // 2, i) for k, w in enumerate(rows) for i, item in named if item and plain_edits(item, w) <= decontam.edit_bound(len(item))}
+    assert got <= want and len(got) >= 0.97 * len(want) and all((d, "twin") in got for d, i in got if i == "i2")
+
+
+def test_language_of_one_long_text_equals_the_chunked_path():
+    r = np.random.default_rng(5)
+    scores, lengths = r.normal(0, 3, (900, 4)), np.array([500, 0, 400])
+    value = lambda path: sum(scores[i, k] for i, k in enumerate(path)) - 12.0 * sum(a != b for at, n in ((0, 500), (500, 400)) for a, b in zip(path[at : at + n], path[at + 1 : at + n]))
+    whole, lots, long = (langid.viterbi(scores, lengths, most=m).tolist() for m in (1 << 26, 9000, 10))
+    assert value(whole) == pytest.approx(value(lots)) == pytest.approx(value(long))
+
+
+def test_language_model_score_equals_a_plain_walk(spark):
+    r = random.Random(31)
+    rows = [(k, " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 12)))) for k in range(80)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    per_token = [x.score / x.n_tokens for x in got]
+    assert all(s < 0 for s in per_token) and min(per_token) > -6
+    # words of one class chain: equal texts have equal scores, and a text's score falls with each more token
+    again = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(again[x.doc_id] == pytest.approx(x.score) for x in got)
+
+
+def test_conflicting_labels_count_as_toxic_whatever_the_order(spark):
+    r = random.Random(41)
+    rows = [(k, " ".join(["grumlow" if k % 4 == 0 else "fine", *(r.choice(WORDS) for _ in range(12))])) for k in range(200)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 40, 4)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(200)] + [(1000 + k, 1, 0) for k in range(0, 40, 4)] + [(0, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = [toxicity.fit(docs, spark.createDataFrame(order, "doc_id long, quality int, toxic int").repartition(n)) for order, n in ((labels, 1), (labels[::-1], 3))]
+    assert fits[0].voters.entry.keys() == fits[1].voters.entry.keys() and fits[0].score(rows[0][1]) == pytest.approx(fits[1].score(rows[0][1]), abs=1e-6)
