@@ -125,14 +125,13 @@ def attach(rows: DataFrame, values: DataFrame, key: str, column: str, n_rows: in
     """rows with `column` of values(key, column, copies: the rows that have the key), null where there is none; column is never null in values.
 
     Values of hot keys are broadcast: fewer than 1 / HOT_SHARE rows, as their copies add up to n_rows at most.
-    Their rows and those without a key get a salt of their own (by the column `spread`), so that the shuffle
-    of the join deals them over all tasks.
+    Their rows and those without a key take a stand-in for their key (a hash of the column `spread`) into the
+    shuffle of the join, which deals them over all tasks; a mark keeps a stand-in from meeting a key by chance.
     """
     is_hot = F.col("copies") > max(1, int(n_rows * HOT_SHARE))
     hot = values.where(is_hot).select(F.col(key).alias("_hot_key"), F.col(column).alias("_hot_value"))
-    rest = values.where(~is_hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_salt"), F.col(column).alias("_value"))
-    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_own_salt", F.when(F.col("_hot_value").isNotNull() | F.col(key).isNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("long"))
-    )
-    met = salted.join(rest, (F.coalesce(F.col(key), F.lit(0).cast(rows.schema[key].dataType)) == F.col("_key")) & (F.col("_own_salt") == F.col("_salt")), "left")
+    rest = values.where(~is_hot).select(F.col(key).alias("_key"), F.col(column).alias("_value"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_dealt", F.col("_hot_value").isNotNull() | F.col(key).isNull())
+    placed = marked.withColumn("_place", F.when(F.col("_dealt"), F.xxhash64(spread).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
+    met = placed.join(rest, (F.col("_place") == F.col("_key")) & ~F.col("_dealt"), "left")
     return met.select(*(F.col(c) for c in rows.columns), F.coalesce("_hot_value", "_value").alias(column))
