@@ -39,7 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by id and text, so one that shares its id with a copy stays if its text is no copy. Of
     rows equal in id and text, the one with the least hash of all columns stays. Rows without an id stay.
-    Only rows that may be among those that go, or that occur again, are shuffled with their texts.
+    Only rows that may be among those that go, or that occur again, are shuffled with their texts. Other
+    columns may have any name.
     """
     found = durable(setjoin.near_duplicates(docs).where("doc_id is not null").select("doc_id", "text_hash", "component_id", "set_group"), "components")
     leads = found.where("doc_id = component_id and set_group is not null").groupBy("doc_id", "set_group").agg(F.min("text_hash").alias("stays"), F.max("text_hash").alias("last")).where("stays <> last")
@@ -49,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = lambda doc_id, text_hash: F.xxhash64(doc_id, text_hash)
     own_hash = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
     may = may_hold(gone.unionByName(again).select(row("doc_id", "text_hash").alias("row")), "row", row("doc_id", own_hash))
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", own_hash.alias("text_hash"), (may & F.col("doc_id").isNotNull()).alias("may"))
+    whole = docs.select(F.struct(*(f"`{c.replace('`', '``')}`" for c in docs.columns)).alias("whole"), "doc_id", own_hash.alias("text_hash"), (may & F.col("doc_id").isNotNull()).alias("may"))
     kept = whole.where("may").join(gone, ["doc_id", "text_hash"], "left_anti").groupBy("doc_id", "text_hash").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
     return whole.where("not may").select("whole.*").unionByName(kept.select("whole.*"))
 
