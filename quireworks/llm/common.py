@@ -42,10 +42,10 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quireworks/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quireworks.llm.common import table
-from quireworks.llm import decontam, langid, lm, packing, setjoin, sharding, tokens, toxicity, vafile, warc
+from quireworks.llm import align, decontam, divergence, langid, lm, packing, setjoin, sharding, tokens, toxicity, vafile, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,20 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_warc, op5_token_counts, op6_sharding, op7_set_join, op8_language, op9_language_model, op10_vector_search)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_toxicity, op3_decontamination, op4_warc, op5_token_counts, op6_sharding, op7_set_join, op8_language, op9_language_model, op10_vector_search,
+        op12_source_divergence, op13_token_alignment,
+    )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +102,24 @@ ORACLE_SQL: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op12_source_divergence": r"""
+        with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+        w as (select r, lang, source, unnest(ws) as term from d),
+        kept as (select lang, term, count(*)::hugeint as n from w group by 1, 2 having count(distinct r) >= 3),
+        c as (select lang, source, term, count(*)::hugeint as n from w join kept using (lang, term) group by 1, 2, 3),
+        v as (select lang, count(*)::hugeint as v, sum(n)::hugeint as nl from kept group by 1),
+        g as (select lang, source, coalesce(sum(n), 0)::hugeint as ng from (select distinct lang, source from d) left join c using (lang, source) group by 1, 2),
+        p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                     1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (ng + v.v) as p,
+                     1 + (1000000000::hugeint * (k.n + 1)) // (nl + v.v) as q
+              from g join kept k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+              from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+        u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+              from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+              union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from u)
+        select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 200""",
 }
