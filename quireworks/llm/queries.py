@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quireworks.llm.common import table
-from quireworks.llm import align, decontam, divergence, langid, lm, packing, setjoin, sharding, tokens, toxicity, vafile, warc
+from quireworks.llm import align, decontam, divergence, langid, lm, packing, repeats, setjoin, sharding, tokens, toxicity, vafile, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_toxicity, op3_decontamination, op4_warc, op5_token_counts, op6_sharding, op7_set_join, op8_language, op9_language_model, op10_vector_search,
-        op12_source_divergence, op13_token_alignment,
+        op11_suffix_dedup, op12_source_divergence, op13_token_alignment,
     )
 } | {"pipeline": corpus_pipeline.run}
 
