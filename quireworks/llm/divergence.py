@@ -1,8 +1,9 @@
 """How far the sources of a language diverge in their words: wide term vectors.
 
-Words are counted by (language, source, term), each term of a language is pivoted into one array with a place for
-every source of that language, and higher-order functions turn that array into the contributions of all pairs of
-sources, which are added up before they are shuffled. No Python runs on the way.
+Words are counted by (language, source, term), each term of a language is pivoted into one array indexed by the
+sources of that language, and higher-order functions turn that array into the contributions of pairs of
+sources, which are added up before they are shuffled. Places where a source lacks the term all have one value, so
+arrays hold the others, and what is left out is added by count. No Python runs on the way.
 
 Measures. With N a group's words among the V kept terms of its language, a count c gives
 p = 1 + floor(SCALE * (c + 1) / (N + V)); the divergence of p from q is the sum over terms of floor((p - q)^2 / q),
@@ -32,21 +33,22 @@ LEAST_DOCS, TERMS_SHOWN, STEP = 3, 200, 1000
 #: Groups (languages with their sources) whose table goes to all tasks, and salts of a language beyond.
 GROUPS_BROADCAST, SALTS = 100_000, 64
 
-_WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text in order: runs of A-Z, a-z and characters beyond ASCII, only A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    """The words of a text: runs of A-Z, a-z and characters beyond ASCII, only A-Z lower-cased. Texts at their ends may give empty words besides."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), _BETWEEN)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that hold it). Words of a row are sorted, so the first of equal ones counts the row."""
-    words = docs.select("lang", "source", F.array_sort(words_of(F.col("text"))).alias("words"))
-    marked = F.transform("words", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (w != F.get("words", i - 1))).cast("int").alias("first")))
-    rows = words.select("lang", "source", F.explode(marked).alias("w"))
-    return rows.groupBy("lang", "source", F.col("w.term").alias("term")).agg(F.count("*").alias("n"), F.sum("w.first").alias("docs"))
+    """lang, source, term, n (occurrences), docs (rows that hold it). Words of a row are sorted and paired with the one before, so the first of equal ones counts the row."""
+    words = docs.select("lang", "source", F.sort_array(words_of(F.col("text"))).alias("words"))
+    before = F.concat(F.array(F.lit("")), "words")
+    rows = words.select("lang", "source", F.inline(F.arrays_zip(F.col("words").alias("term"), before.alias("before")))).where("term <> ''")
+    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
 def probability(count: Column, total: Column) -> Column:
@@ -101,23 +103,44 @@ def audit(docs: DataFrame, broadcast: int = GROUPS_BROADCAST) -> DataFrame:
     known = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     kept, languages = vectors(known)
     n_groups = languages.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0]
-    by_source = F.map_from_entries("counts")
-    wide = with_language(kept, languages, n_groups, broadcast).withColumn("n", F.transform("sources", lambda s, _: F.coalesce(F.try_element_at(by_source, s), F.lit(0).cast("long"))))
-    wide = wide.withColumn("p", F.zip_with("n", "totals", probability))
-    wide = wide.withColumn("q", probability(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x), F.col("total")))
-
-    places = F.sequence(F.lit(0), F.size("sources") - 1)
-    parts = F.transform(places, lambda i: F.transform(F.col("p"), lambda q: gap(F.get("p", i), q)))
-    one = wide.select("lang", F.posexplode(parts).alias("i", "row")).select("lang", "i", F.posexplode("row").alias("j", "f")).where("i <> j")
-    sums = one.groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))
-    cells = languages.select("lang", F.posexplode("sources").alias("i", "source"), "sources").select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
-    pairs = cells.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
-
-    each = wide.select("lang", "term", "q", F.explode(F.arrays_zip("sources", "n", "p")).alias("x")).where((F.col("x.n") > 0) & (F.col("x.p") > F.col("q")))
-    terms = each.select("lang", F.col("x.sources").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("x.p"), F.col("q")).alias("value"))
+    by_place = F.transform("counts", lambda c: F.struct((F.array_position("sources", c["source"]) - 1).cast("int").alias("i"), c["n"].alias("n")))
+    wide = with_language(kept, languages, n_groups, broadcast).withColumn("v", by_place)
+    with_p = F.transform("v", lambda c: F.struct(c["i"].alias("i"), probability(c["n"], F.get("totals", c["i"])).alias("p")))
+    q = probability(F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.col("total"))
+    wide = durable(wide.select("lang", "term", with_p.alias("v"), q.alias("q")), "wide-vectors")
+    pairs = pair_values(wide, languages)
+
+    each = wide.select("lang", "term", "q", F.inline("v")).where(F.col("p") > F.col("q"))
+    named = with_language(each, languages.select("lang", "sources"), n_groups, broadcast)
+    terms = named.select("lang", F.get("sources", "i").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     return ranked(pairs).unionByName(ranked(terms, TERMS_SHOWN))
 
 
+def pair_values(wide: DataFrame, languages: DataFrame) -> DataFrame:
+    """lang, source, part, item, value for all pairs of sources, from vectors(lang, v: array of (i, p) at the places with occurrences).
+
+    A place without occurrences has the p of count 0, which is one number for a source. So a pair's sum is that of
+    two vectors without any occurrence, plus what changes where the one source has the term (a histogram of its p
+    is enough), plus the same for the other, plus what changes where both have it. Only the last is emitted by terms.
+    """
+    zero = languages.select("lang", "sources", "terms", F.transform("totals", lambda x: probability(F.lit(0).cast("long"), F.greatest(x, F.lit(1).cast("long")))).alias("zero"))
+    f = lambda p, q: gap(F.col(p), F.col(q))
+    cells = zero.select("lang", "sources", "terms", "zero", F.posexplode("zero").alias("i", "zi")).select("*", F.posexplode("zero").alias("j", "zj")).where("i <> j")
+    cells = cells.select("lang", "i", "j", "zi", "zj", F.get("sources", "i").alias("source"), F.get("sources", "j").alias("item"), "terms")
+    seen = durable(wide.select("lang", F.inline("v")).groupBy("lang", "i", "p").agg(F.count("*").alias("n")), "vector-histograms")
+    near = cells.select("lang", "i", "j", "zi", "zj")
+    one = near.join(seen, ["lang", "i"]).groupBy("lang", "i", "j").agg(F.sum(F.col("n") * (f("p", "zj") - f("zi", "zj"))).alias("value"))
+    other = near.join(seen.withColumnRenamed("i", "j"), ["lang", "j"]).groupBy("lang", "i", "j").agg(F.sum(F.col("n") * (f("zi", "p") - f("zi", "zj"))).alias("value"))
+    met = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["p"].alias("p"), b["p"].alias("q")))))
+    both = wide.select("lang", F.inline(met)).where("i <> j").groupBy("lang", "i", "j", "p", "q").agg(F.count("*").alias("n"))
+    change = f("p", "q") - f("p", "zj") - f("zi", "q") + f("zi", "zj")
+    both = both.join(F.broadcast(near), ["lang", "i", "j"]) if near.count() <= GROUPS_BROADCAST else both.join(near, ["lang", "i", "j"])
+    both = both.groupBy("lang", "i", "j").agg(F.sum(F.col("n") * change).alias("value"))
+    sums = one.unionByName(other).unionByName(both).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    whole = F.col("terms") * f("zi", "zj") + F.coalesce("value", F.lit(0).cast("long"))
+    return cells.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", whole.alias("value"))
+
+
 def ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
     """rows with their rank in (lang, source, part). A limit is put on every task's rows before the shuffle, so a group's rows are not gathered whole."""
     from pyspark.sql import Window
