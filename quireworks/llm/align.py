@@ -8,15 +8,16 @@ product of its two lists of ids expands to the pairs that the group aligns.
 `alignment` gives the groups themselves, `products` the corpus-wide table of id pairs that groups align, `digests`
 figures of each text against the corpus-wide counts of linked pairs.
 
-How the counts reach the texts. A first pass writes each text's ids and gives (pair, links) already added up by
+How the counts reach the texts. A first pass writes each text's links and gives (pair, links) already added up by
 tasks; pairs are shuffled once, by id pair. The most frequent pairs (PAIRS_HELD at most) go to all tasks of a
 second pass; links of other pairs, none of them frequent, meet their counts in a join. So no table grows in a
 task, and the second pass makes no ids anew.
 
 Defined cases: a text that is null or empty, or whose token bytes on either side are not its own (a tokenizer that
 normalises), has no tokens, no groups and no links; special strings in a text are plain text; a repeated row
-counts again; ties of the highest count all count as best; long texts are encoded in stretches cut between two
-words, where neither tokenizer has a token across; an empty table gives an empty result; other columns are ignored.
+counts again; ties of the highest count all count as best; an empty table gives an empty result; other columns are ignored. Texts,
+long ones too, are cut at single spaces between words, where neither tokenizer has a token across: both sides
+have an end there, so a text's groups are those of its words, and a word that comes again is not encoded again.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ from pyspark.sql import types as T
 from quireworks.llm.common import durable, gives_back, small_batches
 from quireworks.llm.tokens import byte_alphabet
 
-#: Most frequent pairs handed to every task (17 bytes each); links whose pairs a task gathers before it adds them up; characters of a long text encoded at once.
-PAIRS_HELD, FLUSH_LINKS, STRETCH = 1_000_000, 4_000_000, 200_000
+#: Most frequent pairs handed to every task (17 bytes each); links whose pairs a task gathers before it adds them up.
+PAIRS_HELD, FLUSH_LINKS = 1_000_000, 4_000_000
+#: Characters of a word that is remembered, and bytes of all remembered words of a worker, about; characters encoded at once.
+WORD_CHARS, WORDS_BYTES, ENCODED_CHARS = 64, 128 << 20, 200_000
 
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_STRAY = re.compile(r"\s\s|\s\Z|\A\s|[^\S ] | [^\S ]")
 
 
 class ByteLevel:
@@ -79,16 +83,22 @@ def tokenizer(name: str) -> ByteLevel | Pieces:
     return ByteLevel(path) if name.endswith(".json") else Pieces(path)
 
 
-def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
-    """The text in parts of about `size` characters, cut at single spaces between ASCII letters or digits; each side puts that space before the next part."""
-    at = 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if not cut:
-            break
-        yield text[at : cut.start()]
-        at = cut.end()
-    yield text[at:]
+def words(text: str) -> list[str]:
+    """The text in parts, cut at single spaces that stand between other characters; each tokenizer puts that space before the next part."""
+    return _CUT.split(text) if _STRAY.search(text) else text.split(" ")
+
+
+def lots(parts: list[str], size: int | None = None) -> Iterator[str]:
+    """Parts joined again by spaces, so many that a joined text has `size` characters, or one more part."""
+    held, chars = [], 0
+    for part in parts:
+        held.append(part)
+        chars += len(part) + 1
+        if chars >= (size or ENCODED_CHARS):
+            yield " ".join(held)
+            held, chars = [], 0
+    if held:
+        yield " ".join(held)
 
 
 class Sides:
@@ -101,20 +111,23 @@ class Sides:
         self.digits = [np.array([str(k) for k in range(len(side.bytes))], f"S{self.width}").view(np.uint8).reshape(-1, self.width) for side in self.both]
         self.n_digits = [np.count_nonzero(d, axis=1) for d in self.digits]
 
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of either side for a space and the text; None if either side's bytes are others."""
+        want, found = (" " + text).encode(), []
+        for side in self.both:
+            ids = side.ids(text)
+            if b"".join(map(side.bytes.__getitem__, ids)) != want:
+                return None
+            found.append(np.array(ids, np.int32))
+        return found[0], found[1]
+
     def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of either side; none on both if either side's bytes are not those of the text."""
-        none = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        if not text:
-            return none
-        found: tuple[list[int], list[int]] = ([], [])
-        for part in stretches(text):
-            want = (" " + part).encode()
-            for side, out in zip(self.both, found):
-                ids = side.ids(part)
-                if b"".join(map(side.bytes.__getitem__, ids)) != want:
-                    return none
-                out += ids
-        return np.array(found[0], np.int32), np.array(found[1], np.int32)
+        none = np.zeros(0, np.int32)
+        parts = [self.encode(part) for part in lots(words(text))] if text else []
+        if not parts or any(p is None for p in parts):
+            return none, none
+        return tuple(np.concatenate(side) for side in zip(*parts))
 
     def overlaps(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each elementary interval: its owner of either side (a position), and whether both end there."""
@@ -137,6 +150,77 @@ class Sides:
         return flat[flat != 0].tobytes()[:-1]
 
 
+class Words:
+    """What each word of a text adds: its tokens on either side, its links as numbers a * (ids of B) + b, its groups in writing; None for a word that a side does not give back."""
+
+    def __init__(self, sides: Sides):
+        self.sides, self.n_second = sides, len(sides.lengths[1])
+        self.number = np.dtype("<u4") if len(sides.lengths[0]) * self.n_second < 1 << 32 else np.dtype("<i8")
+        self.known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[int, int, bytes, bytes] | None] = {}  # an older generation: words that come again are taken over
+        self.held = 0
+
+    def entries(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes, bytes] | None]]:
+        """The entries of each text's words; new words of all texts are encoded together."""
+        parts = [words(t) if t else [] for t in texts]
+        if self.held > WORDS_BYTES / 2:
+            self.before, self.known, self.held = self.known, {}, 0
+        passing: dict[str, tuple[int, int, bytes, bytes] | None] = {}
+        new, chars = [], 0
+        for w in set().union(*parts).difference(self.known):
+            if w in self.before:
+                self.add(w, self.before[w])
+            elif len(w) > WORD_CHARS:
+                passing[w] = self.one(w)
+            elif w[0].isspace() or w[-1].isspace():
+                self.add(w, self.one(w))
+            else:
+                new.append(w)
+                chars += len(w) + 1
+                if chars > ENCODED_CHARS:
+                    self.learn(new)
+                    new, chars = [], 0
+        if new:
+            self.learn(new)
+        for p in parts:
+            yield [self.known[w] if w in self.known else passing[w] for w in p] if passing else list(map(self.known.__getitem__, p))
+
+    def add(self, word: str, entry: tuple[int, int, bytes, bytes] | None) -> None:
+        self.known[word] = entry
+        self.held += 300 + len(word) + (len(entry[2]) + len(entry[3]) if entry else 0)
+
+    def one(self, word: str) -> tuple[int, int, bytes, bytes] | None:
+        both = self.sides.encode(word)
+        if both is None:
+            return None
+        a, b = both
+        own_a, own_b, shared = self.sides.overlaps(a, b)
+        return len(a), len(b), self.links(a, b, own_a, own_b).tobytes(), self.sides.written(a, b, own_a[shared], own_b[shared])
+
+    def links(self, a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray) -> np.ndarray:
+        return (a[own_a].astype(np.int64) * self.n_second + b[own_b]).astype(self.number)
+
+    def learn(self, new: list[str]) -> None:
+        """Entries of many words from one encoding of them all; one by one if that does not give back its bytes."""
+        both = self.sides.encode(" ".join(new))
+        if both is None:
+            for w in new:
+                self.add(w, self.one(w))
+            return
+        a, b = both
+        own_a, own_b, shared = self.sides.overlaps(a, b)
+        last = np.cumsum([1 + len(w.encode()) for w in new])
+        ends_a = np.cumsum(self.sides.lengths[0][a])
+        ends = np.minimum(ends_a[own_a], np.cumsum(self.sides.lengths[1][b])[own_b])  # an interval ends with the first of its owners
+        upto = lambda x: np.searchsorted(x, last, side="right").tolist()
+        cut_a, cut_b, cut_links, cut_groups = upto(ends_a), upto(np.cumsum(self.sides.lengths[1][b])), upto(ends), upto(ends[shared])
+        links, groups, size = self.links(a, b, own_a, own_b).tobytes(), self.sides.written(a, b, own_a[shared], own_b[shared]).split(b";"), self.number.itemsize
+        na = nb = nl = ng = 0
+        for w, xa, xb, xl, xg in zip(new, cut_a, cut_b, cut_links, cut_groups):
+            self.add(w, (xa - na, xb - nb, links[nl * size : xl * size], b";".join(groups[ng:xg])))
+            na, nb, nl, ng = xa, xb, xl, xg
+
+
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind))
@@ -176,36 +260,39 @@ def products(docs: DataFrame, first: str = "byte_bpe_50k.json", second: str = "p
 
 
 def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """Two kinds of rows, written once: of each text (pair null) its ids and figures; of each pair (doc_id null) the links that a task gathered."""
+    """Two kinds of rows, written once: of each text (pair null) its figures and its links as numbers; of each pair (doc_id null) the links that a task gathered."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
-    names = ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ids_a", "ids_b", "pair", "links"]
-    kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "linked", "pair", "links"]
+    kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, kept, held, id_kind = None, [], 0, None
+        known, kept, held, id_kind = None, [], 0, None
 
         def added() -> pa.RecordBatch:
             pair, links = np.unique(np.concatenate(kept), return_counts=True)
-            none = [pa.nulls(len(pair), t) for t in (id_kind, *kinds[:8])]
-            return pa.RecordBatch.from_arrays([*none, pa.array(pair), pa.array(links.astype(np.int64))], names)
+            none = [pa.nulls(len(pair), t) for t in (id_kind, *kinds[:7])]
+            return pa.RecordBatch.from_arrays([*none, pa.array(pair.astype(np.int64)), pa.array(links.astype(np.int64))], names)
 
         for batch in batches:
-            sides, id_kind = sides or Sides(first, second), batch.schema.field("doc_id").type
-            cols: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
-                a, b = sides.ids(text)
-                own_a, own_b, shared = sides.overlaps(a, b)
-                digest = hashlib.sha256(sides.written(a, b, own_a[shared], own_b[shared])).hexdigest() if len(a) else ""
-                for col, value in zip(cols, (len(a), len(b), int(shared.sum()), len(own_a), digest, a.astype("<i4").tobytes(), b.astype("<i4").tobytes())):
+            known, id_kind = known or Words(Sides(first, second)), batch.schema.field("doc_id").type
+            cols: list[list] = [[] for _ in range(6)]
+            for entries in known.entries(batch.column("text").to_pylist()):
+                if not entries or None in entries:
+                    row = (0, 0, 0, 0, "", b"")
+                else:
+                    na, nb, links, groups = zip(*entries)
+                    linked, written = b"".join(links), b";".join(groups)
+                    row = (sum(na), sum(nb), written.count(b";") + 1, len(linked) // known.number.itemsize, hashlib.sha256(written).hexdigest(), linked)
+                    kept.append(np.frombuffer(linked, known.number))
+                    held += row[3]
+                for col, value in zip(cols, row):
                     col.append(value)
-                kept.append(a[own_a].astype(np.int64) * len(sides.lengths[1]) + b[own_b])
-                held += len(own_a)
                 if held > FLUSH_LINKS:
                     yield added()
                     kept, held = [], 0
             n = batch.num_rows
-            rest = [pa.array(c, t) for c, t in zip(cols, (*kinds[1:5], pa.string(), pa.binary(), pa.binary()))]
+            rest = [pa.array(c, t) for c, t in zip(cols, kinds[1:7])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *rest, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         if held:
             yield added()
@@ -213,7 +300,7 @@ def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
     source = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     return source.mapInArrow(
         gives_back(run),
-        f"doc_id {id_type.simpleString()}, row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, ids_a binary, ids_b binary, pair bigint, links bigint",
+        f"doc_id {id_type.simpleString()}, row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, linked binary, pair bigint, links bigint",
     )
 
 
@@ -248,30 +335,28 @@ def digests(docs: DataFrame, first: str = "byte_bpe_50k.json", second: str = "pi
     links, groups_sha256 is the digest of `a1,a2|b1;a3|b2,b3`, empty without tokens.
     """
     spark = docs.sparkSession
-    n_second = len(tokenizer(second).bytes)
+    n_first, n_second = len(tokenizer(first).bytes), len(tokenizer(second).bytes)
     found = durable(encoded(docs, first, second), "alignments", compression="zstd")
     counts = durable(pair_counts(found, n_second), "pair-counts")
     known, least = frequent(counts, held)
     shared = spark.sparkContext.broadcast((known["pair"], known["links"], known["best"]))
+    number = "<u4" if n_first * n_second < 1 << 32 else "<i8"
     texts = found.where("pair is null").drop("pair", "links")
-    names = [f.name for f in texts.schema if not f.name.startswith("ids_")]
+    names = [f.name for f in texts.schema if f.name != "linked"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = None
         for batch in batches:
-            sides = sides or Sides(first, second)
             pairs, links, best = shared.value
             n_best, count_sum, rare, times = [], [], [], []
-            for raw_a, raw_b in zip(batch.column("ids_a"), batch.column("ids_b")):
-                a, b = (np.frombuffer(x.as_buffer(), "<i4") for x in (raw_a, raw_b))
-                own_a, own_b, _ = sides.overlaps(a, b)
-                pair, n = np.unique(a[own_a].astype(np.int64) * n_second + b[own_b], return_counts=True)
+            for raw in batch.column("linked"):
+                pair = np.frombuffer(raw.as_buffer(), number).astype(np.int64)
                 at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
                 hit = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
-                n_best.append(int(n[hit][best[at[hit]]].sum()))
-                count_sum.append(int((n[hit] * links[at[hit]]).sum()))
-                rare.append(pair[~hit])
-                times.append(n[~hit].astype(np.int64))
+                n_best.append(int(np.count_nonzero(best[at[hit]])))
+                count_sum.append(int(links[at[hit]].sum()))
+                some, n = np.unique(pair[~hit], return_counts=True)
+                rare.append(some)
+                times.append(n.astype(np.int64))
             made = [pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), _lists(rare, pa.int64()), _lists(times, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, "n_best", "count_sum", "rare", "times"])
 

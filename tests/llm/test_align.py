@@ -59,17 +59,27 @@ def test_digests_equal_a_plain_walk(spark, held):
     assert got == sorted(plain(list(enumerate(rows))))
 
 
-def test_long_texts_are_cut_where_no_token_crosses(monkeypatch):
+def test_words_are_cut_where_no_token_crosses(monkeypatch):
     r, sides = random.Random(4), align.Sides("byte_bpe_50k.json", "piece_bpe_32k.model")
-    parts = ["the", "Of", "12", " ", "  ", "\n", "é", "中", "'s", " a", " b", " 7"]
-    for _ in range(300):
-        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 80)))
-        monkeypatch.setattr(align, "STRETCH", 10**9)
-        whole = sides.ids(text)
-        assert list(align.stretches(text, 5))[0] != text or len(text) < 12 or not align._CUT.search(text, 5)
-        cut = [x for side, k in zip(sides.both, (0, 1)) for x in [[i for part in align.stretches(text, 5) for i in side.ids(part)]]]
-        if len(whole[0]):
-            assert [w.tolist() for w in whole] == cut, text
+    parts = ["the", "Of", "12", " ", " ", "  ", "\n", "é", "中", "'s", " a", " b", " 7", ",", ". ", "\t", "\u3000", "\u0301", "\x1c", "▁", "y" * 70]
+    known = align.Words(sides)
+    monkeypatch.setattr(align, "ENCODED_CHARS", 30)
+    monkeypatch.setattr(align, "WORDS_BYTES", 3000)
+    for _ in range(40):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(12)]
+        for text, entries in zip(texts, known.entries(texts)):
+            whole = sides.encode(text)
+            assert " ".join(align.words(text)) == text and (whole is None) == (None in entries)
+            cut = sides.ids(text)
+            if whole is None:
+                assert not len(cut[0])
+                continue
+            a, b = whole
+            assert a.tolist() == cut[0].tolist() and b.tolist() == cut[1].tolist(), text
+            own_a, own_b, shared = sides.overlaps(a, b)
+            assert (sum(e[0] for e in entries), sum(e[1] for e in entries)) == (len(a), len(b))
+            assert b"".join(e[2] for e in entries) == known.links(a, b, own_a, own_b).tobytes()
+            assert b";".join(e[3] for e in entries) == sides.written(a, b, own_a[shared], own_b[shared])
 
 
 def test_groups_and_products(spark):
