@@ -23,6 +23,9 @@ DATE_UNITS, MONEY_UNITS, NUMERALS = "年月日", "元圓圆两兩万萬千股",
 #: White space as the source language's isspace has it, for patterns.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same as a string of characters.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def _class(chars: str) -> str:
     return "[" + "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in chars) + "]"
@@ -34,14 +37,13 @@ def fold_stream(text: Column) -> Column:
 
 
 def normal_retrieval(text: Column, fold: tuple[str, str] = (FOLD_TO, FOLD_FROM)) -> Column:
-    """Without white space and listed punctuation, traditional folded to simplified by the given pair of strings; null gives ''."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", ""), _class(RETRIEVAL_PUNCTUATION), "")
-    return F.translate(bare, *fold)
+    """Without white space and listed punctuation, traditional folded to simplified by the given pair of strings; null gives ''. One pass: characters without a counterpart go."""
+    return F.translate(F.coalesce(text, F.lit("")), fold[0] + SPACES + RETRIEVAL_PUNCTUATION, fold[1])
 
 
 def normal_line(text: Column) -> Column:
-    """Line profile form: folded to traditional, without white space and punctuation."""
-    return F.regexp_replace(F.regexp_replace(fold_stream(F.coalesce(text, F.lit(""))), SPACE, ""), _class(PROFILE_PUNCTUATION), "")
+    """Line profile form: folded to traditional, without white space and punctuation. One pass, as above."""
+    return F.translate(F.coalesce(text, F.lit("")), FOLD_FROM + SPACES + PROFILE_PUNCTUATION, FOLD_TO)
 
 
 def grams(text: Column, n: int) -> Column:
@@ -158,8 +160,13 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\x{4e00}-\x{9fff}A-Za-z0-9_-]", "_")
 
 
-def strip_card_suffix(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s*\[[^\[\]]*\]\s*$", "")
+# What a source note at the end of a quote looks like, after a word for "see" or bare.
+SOURCE_NOTE = r"\s*\[[^\]]*(?:section|unit|gold)_[^\]]+\]\s*\.?\s*$"
+
+
+def strip_card_note(quote: Column) -> Column:
+    """A quote without the note of its source card: one that a word for "see" leads, then one bare."""
+    return F.trim(F.regexp_replace(F.regexp_replace(quote, r"\s*参考" + SOURCE_NOTE, ""), SOURCE_NOTE, ""))
 
 
 def looks_like_name(text: Column) -> Column:

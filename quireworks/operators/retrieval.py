@@ -1,87 +1,223 @@
 """Ranked retrieval over texts: ratio-IDF BM25, TF-IDF cosine, their mix, field boosts, dense similarity, routes.
 
-Every scorer takes queries(query_id, query) and corpus(card_id, text, ord) and scores all queries at once.
-Texts are cut into words once, to a table of (card, term, tf); document counts, lengths and norms come from that
-table. Queries that share a word are one list beside it, so a posting meets its word once.
+Scorers take queries(query_id, query), a stated set, and corpus(card_id, text, ord), and score all queries at once.
+A card becomes one row with its terms and counts, written once; document counts are added up in the tasks before
+they are shuffled. Queries go to the tasks in blocks of a bounded size. A task takes cards in groups, bounds every
+query's score of a group by the highest weights in it, scores only what may still be among the query's best, and
+hands on `most` cards a query: no row is made for a pair of query and card.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import operator
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quireworks.functions import text as T
+from quireworks.operators.tables import written
 
 K1, B, ALPHA = 1.5, 0.75, 0.5
 BOOST, BOOST_CAP, BOOST_LENGTH, SEMANTIC, REFUSAL, RESCUE = 0.35, 3, 2, 0.35, 0.06, 0.55
 #: Digits that scores are compared at, so that orders of addition do not decide ties.
 TIE_DIGITS = 9
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, qtf, q_total."""
-    toks = queries.select("query_id", T.retrieval_tokens(F.col("query")).alias("toks"))
-    return toks.select("query_id", F.size("toks").alias("q_total"), F.explode("toks").alias("term")).groupBy("query_id", "term", "q_total").agg(F.count("*").alias("qtf"))
-
-
-def term_table(corpus: DataFrame) -> DataFrame:
-    """card_id, ord, dl, term, tf of every card; kept in memory and on disk, as all scorers read it more than once."""
-    toks = corpus.select("card_id", "ord", T.retrieval_tokens(F.col("text")).alias("toks")).select("card_id", "ord", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return toks.groupBy("card_id", "ord", "dl", "term").agg(F.count("*").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def ranked(scores: DataFrame, score: Column, k: int, digits: int = 4) -> DataFrame:
-    """The k best positive scores of each query, ties by the order of the corpus."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, TIE_DIGITS)), "ord")
-    return scores.where(score > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round(score, digits))
-
-
-def scored(queries: DataFrame, corpus: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """query_id, card_id, ord, bm25, dot (of TF-IDF vectors) of cards that share a word with a query, from one pass over the postings."""
-    terms, table = query_terms(queries), table if table is not None else term_table(corpus)
-    size = corpus.agg(F.count("*").alias("n_docs")).join(F.broadcast(table.agg(F.sum("tf").alias("_t")))).select("n_docs", (F.coalesce("_t", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
-    df = document_counts(table, size)
-    asked = terms.join(df, "term").groupBy("term", "df", "n_docs", "avgdl", "idf").agg(F.collect_list(F.struct("query_id", "qtf", (F.col("qtf") / F.col("q_total") * F.col("idf")).alias("qw"))).alias("asked"))
-    ratio = F.greatest(F.lit(0.0), (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = ratio * F.col("tf") * (K1 + 1) / F.greatest(F.lit(1e-9), F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    met = table.join(asked, "term").select("card_id", "ord", part.alias("_part"), (F.col("tf") / F.col("dl") * F.col("idf")).alias("_w"), F.inline("asked"))
-    return met.groupBy("query_id", "card_id", "ord").agg(F.sum(F.col("qtf") * F.col("_part")).alias("bm25"), F.sum(F.col("_w") * F.col("qw")).alias("dot"))
-
-
-def document_counts(table: DataFrame, size: DataFrame) -> DataFrame:
-    """term, df, n_docs, avgdl, idf (1 + ln((N + 1) / (df + 1)))."""
-    return table.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size)).withColumn("idf", 1 + F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
-
-
-def norms(queries: DataFrame, corpus: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """card_id, norm and query_id, qnorm of the TF-IDF vectors; the norm of a card needs all its words."""
-    df = document_counts(table, corpus.agg(F.count("*").alias("n_docs")).withColumn("avgdl", F.lit(0.0))).select("term", "idf")
-    w = table.join(df, "term").withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
-    q = query_terms(queries).join(df, "term").withColumn("qw", F.col("qtf") / F.col("q_total") * F.col("idf"))
-    norm = lambda d, key, c: d.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))))
-    return norm(w, "card_id", "w").toDF("card_id", "norm"), norm(q, "query_id", "qw").toDF("query_id", "qnorm")
-
-
-def bm25(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, card_id, ord, raw. IDF is max(0, (N - n + 0.5) / (n + 0.5)); a word that a query repeats counts each time."""
-    return scored(queries, corpus).select("query_id", "card_id", "ord", F.col("bm25").alias("raw"))
-
-
-def with_cosine(scores: DataFrame, queries: DataFrame, corpus: DataFrame, table: DataFrame) -> DataFrame:
-    """scores with cosine: dot over the norms of card and query."""
-    norm, qnorm = norms(queries, corpus, table)
-    return scores.join(norm, "card_id").join(qnorm, "query_id").withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("qnorm"))).drop("dot", "norm", "qnorm")
-
-
-def tfidf(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, card_id, ord, raw: cosine of tf / length * (1 + ln((N + 1) / (df + 1))) vectors."""
-    table = term_table(corpus)
-    return with_cosine(scored(queries, corpus, table), queries, corpus, table).select("query_id", "card_id", "ord", F.col("cosine").alias("raw"))
+#: Queries, and bytes of their weights, of a block; cards of a group; terms whose document counts go to all tasks.
+QUERIES_BLOCK, MATRIX_BYTES, GROUP_CARDS, TERMS_HELD = 64, 32 << 20, 64, 100_000
+
+_CJK, _RUN = re.compile("[一-鿿]"), re.compile(r"[a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*")
+
+
+def term_counts(normal: str) -> Counter:
+    """Terms of a text in normal form: pairs of neighbouring characters, single CJK characters, runs of ASCII letters and digits."""
+    found = Counter(map(operator.add, normal, normal[1:]))
+    if not normal.isascii():
+        found.update(_CJK.findall(normal))
+    found.update(_RUN.findall(normal))
+    return found
+
+
+def forward(texts: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """key, more, dl (terms with repetition), terms, tfs: a row for each text."""
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in (key, *more))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [term_counts(t) for t in batch.column("_normal").to_pylist()]
+            made = [pa.array([sum(c.values()) for c in counts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *more)), *made], [key, *more, "dl", "terms", "tfs"])
+
+    return texts.select(key, *more, T.normal_retrieval(F.col(text)).alias("_normal")).mapInArrow(run, f"{kinds}, dl bigint, terms array<string>, tfs array<int>")
+
+
+class Index:
+    """A corpus as written rows of terms, with its document counts; scorers share it."""
+
+    def __init__(self, corpus: DataFrame):
+        self.cards = written(forward(corpus, "card_id", "text", "ord"), "cards")
+        self.counts = written(self.cards.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "document-counts")
+        row = self.cards.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        self.n_docs, self.avgdl = row.n, row.t / max(1, row.n)
+        self._norms: DataFrame | None = None
+
+    def idf(self, df: Column) -> Column:
+        return 1 + F.log((F.lit(self.n_docs) + 1) / (df + 1))
+
+    def with_norms(self) -> DataFrame:
+        """Cards with the norm of their TF-IDF vector, which needs all their terms: those of many cards from a bounded table in every task, the others by a join in which no term is frequent."""
+        if self._norms is None:
+            levels, least, total = self.counts.groupBy(F.floor(F.log2("df")).alias("level")).count().orderBy(F.desc("level")).collect(), 1 << 62, 0
+            for r in levels:
+                total += r["count"]
+                if total > TERMS_HELD:
+                    break
+                least = 1 << r.level
+            known = self.counts.where(F.col("df") >= least).select("term", self.idf(F.col("df")).alias("idf")).toPandas()
+            held = self.cards.sparkSession.sparkContext.broadcast(dict(zip(known["term"], known["idf"])))
+            kind = self.cards.schema["card_id"].dataType.simpleString()
+
+            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    idf, part, rare, times = held.value, [], [], []
+                    for dl, terms, tfs in zip(*(batch.column(c).to_pylist() for c in ("dl", "terms", "tfs"))):
+                        found = [(idf.get(t), tf) for t, tf in zip(terms, tfs)]
+                        part.append(float(sum((w * tf / dl) ** 2 for w, tf in found if w is not None)))
+                        rare.append([t for t, (w, _) in zip(terms, found) if w is None])
+                        times.append([tf / dl for w, tf in found if w is None])
+                    yield pa.RecordBatch.from_arrays([batch.column("card_id"), pa.array(part, pa.float64()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.float64()))], ["card_id", "part", "rare", "times"])
+
+            parts = written(self.cards.mapInArrow(run, f"card_id {kind}, part double, rare array<string>, times array<double>"), "norm-parts")
+            spread = parts.select("card_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("card_id", F.col("x.rare").alias("term"), F.col("x.times").alias("w"))
+            rest = spread.join(self.counts.where(F.col("df") < least), "term").groupBy("card_id").agg(F.sum(F.pow(F.col("w") * self.idf(F.col("df")), F.lit(2.0))).alias("rest"))
+            norm = parts.join(rest, "card_id", "left").select("card_id", F.sqrt(F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("norm"))
+            self._norms = written(self.cards.join(norm, "card_id"), "cards-with-norms")
+        return self._norms
+
+
+class Best:
+    """The `most` best cards of each query so far, by shown score and then order."""
+
+    def __init__(self, n_queries: int, most: int):
+        self.most, self.kept = most, [[] for _ in range(n_queries)]
+        self.least = np.zeros(n_queries)
+
+    def add(self, k: int, found: list[tuple[float, object, object, float]]) -> None:
+        """found: (-shown, ord, card, raw)."""
+        self.kept[k] = sorted(self.kept[k] + found, key=lambda x: x[:2])[: self.most]
+        if len(self.kept[k]) == self.most:
+            self.least[k] = -self.kept[k][-1][0]
+
+
+def best(queries: DataFrame, index: Index, most: int, kinds: tuple[str, ...] = ("bm25", "cosine")) -> DataFrame:
+    """query_id, kind, rank, card_id, ord, raw: of each kind of score the `most` best positive ones of a query; ties at TIE_DIGITS by ord."""
+    spark = queries.sparkSession
+    asked = written(forward(queries, "query_id", "query"), "queries")
+    terms = asked.select("query_id", F.col("dl").alias("q_total"), F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", "q_total", F.col("x.terms").alias("term"), F.col("x.tfs").alias("qtf"))
+    known = written(terms.join(index.counts, "term").withColumn("idf", index.idf(F.col("df"))), "query-terms")
+    id_kind, card_kind, ord_kind = queries.schema["query_id"].dataType.simpleString(), *(index.cards.schema[c].dataType.simpleString() for c in ("card_id", "ord"))
+    cards = index.with_norms() if "cosine" in kinds else index.cards
+    schema = f"query_id {id_kind}, kind string, card_id {card_kind}, ord {ord_kind}, raw double, shown double"
+    found = None
+    for ids in _query_blocks(known.groupBy("query_id").count().orderBy("query_id").collect()):
+        part = _block_best(cards, spark.sparkContext.broadcast(_weights(known.where(F.col("query_id").isin(ids)).toPandas(), ids, index)), most, kinds, schema, index.avgdl, to_arrow_type(queries.schema["query_id"].dataType))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    order = Window.partitionBy("query_id", "kind").orderBy(F.desc("shown"), "ord")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("shown")
+
+
+def _query_blocks(sizes: list) -> Iterator[list]:
+    """Ids of queries, so many that their weights stay under MATRIX_BYTES and QUERIES_BLOCK; a query alone may be larger. sizes: a row for each query of the stated set."""
+    ids, terms = [], 0
+    for r in sizes:
+        if ids and (len(ids) == QUERIES_BLOCK or (terms + r["count"]) * (len(ids) + 1) * 16 > MATRIX_BYTES):
+            yield ids
+            ids, terms = [], 0
+        ids.append(r.query_id)
+        terms += r["count"]
+    if ids:
+        yield ids
+
+
+def _weights(rows: pd.DataFrame, ids: list, index: Index) -> tuple:
+    """Query ids, the place of each term, its BM25 weight (0 for terms of more than half of the cards) and TF-IDF weight in each query, its IDF."""
+    place = {t: k for k, t in enumerate(sorted(set(rows["term"])))}
+    at, q = rows["term"].map(place).to_numpy(), rows["query_id"].map({x: k for k, x in enumerate(ids)}).to_numpy()
+    ratio, tf_idf, idf = np.zeros((len(place), len(ids))), np.zeros((len(place), len(ids))), np.zeros(len(place))
+    df = rows["df"].to_numpy(float)
+    ratio[at, q] = rows["qtf"].to_numpy() * np.maximum(0.0, (index.n_docs - df + 0.5) / (df + 0.5))
+    tf_idf[at, q] = rows["qtf"].to_numpy() / rows["q_total"].to_numpy() * rows["idf"].to_numpy()
+    idf[at] = rows["idf"].to_numpy()
+    norm = np.sqrt((tf_idf**2).sum(axis=0))
+    return ids, place, ratio, tf_idf / np.where(norm > 0, norm, 1), idf
+
+
+def _block_best(cards: DataFrame, block, most: int, kinds: tuple[str, ...], schema: str, avgdl: float, id_kind: pa.DataType) -> DataFrame:
+    """Every task's best cards for one block of queries."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, place, ratio, tf_idf, idf = block.value
+        weights = {"bm25": ratio, "cosine": tf_idf}
+        tops = {kind: Best(len(ids), most) for kind in kinds}
+        any_ratio = ratio.any(axis=1)
+        for batch in batches:
+            names = batch.schema.names
+            columns = {c: batch.column(c).to_pylist() for c in names}
+            for start in range(0, batch.num_rows, GROUP_CARDS):
+                rows: dict[str, list] = {kind: [] for kind in kinds}
+                for k in range(start, min(start + GROUP_CARDS, batch.num_rows)):
+                    dl = columns["dl"][k]
+                    hits = [(p, tf) for t, tf in zip(columns["terms"][k], columns["tfs"][k]) if (p := place.get(t)) is not None]
+                    if not hits:
+                        continue
+                    at, tf = np.array([p for p, _ in hits]), np.array([tf for _, tf in hits], float)
+                    if "bm25" in rows:
+                        part = tf * (K1 + 1) / np.maximum(1e-9, tf + K1 * (1 - B + B * dl / max(1.0, avgdl)))
+                        some = any_ratio[at]
+                        if some.any():
+                            rows["bm25"].append((k, at[some], part[some]))
+                    if "cosine" in rows:
+                        rows["cosine"].append((k, at, tf / dl * idf[at] / columns["norm"][k]))
+                for kind, group in rows.items():
+                    if not group:
+                        continue
+                    top, w = tops[kind], weights[kind]
+                    highest = np.zeros(len(place))
+                    for _, at, x in group:
+                        highest[at] = np.maximum(highest[at], x)
+                    live = np.flatnonzero(highest @ w >= np.maximum(top.least - 1e-8, 1e-300))
+                    if not len(live):
+                        continue
+                    narrow = w[:, live]
+                    scores = np.array([x @ narrow[at] for _, at, x in group])
+                    shown = np.round(scores, TIE_DIGITS)
+                    for j, q in enumerate(live.tolist()):
+                        good = np.flatnonzero((scores[:, j] > 0) & (shown[:, j] >= top.least[q]))
+                        if len(good):
+                            top.add(q, [(-float(shown[g, j]), columns["ord"][group[g][0]], columns["card_id"][group[g][0]], float(scores[g, j])) for g in good.tolist()])
+        out = [(ids[q], kind, card, ord_, raw, -shown) for kind, top in tops.items() for q, kept in enumerate(top.kept) for shown, ord_, card, raw in kept]
+        if out:
+            kinds_of = (id_kind, pa.string(), batch.schema.field("card_id").type, batch.schema.field("ord").type, pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds_of)], ["query_id", "kind", "card_id", "ord", "raw", "shown"])
+
+    return cards.mapInArrow(run, schema)
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, card_id, score. IDF is max(0, (N - n + 0.5) / (n + 0.5)); a term that a query repeats counts each time."""
+    return best(queries, Index(corpus), k, ("bm25",)).select("query_id", "rank", "card_id", F.round("raw", 4).alias("score"))
+
+
+def tfidf(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, card_id, score: cosine of tf / length * (1 + ln((N + 1) / (df + 1))) vectors."""
+    return best(queries, Index(corpus), k, ("cosine",)).select("query_id", "rank", "card_id", F.round("raw", 4).alias("score"))
 
 
 def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 5, over: int = 3, alpha: float = ALPHA) -> DataFrame:
@@ -91,14 +227,9 @@ def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 5, over: int = 3, alp
     scaled among a query's candidates (0 where all are equal, and for those BM25 lacks). Halves of the last
     digit, which mixed 4-digit scores often give, go up.
     """
-    table = term_table(corpus)
-    s = with_cosine(scored(queries, corpus, table), queries, corpus, table)
-    place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(F.when(F.col(c) > 0, F.col(c)), TIE_DIGITS)), "ord"))
-    s = s.withColumns({"at_a": place("bm25"), "at_b": place("cosine")})
-    in_a, in_b = (F.col("bm25") > 0) & (F.col("at_a") <= k * over), (F.col("cosine") > 0) & (F.col("at_b") <= k * over)
-    both = s.where(in_a | in_b).select(
-        "query_id", "card_id", "ord", F.when(in_a, F.round("bm25", 4)).otherwise(0.0).alias("bm25_score"), F.when(in_b, F.round("cosine", 4)).otherwise(0.0).alias("tfidf_score"), F.when(in_a, F.col("at_a")).alias("at_a"), F.when(in_b, F.col("at_b")).alias("at_b")
-    )
+    found = written(best(queries, Index(corpus), k * over), "candidates")
+    side = lambda kind, score, at: found.where(F.col("kind") == kind).select("query_id", "card_id", "ord", F.round("raw", 4).alias(score), F.col("rank").alias(at))
+    both = side("bm25", "bm25_score", "at_a").join(side("cosine", "tfidf_score", "at_b"), ["query_id", "card_id", "ord"], "full").na.fill(0.0, ["bm25_score", "tfidf_score"])
     q = Window.partitionBy("query_id")
     lo, hi = F.min("bm25_score").over(q), F.max("bm25_score").over(q)
     scaled = both.withColumn("bm25_norm", F.when(hi > lo, (F.col("bm25_score") - lo) / (hi - lo)).otherwise(0.0))
@@ -206,28 +337,3 @@ def expand_query(query: Column, synonyms: dict[str, list[str]]) -> Column:
     extra = F.flatten(F.array(*(F.when(F.contains(q, T.normal_retrieval(F.lit(w))), F.array(*map(F.lit, s))).otherwise(F.array().cast("array<string>")) for w, s in synonyms.items())))
     fresh = F.filter(F.array_distinct(extra), lambda s: ~F.contains(q, T.normal_retrieval(s)))
     return F.trim(F.concat_ws(" ", F.trim(query), F.array_join(fresh, " ")))
-
-
-#: Characters of the blocks that texts are cut into: a quote of 2 * b - 1 characters covers a whole block of b wherever it stands.
-BLOCKS = (12, 6, 3, 1)
-
-
-def shared_blocks(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """quote_id, card_id, q, t (both in normal form) where the text has a block that the quote holds. Blocks are as long as a quote's length allows, and only lengths that occur are cut."""
-    n = lambda c: T.normal_retrieval(F.col(c))
-    size = F.coalesce(*(F.when(F.length("q") >= 2 * b - 1, b) for b in BLOCKS))
-    q = quotes.select("quote_id", n("quote").alias("q")).where("q <> ''").withColumn("size", size)
-    c, pairs = corpus.select("card_id", n("text").alias("t")), None
-    for b in sorted((r["size"] for r in q.select("size").distinct().collect()), reverse=True):  # four lengths at most
-        windows = q.where(F.col("size") == b).select("quote_id", F.explode(F.array_distinct(T.grams(F.col("q"), b))).alias("b"))
-        blocks = c.select("card_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?s)(.{{{b}}})"), F.lit(1)))).alias("b"))
-        found = blocks.join(windows, "b").select("quote_id", "card_id").distinct()
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
-        pairs = q.select("quote_id").join(c.select("card_id")).limit(0)
-    return pairs.join(q.select("quote_id", "q"), "quote_id").join(c, "card_id")
-
-
-def exact_quotes(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """quote_id, card_id where the text holds the whole quote in normal form; empty quotes are held by none. Texts meet quotes by equal blocks, and only those pairs are compared."""
-    return shared_blocks(quotes, corpus).where(F.contains("t", F.col("q"))).select("quote_id", "card_id")

@@ -1,13 +1,9 @@
-"""Review work: gates, queues, evaluation by value and box, quotes against their source."""
+"""Review work: gates, queues, evaluation by value and box."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quireworks.functions.geometry import iou
 
@@ -37,30 +33,3 @@ def match_gold(gold: DataFrame, predicted: DataFrame, least: float = 0.5) -> Dat
 def fold_ratio(folds: DataFrame, hit: str, total: str) -> DataFrame:
     """Sum of hits over sum of totals, not the mean of ratios."""
     return folds.agg(F.round(F.sum(hit) / F.sum(total), 4).alias("ratio"), F.sum(hit).alias("hits"), F.sum(total).alias("rows"))
-
-
-def best_window_ratio(quote: str, text: str, enough: float = 0.85) -> float:
-    """Highest difflib ratio of the quote to a window of its length, a quarter of the length apart and at the end; 1 for a whole hit."""
-    if not quote or not text:
-        return 0.0
-    if quote in text:
-        return 1.0
-    n, best = len(quote), 0.0
-    for at in sorted({*range(0, max(1, len(text) - n + 1), max(1, n // 4)), max(0, len(text) - n)}):
-        match = difflib.SequenceMatcher(None, quote, text[at : at + n])
-        if match.real_quick_ratio() > best and match.quick_ratio() > best:  # bounds from above, which cost little
-            best = max(best, match.ratio())
-        if best >= enough:
-            break
-    return best
-
-
-@F.pandas_udf(DoubleType())
-def quote_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([best_window_ratio(q or "", t or "") for q, t in zip(quote, text)])
-
-
-def verify_quotes(claims: DataFrame, least: float = 0.85) -> DataFrame:
-    """claims(answer_id, quote, text) to answer_id, claimed, verified, fabricated, rate."""
-    seen = claims.withColumn("ok", (quote_ratio("quote", "text") >= least).cast("int"))
-    return seen.groupBy("answer_id").agg(F.count("*").alias("claimed"), F.sum("ok").alias("verified"), (F.count("*") - F.sum("ok")).alias("fabricated"), F.round(F.avg("ok"), 4).alias("rate"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quireworks.functions import geometry as G
 from quireworks.functions import rules as R
 from quireworks.functions import text as T
-from quireworks.operators import checks, corpus, drafts, groups, learning, lines, retrieval, review
+from quireworks.operators import checks, corpus, drafts, groups, learning, lines, quotes, retrieval, review
 from quireworks.plans import bands
 from quireworks.plans.registry import query
 from quireworks.sources import pages as page_source
@@ -145,12 +145,12 @@ cr as (select *, row_number() over (partition by query_id order by round(raw, 9)
 
 @query(TOKENS + "select query_id, rank::int as rank, card_id, round(raw, 4) as score from br where rank <= 5")
 def bm25_topk(t):
-    return retrieval.ranked(retrieval.bm25(_asked(t), _cards(t)), F.col("raw"), 5).select("query_id", "rank", "card_id", "score")
+    return retrieval.bm25(_asked(t), _cards(t))
 
 
 @query(TOKENS + "select query_id, rank::int as rank, card_id, round(raw, 4) as score from cr where rank <= 5")
 def tfidf_topk(t):
-    return retrieval.ranked(retrieval.tfidf(_asked(t), _cards(t)), F.col("raw"), 5).select("query_id", "rank", "card_id", "score")
+    return retrieval.tfidf(_asked(t), _cards(t))
 
 
 HYBRID = TOKENS + """, x as (select coalesce(a.query_id, k.query_id) as query_id, coalesce(a.card_id, k.card_id) as card_id, coalesce(round(a.raw, 4), 0) as bm25_score, coalesce(round(k.raw, 4), 0) as tfidf_score, a.rank as at_a, k.rank as at_b
@@ -190,7 +190,7 @@ def dense_topk(t):
 @query(f"""with q as (select item_id as quote_id, {BARE % "text"} as q from benchmark), d as (select doc_id as card_id, {BARE % "text"} as t from documents)
 select distinct quote_id, card_id from q join d on length(q) > 0 and contains(t, q)""")
 def quote_exact(t):
-    return retrieval.exact_quotes(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), _cards(t))
+    return quotes.exact_quotes(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), _cards(t))
 
 
 @query("select o_orderkey as card_id, o_totalprice as amount from orders order by o_totalprice desc, o_orderkey limit 5")
@@ -539,10 +539,19 @@ def latest_state(t):
 
 @query(None)
 def quote_verdicts(t):
-    """Benchmark items against whole documents that share a block with them, by the best window ratio."""
-    quotes = t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    met = retrieval.shared_blocks(quotes, _cards(t))
-    return review.verify_quotes(met.select(F.col("quote_id").alias("answer_id"), F.col("q").alias("quote"), F.col("t").alias("text")))
+    """Benchmark items against whole documents, near hits included; a row for every item."""
+    return quotes.quote_verdicts(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), _cards(t))
+
+
+@query()
+def answer_quotes(t):
+    """What the later turns of a conversation quote of its first two: the user's lines of all turns as quotes, the opening as the text."""
+    c = t("conversations")
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
+    opening = F.array_sort(F.collect_list(F.when(F.col("turn") < 2, F.struct("turn", "text"))))
+    answers = c.groupBy("conv_id").agg(said.alias("said"), opening.alias("opening"))
+    got = quotes.verify_answers(answers.select(F.col("conv_id").alias("answer_id"), F.col("said.text").alias("quotes"), F.array_join("opening.text", "\n").alias("text")))
+    return got.select("answer_id", "claimed", "verified", "fabricated", F.round("fabrication_rate", 4).alias("fabrication_rate"), F.round(F.aggregate("details", F.lit(0.0), lambda a, d: a + d["score"]), 3).alias("scores"))
 
 
 @query("""with b as (select doc_id, regexp_replace(coalesce(text, ''), '\\s', '', 'g') as t from documents), h as (select doc_id, length(t) as n, len(regexp_extract_all(t, 'token')) + len(regexp_extract_all(t, 'License')) + len(regexp_extract_all(t, '[0-9]{3}')) as hits from b)

@@ -76,12 +76,6 @@ def test_ledger_fields(spark):
     assert (got["name"], got["direction"], got["currency"], got["raw"]) == ("福記堂", "存", "規元", "三兩五錢") and got["value"] == pytest.approx(3.5)
 
 
-def test_window_ratio():
-    assert review.best_window_ratio("abc", "xxabcxx") == 1.0
-    assert review.best_window_ratio("", "x") == 0.0
-    assert review.best_window_ratio("abcdefgh", "zzabcdefgxzz") >= 0.85
-
-
 def test_gram_frequency_counts_pages(spark):
     df = spark.createDataFrame([(1, "abcabc"), (2, "abc"), (3, None)], "p int, t string")
     got = {r.gram: r.pages_hit for r in corpus.gram_frequency(df, "p", "t", least_ratio=0.5).collect()}

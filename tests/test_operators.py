@@ -138,22 +138,3 @@ def test_attributes_by_anchors(spark):
     assert got[1] == {"date": "光緒二年", "address": "總號在津", "capital": "股分銀"} and got[2] == {}
     one = d.select(extract_one(F.col("t"), template[1], template).alias("v"), strip_head_residue(F.col("t"), "號", "光緒").alias("h")).collect()
     assert [r.v for r in one] == ["總號在北京", "總號在津", None] and one[0].h.startswith("光緒三十年")
-
-
-def test_quote_verdicts_equal_brute_force(spark):
-    import random
-
-    from quireworks.operators import retrieval, review
-
-    r = random.Random(1)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
-    quotes = ["".join(word() for _ in range(8)) for _ in range(5)] + ["abc", ""]
-    texts = ["".join(word() for _ in range(40)) for _ in range(6)]
-    texts += [texts[0][:50] + quotes[0] + texts[1][:50], texts[2][:50] + quotes[1][:20] + "zz" + quotes[1][22:] + texts[3][:40], texts[4] + "abc"]
-    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
-    c = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "card_id int, text string, ord int")
-    got = {(x.quote_id, x.card_id) for x in retrieval.exact_quotes(q, c).collect()}
-    assert got == {(k, j) for k, a in enumerate(quotes) for j, t in enumerate(texts) if a and a in t}
-    met = retrieval.shared_blocks(q, c)
-    close = {(x.quote_id, x.card_id) for x in met.where(review.quote_ratio("q", "t") >= 0.85).collect()}
-    assert close == {(k, j) for k, a in enumerate(quotes) for j, t in enumerate(texts) if a and review.best_window_ratio(a, t) >= 0.85}
