@@ -105,19 +105,20 @@ def audit(docs: DataFrame, broadcast: int = GROUPS_BROADCAST) -> DataFrame:
     n_groups = languages.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0]
     by_place = F.transform("counts", lambda c: F.struct((F.array_position("sources", c["source"]) - 1).cast("int").alias("i"), c["n"].alias("n")))
     wide = with_language(kept, languages, n_groups, broadcast).withColumn("v", by_place)
-    with_p = F.transform("v", lambda c: F.struct(c["i"].alias("i"), probability(c["n"], F.get("totals", c["i"])).alias("p")))
+    p = lambda count, i: probability(count, F.get("totals", i))
+    with_p = F.transform("v", lambda c: F.struct(c["i"].alias("i"), p(c["n"], c["i"]).alias("p"), p(F.lit(0).cast("long"), c["i"]).alias("z")))
     q = probability(F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.col("total"))
     wide = durable(wide.select("lang", "term", with_p.alias("v"), q.alias("q")), "wide-vectors")
     pairs = pair_values(wide, languages)
 
-    each = wide.select("lang", "term", "q", F.inline("v")).where(F.col("p") > F.col("q"))
+    each = wide.select("lang", "term", "q", F.inline("v")).where(F.col("p") > F.col("q")).drop("z")
     named = with_language(each, languages.select("lang", "sources"), n_groups, broadcast)
     terms = named.select("lang", F.get("sources", "i").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     return ranked(pairs).unionByName(ranked(terms, TERMS_SHOWN))
 
 
 def pair_values(wide: DataFrame, languages: DataFrame) -> DataFrame:
-    """lang, source, part, item, value for all pairs of sources, from vectors(lang, v: array of (i, p) at the places with occurrences).
+    """lang, source, part, item, value for all pairs of sources, from vectors(lang, v: array of (i, p, z) at the places with occurrences; z is the p of count 0 there).
 
     A place without occurrences has the p of count 0, which is one number for a source. So a pair's sum is that of
     two vectors without any occurrence, plus what changes where the one source has the term (a histogram of its p
@@ -131,11 +132,12 @@ def pair_values(wide: DataFrame, languages: DataFrame) -> DataFrame:
     near = cells.select("lang", "i", "j", "zi", "zj")
     one = near.join(seen, ["lang", "i"]).groupBy("lang", "i", "j").agg(F.sum(F.col("n") * (f("p", "zj") - f("zi", "zj"))).alias("value"))
     other = near.join(seen.withColumnRenamed("i", "j"), ["lang", "j"]).groupBy("lang", "i", "j").agg(F.sum(F.col("n") * (f("zi", "p") - f("zi", "zj"))).alias("value"))
-    met = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["p"].alias("p"), b["p"].alias("q")))))
-    both = wide.select("lang", F.inline(met)).where("i <> j").groupBy("lang", "i", "j", "p", "q").agg(F.count("*").alias("n"))
-    change = f("p", "q") - f("p", "zj") - f("zi", "q") + f("zi", "zj")
-    both = both.join(F.broadcast(near), ["lang", "i", "j"]) if near.count() <= GROUPS_BROADCAST else both.join(near, ["lang", "i", "j"])
-    both = both.groupBy("lang", "i", "j").agg(F.sum(F.col("n") * change).alias("value"))
+    later = lambda k: F.slice("v", k + 2, F.size("v"))
+    pair = lambda a, b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["p"].alias("p"), b["p"].alias("q"), a["z"].alias("zi"), b["z"].alias("zj"))
+    met = F.flatten(F.transform("v", lambda a, k: F.transform(later(k), lambda b: pair(a, b))))
+    change = lambda p, q, zp, zq: f(p, q) - f(p, zq) - f(zp, q) + f(zp, zq)
+    both = wide.select("lang", F.inline(met)).groupBy("lang", "i", "j").agg(F.sum(change("p", "q", "zi", "zj")).alias("there"), F.sum(change("q", "p", "zj", "zi")).alias("back"))
+    both = both.select("lang", F.inline(F.array(F.struct("i", "j", F.col("there").alias("value")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("value")))))
     sums = one.unionByName(other).unionByName(both).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
     whole = F.col("terms") * f("zi", "zj") + F.coalesce("value", F.lit(0).cast("long"))
     return cells.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", whole.alias("value"))
