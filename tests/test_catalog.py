@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quireworks.plans import catalog, catalog_cards, catalog_governance, catalog_records  # noqa: F401  (each registers its queries)
+from quireworks.plans import catalog, catalog_cards, catalog_governance, catalog_plans, catalog_records  # noqa: F401  (each registers its queries)
 from quireworks.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("QUIREWORKS_TEST_DATA", "/root/testdata/sf0.001")
