@@ -177,7 +177,7 @@ def looks_like_name(text: Column) -> Column:
 
 def normal_locate(text: Column, fold: tuple[str, str] = (FOLD_TO, FOLD_FROM)) -> Column:
     """The form in which values are looked for: folded, without white space."""
-    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, ""), *fold)
+    return F.translate(F.coalesce(text, F.lit("")), fold[0] + SPACES, fold[1])
 
 
 def plain_text(html: Column) -> Column:

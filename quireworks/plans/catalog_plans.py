@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quireworks.operators import validation
 from quireworks.plans import families
 from quireworks.plans.registry import query
 
@@ -69,3 +70,73 @@ def structure_lines(t):
     lines = p.select(F.col("p_type").alias("key"), F.col("p_brand").alias("page"), F.col("p_partkey").alias("line_no"), ((F.col("p_size") * 20 + F.col("p_partkey") % 7) / F.lit(1000.0)).alias("rel"), F.substring("p_name", 1, 1).alias("kind"), (F.col("p_size") % 5).alias("length"), (F.col("p_partkey") % 3 == 0).alias("in_gold"))
     pages = lines.select("key", "page", (F.lit(1000.0) + F.length("page") * 10).alias("h")).distinct()
     return families.structure_lines(lines, pages, "key", 0.004).withColumn("extra", F.size("extra")).withColumn("pages", F.array_join("pages", ",")).drop("island")
+
+
+# results against their pages: orders are pages and line items their records; conversations are pages and their turns the lines
+
+
+_ROWS = ["tier_unknown", "tier_trace_order", "tier_skip", "tier_mismatch", "line_out_of_range", "line_reused", "record_overlap", "record_no_lines", "box_inverted", "box_out_of_page", "record_spans_bands", "record_in_unannotated", "record_touches_unannotated", "layout_policy_unknown", "layout_uncovered", "layout_policy_mismatch", "page_size_unknown", "page_size_mismatch", "line_source_unresolved", "single_line_bad"]
+
+
+@query("""with o as (select o_orderkey as k, o_orderkey::varchar as stem, ['rule', 'l1', 'l2', 'single_line', 'odd'][1 + o_orderkey % 5] as tier, [1 + o_orderkey % 4, 1 + (o_orderkey // 4) % 4] as places, [o_orderkey % 3 = 0, o_orderkey % 2 = 0] as oks,
+ case o_orderkey % 3 when 0 then true when 1 then false end as covered, case o_orderkey % 4 when 0 then 'page_fallback' when 1 then 'family_params' when 2 then 'guess' end as policy, case when o_orderkey % 49 > 0 then 950.0 + o_orderkey % 5 * 25 end as h, o_orderkey % 7 > 0 as sized, case when o_orderkey % 13 > 0 then 6 end as n_lines from orders),
+i as (select l_orderkey as k, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::int as record, l_quantity::int as q, l_partkey as p, l_suppkey as s, (l_partkey * 7) % 1000 as y0 from lineitem),
+r as (select o.*, record, case when q % 9 = 0 then []::int[] else [q % 8, q % 8 + (p % 3)::int] end as ls, p % 985 as x0, p % 985 + 20 as x1, y0, y0 + s % 4 * 20 as y1, case when sized then 1000.0 else h end as ph from o join i using (k)),
+n as (select o.k, count(i.record) as n, arg_min(i.q, i.record) as q, arg_min(i.p, i.record) as p from o left join i using (k) group by 1),
+u as (select k, stem, record, unnest(ls) as line, n_lines from r), v as (select *, min(record) over (partition by k, line) as f from u where line < coalesce(n_lines, 1000000000)),
+w as (select stem, record, lo, lag(hi) over (partition by stem order by lo, hi, record) as before from (select stem, record, list_min(ls) as lo, list_max(ls) as hi from r where len(ls) > 0)),
+a as (select *, (y0 + y1) / 2.0 / ph as c, case when (y0 + y1) / 2.0 / ph < 0.2 then 0 when (y0 + y1) / 2.0 / ph < 0.7 then 1 when (y0 + y1) / 2.0 / ph < 1.0 then 2 end as area from r),
+f as (select stem, 'error' as level, 'tier_unknown' as code, null::int as record, (tier = 'odd')::int as n from o union all select stem, 'warning', 'tier_trace_order', null, (places[1] > places[2])::int from o
+ union all select stem, 'warning', 'tier_skip', null, (abs(places[1] - places[2]) <> 1)::int from o
+ union all select stem, 'error', 'tier_mismatch', null, (case when oks[2] then ['rule', 'l1', 'l2', 'single_line'][places[2]] <> tier when oks[1] then ['rule', 'l1', 'l2', 'single_line'][places[1]] <> tier else false end)::int from o
+ union all select stem, 'error', 'line_out_of_range', record, len(list_filter(ls, lambda x: x >= n_lines)) from r where n_lines is not null
+ union all select stem, 'error', 'line_reused', record, count(*) from v where record <> f group by all union all select stem, 'error', 'record_overlap', record, 1 from w where lo <= before
+ union all select stem, 'warning', 'record_no_lines', record, (len(ls) = 0)::int from r where n_lines is not null union all select stem, 'error', 'box_inverted', record, (y1 <= y0)::int from r
+ union all select stem, 'error', 'box_out_of_page', record, (x1 > 1000.5 or y1 > ph + 0.5)::int from r where ph is not null
+ union all select stem, 'error', 'record_in_unannotated', record, (area = 0)::int from a where ph is not null
+ union all select stem, 'warning', 'layout_policy_unknown', null, (policy = 'guess')::int from o union all select stem, 'warning', 'layout_uncovered', null, ((covered = false and coalesce(policy, '') <> 'page_fallback') or (covered is null and policy = 'page_fallback'))::int from o
+ union all select stem, 'warning', 'layout_policy_mismatch', null, (policy = 'page_fallback' and tier <> 'single_line')::int from o union all select stem, 'warning', 'page_size_unknown', null, (h is null and not sized)::int from o
+ union all select stem, 'warning', 'page_size_mismatch', null, (sized and abs(h - 1000) > 20)::int from o union all select stem, 'warning', 'line_source_unresolved', null, (n_lines is null)::int from o
+ union all select stem, 'error', 'single_line_bad', null, (tier = 'single_line' and (n <> 1 or (n_lines is not null and case when q % 9 = 0 then 0 else p % 3 + 1 end < 5)))::int from o join n using (k))
+select stem, level, code, record, n::bigint as n from f where n > 0""")
+def result_findings(t):
+    """Findings of records, boxes, tiers and layouts; those of texts are in result_text_findings."""
+    k = F.col("o_orderkey")
+    tier = lambda i: F.get(F.array(*map(F.lit, validation.CHAIN)), i.cast("int"))
+    items = t("lineitem").withColumns({"q": F.col("l_quantity").cast("int"), "y": ((F.col("l_partkey") * 7) % 1000).cast("double"), "x": (F.col("l_partkey") % 985).cast("double")})
+    box = F.array("x", "y", F.col("x") + 20, F.col("y") + F.col("l_suppkey") % 4 * 20)
+    ls = F.when(F.col("q") % 9 == 0, F.array().cast("array<int>")).otherwise(F.array(F.col("q") % 8, (F.col("q") % 8 + F.col("l_partkey") % 3).cast("int")))
+    attrs = F.array().cast("array<struct<attr:string,text:string,lines:array<int>,boxes:array<array<double>>>>")
+    records = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(ls.alias("lines"), box.alias("box"), attrs.alias("attrs")).alias("r")))), lambda x: x["r"]).alias("records"))
+    orders = t("orders").join(records, "o_orderkey", "left").withColumn("records", F.coalesce("records", F.array().cast(records.schema["records"].dataType)))
+    results = orders.select(
+        k.cast("string").alias("stem"), F.lit(validation.KIND).alias("kind"), F.lit("0.1.0").alias("schema_version"), F.lit("p").alias("profile_id"), F.get(F.array(*map(F.lit, (*validation.CHAIN, "odd"))), (k % 5).cast("int")).alias("tier"),
+        F.lit("").alias("text_stream"), F.lit(None).cast("array<string>").alias("chain"), F.array(F.struct(tier(k % 4).alias("tier"), (k % 3 == 0).alias("ok")), F.struct(tier(F.floor(k / 4) % 4).alias("tier"), (k % 2 == 0).alias("ok"))).alias("trace"),
+        F.struct(F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("covered"), F.when(k % 4 == 0, "page_fallback").when(k % 4 == 1, "family_params").when(k % 4 == 2, "guess").alias("policy")).alias("layout"),
+        F.struct(F.lit(1000.0).alias("w"), F.when(k % 49 > 0, 950.0 + k % 5 * 25).alias("h")).alias("page"), "records", F.array().cast("array<struct<text:string,reason:string>>").alias("unassigned"),
+    )
+    stems = orders.select(k.cast("string").alias("stem"), k.alias("k"))
+    lines = stems.where("k % 13 > 0").select("stem", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("at"), F.lit("x").alias("text"))
+    sizes = stems.where("k % 7 > 0").select("stem", F.lit(1000.0).alias("w"), F.lit(1000.0).alias("h"))
+    areas = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(role).alias("role")) for i, lo, hi, role in ((0, 0.0, 0.2, "unannotated_top"), (1, 0.2, 0.7, "body"), (2, 0.7, 1.0, "foot"))))
+    return validation.findings(results, lines, sizes, stems.select("stem", F.inline(areas))).where(F.col("code").isin(_ROWS))
+
+
+@query()
+def result_text_findings(t):
+    """Whole conversations as pages: turns are lines and records, values are a turn's first and last characters, notes its middle; some streams are cut, some values made up, some notes left out."""
+    c = t("conversations").select(F.col("conv_id").cast("string").alias("stem"), F.col("turn").cast("int").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.col("conv_id").alias("k"))
+    value = lambda text: F.struct(F.lit("a").alias("attr"), text.alias("text"), F.array("turn").alias("lines"), F.lit(None).cast("array<array<double>>").alias("boxes"))
+    tail = F.when((F.col("k") + F.col("turn")) % 9 == 4, F.lit("made up, never said")).otherwise(F.substring("text", -20, 20))
+    attrs = F.when(F.length("text") <= 60, F.array(value(F.col("text")))).otherwise(F.array(value(F.substring("text", 1, 30)), value(tail)))
+    note = F.when((F.length("text") > 60) & ((F.col("k") + F.col("turn")) % 7 != 2), F.struct(F.expr("substring(text, 31, length(text) - 50)").alias("text"), F.when(F.col("turn") % 2 == 0, "other").otherwise("unannotated_region").alias("reason")))
+    rows = c.withColumn("record", F.struct(F.array("turn").alias("lines"), F.lit(None).cast("array<double>").alias("box"), attrs.alias("attrs"))).withColumn("note", note)
+    pages = rows.groupBy("stem", "k").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "note"))).alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "record"))), lambda r: r["record"]).alias("records"))
+    stream = F.array_join(F.transform("rows", lambda r: r["text"]), "")
+    results = pages.select(
+        "stem", F.lit(validation.KIND).alias("kind"), F.lit("0.1.0").alias("schema_version"), F.lit("p").alias("profile_id"), F.lit("rule").alias("tier"), F.when(F.col("k") % 11 == 3, F.expr("substring(array_join(transform(rows, r -> r.text), ''), 1, 200)")).otherwise(stream).alias("text_stream"),
+        F.lit(None).cast("array<string>").alias("chain"), F.lit(None).cast("array<struct<tier:string,ok:boolean>>").alias("trace"), F.lit(None).cast("struct<covered:boolean,policy:string>").alias("layout"), F.struct(F.lit(100.0).alias("w"), F.lit(100.0).alias("h")).alias("page"),
+        "records", F.filter(F.transform("rows", lambda r: r["note"]), lambda n: n.isNotNull()).alias("unassigned"),
+    )
+    none = c.select("stem", F.lit(0.0).alias("w"), F.lit(0.0).alias("h")).limit(0)
+    return validation.findings(results, c.select("stem", F.col("turn").alias("at"), "text"), none, none.select("stem", F.lit(0).alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit("").alias("role")))
