@@ -94,10 +94,11 @@ def anchor_bounds(text: Column, patterns: list[str]) -> Column:
     """Sorted distinct 0-based starts of all matches."""
     def starts(pattern: str) -> Column:
         cut = F.split(F.regexp_replace(text, f"({pattern})", "\x00$1\x01"), "\x00", -1)
-        bare = F.transform(cut, lambda p: F.length(F.replace(p, F.lit("\x01"), F.lit(""))))
-        return F.transform(F.sequence(F.lit(1), F.size(bare)), lambda i: F.when(i < F.size(bare), F.aggregate(F.slice(bare, F.lit(1), i), F.lit(0), lambda s, n: s + n)))
+        sizes = F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), lambda p: F.length(F.replace(p, F.lit("\x01"), F.lit(""))))
+        step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["found"], F.array(s["at"] + n)).alias("found"))
+        return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), step, lambda s: s["found"])
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array(*map(starts, patterns))))))
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*map(starts, patterns)))))
 
 
 def bound_after(bounds: Column, place: Column, otherwise: Column) -> Column:
@@ -121,9 +122,14 @@ def _within(spans: Column, place: Column) -> Column:
 
 
 def extract_attributes(text: Column, template: list[Attribute], stops: list[str] = (), most: int = MOST_CHARS) -> Column:
-    """map of attribute to value, for those found.
+    """map of attribute to value, for those found."""
+    return extract_spans(text, template, stops, most)["values"]
 
-    Attributes are taken in the order of the template, each after the last; one that is not found there is looked
+
+def extract_spans(text: Column, template: list[Attribute], stops: list[str] = (), most: int = MOST_CHARS, lead: Column | None = None) -> Column:
+    """struct(values: map of attribute to value for those found, taken: their stretches (lo, hi), after that of the lead).
+
+    The first `lead` characters are taken beforehand (a record's name). Attributes are taken in the order of the template, each after the last; one that is not found there is looked
     for in the whole text, outside stretches already taken. A value that goes on from its anchor ends at the
     next anchor, at a stop word or after `most` characters.
     """
@@ -141,13 +147,15 @@ def extract_attributes(text: Column, template: list[Attribute], stops: list[str]
         place = let(found_at(text, a.pattern, F.lit(0)), lambda any_: F.coalesce(found_at(text, a.pattern, s["cursor"]), F.when(~_within(s["taken"], any_), any_)))
         return let(place, lambda at: let(_value_end(text, a, at, bounds, stops, most), lambda end: taken(at, end)))
 
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<lo:int,hi:int>>").alias("taken"), F.array().cast("array<struct<key:string,value:string>>").alias("values"))
+    begin = (F.lit(0) if lead is None else lead).cast("int")
+    held = F.filter(F.array(F.struct(F.lit(0).alias("lo"), begin.alias("hi"))), lambda s: s["hi"] > 0)
+    start = F.struct(begin.alias("cursor"), held.alias("taken"), F.array().cast("array<struct<key:string,value:string>>").alias("values"))
 
     def fold(bounds: Column) -> Column:
         state = start
         for a in template:
             state = let(state, _step_of(step, bounds, a))
-        return F.map_from_entries(state["values"])
+        return let(state, lambda s: F.struct(F.map_from_entries(s["values"]).alias("values"), s["taken"].alias("taken")))
 
     return let(anchor_bounds(text, [a.pattern for a in template]), fold)
 

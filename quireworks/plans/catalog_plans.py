@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireworks.operators import validation
+from quireworks.operators import records, splits, validation
+from quireworks.plans import catalog_records as records_sql
 from quireworks.plans import families
 from quireworks.plans.registry import query
 
@@ -140,3 +141,49 @@ def result_text_findings(t):
     )
     none = c.select("stem", F.lit(0.0).alias("w"), F.lit(0.0).alias("h")).limit(0)
     return validation.findings(results, c.select("stem", F.col("turn").alias("at"), "text"), none, none.select("stem", F.lit(0).alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit("").alias("role")))
+
+
+# whole documents split into records
+
+
+_SPLIT = records_sql.SEGMENTS + """, xs as (select doc_id, line_id, record::bigint as record, st, forced, trimmed, trim(line, ' ') as t from p where trim(line, ' ') <> ''),
+rec as (select doc_id, record, case when bool_or(st and forced) then '' else max(case when st then t end) end as name, string_agg(t, '' order by line_id) as t, bool_or(st and forced) as forced, false as fallback from xs where record > 0 and not trimmed group by all
+ union all select doc_id, 1, '', string_agg(t, '' order by line_id), false, true from xs group by doc_id having max(record) = 0),
+num as (select *, substring(t, length(name) + 1) as body, regexp_matches(substring(t, length(name) + 1), '[0-9]+') as has_number from rec),
+wrd as (select *, case when has_number then regexp_replace(body, '^.*?[0-9]+', '', 's') else body end as rest from num),
+xv as (select *, (name <> '')::int + has_number::int + (regexp_matches(rest, '[xzq]') or (not regexp_matches(name, '[xzq]') and regexp_matches(t, '[xzq]')))::int as filled from wrd),
+xr as (select doc_id, count(*) as n_records, sum(filled) as filled, sum(forced::int)::bigint as forced, bool_or(fallback) as fallback, sum(length(t)) as in_records from xv group by 1),
+xg as (select doc_id, count(*) as n_lines, sum(length(t))::bigint as chars, case when max(record) = 0 then 0 else sum(case when record = 0 or trimmed then length(t) else 0 end) end::bigint as orphans from xs group by 1) """
+
+
+@query(_SPLIT + """select doc_id, n_records, n_lines, round(filled / (n_records * 3), 4) as fill_rate, case when fallback or forced > 0 then 'low' when round(filled / (n_records * 3), 4) >= 0.55 then 'high' when round(filled / (n_records * 3), 4) >= 0.3 then 'medium' else 'low' end as confidence,
+forced, fallback, chars, orphans, in_records::bigint as in_records, true as whole from xg join xr using (doc_id)""")
+def page_splits(t):
+    """Records of whole documents with a name, a number and a stretch from x, z or q on; `whole`: characters of values, of the rest of records and of orphans add up to the page's."""
+    template = splits.Template("name", (records.Attribute("number", "[0-9]+", True), records.Attribute("word", "[xzq]")))
+    segmented = records_sql._segments(t)
+    got = splits.split_pages(segmented, splits.split_records(segmented, "doc_id", "line_id", "line", template), "doc_id", "line_id", "line", template)
+    inside = F.col("in_values") + F.col("unclaimed")
+    return got.select("doc_id", "n_records", "n_lines", "fill_rate", "confidence", "forced", "fallback", "chars", "orphans", inside.alias("in_records"), (F.col("chars") == inside + F.col("cut") + F.col("orphans")).alias("whole"))
+
+
+_SIGNS = "周廷弼叶成忠張石君荣瑞馨宗敬德生黄思永王李趙錢孫吳鄭馮陳褚衛蔣沈韓楊朱秦尤許何呂施孔曹嚴華金魏陶姜"
+
+
+@query(f"""with s as (select '{_SIGNS}' as a), d as (select p_partkey as k, p_size % 6 as n, p_type in ('ECONOMY', 'PROMO', 'SMALL') as titled, p_size % 4 = 1 as dated, p_partkey % 5 = 2 as odd, [substring(a, (p_partkey * 7 + i * 11) % 45 + 1, 1) || substring(a, (p_partkey * 3 + i * 5) % 45 + 1, 1) || substring(a, (p_partkey + i * 13) % 45 + 1, 1) for i in range(0, 6)] as who from part, s),
+e as (select *, list_slice(who, 1, least(n, 4)) as kept from d)
+select k, case when n = 0 or (not titled and n > 4) then null when titled or not odd then kept[1] else substring(kept[1], 1, 3) end as p1, case when n = 0 or (not titled and n > 4) then null else kept[2] end as p2, case when n = 0 or (not titled and n > 4) then null else kept[4] end as p4,
+ case when titled and n > 0 then case when odd then '候选道' else '監生' end end as t1, case when titled and n > 1 then case when odd then '候选道' else '監生' end end as t2 from e""")
+def person_fields(t):
+    """Founders of generated records: one to five, with titles or in a bare run, with a registered date before a bare run or not."""
+    at = lambda a, b, i: F.substring(F.lit(_SIGNS), ((F.col("p_partkey") * a + i * b) % 45 + 1).cast("int"), F.lit(1))
+    names = F.array(*(F.concat(at(7, 11, i), at(3, 5, i), at(1, 13, i)) for i in range(6)))
+    titled = F.col("p_type").isin("ECONOMY", "PROMO", "SMALL")
+    title = F.when(F.col("p_partkey") % 5 == 2, "候选道").otherwise("監生")
+    people = F.array_join(F.transform(F.slice(names, F.lit(1), F.col("p_size") % 6), lambda n: F.when(titled, F.concat(title, n)).otherwise(n)), "")
+    date = F.when(~titled & (F.col("p_size") % 4 == 1), F.concat(F.lit("十二月廿三日"), F.lit("補註"))).otherwise("")
+    text = F.concat(F.lit("總號在某地，"), date, people, F.lit("創辦，資本若干"))
+    rule = splits.PersonRule("候选道|監生", (("p1", "t1"), ("p2", "t2"), ("p3", "t3"), ("p4", "t4")), tail="(?:創辦|创办)", dates=("補註", *splits.MARKS))
+    taken = F.array(F.struct(F.lit(0).alias("lo"), F.lit(6).alias("hi")))
+    v = t("part").select(F.col("p_partkey").alias("k"), splits.person_values(text, taken, rule, lambda c: c).alias("v"))
+    return v.select("k", *(F.element_at("v", F.lit(n)).alias(n) for n in ("p1", "p2", "p4", "t1", "t2")))
