@@ -28,8 +28,8 @@ from quireworks.llm.common import durable, gives_back, small_batches
 
 #: Tokens of a sequence, tokens of a length class, and salts that split the ranking of a hot class.
 CAPACITY, GRAIN, SALTS = 2048, 8, 64
-#: Bytes of words and ids that a worker remembers before it starts anew, and what an entry takes besides them.
-CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
+#: Bytes of words and ids that a worker remembers, in two generations, and what an entry takes besides them.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 END_ID = 1
 
 
@@ -61,6 +61,7 @@ class WordIds:
         self.closes = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.closes[[n for token, n in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}  # of words as they stand
+        self.before: dict[bytes, bytes] = {}  # an older generation: words that come again are taken over
         self.cores: dict[bytes, bytes] = {}  # of lower-case words and of points
         self.held = 0
 
@@ -106,12 +107,16 @@ class WordIds:
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of UTF-8 texts."""
-        if self.held > CACHE_BYTES:
-            self.known.clear()
+        if self.held > CACHE_BYTES / 2:
+            self.before, self.known, self.held = self.known, {}, 0
             self.cores.clear()
-            self.held = 0
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if new := set().union(*words).difference(self.known):
+        new = set().union(*words).difference(self.known)
+        if again := new.intersection(self.before):
+            self.known |= {w: self.before[w] for w in again}
+            self.held += ENTRY_BYTES * len(again) + 6 * sum(map(len, again))
+            new -= again
+        if new:
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
