@@ -3,8 +3,12 @@
 Vectors become integers floor(256 * x). A block of the approximation file holds a quantised cell for each
 component of its vectors, and the cell edges; the exact vectors lie in a table apart. A first pass over the
 cells bounds every product from below; the kth best of these bounds is what a query's results reach for
-certain. A second pass keeps the vectors whose upper bound reaches that. Only those are read exactly, and the
-k best of them are the result: no other vector can be one. Bounds come from each block's own edges.
+certain. A second pass keeps the vectors whose upper bound reaches that. Those are read exactly in the order of
+their bounds, most promising first, in rounds that double: a query stops when its kth exact score is above the
+bound of the next vector. Bounds come from each block's own edges.
+
+Equal vectors are one vector with its members, of which the k + 1 smallest ids (and of an id k rows) can be results;
+so copies do not fill a block, a round or a rank.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without an id take no
 part; components beyond 2**56 and scores beyond 64 bits are held at those limits; vectors of different lengths
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quireworks.llm.common import durable, gives_back, small_batches
 
-#: Vectors of a block, queries of a block, bits of a cell, and vector blocks that a lane searches.
-BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS, LANE_BLOCKS = 4096, 512, 6, 4
+#: Vectors of a block, queries of a block, bits of a cell, and vector blocks that a lane searches; vectors that a query reads first, by k.
+BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS, LANE_BLOCKS, FIRST_READ = 4096, 512, 6, 4, 2
 #: Largest size of a component; the square of it times any usual length stays below 10 ** 38.
 LARGEST = 2**56
 
@@ -53,19 +57,32 @@ def _batches(batches: Iterable[pa.RecordBatch], columns: list[str], most: int) -
         yield matrix(rows)
 
 
+def distinct_vectors(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """vectors(row, ints, only: the id of a vector with one id, else null) and members(row, vec_id, copies) of rows(vec_id, ints), as far as a result of k can need them. Limits hold within tasks first, so copies are not gathered."""
+    ids = rows.groupBy("ints", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    some = ids.withColumn("n", F.row_number().over(Window.partitionBy("ints").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    # the members of a vector are k + 1 at most by now
+    made = some.groupBy("ints").agg(F.collect_list(F.struct("vec_id", "copies")).alias("members")).withColumn("row", F.monotonically_increasing_id())
+    made = durable(made, "va-exact")
+    only = F.when(F.size("members") == 1, F.get("members", F.lit(0))["vec_id"])
+    return made.select("row", "ints", only.alias("only")), made.select("row", F.inline("members"))
+
+
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The approximation file of rows(row, vec_id, ints): a row for each block of vectors."""
+    """The approximation file of vectors(row, only, ints): a row for each block of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (row, ids), exact in _batches(batches, ["row", "vec_id"], block_rows):
+        for (row, only), exact in _batches(batches, ["row", "only"], block_rows):
             low = exact.min(axis=0, initial=LARGEST)
             step = np.maximum(1, -(-(exact.max(axis=0, initial=-LARGEST) - low + 1) // 2**CELL_BITS))
             cells = ((exact - low) // step).astype(np.uint8)
-            raw = [[x.tobytes()] for x in (row, ids.astype(np.int64), cells, low, step)]
+            many = np.array([x is None for x in only])
+            ids = np.array([0 if x is None else x for x in only], np.int64)
+            raw = [[x.tobytes()] for x in (row, ids, many, cells, low, step)]
             yield pa.RecordBatch.from_arrays([pa.array([int(row[0])]), pa.array([exact.shape[1]], pa.int32()), *(pa.array(x, pa.binary()) for x in raw)], names)
 
-    names = ["block", "width", "rows", "ids", "cells", "low", "step"]
-    return rows.mapInArrow(gives_back(run), "block long, width int, rows binary, ids binary, cells binary, low binary, step binary")
+    names = ["block", "width", "rows", "ids", "many", "cells", "low", "step"]
+    return rows.mapInArrow(gives_back(run), "block long, width int, rows binary, ids binary, many binary, cells binary, low binary, step binary")
 
 
 def query_blocks(rows: DataFrame) -> DataFrame:
@@ -89,7 +106,7 @@ def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray)
 
 
 def _meet(index: DataFrame, queries: DataFrame, lanes: int, found, schema: str) -> DataFrame:
-    """found(query rows, vector rows, other ids?, lower, upper, reach) over every pair of a query block and a vector block of one length. Query blocks go to every lane, a vector block to one."""
+    """found(query rows, vector rows, other members than the query's id?, lower, upper, reach) over every pair of a query block and a vector block of one length. Query blocks go to every lane, a vector block to one."""
     laned = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
     pairs = laned.join(query_blocks(queries).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), ["lane", "width"])
 
@@ -98,7 +115,7 @@ def _meet(index: DataFrame, queries: DataFrame, lanes: int, found, schema: str)
             for x in batch.to_pylist():
                 rows, ids, low, step, query_rows, query_ids = (np.frombuffer(x[c], np.int64) for c in ("rows", "ids", "low", "step", "query_rows", "query_ids"))
                 q, cells = np.frombuffer(x["queries"], np.int64).reshape(len(query_rows), x["width"]), np.frombuffer(x["cells"], np.uint8).reshape(len(rows), x["width"])
-                yield pa.RecordBatch.from_arrays(*found(query_rows, rows, ids[None, :] != query_ids[:, None], *bounds(q, cells, low, step), np.frombuffer(x["reach"], np.float64)))
+                yield pa.RecordBatch.from_arrays(*found(query_rows, rows, np.frombuffer(x["many"], bool)[None, :] | (ids[None, :] != query_ids[:, None]), *bounds(q, cells, low, step), np.frombuffer(x["reach"], np.float64)))
 
     return pairs.drop("block", "lane").mapInArrow(gives_back(run), schema)
 
@@ -107,13 +124,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS
     """query_id, rank, vec_id, score: the k highest integer products of every row that is_query selects, against all rows.
 
     A query keeps k bounds of each block in the first pass, and in the second the vectors that may still be
-    among its k best; those meet the exact vectors by row.
+    among its k best.
     """
     small_batches(vectors.sparkSession)
-    rows = durable(integer_vectors(vectors).withColumn("row", F.monotonically_increasing_id()), "va-exact")
-    index = durable(build_index(rows, block_rows), "va-index")
+    rows = durable(integer_vectors(vectors).withColumn("row", F.monotonically_increasing_id()), "va-rows")
+    kept, members = distinct_vectors(rows, k)
+    index = durable(build_index(kept, block_rows), "va-index")
     lanes = max(1, -(-index.count() // LANE_BLOCKS))
     queries = rows.where(is_query).withColumn("reach", F.lit(float("-inf")))
+    near, reaching = candidates(index, queries, lanes, k)
+    kind = _product(rows)
+    best, _ = read_in_order(near, reaching, kept, members, k, kind)
+    limit = lambda c: F.least(F.greatest(c, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long") if "decimal" in kind else c
+    return best.select("query_id", "rank", "vec_id", limit(F.col("exact")).alias("score"))
+
+
+def candidates(index: DataFrame, queries: DataFrame, lanes: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """near(query_row, row, upper): the vectors that may be among a query's k best; and the queries with the score that is certain."""
 
     def least(query_rows, rows, other, lower, upper, reach):
         lower = np.where(other, lower, -np.inf)
@@ -127,16 +154,42 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS
 
     def able(query_rows, rows, other, lower, upper, reach):
         r, c = np.nonzero(other & (upper >= reach[:, None]))
-        return [pa.array(query_rows[r]), pa.array(rows[c])], ["query_row", "row"]
+        return [pa.array(query_rows[r]), pa.array(rows[c]), pa.array(upper[r, c])], ["query_row", "row", "upper"]
+
+    return durable(_meet(index, reaching, lanes, able, "query_row long, row long, upper double"), "va-near"), reaching
 
-    near = _meet(index, reaching, lanes, able, "query_row long, row long")
-    exact = near.join(reaching.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("ints").alias("q")), "query_row").join(rows.select("row", "vec_id", "ints"), "row")
-    product = F.expr("aggregate(zip_with(q, ints, (x, y) -> cast(x as decimal(18, 0)) * cast(y as decimal(18, 0))), cast(0 as decimal(38, 0)), (a, b) -> cast(a + b as decimal(38, 0)))")
+
+def _product(rows: DataFrame) -> str:
+    """The type that products of these vectors fit into."""
     most, width = rows.agg(F.max(F.expr("array_max(transform(ints, x -> abs(x)))")), F.max(F.size("ints"))).first()
-    if most is None or most * most * width < 2**62:
-        product = F.expr("aggregate(zip_with(q, ints, (x, y) -> x * y), 0L, (a, b) -> a + b)")
-    best = Window.partitionBy("query_row").orderBy(F.desc("exact"), "vec_id", "row")
-    limit = lambda c: F.least(F.greatest(c, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long") if "decimal" in kind else c
-    scored = exact.select("query_row", "query_id", "row", "vec_id", product.alias("exact"))
-    kind = scored.schema["exact"].dataType.simpleString()
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", limit(F.col("exact")).alias("score"))
+    return "long" if most is None or most * most * width < 2**62 else "decimal(38,0)"
+
+
+def read_in_order(near: DataFrame, queries: DataFrame, kept: DataFrame, members: DataFrame, k: int, kind: str) -> tuple[DataFrame, int]:
+    """The k best rows (query_id, rank, vec_id, exact) of each query, and how many vectors were read exactly.
+
+    A round reads the next vectors of each query by their bounds from above, twice as many as before. What is left
+    whose bound is under the kth exact score cannot be a result and is not read.
+    """
+    step = "aggregate(zip_with(q, ints, (x, y) -> x * y), 0L, (a, b) -> a + b)"
+    if kind != "long":
+        step = "aggregate(zip_with(q, ints, (x, y) -> cast(x as decimal(18, 0)) * cast(y as decimal(18, 0))), cast(0 as decimal(38, 0)), (a, b) -> cast(a + b as decimal(38, 0)))"
+    asked = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("ints").alias("q"))
+    by_bound = Window.partitionBy("query_row").orderBy(F.desc("upper"), "row")
+    by_score = Window.partitionBy("query_row").orderBy(F.desc("exact"), "vec_id", "copy")
+    best, left, size, read = None, near, FIRST_READ * k, 0
+    while True:
+        now = durable(left.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= size).select("query_row", "row"), "va-reads")
+        some = now.count()
+        if not some:
+            break
+        read += some
+        exact = now.join(asked, "query_row").join(kept.select("row", "ints"), "row").select("query_row", "query_id", "row", F.expr(step).alias("exact"))
+        each = exact.join(members, "row").where("vec_id <> query_id").select("query_row", "query_id", "vec_id", "exact", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+        best = durable((each if best is None else each.unionByName(best.drop("rank"))).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "va-best")
+        # a double holds a long score up to one part in 2 ** 53: the margin keeps what might tie
+        sure = best.where(F.col("rank") == k).select("query_row", F.col("exact").cast("double").alias("sure"))
+        margin = F.col("sure") - F.abs("sure") * 1e-12
+        left = left.join(now, ["query_row", "row"], "left_anti").join(sure, "query_row", "left").where(F.col("sure").isNull() | (F.col("upper") >= margin)).drop("sure")
+        left, size = durable(left, "va-near"), size * 2
+    return (best if best is not None else queries.sparkSession.createDataFrame([], f"query_row long, query_id {queries.schema['vec_id'].dataType.simpleString()}, vec_id long, exact {kind}, copy int, rank int")), read

@@ -534,3 +534,23 @@ def test_conflicting_labels_count_as_toxic_whatever_the_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     fits = [toxicity.fit(docs, spark.createDataFrame(order, "doc_id long, quality int, toxic int").repartition(n)) for order, n in ((labels, 1), (labels[::-1], 3))]
     assert fits[0].voters.entry.keys() == fits[1].voters.entry.keys() and fits[0].score(rows[0][1]) == pytest.approx(fits[1].score(rows[0][1]), abs=1e-6)
+
+
+def test_vector_search_reads_in_the_order_of_bounds_and_stops(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "CELL_BITS", 2)
+    monkeypatch.setattr(vafile, "FIRST_READ", 1)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(500, 12))
+    rows = [(k, v.tolist()) for k, v in enumerate(base)] + [(600 + k, base[7].tolist()) for k in range(200)]  # a vector with many copies
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept, members = vafile.distinct_vectors(vafile.integer_vectors(d), 5)
+    assert kept.count() == 500 and members.count() == 499 + 6
+    whole = vafile.durable(vafile.integer_vectors(d).withColumn("row", F.monotonically_increasing_id()), "t")
+    queries = whole.where("vec_id % 50 = 7").withColumn("reach", F.lit(float("-inf")))
+    near, reaching = vafile.candidates(vafile.durable(vafile.build_index(kept, 64), "t"), queries, 2, 5)
+    best, read = vafile.read_in_order(near, reaching, kept, members, 5, "long")
+    ints = {k: np.floor(256 * np.array(v)).astype(int) for k, v in rows}
+    for q in {x.query_id for x in best.collect()}:
+        want = sorted(((-int(ints[q] @ v), k) for k, v in ints.items() if k != q))[:5]
+        assert [(-x.exact, x.vec_id) for x in best.where(F.col("query_id") == int(q)).orderBy("rank").collect()] == want
+    assert 0 < read < near.count() < queries.count() * 500
