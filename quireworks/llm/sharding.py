@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group. Small groups are pooled by a hash of the text into a fixed number of pools, large ones
-are units of their own; so the packer sees a bounded number of units, whatever the number of rows. Each unit,
-largest first, goes where the dot product of its vector with the residual capacity is highest. The law that
-holds is `bytes`: sizes of shards are near equal. A group stays whole unless that law forbids it: groups
-larger than a shard are sliced by a hash of their rows, and only if shards then differ by more than TOLERANCE,
-groups of half a shard, a quarter and so on are sliced too.
+Equal texts form a group, which is placed whole. Large groups (by their share of all bytes or rows, so their number
+is bounded) are placed first, largest first, each where the dot product of its vector with the residual capacity is
+highest. All other groups are dealt to lots by a hash. A lot has its part of what the large groups leave of each
+shard, and packs its groups into that in the same way; so tasks pack side by side, a lot is of bounded size, and
+every group is placed by its own vector. The law that holds is `bytes`: sizes of shards are near equal. A group stays
+whole unless that law forbids it: groups larger than a shard are sliced by a hash of their rows, and only if shards
+must differ by more than TOLERANCE otherwise, groups of half a shard, a quarter and so on are sliced too.
 
 Tokens are the words between white space, or what the caller names (as counts of a tokenizer, from
 `tokens.token_counts`).
@@ -17,24 +18,23 @@ empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import durable
 
-#: Pools of small groups for each shard, the inverse share of a shard's bytes above which a group is a unit of its own, and by how much of a shard sizes may differ before whole groups are sliced.
-POOLS_PER_SHARD, SLICES_PER_SHARD, TOLERANCE = 256, 64, 0.005
-#: Parts of a slice of a large group whose rows are ranked apart.
-SALTS = 64
+#: The inverse share of a shard above which a group is placed by itself, by how much of a shard sizes may differ before whole groups are sliced, groups of a lot and rows that are ranked together, about.
+SLICES_PER_SHARD, TOLERANCE, LOT_GROUPS, RANKED_ROWS = 64, 0.005, 20_000, 100_000
 #: Weights of bytes, tokens and rows in the dot product; bytes lead, as their balance is the law.
 WEIGHTS = (4.0, 1.0, 1.0)
 
 
-def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
-    """The shard of each unit. Largest units first; a unit goes to the highest dot product with residual capacity among the shards that have room for its bytes, or else to the one with most room."""
+def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS, capacity: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each unit. Largest units first (of equal ones the first); a unit goes to the highest dot product with residual capacity among the shards that have room for its bytes, or else to the one with most room. capacity: of each shard in each dimension, equal if none is given."""
     total = np.maximum(vectors.sum(axis=0), 1)
     scaled = vectors / total * shards  # a full shard is 1 in each dimension
-    residual = np.ones((shards, vectors.shape[1]))
+    residual = np.ones((shards, vectors.shape[1])) if capacity is None else capacity / np.maximum(capacity.sum(axis=0), 1e-9) * shards
     out = np.zeros(len(vectors), dtype=np.int64)
     w = np.asarray(weights)
     for k in np.lexsort((np.arange(len(vectors)), -scaled[:, 0])):
@@ -45,24 +45,52 @@ def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS
     return out
 
 
-def slices_of(groups: np.ndarray, pools: np.ndarray, shards: int) -> np.ndarray:
-    """How many slices each group (a vector each) gets, as few as the law allows beside the pools."""
-    shard_bytes = max(1.0, (groups[:, 0].sum() + pools[:, 0].sum()) / shards)
+def room(loads: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What each shard has left in each dimension when `rest` is spread so that shards become as equal as they can: loads are raised to one level."""
+    left = np.zeros_like(loads)
+    for d in range(loads.shape[1]):
+        order = np.sort(loads[:, d])
+        raised = np.arange(1, len(order) + 1) * order - np.cumsum(order)  # what it takes to raise the lowest to this one
+        k = int(np.searchsorted(raised, rest[d], side="right"))
+        level = (order[:k].sum() + rest[d]) / k
+        left[:, d] = np.maximum(level - loads[:, d], 0)
+    return left
+
+
+def slices_of(groups: np.ndarray, rest: np.ndarray, shards: int) -> np.ndarray:
+    """How many slices each group (a vector each) gets, as few as the law allows beside the other groups, whose vectors add up to rest."""
+    shard_bytes = max(1.0, (groups[:, 0].sum() + rest[0]) / shards)
     parts = 1
     while True:
-        slices = np.minimum(np.ceil(groups[:, 0] * parts / shard_bytes), groups[:, 2]).astype(np.int64)
-        units = np.concatenate([pools, np.repeat(groups / slices[:, None], slices, axis=0)])
-        loads = np.bincount(place(units, shards), units[:, 0], shards)
-        if parts >= SLICES_PER_SHARD or loads.max() - loads.min() <= TOLERANCE * shard_bytes:
+        slices = np.maximum(1, np.minimum(np.ceil(groups[:, 0] * parts / shard_bytes), groups[:, 2])).astype(np.int64)
+        loads = _loads(np.repeat(groups / slices[:, None], slices, axis=0), shards)
+        loads += room(loads, rest)
+        if parts >= SLICES_PER_SHARD or loads[:, 0].max() - loads[:, 0].min() <= TOLERANCE * shard_bytes:
             return slices
         parts *= 2
 
 
+def _loads(units: np.ndarray, shards: int) -> np.ndarray:
+    at = place(units, shards)
+    return np.stack([np.bincount(at, units[:, d], shards) for d in range(units.shape[1])], axis=1)
+
+
+def pack_lots(groups: DataFrame, left: np.ndarray) -> DataFrame:
+    """text_hash, shard of groups(lot, text_hash, bytes, tokens, n): each lot packs its groups into its part of the room that is left."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("text_hash")
+        vectors = np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("bytes", "tokens", "n")], axis=1)
+        return pa.table({"text_hash": table.column("text_hash"), "home": pa.array(place(vectors, len(left), capacity=left), pa.int32())})
+
+    return groups.groupBy("lot").applyInArrow(run, "text_hash long, home int")
+
+
 def shard(docs: DataFrame, shards: int = 16, tokens: Column | None = None) -> DataFrame:
-    """doc_id, size, n_tokens, text_crc32, unit, shard, slot of every row of docs(doc_id, text).
+    """doc_id, size, n_tokens, text_crc32, shard, slot of every row of docs(doc_id, text).
 
     The text is read once; all later steps move a few numbers a row. What is collected is bounded by
-    parameters: at most shards * SLICES_PER_SHARD large groups, and their slices and the pools.
+    parameters: at most 2 * shards * SLICES_PER_SHARD large groups.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -77,35 +105,32 @@ def shard(docs: DataFrame, shards: int = 16, tokens: Column | None = None) -> Da
         ).withColumn("row_hash", F.xxhash64("doc_id", "text_hash")),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    quota, pools = max(1, total // (shards * SLICES_PER_SHARD)), shards * POOLS_PER_SHARD
     vector = [F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")]
-    grouped = rows.groupBy("text_hash").agg(*vector)
-    is_large = (F.col("bytes") > quota) & (F.col("n") > 1)
-    large = grouped.where(is_large).orderBy("text_hash").collect()  # fewer than shards * SLICES_PER_SHARD rows: their bytes add up to at most the total
-    small = grouped.where(~is_large).groupBy(F.pmod("text_hash", F.lit(pools))).agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).collect()
-    matrix = lambda found: np.array([list(r)[1:] for r in found], dtype=np.float64).reshape(-1, 3)
-    slices = slices_of(matrix(large), matrix(small), shards).tolist() if total else []
-    first = np.cumsum([pools, *slices]).tolist()
-    hot = spark.createDataFrame([(r.text_hash, n, f) for r, n, f in zip(large, slices, first)], "text_hash long, slices long, first long")
-    units = (
-        rows.join(F.broadcast(hot), "text_hash", "left")
-        .withColumn("unit", F.coalesce(F.col("first") + F.pmod("row_hash", "slices"), F.pmod("text_hash", F.lit(pools))))
-        .withColumn("salt", F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("row_hash"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-        .drop("slices", "first", "text_hash")
-    )
-    sums = units.groupBy("unit", "salt").agg(*vector).orderBy("unit", "salt").collect()  # at most SALTS rows for a large group's slice, one for a pool
-    names, which = np.unique(np.array([r["unit"] for r in sums], dtype=np.int64), return_inverse=True)
-    vectors = np.zeros((len(names), 3))
-    np.add.at(vectors, which, np.array([[r["bytes"], r["tokens"], r["n"]] for r in sums], dtype=np.float64).reshape(-1, 3))
-    placed, at, where = place(vectors, shards), np.zeros(shards, dtype=np.int64), []
-    for r, s in zip(sums, placed[which].tolist()):
-        where.append((r["unit"], r["salt"], s, int(at[s])))
-        at[s] += int(r["n"])
-    homes = spark.createDataFrame(where, "unit long, salt long, shard int, slot_base long")
-    within = Window.partitionBy("unit", "salt").orderBy("doc_id", "text_crc32", "row_hash")
-    return (
-        units.withColumn("rank", F.row_number().over(within))
-        .join(F.broadcast(homes), ["unit", "salt"])
-        .select("doc_id", "size", "n_tokens", "text_crc32", "unit", "shard", (F.col("slot_base") + F.col("rank") - 1).alias("slot"))
-    )
+    grouped = durable(rows.groupBy("text_hash").agg(*vector), "shard-groups")
+    n_groups, *total = grouped.agg(F.count("*"), F.sum("bytes"), F.sum("tokens"), F.sum("n")).first()
+    total = np.array([x or 0 for x in total], dtype=np.float64)
+    parts = shards * SLICES_PER_SHARD
+    is_large = (F.col("n") > 1) & ((F.col("bytes") > total[0] / parts) | (F.col("n") > max(1.0, total[2] / parts)))
+    large = grouped.where(is_large).orderBy("text_hash").collect()  # their bytes, or their rows, add up to the total at most
+    vectors = np.array([[r.bytes, r.tokens, r.n] for r in large], dtype=np.float64).reshape(-1, 3)
+    rest = total - vectors.sum(axis=0)
+    slices = slices_of(vectors, rest, shards)
+    cut = spark.createDataFrame([(r.text_hash, int(n)) for r, n in zip(large, slices)], "text_hash long, slices int")
+    marked = durable(rows.join(F.broadcast(cut), "text_hash", "left").withColumn("slice", F.pmod("row_hash", "slices").cast("int")), "shard-marked")
+    units = marked.where("slices is not null").groupBy("text_hash", "slice").agg(*vector).orderBy("text_hash", "slice").collect()  # as many as slices, which the law bounds
+    vectors = np.array([[r.bytes, r.tokens, r.n] for r in units], dtype=np.float64).reshape(-1, 3)
+    homes, left = place(vectors, shards), room(_loads(vectors, shards), rest)
+    hot = spark.createDataFrame([(r.text_hash, r.slice, int(h)) for r, h in zip(units, homes)], "text_hash long, slice int, shard int")
+    lots = grouped.where(~is_large).withColumn("lot", F.pmod(F.xxhash64("text_hash"), F.lit(max(1, n_groups // LOT_GROUPS))))
+    packed = durable(pack_lots(lots, left), "shard-homes")
+    by_group = marked.where("slices is null").join(packed, "text_hash").withColumn("shard", F.col("home"))
+    by_slice = marked.where("slices is not null").join(F.broadcast(hot), ["text_hash", "slice"])
+    kept = ["doc_id", "size", "n_tokens", "text_crc32", "row_hash", "shard"]
+    salts = max(1, int(total[2] // (shards * RANKED_ROWS)))
+    placed = durable(by_group.select(*kept).unionByName(by_slice.select(*kept)).withColumn("salt", F.pmod(F.xxhash64("row_hash", "doc_id"), F.lit(salts)).cast("int")), "shard-placed")
+    sums = placed.groupBy("shard", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("shard", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "row_hash")
+    ranked = placed.withColumn("rank", F.row_number().over(within)).join(bases, ["shard", "salt"])
+    return ranked.select("doc_id", "size", "n_tokens", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))

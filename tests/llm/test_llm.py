@@ -125,6 +125,48 @@ def test_equal_texts_stay_in_one_shard_unless_they_fill_it(spark):
     assert np.bincount(plain, [3, 3, 2, 2, 2], 2).tolist() in ([6, 6], [5, 7], [7, 5])
 
 
+def test_room_raises_shards_to_one_level():
+    loads = np.array([[5.0, 1], [0, 1], [2, 1], [9, 1]])
+    assert sharding.room(loads, np.array([5.0, 8])).tolist() == [[0, 2], [3.5, 2], [1.5, 2], [0, 2]]
+    assert sharding.room(loads, np.array([20.0, 0])).sum(axis=0).tolist() == [20, 0] and sharding.room(np.zeros((3, 3)), np.zeros(3)).sum() == 0
+
+
+def plain_place(vectors, shards, capacity):
+    """Each unit in turn, largest first, by plain loops."""
+    total = [max(1.0, sum(v[d] for v in vectors)) for d in range(3)]
+    whole = [sum(c[d] for c in capacity) for d in range(3)]
+    left = [[c[d] / max(whole[d], 1e-9) * shards for d in range(3)] for c in capacity]
+    out = {}
+    for k in sorted(range(len(vectors)), key=lambda k: (-vectors[k][0], k)):
+        unit = [vectors[k][d] / total[d] * shards for d in range(3)]
+        fits = [s for s in range(shards) if left[s][0] >= unit[0]]
+        best = max(fits, key=lambda s: (round(sum(w * u * x for w, u, x in zip(sharding.WEIGHTS, unit, left[s])), 9), -s)) if fits else max(range(shards), key=lambda s: (left[s][0], -s))
+        out[k] = best
+        left[best] = [x - u for x, u in zip(left[best], unit)]
+    return [out[k] for k in range(len(vectors))]
+
+
+def test_every_group_is_placed_by_its_own_vector(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT_GROUPS", 40)
+    monkeypatch.setattr(sharding, "RANKED_ROWS", 20)
+    r = random.Random(12)
+    rows = [(k, "w " * r.randrange(1, 60) + str(k % 150)) for k in range(400)] + [(500 + k, None) for k in range(300)] + [(900 + k, "big " * 300) for k in range(40)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    loads, counts = np.zeros(4), Counter()
+    for x in got:
+        loads[x.shard] += x.size
+        counts[x.shard] += 1
+    for s in range(4):
+        assert sorted(x.slot for x in got if x.shard == s) == list(range(counts[s]))
+    assert len(got) == len(rows) and loads.max() - loads.min() < 0.02 * loads.sum() / 4
+    v = np.array([[r.randrange(1, 900), r.randrange(1, 99), r.randrange(1, 5)] for _ in range(60)], float)
+    c = np.array([[r.random(), r.random(), r.random()] for _ in range(5)])
+    assert sharding.place(v, 5, capacity=c).tolist() == plain_place(v.tolist(), 5, c.tolist())
+    lots = spark.createDataFrame([(0, k, *map(int, x)) for k, x in enumerate(v)], "lot int, text_hash long, bytes long, tokens long, n long")
+    homes = {x.text_hash: x.home for x in sharding.pack_lots(lots, c).collect()}
+    assert [homes[k] for k in range(60)] == plain_place(v.tolist(), 5, c.tolist())
+
+
 def test_packing_vectors_balance_a_dominant_group():
     v = np.array([[1.0, 1, 1]] * 400 + [[50.0, 10, 1]] * 16)
     got = np.bincount(sharding.place(v, 16), v[:, 0], 16)
