@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireworks.operators import records, splits, validation
+from quireworks.operators import overrides, records, splits, validation
 from quireworks.plans import catalog_records as records_sql
 from quireworks.plans import families
 from quireworks.plans.registry import query
+from quireworks.sources import html
 
 # bands and lines: parts are lines and bands, brands are plans
 
@@ -187,3 +188,75 @@ def person_fields(t):
     taken = F.array(F.struct(F.lit(0).alias("lo"), F.lit(6).alias("hi")))
     v = t("part").select(F.col("p_partkey").alias("k"), splits.person_values(text, taken, rule, lambda c: c).alias("v"))
     return v.select("k", *(F.element_at("v", F.lit(n)).alias(n) for n in ("p1", "p2", "p4", "t1", "t2")))
+
+
+# orders of attributes, and what is set against them
+
+
+@query("""with recursive f as (select user_id % 10 as k, user_id, event_type as a, min(ts) as at from events group by all),
+w as (select x.k, x.a as before, y.a as after, count(*) as wins from f x join f y on x.user_id = y.user_id and (x.at < y.at or (x.at = y.at and x.a < y.a)) group by all),
+e as (select w.k, w.before, w.after from w left join w l on l.k = w.k and l.before = w.after and l.after = w.before where w.wins > coalesce(l.wins, 0)),
+s as (select user_id % 10 as k, event_type as a, min(event_id) as seed from events group by all), h as (select s.k, s.a, s.seed, list(e.before) filter (e.before is not null) as ahead from s left join e on e.k = s.k and e.after = s.a group by all),
+r(k, l, o, n) as (select k, list({'a': a, 'ahead': coalesce(ahead, [])} order by seed, a), []::varchar[], 0 from h group by k union all
+ select k, list_filter(l, lambda y: y.a <> p), list_append(o, p), n + 1 from (select *, list_filter(l, lambda y: len(list_intersect(y.ahead, list_transform(l, lambda z: z.a))) = 0)[1].a as p from r) where p is not null)
+select k, array_to_string(list_concat(o, list_transform(l, lambda y: y.a)), ',') as attrs, array_to_string(list_transform(l, lambda y: y.a), ',') as cyclic from (select *, row_number() over (partition by k order by n desc) as last from r) where last = 1""")
+def attribute_order(t):
+    e = t("events").withColumn("k", F.col("user_id") % 10)
+    seeds = e.groupBy("k", F.col("event_type").alias("attr")).agg(F.min("event_id").alias("seed"))
+    got = overrides.attribute_orders(overrides.wins(e, "k", "user_id", "ts", "event_type"), seeds, "k")
+    return got.select("k", F.array_join("order", ",").alias("attrs"), F.array_join("cyclic", ",").alias("cyclic"))
+
+
+_SET = """c as (select p_brand as k, p_type as a, count(*) as n, avg(p_size) as m from part group by all), l as (select k, list(a order by n desc, a) as o, coalesce(list(a order by n desc, a) filter (m > 25), []) as req from c group by k),
+s as (select p_brand as k, case when p_partkey % 11 = 0 then 'NONE' else p_type end as a, p_partkey as id, p_partkey % 3 > 0 as human, case p_partkey % 5 when 0 then null when 1 then (p_size % 8)::varchar when 2 then 'x' else (p_size % 6 + 1)::varchar end as position, case p_partkey % 4 when 0 then null when 1 then true else false end as need from part),
+j as (select s.*, o, req, coalesce(list_position(o, a), 0) as pl, try_cast(position as int) as p from s join l using (k)),
+f as (select k, a, id, 'all' as field, 'skipped' as outcome, 'no_human_source' as reason, null::varchar as value from j where not human
+ union all select k, a, id, 'position', case when p is null or pl = 0 or p < 1 or p > len(o) then 'skipped' when p = pl then 'noop' else 'applied' end, case when p is null then 'not_a_number' when pl = 0 then 'not_in_order' when p < 1 or p > len(o) then 'out_of_range' end, p::varchar from j where human and position is not null
+ union all select k, a, id, 'required', case when need = list_contains(req, a) then 'noop' when need and pl = 0 then 'skipped' else 'applied' end, case when need <> list_contains(req, a) and need and pl = 0 then 'not_in_order' end, need::varchar from j where human and need is not null) """
+
+
+def _learned_and_set(t):
+    p = t("part")
+    c = p.groupBy(F.col("p_brand").alias("k"), F.col("p_type").alias("a")).agg(F.count("*").alias("n"), F.avg("p_size").alias("m"))
+    ranked = c.groupBy("k").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a", "m"))).alias("x"))
+    learned = ranked.select("k", F.transform("x", lambda s: s["a"]).alias("order"), F.transform(F.filter("x", lambda s: s["m"] > 25), lambda s: s["a"]).alias("required"))
+    part = F.col("p_partkey")
+    position = F.when(part % 5 == 1, (F.col("p_size") % 8).cast("string")).when(part % 5 == 2, "x").when(part % 5 > 2, (F.col("p_size") % 6 + 1).cast("string"))
+    asked = p.select(F.col("p_brand").alias("k"), F.when(part % 11 == 0, "NONE").otherwise(F.col("p_type")).alias("attr"), part.alias("id"), F.when(part % 3 > 0, "human").otherwise("model").alias("source"), position.alias("position"), F.when(part % 4 == 1, True).when(part % 4 > 1, False).alias("required"))
+    return learned, asked
+
+
+@query("with " + _SET + "select k, a as attr, field, outcome, reason, value, count(*) as n from f group by all")
+def override_outcomes(t):
+    learned, asked = _learned_and_set(t)
+    return overrides.override_outcomes(learned, asked, "k").groupBy("k", "attr", "field", "outcome", "reason", "value").agg(F.count("*").alias("n"))
+
+
+@query("with recursive " + _SET + """, one as (select k, a, min(id) as id from s group by all), g as (select f.* from f join one using (k, a, id) where outcome = 'applied'),
+pins as (select k, list({'p': value::int, 'a': a} order by value::int, a) as pins from g where field = 'position' group by k),
+b as (select l.k, l.o, l.req, coalesce(pins, []) as pins, list_filter(l.o, lambda x: not list_contains(list_transform(coalesce(pins, []), lambda y: y.a), x)) as rest from l left join pins using (k)),
+r(k, rest, pins, i) as (select k, rest, pins, 0 from b union all select k, list_concat(list_concat(rest[:least(pins[i + 1].p - 1, len(rest))], [pins[i + 1].a]), rest[least(pins[i + 1].p, len(rest) + 1):]), pins, i + 1 from r where i < len(pins)),
+z as (select k, rest as o, len(pins) as n from r where i = len(pins)),
+q as (select k, coalesce(list(a order by a) filter (value = 'true'), []) as more, coalesce(list(a) filter (value = 'false'), []) as less from g where field = 'required' group by k),
+y as (select z.k, z.o, z.n, list_filter(list_concat(l.req, list_filter(coalesce(more, []), lambda x: not list_contains(l.req, x))), lambda x: not list_contains(coalesce(less, []), x)) as need from z join l using (k) left join q using (k))
+select k, array_to_string(o, ',') as attrs, array_to_string(case when n > 0 then list_filter(o, lambda x: list_contains(need, x)) else need end, ',') as required from y""")
+def overridden_orders(t):
+    """One override for each attribute of a brand: that of its first part."""
+    learned, asked = _learned_and_set(t)
+    one = asked.groupBy("k", "attr").agg(F.min_by(F.struct("source", "position", "required"), "id").alias("o")).select("k", "attr", "o.*")
+    got = overrides.overridden(learned, overrides.override_outcomes(learned, one, "k"), "k")
+    return got.select("k", F.array_join("order", ",").alias("attrs"), F.array_join("required", ",").alias("required"))
+
+
+@query("""with p as (select page_id, unnest(regexp_extract_all(html, '(?is)<ul[^>]*>(.*?)</ul>', 1)) as u, generate_subscripts(regexp_extract_all(html, '(?is)<ul[^>]*>(.*?)</ul>', 1), 1) - 1 as table_no from pages),
+r as (select page_id, table_no, unnest(regexp_extract_all(u, '(?is)<li[^>]*>(.*?)</li>', 1)) as c, generate_subscripts(regexp_extract_all(u, '(?is)<li[^>]*>(.*?)</li>', 1), 1) - 1 as i, len(regexp_extract_all(u, '(?is)<li[^>]*>(.*?)</li>', 1)) as n from p)
+select page_id, table_no::int as table_no, (i // 2)::int as row_no, case when i < 2 then i when i % 2 = 0 then 1 else 2 end::int as col_no, case when i = 0 then ((n + 1) // 2)::int else 1 end as rowspan, length(c)::int as chars from r""")
+def html_grids(t):
+    """The pages have lists and no tables, so each list is written as a table of three columns first: its first item spans all rows, the others fill the two columns beside it."""
+    lists = F.regexp_extract_all("html", F.lit(r"(?is)<ul[^>]*>(.*?)</ul>"), F.lit(1))
+    items = lambda u: F.regexp_extract_all(u, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "[^ ]", "x"), " ", "y")
+    cell = lambda c, i, n: F.concat(F.when((i > 0) & (i % 2 == 0), "</tr><tr>").otherwise(""), F.when(i == 0, F.concat(F.lit("<td rowspan="), F.floor((n + 1) / 2).cast("string"), F.lit(">"))).otherwise("<td>"), bare(c), F.lit("</td>"))
+    table = lambda u: F.concat(F.lit("<table><tr>"), F.array_join(F.transform(items(u), lambda c, i: cell(c, i, F.size(items(u)))), ""), F.lit("</table>"))
+    pages = t("pages").select("page_id", F.array_join(F.transform(lists, table), "\n").alias("html"))
+    return html.html_grid(pages, "page_id", "html").select("page_id", "table_no", "row_no", "col_no", "rowspan", F.length("text").alias("chars"))
