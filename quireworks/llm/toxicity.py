@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Lexicons of words and word beginnings are drawn from labelled texts and dealt into voters; patterns (shouting,
-masked words, repeated signs, several lexicon words together) are voters too. A generative label model
-estimates each voter's firing rates in either class and the correlations left within a class, from the
-patterns of votes of all texts that may be learned from; correlated voters share their weight. A linear
+masked words, repeated signs, several lexicon words together) are voters too, and so are labels, where there are any.
+A generative label model has, for either class, each voter's rate of firing given what one other voter does: a tree of
+the strongest dependencies within the classes. Expectation maximisation over the patterns of votes of all texts that may be learned
+from estimates these rates, which are accuracies and correlations in one, and the accuracy of labels. A linear
 classifier is then trained on the posterior labels, and scores every text.
 
 Defined cases: a null or empty text is scored as a text without features; a null id counts as empty text in
@@ -27,6 +28,8 @@ from quireworks.llm.common import durable, gives_back, id_fold, small_batches
 
 #: Labelled rows that lexicons and classifier are fitted on, at most (expected size; picked by a hash of the id).
 FIT_ROWS = 20_000
+#: Least share of labels that are right; least mutual information (nats) of voters that depend on each other, over all texts and as so many nats beyond chance; rounds of expectation maximisation.
+LABELS_RIGHT, LEAST_INFORMATION, BEYOND_CHANCE, ROUNDS = 0.99, 1e-3, 10.0, 60
 #: Lexicon entries kept, groups they are dealt into, and least toxic texts and lift of an entry.
 ENTRIES, LEXICON_VOTERS, LEAST_TEXTS, LEAST_LIFT = 800, 6, 3, 6.0
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -79,43 +82,76 @@ class Voters:
 
 
 class LabelModel:
-    """Firing rates of each voter in either class by expectation maximisation over vote patterns, with weights discounted by the correlations that remain within a class."""
-
-    def __init__(self, patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 50):
-        fired = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
-        n = counts.astype(float)
-        gold = labels >= 0
-        self.prior = prior = min(max(prior, 1e-4), 0.5)
-        q = np.where(gold, labels, prior).astype(float)
+    """P(class) * product over voters of P(vote | class, vote of its parent) * P(label | class), by expectation maximisation over vote patterns.
+
+    parent: the voter that each one depends on (-1: none); rate[class, vote of the parent, voter]: how often it fires;
+    right[class]: how often a label says the class. Labels name the classes, so they are held to be right more often than LABELS_RIGHT.
+    """
+
+    def __init__(self, patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, prior: float, rounds: int | None = None):
+        fired, n, gold = self.fired(patterns), counts.astype(float), labels >= 0
+        self.prior = min(max(prior, 1e-4), 0.5)
         if gold.any():  # start where labelled texts say
-            q = np.where(gold, q, 0.0)
-            w = n * gold
+            q, w = np.where(gold, labels, 0.0).astype(float), n * gold
         else:
             q, w = (fired[:, :LEXICON_VOTERS].sum(axis=1) >= 2).astype(float), n
-        self.share = np.ones(VOTERS)
-        for _ in range(rounds):
-            rate = lambda m: (m @ fired + 0.5) / (m.sum() + 1.0)
-            self.hit, self.false = rate(w * q), rate(w * (1 - q))
-            self.share = self.shares(fired, w * q, w * (1 - q))
-            now = self.posterior(patterns)
-            q, w = np.where(gold, labels * 0.98 + (1 - labels) * 0.02, now), n
-
-    def shares(self, fired: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-        """1 over how many voters each one amounts to, by correlations within the classes."""
+        self.right = np.array([LABELS_RIGHT, LABELS_RIGHT])
+        for k in range(ROUNDS if rounds is None else rounds):
+            if k % 10 == 0:
+                self.parent = self.tree(fired, w * q, w * (1 - q))
+            self.rate = np.stack([self.rates(fired, w * (1 - q)), self.rates(fired, w * q)])
+            if k and gold.any():
+                says = [(w * gold * (1 - q) * (labels == 0)).sum(), (w * gold * q * (labels == 1)).sum()]
+                of = [(w * gold * (1 - q)).sum(), (w * gold * q).sum()]
+                self.right = np.clip((np.array(says) + 1) / (np.array(of) + 1.05), LABELS_RIGHT, 0.999)
+            q, w = self.posterior(patterns, labels), n
+
+    @staticmethod
+    def fired(patterns: np.ndarray) -> np.ndarray:
+        return (np.asarray(patterns)[:, None] >> np.arange(VOTERS) & 1).astype(float)
+
+    @staticmethod
+    def tree(fired: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        """The tree of most mutual information of votes given the class, grown from the first voter; weak dependencies are left out."""
+        total, information = toxic.sum() + clean.sum(), np.zeros((VOTERS, VOTERS))
+        for m in (toxic, clean):
+            both = (fired * m[:, None]).T @ fired + 0.25
+            size = m.sum() + 1.0
+            one = np.clip(np.diag(both), 0.5, size - 0.5)
+            for a, b, joint in ((one[:, None], one[None, :], both), (one[:, None], size - one[None, :], one[:, None] - both), (size - one[:, None], one[None, :], one[None, :] - both), (size - one[:, None], size - one[None, :], size - one[:, None] - one[None, :] + both)):
+                joint = np.maximum(joint, 0.25)
+                information += joint / max(total, 1.0) * np.log(joint * size / (a * b))
+        parent, near, link = np.full(VOTERS, -1), information[0].copy(), np.zeros(VOTERS, int)
+        near[0] = -np.inf
+        for _ in range(VOTERS - 1):
+            k = int(np.argmax(near))
+            parent[k] = link[k] if near[k] > max(LEAST_INFORMATION, BEYOND_CHANCE / max(total, 1.0)) else -1
+            closer = (information[k] > near) & (near > -np.inf)
+            near, link = np.where(closer, information[k], near), np.where(closer, k, link)
+            near[k] = -np.inf
+        return parent
+
+    def rates(self, fired: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Of each voter, by what its parent does: how often it fires. Rates lean on the voter's own over both, as ten texts would."""
+        alone = (m @ fired + 0.5) / (m.sum() + 1.0)
+        above = np.where(self.parent >= 0, fired[:, self.parent], 0.0)
         out = []
-        for m, mean in ((toxic, self.hit), (clean, self.false)):
-            d = fired - mean
-            cov = (d * m[:, None]).T @ d / max(m.sum(), 1.0)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            out.append(np.clip(cov / sd / sd[:, None], 0, 1))
-        self.correlation = np.maximum(*out)
-        np.fill_diagonal(self.correlation, 1)
-        return 1 / self.correlation.sum(axis=1)
-
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        fired = (np.asarray(patterns)[:, None] >> np.arange(VOTERS) & 1).astype(float)
-        on, off = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
-        logit = np.log(self.prior / (1 - self.prior)) + (fired * on + (1 - fired) * off) @ self.share
+        for side in (1 - above, above):
+            out.append(((m[:, None] * side * fired).sum(axis=0) + 10 * alone) / ((m[:, None] * side).sum(axis=0) + 10))
+        return np.stack(out)
+
+    def posterior(self, patterns: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic | votes and, where it is 0 or 1, the label)."""
+        fired = self.fired(patterns)
+        above = np.where(self.parent >= 0, fired[:, self.parent], 0.0)
+        likely = []
+        for c in (0, 1):
+            p = np.where(above > 0, self.rate[c, 1], self.rate[c, 0])
+            likely.append(np.where(fired > 0, np.log(p), np.log(1 - p)).sum(axis=1))
+        logit = np.log(self.prior / (1 - self.prior)) + likely[1] - likely[0]
+        if labels is not None:
+            clean, toxic = self.right
+            logit = logit + np.where(labels == 1, np.log(toxic / (1 - clean)), np.where(labels == 0, np.log((1 - toxic) / clean), 0.0))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -216,11 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     fitted = sample.mapInPandas(gives_back(inputs), "found array<int>, words int, density double, votes long, toxic int").toArrow()  # about fit_rows rows of a few numbers
     if not len(fitted):
         return Classifier(voters, np.zeros(len(picked) + COUNTS), -30.0, model)
-    posterior, toxic = model.posterior(fitted["votes"].to_numpy()), fitted["toxic"].to_numpy()
-    # a label is one more voter, right 98 times of 100
-    odds = np.log(posterior / (1 - posterior)) + np.where(toxic > 0, 1, -1) * np.log(49)
+    target = model.posterior(fitted["votes"].to_numpy(), (fitted["toxic"].to_numpy() > 0).astype(int))
     rows = [features(*x, len(picked)) for x in zip(*(fitted[c].to_pylist() for c in ("found", "words", "density")))]
-    weights, bias = train_linear(rows, 1 / (1 + np.exp(-odds)), len(picked) + COUNTS)
+    weights, bias = train_linear(rows, target, len(picked) + COUNTS)
     return Classifier(voters, weights, bias, model)
 
 
