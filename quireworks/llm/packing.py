@@ -49,7 +49,8 @@ class WordIds:
     merges run on them, and a token with the word-end sign closes each; other words have a special token between them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
+        self.cache_bytes = cache_bytes or CACHE_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -107,7 +108,7 @@ class WordIds:
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of UTF-8 texts."""
-        if self.held > CACHE_BYTES / 2:
+        if self.held > self.cache_bytes / 2:
             self.before, self.known, self.held = self.known, {}, 0
             self.cores.clear()
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -122,7 +123,7 @@ class WordIds:
         return [b"".join(map(get, w)) for w in words]
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens for each piece of each row of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -131,7 +132,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = None, int(end_id).to_bytes(4, "little")
         for batch in batches:
-            words = words or WordIds(public_tokenizers.path(tokenizer))
+            words = words or WordIds(public_tokenizers.path(tokenizer), cache_bytes)
             row, start, length, crc, tokens = [], [], [], [], []
             for k, ids in enumerate(words.encode_texts(batch.column("text").to_pylist())):
                 ids += end
@@ -251,22 +252,26 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {s: np.array(x, dtype=np.int64) for s, x in slots.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, grain: int = GRAIN, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: every piece of every row in its place.
 
-    The text is read and tokenized once. The driver sees a histogram of capacity / grain classes and its
-    counts by salt; ranks come from windows over (class, salt), offsets from windows over a sequence.
+    The text is read and tokenized once; a worker remembers words in cache_bytes, about. The driver sees a histogram of
+    capacity / grain classes and its counts by salt; ranks come from windows over (class, salt), offsets from windows
+    over a sequence. Pieces of the largest class, which are most of a corpus of long texts, fill a sequence each and need neither.
     """
     spark = docs.sparkSession
-    pieces = durable(cut_pieces(docs, tokenizer, capacity=capacity), "pieces")
-    pieces = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    whole = durable(cut_pieces(docs, tokenizer, capacity=capacity, cache_bytes=cache_bytes), "pieces").withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    largest = -(-capacity // grain)
+    pieces = whole.where(F.col("class") < largest).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = pieces.groupBy("class", "salt").count().orderBy("class", "salt").collect()  # at most capacity / grain * SALTS rows
     histogram: dict[int, int] = {}
     bases = []
     for r in counts:
         bases.append((r["class"], r["salt"], histogram.get(r["class"], 0)))
         histogram[r["class"]] = histogram.get(r["class"], 0) + r["count"]
-    slots = plan(histogram, -(-capacity // grain))
+    slots = plan(histogram, largest)
+    # beyond all planned sequences, of which there are no more than pieces
+    alone = whole.where(F.col("class") == largest).withColumn("sequence_id", F.lit(sum(histogram.values())) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     offsets = spark.createDataFrame(bases, "class int, salt int, base long")
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1).join(F.broadcast(offsets), ["class", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
 
@@ -281,8 +286,6 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
         return pd.Series(out)
 
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranked.withColumn("sequence_id", sequence_of("class", "rank"))
-        .withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    )
+    placed = ranked.withColumn("sequence_id", sequence_of("class", "rank")).withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return placed.select(*columns).unionByName(alone.select(*columns))

@@ -13,7 +13,7 @@ from quireworks.llm import align, decontam, divergence, langid, lm, packing, rep
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), cache_bytes=256 << 20)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
