@@ -5,7 +5,9 @@ that of any other word is the group of its ending; exchange clustering moves uni
 the likelihood of the class bigrams grows. That gives the classes their first members. Then every other word
 type of the training texts gets a class of its own: a pass over the texts counts the classes before and after
 it, and it goes to the class that makes these contexts most likely; so the words that are placed grow with
-the vocabulary. Class bigrams are counted again with all words in their places. Only words that no training
+the vocabulary. Sweeps of exchange follow, in which every word type may move, those of the first clustering too: contexts and
+class bigrams are counted again with all words where they are, and each type goes where they are most likely.
+Class bigrams are counted at last with all words in their places. Only words that no training
 text holds go by their ending. A text's probability is the product over its tokens of
 P(class | class before) and P(word | class), both smoothed.
 
@@ -38,6 +40,8 @@ HEAD_WORDS = 150_000
 WORD_UNITS, ENDING_UNITS, CLASSES = 1000, 400, 64
 #: Tokens whose contexts, like those of its ending's group, are added to a word's own when it is placed.
 ENDING_WEIGHT = 1.0
+#: Sweeps over all word types after the first placement, and by how much (log10) a move must raise the likelihood: it costs what naming a class does, so rare words don't follow chance.
+SWEEPS, MOVE_COST = 1, 8.0
 #: Distinct words, and words with their contexts, a task gathers before it hands them on.
 FLUSH_WORDS, FLUSH_CONTEXTS = 300_000, 2_000_000
 FOLDS, HELD_OUT = 5, 1
@@ -168,12 +172,16 @@ class _Numbers(dict):
         return n
 
 
-def count_contexts(train: DataFrame, lexicon, model) -> DataFrame:
-    """word, contexts (packed codes and counts) of words without a unit of their own: code c for class c before the word, CLASSES + c for class c after it. Pre-added in each task; classes are those of the units."""
+def count_contexts(train: DataFrame, lexicon, model, head_class=None) -> DataFrame:
+    """word, contexts (packed codes and counts): code c for class c before the word, CLASSES + c for class c after it. Pre-added in each task.
+
+    Without head_class, of words that have no unit of their own, by the classes of units; with it, of all words, by
+    the classes of frequent words, and of the ending for others.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.value.of
-        number, unit, gathered, held = _Numbers(), np.zeros(0, np.int32), [], 0
+        number, home, mine, gathered, held = _Numbers(), np.zeros(0, np.int64), np.zeros(0, bool), [], 0
 
         def emit() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(gathered), return_counts=True)
@@ -191,25 +199,78 @@ def count_contexts(train: DataFrame, lexicon, model) -> DataFrame:
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             flat = list(chain.from_iterable(texts))
             at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-            if len(number) > len(unit):
-                unit = np.concatenate([unit, lexicon.value.units(list(number)[len(unit) :])[1]])
+            if len(number) > len(home):
+                at_head, unit = lexicon.value.units(list(number)[len(home) :])
+                classes = of[unit] if head_class is None or not len(head_class.value) else np.where(at_head >= 0, head_class.value[at_head], of[unit])
+                home, mine = np.concatenate([home, classes]), np.concatenate([mine, (unit > WORD_UNITS) | (head_class is not None)])
             ends = np.cumsum([len(t) for t in texts])
             whole = np.concatenate([[-1], np.insert(at, ends, -1)])  # -1: the end, before the first word too
-            cls = np.where(whole >= 0, of[unit[whole]] if len(unit) else of[0], of[0])
-            own = np.flatnonzero((whole >= 0) & (unit[whole] > WORD_UNITS)) if len(unit) else np.zeros(0, np.int64)
+            cls = np.where(whole >= 0, home[whole] if len(home) else of[0], of[0])
+            own = np.flatnonzero((whole >= 0) & mine[whole]) if len(mine) else np.zeros(0, np.int64)
             if len(own):
                 gathered += [whole[own] * (2 * CLASSES) + cls[own - 1], whole[own] * (2 * CLASSES) + CLASSES + cls[own + 1]]
                 held += 2 * len(own)
             if held > FLUSH_CONTEXTS or len(number) > FLUSH_WORDS:
                 if held:
                     yield emit()
-                number, unit, gathered, held = _Numbers(), np.zeros(0, np.int32), [], 0
+                number, home, mine, gathered, held = _Numbers(), np.zeros(0, np.int64), np.zeros(0, bool), [], 0
         if held:
             yield emit()
 
     return train.mapInArrow(gives_back(run), "word binary, contexts binary")
 
 
+def _seen(parts: list[list[bytes]]) -> np.ndarray:
+    """Contexts of each word as a row of counts by code."""
+    joined = [b"".join(p) for p in parts]
+    own = np.frombuffer(b"".join(joined), _CONTEXT)
+    row = np.repeat(np.arange(len(parts)), np.fromiter(map(len, joined), np.int64, len(parts)) // _CONTEXT.itemsize)
+    return np.bincount(row * (2 * CLASSES) + own["code"], own["n"], len(parts) * 2 * CLASSES).reshape(len(parts), 2 * CLASSES)
+
+
+def exchange_words(train: DataFrame, words: DataFrame, lexicon, model, head_class, ending_contexts: np.ndarray, end: int, n_texts: int) -> DataFrame:
+    """word, c, cls after a sweep in which every type of words(word, c, cls) may move: contexts by the classes of now, class bigrams from them, and each type where they make it most likely. A type stays unless a move is worth MOVE_COST."""
+    sc = train.sparkSession.sparkContext
+    contexts = count_contexts(train, lexicon, model, head_class).groupBy("word").agg(F.collect_list("contexts").alias("parts"))
+    met = durable(contexts.join(words, "word"), "word-contexts")
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, CLASSES, CLASSES))
+        for batch in batches:
+            seen, cls = _seen(batch.column("parts").to_pylist()), batch.column("cls").to_numpy()
+            np.add.at(total[0].T, cls, seen[:, :CLASSES])
+            np.add.at(total[1], cls, seen[:, CLASSES:])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at].astype(np.int64))], ["pair", "n"])
+
+    found = np.zeros(2 * CLASSES * CLASSES)
+    for r in met.mapInArrow(gives_back(pairs), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        found[r.pair] = r.n
+    into, out = found.reshape(2, CLASSES, CLASSES)
+    into[:, end] += np.maximum(out[:, end] - into[:, end], 0)  # steps to the end token, which has no contexts of its own
+    members = np.zeros((2, CLASSES))
+    members[:, end] = n_texts, n_texts > 0
+    for r in words.groupBy("cls").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
+        members[:, r.cls] += r.tokens, r.types
+    now = ClassModel.__new__(ClassModel)
+    now.fit(into, *members)
+    shared = sc.broadcast(now)
+
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        gain = np.concatenate([m.transition, m.transition.T])
+        prior = ENDING_WEIGHT * (ending_contexts @ gain - ending_contexts.sum(axis=1, keepdims=True) / 2 * m.denominator)
+        for batch in batches:
+            seen, old = _seen(batch.column("parts").to_pylist()), batch.column("cls").to_numpy()
+            ending = np.fromiter(map(ending_unit, batch.column("word").to_pylist()), np.int64, len(old)) - 1 - WORD_UNITS
+            score = seen @ gain - seen[:, :CLASSES].sum(axis=1)[:, None] * m.denominator + prior[ending]
+            best = score.argmax(axis=1)
+            stays = score[np.arange(len(old)), best] <= score[np.arange(len(old)), old] + MOVE_COST
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.where(stays, old, best), pa.int32())], ["word", "c", "cls"])
+
+    return durable(met.mapInArrow(gives_back(move), "word binary, c bigint, cls int"), "word-classes")
+
+
 def place_words(contexts: DataFrame, model, ending_contexts: np.ndarray) -> DataFrame:
     """word, c, cls: the class of each word of contexts(word, contexts) that makes its contexts most likely."""
 
@@ -218,11 +279,7 @@ def place_words(contexts: DataFrame, model, ending_contexts: np.ndarray) -> Data
         gain = np.concatenate([m.transition, m.transition.T])  # by code, for each class
         prior = ENDING_WEIGHT * (ending_contexts @ gain - ending_contexts.sum(axis=1, keepdims=True) / 2 * m.denominator)
         for batch in batches:
-            words, parts = batch.column("word").to_pylist(), batch.column("parts").to_pylist()
-            joined = [b"".join(p) for p in parts]
-            own = np.frombuffer(b"".join(joined), _CONTEXT)
-            row = np.repeat(np.arange(len(words)), np.fromiter(map(len, joined), np.int64, len(words)) // _CONTEXT.itemsize)
-            seen = np.bincount(row * (2 * CLASSES) + own["code"], own["n"], len(words) * 2 * CLASSES).reshape(len(words), 2 * CLASSES)
+            words, seen = batch.column("word").to_pylist(), _seen(batch.column("parts").to_pylist())
             c = seen[:, :CLASSES].sum(axis=1)
             ending = np.fromiter(map(ending_unit, words), np.int64, len(words)) - 1 - WORD_UNITS
             cls = (seen @ gain - c[:, None] * m.denominator + prior[ending]).argmax(axis=1)
@@ -269,7 +326,7 @@ class ClassModel:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
-    Four passes over the text: word counts, unit bigrams, contexts of words, classes; then two over the
+    Passes over the text: word counts, unit bigrams, contexts of words, again in each sweep, classes; then two over the
     classes, a byte a token: class bigrams, scores. Counts and classes of words that are not frequent are
     joined to the texts that hold them by word; the driver holds the frequent words, the units' bigram matrix
     and the class model, whose sizes are parameters.
@@ -320,10 +377,18 @@ def score(docs: DataFrame) -> DataFrame:
         [(bytearray(w.as_py()), c.as_py(), int(first.of[1 + k])) for k, (w, c) in enumerate(zip(head["word"][:WORD_UNITS], head["c"][:WORD_UNITS]))], "word binary, c bigint, cls int"
     )
     words = durable(place_words(count_contexts(train, lexicon, model), model, around).unionByName(own_units), "word-classes")
-    placed = words.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).select("cls").toArrow()  # the order of the frequent words above
-    head_class = sc.broadcast(placed["cls"].to_numpy().astype(np.uint8))
     end_class = int(first.of[0])
 
+    def of_frequent(words: DataFrame):
+        """The classes of the frequent words, in their order above."""
+        placed = words.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).select("cls").toArrow()
+        return sc.broadcast(placed["cls"].to_numpy().astype(np.uint8))
+
+    head_class = of_frequent(words)
+    for _ in range(SWEEPS):
+        words = exchange_words(train, words, lexicon, model, head_class, around, end_class, n_texts)
+        head_class = of_frequent(words)
+
     def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, of, classes_of = lexicon.value, model.value.of, head_class.value
         for batch in batches:

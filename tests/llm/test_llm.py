@@ -557,7 +557,7 @@ def test_language_of_one_long_text_equals_the_chunked_path():
     assert value(whole) == pytest.approx(value(lots)) == pytest.approx(value(long))
 
 
-def test_language_model_score_equals_a_plain_walk(spark):
+def test_language_model_scores_do_not_depend_on_partitions(spark):
     r = random.Random(31)
     rows = [(k, " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 12)))) for k in range(80)]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -662,3 +662,43 @@ def test_label_posterior_and_scores_equal_plain_walks(spark):
         z = classifier.bias + sum(classifier.weights[k] * v for k, v in zip(*toxicity.features(found, n, density, len(classifier.voters.entry))))
         assert math.isclose(x.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9) and x.predicted == int(x.score >= 0.3)
         assert x.doc_id >= 900 or x.predicted == int(x.doc_id % 3 == 0)
+
+
+def test_a_sweep_moves_word_types_like_plain_loops(spark, monkeypatch):
+    r = random.Random(21)
+    kinds = [[b"red", b"blue", b"green"], [b"sun", b"moon", b"star"], [b"runs", b"walks", b"stops"]]
+    texts_ = [[r.choice(kinds[k % 3]) for k in range(r.randrange(1, 14))] for _ in range(300)]
+    counts = Counter(w for t in texts_ for w in t)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    old = {w: r.randrange(1, 5) for w in order}
+    size, end = 1 + lm.WORD_UNITS + lm.ENDING_UNITS, 0
+    stub = lm.ClassModel.__new__(lm.ClassModel)
+    stub.of = np.zeros(size, np.int64)
+    sc = spark.sparkContext
+    train = spark.createDataFrame([(bytearray(b" ".join(t)),) for t in texts_], "text binary")
+    words = spark.createDataFrame([(bytearray(w), counts[w], old[w]) for w in order], "word binary, c long, cls int")
+    lexicon, head = sc.broadcast(lm.Lexicon(order, [counts[w] for w in order])), sc.broadcast(np.array([old[w] for w in order], np.uint8))
+    got = {bytes(x.word): (x.c, x.cls) for x in lm.exchange_words(train, words, lexicon, sc.broadcast(stub), head, np.zeros((lm.ENDING_UNITS, 2 * lm.CLASSES)), end, len(texts_)).collect()}
+    table, seen = np.zeros((lm.CLASSES, lm.CLASSES)), {w: np.zeros(2 * lm.CLASSES) for w in order}
+    for t in texts_:
+        cls = [end, *(old[w] for w in t), end]
+        for a, b in zip(cls, cls[1:]):
+            table[a, b] += 1
+        for k, w in enumerate(t, 1):
+            seen[w][cls[k - 1]] += 1
+            seen[w][lm.CLASSES + cls[k + 1]] += 1
+    tokens, types = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    tokens[end], types[end] = len(texts_), 1
+    for w in order:
+        tokens[old[w]] += counts[w]
+        types[old[w]] += 1
+    model = lm.ClassModel.__new__(lm.ClassModel)
+    model.fit(table, tokens, types)
+    moved = 0
+    for w in order:
+        likely = [sum(seen[w][c] * model.transition[c, k] + seen[w][lm.CLASSES + c] * model.transition[k, c] for c in range(lm.CLASSES)) - counts[w] * model.denominator[k] for k in range(lm.CLASSES)]
+        best = int(np.argmax(likely))
+        want = best if likely[best] > likely[old[w]] + lm.MOVE_COST else old[w]
+        moved += want != old[w]
+        assert got[w] == (counts[w], want)
+    assert moved
