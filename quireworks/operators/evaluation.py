@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +64,29 @@ def in_band(value: Column, mean: Column, sd: Column, floor: Column | None = None
 
 
 def match_variants(pages: DataFrame, variants: DataFrame, features: list[str]) -> DataFrame:
-    """page, variant, n_checks: the first variant (by name) whose features hold the page's, two at least, with one orientation. Variants are few and registered by hand; they are broadcast below 10,000 rows."""
-    few = variants.select(F.col("variant"), *(F.col(f).alias(f"_{f}") for f in features))
-    pairs = pages.join(F.broadcast(few.limit(10_000)), how="cross") if few.limit(10_001).count() <= 10_000 else pages.withColumn("_k", F.lit(1)).join(few.withColumn("_k", F.lit(1)), "_k")
+    """page, variant, n_checks: the first variant (by name) whose features hold the page's, two at least, with one orientation.
+
+    A band is a share of the variant's mean, so values within it have one sign and lie in the same or a neighbouring
+    cell of the logarithm. Pages and variants meet by the cells of two features that both have; every pair that two
+    checks can hold for meets so, whatever the number of variants.
+    """
+    width = -math.log(1 - SIGMAS * SD_FLOOR)
+    cell = lambda c: F.when(c == 0, F.lit(-(1 << 40))).otherwise(F.floor(F.log(F.abs(c.cast("double"))) / width)).cast("long")
+    place = lambda f, wide: F.when(F.col(f) == 0, F.array(cell(F.col(f)))).otherwise(F.sequence(cell(F.col(f)) - 1, cell(F.col(f)) + 1)) if wide else F.array(cell(F.col(f)))
+
+    def keyed(rows: DataFrame, key: str, wide: bool) -> DataFrame:
+        made = []
+        for i, j in combinations(range(len(features)), 2):
+            f, g = features[i], features[j]
+            cells = F.flatten(F.transform(place(f, wide), lambda a: F.transform(place(g, wide), lambda b: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.signum(F.col(f)).alias("si"), F.signum(F.col(g)).alias("sj"), a.alias("a"), b.alias("b")))))  # noqa: B023
+            made.append(F.when(F.col(f).isNotNull() & F.col(g).isNotNull(), cells))
+        return rows.select(key, F.inline(F.flatten(F.array_compact(F.array(*made)))))
+
+    if len(features) < 2:
+        return pages.select("page").limit(0).crossJoin(variants.select("variant").limit(0)).withColumn("n_checks", F.lit(0))
+    some = keyed(pages, "page", False).join(keyed(variants, "variant", True), ["i", "j", "si", "sj", "a", "b"]).select("page", "variant").distinct()
+    named = variants.select("variant", *(F.col(f).alias(f"_{f}") for f in features))
+    pairs = some.join(pages, "page").join(named, "variant")
     both = lambda f: F.col(f).isNotNull() & F.col(f"_{f}").isNotNull()
     n = sum((both(f).cast("int") for f in features), F.lit(0))
     good = sum((F.when(both(f), in_band(F.col(f), F.col(f"_{f}"), F.lit(None).cast("double"))).otherwise(True).cast("int") for f in features), F.lit(0))

@@ -42,6 +42,49 @@ def column_clusters(boxes: DataFrame, page: str = "stem", tolerance: float = 30.
     return boxes.select(page, "line_id", "x1", "y1", "x2", "y2").groupBy(page).applyInPandas(run, f"{page} {kind}, line_id long, col_index int")
 
 
+# Least overlap of a box with a column by the narrower of both, least ratio of a box's width to the column's first one, and by how much a column may be wider than its first box.
+OVERLAP, ALIKE, SPREAD = 0.5, 0.5, 1.6
+
+
+def _guarded(boxes: list[tuple[float, float, float, float] | None]) -> list[list[int]]:
+    """Columns of boxes by overlap in x, left to right as they begin; a box joins the first column that its guards let it into. A box without corners is a column of its own."""
+    middle = lambda b: (b[0] + b[2], b[1]) if b else (0.0, 0.0)
+    columns: list[dict] = []
+    for k in sorted(range(len(boxes)), key=lambda k: middle(boxes[k])):
+        b = boxes[k]
+        home = next((c for c in columns if b and c["first"] and _fits(b, c)), None)
+        if home is None:
+            columns.append({"first": b, "lo": b and b[0], "hi": b and b[2], "rows": [k]})
+        else:
+            home["lo"], home["hi"] = min(home["lo"], b[0]), max(home["hi"], b[2])
+            home["rows"].append(k)
+    return [c["rows"] for c in columns]
+
+
+def _fits(b: tuple[float, float, float, float], column: dict) -> bool:
+    first = column["first"]
+    width, base = b[2] - b[0], first[2] - first[0]
+    alike = min(width, base) >= ALIKE * max(1e-6, width, base)
+    narrow = max(b[2], first[2]) - min(b[0], first[0]) <= SPREAD * base
+    shared = min(b[2], column["hi"]) - max(b[0], column["lo"])
+    return alike and narrow and shared > 0 and shared >= OVERLAP * max(1e-6, min(width, column["hi"] - column["lo"]))
+
+
+def guarded_order(boxes: DataFrame, page: str = "stem") -> DataFrame:
+    """page, line_id, column, pos of boxes(page, line_id, x1, y1, x2, y2): columns by overlap under guards on width and spread, numbered from the right by their rightmost middle, and read down each; rows without a whole box come last, each a column of its own."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("line_id")
+        rows = [None if any(v != v for v in r) else r for r in frame[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)]
+        middle = lambda k: (rows[k][0] + rows[k][2]) / 2 if rows[k] else float("-inf")
+        columns = sorted(_guarded(rows), key=lambda c: -max(map(middle, c)))
+        order = [(k, n) for n, c in enumerate(columns) for k in sorted(c, key=lambda k: rows[k][1] if rows[k] else 0.0)]
+        at = [k for k, _ in order]
+        return pd.DataFrame({page: frame[page].to_numpy()[at], "line_id": frame["line_id"].to_numpy()[at], "column": [n for _, n in order], "pos": range(len(at))})
+
+    kind = boxes.schema[page].dataType.simpleString()
+    return boxes.select(page, "line_id", "x1", "y1", "x2", "y2").groupBy(page).applyInPandas(run, f"{page} {kind}, line_id long, column int, pos int")
+
+
 def reading_order(boxes: DataFrame, page: str = "stem", tolerance: float = 30.0, upright: bool = True) -> DataFrame:
     """page, line_id, pos: columns from right to left, top to bottom inside (upright), or row bands from top, left to right; rows without a box come last."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:

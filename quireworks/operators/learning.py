@@ -33,19 +33,6 @@ def precedence(rows: DataFrame, record: str, order: str, attr: str) -> DataFrame
     return won.join(lost, ["before", "after"], "left").na.fill(0, ["losses"])
 
 
-def attr_order(pairs: DataFrame, seed: list[str]) -> list[str]:
-    """Attributes in topological order of won pairs, ties by seed order; what is left in a cycle follows in seed order. The graph has one node an attribute."""
-    edges = {(r.before, r.after) for r in pairs.where("wins > losses").select("before", "after").collect()}
-    left, out = list(seed), []
-    while left:
-        free = next((a for a in left if not any((b, a) in edges for b in left if b != a)), None)
-        if free is None:
-            return out + left
-        out.append(free)
-        left.remove(free)
-    return out
-
-
 def page_constants(rows: DataFrame, page: str, text: str, least_pages: int = 2, most: int = 6) -> DataFrame:
     """Values that every page has, shortest first; none with fewer than least_pages pages."""
     total = rows.agg(F.count_distinct(page).alias("n_pages"))

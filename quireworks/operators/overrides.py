@@ -28,6 +28,7 @@ def attribute_orders(pairs: DataFrame, attributes: DataFrame, key: str) -> DataF
     Of attributes that nothing left stands before, the one with the least seed comes next, ties by name. What is left in
     a cycle follows by seed, and is `cyclic`.
     """
+    pairs = pairs.select(key, "before", "after", "wins")
     lost = pairs.select(key, F.col("before").alias("after"), F.col("after").alias("before"), F.col("wins").alias("losses"))
     edges = pairs.join(lost, [key, "before", "after"], "left").where(F.col("wins") > F.coalesce("losses", F.lit(0)))
     ahead = edges.groupBy(key, F.col("after").alias("attr")).agg(F.collect_set("before").alias("ahead"))

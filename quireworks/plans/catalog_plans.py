@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireworks.operators import overrides, records, splits, validation
+from quireworks.operators import layout, overrides, records, splits, validation
 from quireworks.plans import catalog_records as records_sql
 from quireworks.plans import families
 from quireworks.plans.registry import query
@@ -260,3 +260,38 @@ def html_grids(t):
     table = lambda u: F.concat(F.lit("<table><tr>"), F.array_join(F.transform(items(u), lambda c, i: cell(c, i, F.size(items(u)))), ""), F.lit("</table>"))
     pages = t("pages").select("page_id", F.array_join(F.transform(lists, table), "\n").alias("html"))
     return html.html_grid(pages, "page_id", "html").select("page_id", "table_no", "row_no", "col_no", "rowspan", F.length("text").alias("chars"))
+
+
+# boxes in order: parts are boxes, brands with a type are pages. A state goes from box to box, so plain walks in the tests stand for SQL
+
+
+def _boxes(t):
+    k = F.col("p_partkey")
+    x, y = (k * 37 % 9 * 40 + k % 13).cast("double"), (k * 53 % 700).cast("double")
+    whole = F.when(k % 17 > 0, x + 20 + F.col("p_size") % 30)
+    return t("part").select(F.concat_ws("/", "p_brand", "p_type").alias("stem"), k.alias("line_id"), x.alias("x1"), y.alias("y1"), whole.alias("x2"), (y + 12 + F.col("p_size") % 9).alias("y2"), F.col("p_name").alias("text"))
+
+
+@query()
+def guarded_columns(t):
+    return layout.guarded_order(_boxes(t))
+
+
+@query()
+def mean_columns(t):
+    return layout.column_clusters(_boxes(t))
+
+
+@query()
+def upright_reading_order(t):
+    return layout.reading_order(_boxes(t))
+
+
+@query()
+def level_reading_order(t):
+    return layout.reading_order(_boxes(t), upright=False)
+
+
+@query()
+def box_grid(t):
+    return layout.table_grid(_boxes(t))

@@ -140,3 +140,22 @@ def test_structure_lines_equal_a_plain_merge(spark):
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[1] == w[1] and g[3:] == w[3:] and abs(g[0] - w[0]) < 1.1e-4 and abs(g[2] - w[2]) <= 0.1
+
+
+def test_variants_meet_by_cells(spark):
+    from quireworks.operators.evaluation import match_variants
+
+    r = random.Random(5)
+    names = ["aspect", "price", "tilt"]
+    value = lambda: r.choice([None, 0.0, 1.0, -1.0]) if r.random() < 0.3 else round(r.choice([1, -1]) * 10 ** r.uniform(-2, 2), 3)
+    pages = [(k, abs(value() or 0.8), value(), value()) for k in range(150)]
+    variants = [(f"v{k:02}", abs(value() or 1.2), value(), value()) for k in range(40)]
+    kind = "%s, aspect double, price double, tilt double"
+    got = {x.page: (x.variant, x.n_checks) for x in match_variants(spark.createDataFrame(pages, kind % "page int"), spark.createDataFrame(variants, kind % "variant string"), names).collect()}
+    want = {}
+    for k, *p in pages:
+        for name, *v in variants:
+            checks = [(a, b) for a, b in zip(p, v) if a is not None and b is not None]
+            if len(checks) >= 2 and all(abs(a - b) <= 3 * abs(b) * 0.15 for a, b in checks) and (p[0] < 1) == (v[0] < 1):
+                want.setdefault(k, (name, len(checks)))
+    assert got == want and len(want) > 5

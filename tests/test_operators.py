@@ -48,8 +48,14 @@ def test_group_concat_and_carry(spark):
 
 
 def test_attr_order_with_cycle(spark):
+    from pyspark.sql import functions as F
+
+    from quireworks.operators import overrides
+
     pairs = spark.createDataFrame([("a", "b", 3, 0), ("b", "c", 2, 1), ("d", "e", 2, 0), ("e", "d", 2, 0)], "before string, after string, wins long, losses long")
-    assert learning.attr_order(pairs, ["c", "b", "a", "d", "e"]) == ["a", "b", "c", "d", "e"]
+    seeds = spark.createDataFrame([(1, a, k) for k, a in enumerate(["c", "b", "a", "d", "e"])], "k int, attr string, seed int")
+    got = overrides.attribute_orders(pairs.withColumn("k", F.lit(1)), seeds, "k").first()
+    assert got.order == ["a", "b", "c", "d", "e"] and got.cyclic == ["d", "e"]
 
 
 def test_band_changes(spark):
