@@ -52,10 +52,10 @@ def test_attr_order_with_cycle(spark):
 
     from quireworks.operators import overrides
 
-    pairs = spark.createDataFrame([("a", "b", 3, 0), ("b", "c", 2, 1), ("d", "e", 2, 0), ("e", "d", 2, 0)], "before string, after string, wins long, losses long")
-    seeds = spark.createDataFrame([(1, a, k) for k, a in enumerate(["c", "b", "a", "d", "e"])], "k int, attr string, seed int")
+    pairs = spark.createDataFrame([("a", "b", 3), ("b", "c", 2), ("c", "b", 1), ("d", "e", 2), ("e", "f", 2), ("f", "d", 2)], "before string, after string, wins long")
+    seeds = spark.createDataFrame([(1, a, k) for k, a in enumerate(["c", "b", "a", "d", "e", "f"])], "k int, attr string, seed int")
     got = overrides.attribute_orders(pairs.withColumn("k", F.lit(1)), seeds, "k").first()
-    assert got.order == ["a", "b", "c", "d", "e"] and got.cyclic == ["d", "e"]
+    assert got.order == ["a", "b", "c", "d", "e", "f"] and got.cyclic == ["d", "e", "f"]
 
 
 def test_band_changes(spark):
