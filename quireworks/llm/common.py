@@ -93,8 +93,8 @@ def may_hold(ids: DataFrame, id_col: str, of: str | Column) -> Column:
     """A filter on column `of`: true for every id of ids, and for few others (a bit for each hash of an id).
 
     It keeps rows with other ids out of a shuffle; a join after it decides. The bits are built by slices in a
-    grouped aggregate, so what is gathered is FILTER_MOST / 8 bytes at most; with more ids than a sixteenth of
-    FILTER_MOST every row passes, and the join does all of the work.
+    grouped aggregate, so what is gathered is FILTER_MOST / 8 bytes at most; from FILTER_MOST / 8 ids on every row
+    passes, and the join does all of the work.
     """
     n = ids.count()
     size = max(FILTER_LEAST, 1 << (8 * n).bit_length())
