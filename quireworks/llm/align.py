@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,12 @@ class Words:
             na, nb, nl, ng = xa, xb, xl, xg
 
 
+@lru_cache(maxsize=1)
+def worker_words(first: str, second: str) -> Words:
+    """One for a worker: tasks that follow each other in it share the models and the words."""
+    return Words(Sides(first, second))
+
+
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind))
@@ -275,7 +282,7 @@ def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([*none, pa.array(pair.astype(np.int64)), pa.array(links.astype(np.int64))], names)
 
         for batch in batches:
-            known, id_kind = known or Words(Sides(first, second)), batch.schema.field("doc_id").type
+            known, id_kind = known or worker_words(first, second), batch.schema.field("doc_id").type
             cols: list[list] = [[] for _ in range(6)]
             for entries in known.entries(batch.column("text").to_pylist()):
                 if not entries or None in entries:

@@ -16,6 +16,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -123,6 +124,12 @@ class WordIds:
         return [b"".join(map(get, w)) for w in words]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str, cache_bytes: int) -> WordIds:
+    """One for a worker: tasks that follow each other in it share the model and the words."""
+    return WordIds(path, cache_bytes)
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens for each piece of each row of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -132,7 +139,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = None, int(end_id).to_bytes(4, "little")
         for batch in batches:
-            words = words or WordIds(public_tokenizers.path(tokenizer), cache_bytes)
+            words = words or word_ids(public_tokenizers.path(tokenizer), cache_bytes)
             row, start, length, crc, tokens = [], [], [], [], []
             for k, ids in enumerate(words.encode_texts(batch.column("text").to_pylist())):
                 ids += end
