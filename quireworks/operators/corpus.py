@@ -13,7 +13,8 @@ SHAPES = ["dateish", "money", "short", "body", "other"]
 def exact_constants(lines: DataFrame, page: str = "doc_id", shortest: int = 2, longest: int = 30) -> DataFrame:
     """text, pages_hit, ratio of normalised lines by distinct pages."""
     n = lines.select(page).distinct().agg(F.count("*").alias("n_pages"))
-    found = lines.select(page, T.normal_line(F.col("line")).alias("text")).where(F.length("text").between(shortest, longest)).distinct()
+    # exploding keeps the form from being computed again by the filter
+    found = lines.select(page, F.explode(F.array(T.normal_line(F.col("line")))).alias("text")).where(F.length("text").between(shortest, longest)).distinct()
     return found.groupBy("text").agg(F.count("*").alias("pages_hit")).join(F.broadcast(n)).select("text", "pages_hit", F.round(F.col("pages_hit") / F.col("n_pages"), 4).alias("ratio"))
 
 
