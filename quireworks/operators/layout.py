@@ -110,6 +110,8 @@ def table_grid(cells: DataFrame, page: str = "stem", tolerance: float = 30.0) ->
     """page, row, col, text: rows by overlap in y with the row's span, columns by x clusters from the left; texts of one cell are joined."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.dropna(subset=["x1", "y1", "x2", "y2"]).sort_values(["y1", "x1"], kind="stable")
+        if frame.empty:
+            return pd.DataFrame({page: frame[page], "row": frame["x1"].astype(int), "col": frame["x1"].astype(int), "text": frame["text"]})
         rows, spans = [], []
         for y1, y2 in zip(frame["y1"], frame["y2"]):
             hit = next((k for k, (a, b) in enumerate(spans) if min(b, y2) - max(a, y1) > 0.5 * min(b - a, y2 - y1)), None)

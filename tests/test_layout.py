@@ -100,3 +100,9 @@ def test_reading_orders_equal_a_plain_walk(spark):
         for x in layout.reading_order(spark.createDataFrame(rows, SCHEMA), upright=upright).orderBy("stem", "pos").collect():
             got.setdefault(x.stem, []).append(x.line_id)
         assert got == want
+
+
+def test_pages_without_a_whole_box(spark):
+    d = spark.createDataFrame([("a", 0, 1.0, 1.0, None, 2.0, "t"), ("b", 1, 1.0, 1.0, 9.0, 5.0, "u"), ("b", 2, 3.0, 1.0, 9.0, 5.0, "v")], SCHEMA)
+    assert [tuple(x) for x in layout.table_grid(d).collect()] == [("b", 0, 0, "uv")]
+    assert layout.guarded_order(d).count() == layout.reading_order(d).count() == layout.column_clusters(d).count() == 3
