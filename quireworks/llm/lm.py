@@ -5,7 +5,7 @@ that of any other word is the group of its ending; exchange clustering moves uni
 the likelihood of the class bigrams grows. That gives the classes their first members. Then every other word
 type of the training texts gets a class of its own: a pass over the texts counts the classes before and after
 it, and it goes to the class that makes these contexts most likely; so the words that are placed grow with
-the vocabulary. Sweeps of exchange follow, in which every word type may move, those of the first clustering too: contexts and
+the vocabulary. Sweeps of exchange may follow, in which every word type may move, those of the first clustering too: contexts and
 class bigrams are counted again with all words where they are, and each type goes where they are most likely.
 Class bigrams are counted at last with all words in their places. Only words that no training
 text holds go by their ending. A text's probability is the product over its tokens of
@@ -40,8 +40,8 @@ HEAD_WORDS = 150_000
 WORD_UNITS, ENDING_UNITS, CLASSES = 1000, 400, 64
 #: Tokens whose contexts, like those of its ending's group, are added to a word's own when it is placed.
 ENDING_WEIGHT = 1.0
-#: Sweeps over all word types after the first placement, and by how much (log10) a move must raise the likelihood: it costs what naming a class does, so rare words don't follow chance.
-SWEEPS, MOVE_COST = 1, 8.0
+#: Sweeps over all word types after the first placement (each reads the texts once more), and by how much (log10) a move must raise the likelihood: it costs what naming a class does, so rare words don't follow chance.
+SWEEPS, MOVE_COST = 0, 8.0
 #: Distinct words, and words with their contexts, a task gathers before it hands them on.
 FLUSH_WORDS, FLUSH_CONTEXTS = 300_000, 2_000_000
 FOLDS, HELD_OUT = 5, 1
@@ -323,7 +323,7 @@ class ClassModel:
         self.denominator = np.log10(tokens + 0.5 * (types + 1))
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
     Passes over the text: word counts, unit bigrams, contexts of words, again in each sweep, classes; then two over the
@@ -385,7 +385,7 @@ def score(docs: DataFrame) -> DataFrame:
         return sc.broadcast(placed["cls"].to_numpy().astype(np.uint8))
 
     head_class = of_frequent(words)
-    for _ in range(SWEEPS):
+    for _ in range(sweeps):
         words = exchange_words(train, words, lexicon, model, head_class, around, end_class, n_texts)
         head_class = of_frequent(words)
 
