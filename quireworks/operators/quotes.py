@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quireworks.functions import text as T
+from quireworks.operators.tables import spread
 
 #: Least ratio of a near hit; length of a window by that of the quote; quotes, and their characters, of a block; characters that are counted apart; texts taken together.
 LEAST, STRETCH, BLOCK_QUOTES, BLOCK_CHARS, LETTERS, TEXTS = 0.85, 1.2, 200, 200_000, 64, 64
@@ -207,7 +208,7 @@ def _blocks(quotes: DataFrame) -> Iterator[list[tuple]]:
 
 def _search(quotes: DataFrame, corpus: DataFrame, least: float | None, stretch: float = STRETCH) -> DataFrame:
     """quote_id, card_id, score of hits; least None asks for whole hits only."""
-    spark, cards = corpus.sparkSession, corpus.select("card_id", T.normal_retrieval(F.col("text")).alias("t")).where("t <> ''")
+    spark, cards = corpus.sparkSession, spread(corpus).select("card_id", T.normal_retrieval(F.col("text")).alias("t")).where("t <> ''")
     schema = f"quote_id {quotes.schema['quote_id'].dataType.simpleString()}, card_id {corpus.schema['card_id'].dataType.simpleString()}, score double"
 
     id_kind = to_arrow_type(quotes.schema["quote_id"].dataType)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quireworks.functions import text as T
-from quireworks.operators.tables import written
+from quireworks.operators.tables import spread, written
 
 K1, B, ALPHA = 1.5, 0.75, 0.5
 BOOST, BOOST_CAP, BOOST_LENGTH, SEMANTIC, REFUSAL, RESCUE = 0.35, 3, 2, 0.35, 0.06, 0.55
@@ -60,7 +60,7 @@ class Index:
     """A corpus as written rows of terms, with its document counts; scorers share it."""
 
     def __init__(self, corpus: DataFrame):
-        self.cards = written(forward(corpus, "card_id", "text", "ord"), "cards")
+        self.cards = written(forward(spread(corpus), "card_id", "text", "ord"), "cards")
         self.counts = written(self.cards.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "document-counts")
         row = self.cards.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
         self.n_docs, self.avgdl = row.n, row.t / max(1, row.n)
