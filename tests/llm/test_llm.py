@@ -702,3 +702,22 @@ def test_a_sweep_moves_word_types_like_plain_loops(spark, monkeypatch):
         moved += want != old[w]
         assert got[w] == (counts[w], want)
     assert moved
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    say = lambda n=50: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
+    texts_ = [say() for _ in range(24)]
+    texts_ += [texts_[0], None, "", "12 34", "long " * 4000 + say()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` int, may int, whole int, row int, found int, label int, score double, spread int"
+    d = spark.createDataFrame([(k, t, "en" if k % 2 else "fr", "s", 0, *range(5), *range(2), 0.5, k) for k, t in enumerate(texts_)], schema)
+    spark.createDataFrame([(k, 1, int(k == 3)) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, say())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, d, str(tmp_path))
+        assert got.schema.names == d.schema.names, name
+        rows = {x.doc_id: x for x in got.collect()}
+        assert rows and all(x["a.b"] == 0 and x["c`d"] == 1 and x["spread"] == k for k, x in rows.items()), name
+    assert {x.doc_id for x in corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()} == set(range(len(texts_)))
