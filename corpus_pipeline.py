@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quireworks.llm import decontam, langid, packing, setjoin, toxicity
 from quireworks.llm.common import durable, id_fold, may_hold, table
 
-#: Least share of a text's letters that its language must have.
-LEAST_SHARE = 0.5
+#: Least share of a text's letters that its language must have; bytes of words that a worker remembers in the last stage, few as it has run the others before.
+LEAST_SHARE, PACKING_CACHE = 0.5, 24 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens. A null text is the end id alone; repeated rows have pieces of their own."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_bytes=PACKING_CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
