@@ -2,13 +2,19 @@
 
 Positions are shares of the page height (0 to 1), rounded to DIGITS. All operators work on every key (publication)
 at once. What they gather in one row or window is bounded: the lines of one page, or the cells of a key, of which
-there are 1 / tolerance.
+there are 1 / tolerance. Matching holds the free bands of one stretch of a key.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quireworks.operators.evaluation import line_similarity
 from quireworks.operators.tables import written
@@ -26,21 +32,67 @@ def _cell(c: Column, tolerance: float) -> Column:
 def match_bands(lines: DataFrame, bands: DataFrame, key: str, tolerance: float = BAND_TOLERANCE) -> DataFrame:
     """key, line_id, band_id, off: lines(key, line_id, rel) in the order of line_id take the nearest band(key, band_id, band_rel) that is free and within the tolerance, of equally near ones the one with the larger id.
 
-    Rounds do what taking turns does. All bands prefer the earlier line, so a line whose best band no earlier line can
-    still take has it for good; it and the band leave, and the others choose anew. A round settles the first line of
-    every stretch of neighbouring lines at least, and all keys and stretches go on side by side.
+    Positions within the tolerance of their neighbours are one stretch; no line meets a band of another, so stretches
+    go on side by side. In a stretch lines take turns as they are read, and only its free bands are held: no pair of
+    line and band is made, however many share a position.
     """
-    b = bands.select(key, "band_id", "band_rel", F.explode(F.sequence(_cell(F.col("band_rel"), tolerance) - 1, _cell(F.col("band_rel"), tolerance) + 1)).alias("cell"))
-    met = lines.select(key, "line_id", "rel", _cell(F.col("rel"), tolerance).alias("cell")).join(b, [key, "cell"])
-    left = written(met.select(key, "line_id", "band_id", F.abs(F.col("rel") - F.col("band_rel")).alias("off")).where(F.col("off") <= tolerance), "band-pairs")
-    done = None
-    while left.limit(1).count():
-        best = F.struct("off", -F.col("band_id")) == F.min(F.struct("off", -F.col("band_id"))).over(Window.partitionBy(key, "line_id"))
-        first = F.col("line_id") == F.min("line_id").over(Window.partitionBy(key, "band_id"))
-        settled = written(left.withColumn("ok", best & first).where("ok").drop("ok"), "bands-settled")
-        left = written(left.join(settled.select(key, "line_id"), [key, "line_id"], "left_anti").join(settled.select(key, "band_id"), [key, "band_id"], "left_anti"), "band-pairs")
-        done = settled if done is None else done.unionByName(settled)
-    return done if done is not None else left
+    kinds = {c: d.schema[c].dataType for d, c in ((lines, key), (lines, "line_id"), (bands, "band_id"))}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    both = lines.select(key, "line_id", none("band_id"), F.col("rel").cast("double").alias("rel"), F.lit(1).alias("_side")).unionByName(bands.select(key, none("line_id"), "band_id", F.col("band_rel").cast("double").alias("rel"), F.lit(0).alias("_side")))
+    laid = _in_islands(both.where(F.col(key).isNotNull() & F.col("rel").isNotNull()), key, tolerance)
+    turns = laid.repartition(key, "island").sortWithinPartitions(key, "island", "_side", "line_id").select(key, "island", "_side", "line_id", "band_id", "rel")
+    names = [key, "line_id", "band_id", "off"]
+    arrow = pa.schema([*((c, to_arrow_type(kinds[c])) for c in names[:3]), ("off", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, free = None, FreeBands(tolerance)
+        for batch in batches:
+            out = []
+            for k, island, side, line, band, rel in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, island) != at:
+                    at, free = (k, island), FreeBands(tolerance)
+                if side == 0:
+                    free.add(band, rel)
+                elif (got := free.take(rel)) is not None:
+                    out.append((k, line, *got))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    return turns.mapInArrow(run, StructType([*(StructField(c, kinds[c]) for c in names[:3]), StructField("off", DoubleType())]))
+
+
+class FreeBands:
+    """Bands of one stretch that no line has taken: ids by position, positions in order."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.ids, self.places, self.ready = tolerance, {}, [], False
+
+    def add(self, band, rel: float) -> None:
+        self.ids.setdefault(rel, []).append(band)
+
+    def take(self, rel: float) -> tuple | None:
+        """The nearest free band and its distance, of equally near ones the larger id; it is free no more."""
+        if not self.ready:
+            self.places, self.ready = sorted(self.ids), True
+            for ids in self.ids.values():
+                ids.sort()
+        first, best = bisect_left(self.places, rel), None
+        for run in (range(first, len(self.places)), range(first - 1, -1, -1)):
+            for j in run:
+                off = abs(rel - self.places[j])
+                if off > self.tolerance or (best is not None and off > best[0]):
+                    break
+                top = self.ids[self.places[j]][-1]
+                if best is None or (off, -top) < (best[0], -best[1]):
+                    best = (off, top, j)
+        if best is None:
+            return None
+        off, band, j = best
+        ids = self.ids[self.places[j]]
+        ids.pop()
+        if not ids:
+            del self.ids[self.places.pop(j)]
+        return band, off
 
 
 def band_agreement(lines: DataFrame, bands: DataFrame, keys: DataFrame, key: str, tolerance: float = BAND_TOLERANCE) -> DataFrame:
@@ -57,9 +109,13 @@ def band_agreement(lines: DataFrame, bands: DataFrame, keys: DataFrame, key: str
 
 
 def islands(lines: DataFrame, key: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """lines with island: neighbouring positions of a key within the tolerance are one island. Positions of one cell always are, so only the extremes of cells are put in order."""
-    rel = F.round("rel", DIGITS)
-    marked = lines.withColumn("rel", rel).withColumn("_cell", _cell(rel, tolerance))
+    """lines with island: neighbouring positions of a key within the tolerance are one island."""
+    return _in_islands(lines.withColumn("rel", F.round("rel", DIGITS)), key, tolerance)
+
+
+def _in_islands(lines: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """As islands, of positions as they are. Those of one cell always are one island, so only the extremes of cells are put in order."""
+    marked = lines.withColumn("_cell", _cell(F.col("rel"), tolerance))
     w = Window.partitionBy(key).orderBy("_cell")
     cells = marked.groupBy(key, "_cell").agg(F.min("rel").alias("_lo"), F.max("rel").alias("_hi"))
     new = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > tolerance, F.lit(True)).cast("int")
