@@ -7,7 +7,6 @@ there are 1 / tolerance. Matching holds the free bands of one stretch of a key.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quireworks.operators.evaluation import line_similarity
+from quireworks.operators.evaluation import FreeBands, line_similarity
 from quireworks.operators.tables import written
 
 #: Distance within which lines are one, and within which a line meets a known band; digits of positions.
@@ -61,40 +60,6 @@ def match_bands(lines: DataFrame, bands: DataFrame, key: str, tolerance: float =
     return turns.mapInArrow(run, StructType([*(StructField(c, kinds[c]) for c in names[:3]), StructField("off", DoubleType())]))
 
 
-class FreeBands:
-    """Bands of one stretch that no line has taken: ids by position, positions in order."""
-
-    def __init__(self, tolerance: float):
-        self.tolerance, self.ids, self.places, self.ready = tolerance, {}, [], False
-
-    def add(self, band, rel: float) -> None:
-        self.ids.setdefault(rel, []).append(band)
-
-    def take(self, rel: float) -> tuple | None:
-        """The nearest free band and its distance, of equally near ones the larger id; it is free no more."""
-        if not self.ready:
-            self.places, self.ready = sorted(self.ids), True
-            for ids in self.ids.values():
-                ids.sort()
-        first, best = bisect_left(self.places, rel), None
-        for run in (range(first, len(self.places)), range(first - 1, -1, -1)):
-            for j in run:
-                off = abs(rel - self.places[j])
-                if off > self.tolerance or (best is not None and off > best[0]):
-                    break
-                top = self.ids[self.places[j]][-1]
-                if best is None or (off, -top) < (best[0], -best[1]):
-                    best = (off, top, j)
-        if best is None:
-            return None
-        off, band, j = best
-        ids = self.ids[self.places[j]]
-        ids.pop()
-        if not ids:
-            del self.ids[self.places.pop(j)]
-        return band, off
-
-
 def band_agreement(lines: DataFrame, bands: DataFrame, keys: DataFrame, key: str, tolerance: float = BAND_TOLERANCE) -> DataFrame:
     """For keys(key, ref_h): key, verdict, n_contract, n_matched, n_plan_only, n_contract_only, max_dev_rel, max_dev_px.
 
