@@ -92,3 +92,14 @@ def test_triage(spark):
     anchors = {"date": ["年"], "place": ["縣|府"]}
     long = "某年某縣某府" + "文" * 20
     assert [one(spark, rules.triage(F.col("t"), anchors), t=t) for t in (long, "文" * 30, "年")] == ["ok", "suspect", "unmeasurable"]
+
+
+def test_constants_are_cut_from_long_texts_in_linear_time(spark):
+    import time
+
+    text_ = "".join(f"w{i}er token " for i in range(60_000)) + "務Aer\U0001f600"
+    d = spark.createDataFrame([(text_,), (None,), ("",), ("aaa erer",)], "t string")
+    began = time.monotonic()
+    got = [r.s for r in d.select(text.strip_constants(F.col("t"), ["token", "er", "务A", "aa"]).alias("s")).collect()]
+    assert got[0].text == "".join(f"w{i}  " for i in range(60_000)) + "\U0001f600" and got[0].removed[-1] == "務Aer" and len(got[0].removed) == 120_001
+    assert [tuple(x) for x in got[1:]] == [(None, None), ("", []), ("a ", ["aa", "erer"])] and time.monotonic() - began < 60
