@@ -28,3 +28,10 @@ def test_readings_of_one_text_that_fills_a_page(spark):
     assert [tuple(r) for r in got] == [("a", 60_000, 60_000, 30_000)]
     alone = evaluation.value_readings(boxes(spark, 3, 0), boxes(spark, 3, 0).where("false")).first()
     assert (alone.gold, alone.found, alone.hit) == (3, 0, 0)
+
+
+def test_equal_boxes_of_one_record_are_counted_before_they_meet(spark):
+    r = quick(lambda: evaluation.record_aligned(boxes(spark, 100_000, 100), boxes(spark, 100_000, 50)).first())
+    assert (r.n, r.hit, r.ratio) == (10_000_000_000, 2_500_000_000, 0.25)
+    r = evaluation.record_aligned(boxes(spark, 2, 0), boxes(spark, 2, 0).where("false")).first()
+    assert (r.n, r.hit, r.ratio) == (0, 0, None)
