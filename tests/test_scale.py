@@ -43,3 +43,10 @@ def test_nearest_of_many_bands_at_one_position(spark):
     lines = spark.range(60_000).select(F.lit("k").alias("key"), at("line_id"), F.lit(0.009).alias("rel"))
     got = quick(lambda: bands.nearest_band(b, lines, "key", 0.03).groupBy("band_id", "off").count().collect())
     assert [tuple(r) for r in got] == [(1, 0.001, 60_000)]
+
+
+def test_a_value_at_the_end_of_a_band_is_in_it(spark):
+    """11 of 20 is 45 % off: 3 * 0.8 * 0.15 as the SQL multiplies."""
+    v = spark.createDataFrame([(0, 20 / 25.0, 100.0)], "variant int, aspect double, price double")
+    p = spark.createDataFrame([(k, k / 25.0, 100.0) for k in (10, 11, 12, 24, 25)], "page int, aspect double, price double")
+    assert sorted(r.page for r in evaluation.match_variants(p, v, ["aspect", "price"]).collect()) == [11, 12, 24]
