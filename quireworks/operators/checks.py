@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,9 @@ def interval_gaps(rows: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     return joined.withColumn("gap_lo", F.lag("hi").over(order)).where("gap_lo is not null").select(key, "gap_lo", F.col("lo").alias("gap_hi"))
 
 
-def overlaps_next(rows: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """Rows whose interval reaches into the next one of their key."""
-    order = Window.partitionBy(key).orderBy(lo, hi)
+def overlaps_next(rows: DataFrame, key: str, lo: str, hi: str, ties: list[Column] = ()) -> DataFrame:
+    """Rows whose interval reaches into the next one of their key; ties put equal intervals in an order, without which any of them may come last."""
+    order = Window.partitionBy(key).orderBy(lo, hi, *ties)
     return rows.withColumn("_next", F.lead(lo).over(order)).where(F.col("_next") <= F.col(hi)).drop("_next")
 
 

@@ -50,3 +50,9 @@ def test_a_value_at_the_end_of_a_band_is_in_it(spark):
     v = spark.createDataFrame([(0, 20 / 25.0, 100.0)], "variant int, aspect double, price double")
     p = spark.createDataFrame([(k, k / 25.0, 100.0) for k in (10, 11, 12, 24, 25)], "page int, aspect double, price double")
     assert sorted(r.page for r in evaluation.match_variants(p, v, ["aspect", "price"]).collect()) == [11, 12, 24]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_equal_intervals_have_an_order(spark, parts):
+    rows = spark.createDataFrame([(1, i, 0, 5) for i in range(40)], "u int, e int, lo int, hi int").repartition(parts, "e")
+    assert sorted(r.e for r in checks.overlaps_next(rows, "u", "lo", "hi", [F.desc("e")]).collect()) == list(range(1, 40))
