@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as T
+from quireworks.operators import quotes
+from quireworks.operators.tables import written
 
+#: Characters of the grams that are counted first: three of 21 bits fit a code.
+BASE = 3
+#: Codes of pages that a task adds up at once, looked at every 64 pages.
+CODES = 1 << 21
 SHAPES = ["dateish", "money", "short", "body", "other"]
 
 
@@ -19,11 +30,108 @@ def exact_constants(lines: DataFrame, page: str = "doc_id", shortest: int = 2, l
 
 
 def gram_frequency(texts: DataFrame, page: str, text: str, least_ratio: float = 0.9, shortest: int = 3, longest: int = 6) -> DataFrame:
-    """gram, pages_hit of character n-grams in least_ratio of the pages or more. Grams are made distinct within a page before they are shuffled."""
-    n = texts.agg(F.count_distinct(page).alias("n_pages"))
-    every = F.array_distinct(F.flatten(F.array(*(T.grams(F.col(text), k) for k in range(shortest, longest + 1)))))
-    hits = texts.select(page, F.explode(every).alias("gram")).groupBy("gram").agg(F.count_distinct(page).alias("pages_hit"))
-    return hits.join(F.broadcast(n)).where(F.col("pages_hit") / F.col("n_pages") >= least_ratio).select("gram", "pages_hit")
+    """gram, pages_hit of character n-grams in least_ratio of the pages or more.
+
+    Every part of a frequent gram is frequent, so longer grams are counted only where the shorter ones they begin and end
+    with are: first those of BASE characters, then those up to twice as long, which are pairs of these. The texts of a
+    page are read together, each gram counts once in it, and tasks hand on counts by gram: no row is made for a gram of
+    a page. The driver holds the frequent grams, at most as many as a mean page has grams, by least_ratio.
+    """
+    spark, n_pages = texts.sparkSession, texts.agg(F.count_distinct(page)).first()[0]
+    dealt = texts.where(F.col(page).isNotNull() & F.col(text).isNotNull()).select(F.col(page).alias("page"), F.col(text).alias("text")).repartition("page").sortWithinPartitions("page")
+    chain: list[tuple[int, np.ndarray]] = []
+    size, names, out = min(shortest, BASE), [], []
+    lengths = range(size, size + 1)
+    while len(lengths):
+        held = spark.sparkContext.broadcast(chain)
+        counts = dealt.mapInArrow(_counted(lengths, held), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("pages_hit"))
+        found = written(counts.where(F.col("pages_hit") / F.lit(n_pages) >= least_ratio), "frequent-grams")
+        known = np.sort(np.array([r.code for r in found.select("code").collect()], np.int64))
+        spell = _speller(size, names) if chain else _characters(size)
+        gram = F.udf(spell, "string")(F.col("code"))
+        out.append(found.select(gram.alias("gram"), "pages_hit").where(F.length("gram") >= shortest))
+        last = known if not chain else known[known // max(1, len(names)) ** 2 == lengths[-1] - size - 1]
+        names, size = [spell(c) for c in last.tolist()], lengths[-1]
+        chain = [*chain, (size, last)]
+        lengths = range(size + 1, min(2 * size, longest) + 1) if len(last) or size == 1 else range(0)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _characters(size: int):
+    return lambda code: "".join(chr(code >> 21 * k & 0x1FFFFF) for k in range(size - 1, -1, -1))
+
+
+def _speller(size: int, names: list[str]):
+    """The gram of a code, which is of two frequent grams of `size` characters and how far they are apart."""
+    def spell(code: int) -> str:
+        apart, pair = divmod(code, len(names) ** 2)
+        first, last = divmod(pair, len(names))
+        return names[first] + names[last][-apart - 1 :]
+
+    return spell
+
+
+def _pairs(at: np.ndarray, apart: int, n: int) -> np.ndarray:
+    """Codes of stretches of which all shorter ones are frequent, from their places among n frequent ones; else -1."""
+    size = max(0, len(at) - apart)
+    whole = np.ones(size, bool)
+    for k in range(apart + 1):
+        whole &= at[k : k + size] >= 0
+    return np.where(whole, (apart - 1) * n * n + at[:size] * n + at[apart : apart + size], -1)
+
+
+def _places(chars: np.ndarray, chain: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Of each stretch of a text its place among the longest frequent grams, -1 for others."""
+    at, before = quotes.grams(chars, chain[0][0]), None
+    for size, known in chain:
+        coded = at if before is None else _pairs(at, size - before[0], len(before[1]))
+        place = np.minimum(np.searchsorted(known, coded), max(0, len(known) - 1))
+        at, before = (np.where(known[place] == coded, place, -1) if len(known) else np.full(len(coded), -1)), (size, known)
+    return at
+
+
+def _counted(lengths: range, held):
+    """For batches of page and text, in the order of pages: codes of grams with the number of pages that have them, in parts."""
+
+    def of(text: str) -> np.ndarray:
+        chars, chain = quotes.codes(text), held.value
+        if not chain:
+            return np.unique(quotes.grams(chars, lengths[0]))
+        at, (size, known) = _places(chars, chain), chain[-1]
+        found = np.unique(np.concatenate([_pairs(at, n - size, len(known)) for n in lengths]))
+        return found[found >= 0]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, parts, done, size = None, [], [], 0
+
+        def added() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(done), return_counts=True)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+        def joined() -> np.ndarray:
+            return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+        for batch in batches:
+            for p, t in zip(batch.column("page").to_pylist(), batch.column("text").to_pylist()):
+                if p != page and parts:
+                    done.append(joined())
+                    parts.clear()
+                    if len(done) % 64 == 0 and sum(map(len, done)) > CODES:
+                        yield added()
+                page = p
+                parts.append(of(t))
+                size = len(parts[0]) if len(parts) == 1 else size + len(parts[-1])
+                if size > CODES and len(parts) > 1:
+                    parts[:] = [joined()]
+                    size = 0
+            if done:
+                yield added()
+        if parts:
+            done.append(joined())
+            yield added()
+
+    return run
 
 
 def shape_share(lines: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Many rows of one position, box or page: results stay right, and no pair of each with each is made."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quireworks.functions import geometry as G
-from quireworks.operators import checks, evaluation
+from quireworks.operators import checks, corpus, evaluation
 from quireworks.plans import bands
 
 
@@ -56,3 +57,24 @@ def test_a_value_at_the_end_of_a_band_is_in_it(spark):
 def test_equal_intervals_have_an_order(spark, parts):
     rows = spark.createDataFrame([(1, i, 0, 5) for i in range(40)], "u int, e int, lo int, hi int").repartition(parts, "e")
     assert sorted(r.e for r in checks.overlaps_next(rows, "u", "lo", "hi", [F.desc("e")]).collect()) == list(range(1, 40))
+
+
+@pytest.mark.parametrize("shortest, longest, least", [(3, 6, 0.3), (1, 9, 0.3), (2, 2, 0.5), (4, 8, 0.2), (3, 6, 2.0)])
+def test_grams_of_pages_of_several_rows(spark, shortest, longest, least):
+    r = random.Random(shortest)
+    rows = [(i % 12, "".join(r.choice(["ab", "ba", "光緒", "\U0001f600x"]) for _ in range(r.randrange(9)))) for i in range(40)] + [(12, None), (None, "abab")]
+    seen = {}
+    for k, t in rows:
+        for n in range(shortest, longest + 1):
+            for at in range(len(t or "") - n + 1):
+                if k is not None:
+                    seen.setdefault(t[at : at + n], set()).add(k)
+    d = spark.createDataFrame(rows, "k int, t string").repartition(5)
+    got = {x.gram: x.pages_hit for x in corpus.gram_frequency(d, "k", "t", least, shortest, longest).collect()}
+    assert got == {g: len(k) for g, k in seen.items() if len(k) >= least * 13}
+
+
+def test_grams_that_are_rare_make_no_rows(spark):
+    d = spark.range(3000).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2((F.col("id") * 300 + i).cast("string"), 256))).alias("t"), F.lit("token").alias("u"))
+    got = quick(lambda: corpus.gram_frequency(d.select("id", F.concat("t", "u").alias("t")), "id", "t", 0.999).collect(), 90)
+    assert ("token", 3000) in {tuple(r) for r in got}
