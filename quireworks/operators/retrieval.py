@@ -29,7 +29,7 @@ BOOST, BOOST_CAP, BOOST_LENGTH, SEMANTIC, REFUSAL, RESCUE = 0.35, 3, 2, 0.35, 0.
 #: Digits that scores are compared at, so that orders of addition do not decide ties.
 TIE_DIGITS = 9
 #: Queries, and bytes of their weights, of a block; cards of a group; terms whose document counts go to all tasks.
-QUERIES_BLOCK, MATRIX_BYTES, GROUP_CARDS, TERMS_HELD = 64, 32 << 20, 64, 100_000
+QUERIES_BLOCK, MATRIX_BYTES, GROUP_CARDS, TERMS_HELD = 256, 128 << 20, 64, 100_000
 
 _CJK, _RUN = re.compile("[一-鿿]"), re.compile(r"[a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*")
 
@@ -48,7 +48,7 @@ def forward(texts: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in (key, *more))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in groups(batches):
             counts = [term_counts(t) for t in batch.column("_normal").to_pylist()]
             made = [pa.array([sum(c.values()) for c in counts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *more)), *made], [key, *more, "dl", "terms", "tfs"])
@@ -56,6 +56,13 @@ def forward(texts: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return texts.select(key, *more, T.normal_retrieval(F.col(text)).alias("_normal")).mapInArrow(run, f"{kinds}, dl bigint, terms array<string>, tfs array<int>")
 
 
+def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to GROUP_CARDS rows: what Python holds of long texts does not grow with Arrow's batches."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, GROUP_CARDS):
+            yield batch.slice(start, GROUP_CARDS)
+
+
 class Index:
     """A corpus as written rows of terms, with its document counts; scorers share it."""
 
@@ -83,7 +90,7 @@ class Index:
             kind = self.cards.schema["card_id"].dataType.simpleString()
 
             def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in groups(batches):
                     idf, part, rare, times = held.value, [], [], []
                     for dl, terms, tfs in zip(*(batch.column(c).to_pylist() for c in ("dl", "terms", "tfs"))):
                         found = [(idf.get(t), tf) for t, tf in zip(terms, tfs)]
@@ -167,41 +174,40 @@ def _block_best(cards: DataFrame, block, most: int, kinds: tuple[str, ...], sche
         weights = {"bm25": ratio, "cosine": tf_idf}
         tops = {kind: Best(len(ids), most) for kind in kinds}
         any_ratio = ratio.any(axis=1)
-        for batch in batches:
-            names = batch.schema.names
-            columns = {c: batch.column(c).to_pylist() for c in names}
-            for start in range(0, batch.num_rows, GROUP_CARDS):
-                rows: dict[str, list] = {kind: [] for kind in kinds}
-                for k in range(start, min(start + GROUP_CARDS, batch.num_rows)):
-                    dl = columns["dl"][k]
-                    hits = [(p, tf) for t, tf in zip(columns["terms"][k], columns["tfs"][k]) if (p := place.get(t)) is not None]
-                    if not hits:
-                        continue
-                    at, tf = np.array([p for p, _ in hits]), np.array([tf for _, tf in hits], float)
-                    if "bm25" in rows:
-                        part = tf * (K1 + 1) / np.maximum(1e-9, tf + K1 * (1 - B + B * dl / max(1.0, avgdl)))
-                        some = any_ratio[at]
-                        if some.any():
-                            rows["bm25"].append((k, at[some], part[some]))
-                    if "cosine" in rows:
-                        rows["cosine"].append((k, at, tf / dl * idf[at] / columns["norm"][k]))
-                for kind, group in rows.items():
-                    if not group:
-                        continue
-                    top, w = tops[kind], weights[kind]
-                    highest = np.zeros(len(place))
-                    for _, at, x in group:
-                        highest[at] = np.maximum(highest[at], x)
-                    live = np.flatnonzero(highest @ w >= np.maximum(top.least - 1e-8, 1e-300))
-                    if not len(live):
-                        continue
-                    narrow = w[:, live]
-                    scores = np.array([x @ narrow[at] for _, at, x in group])
-                    shown = np.round(scores, TIE_DIGITS)
-                    for j, q in enumerate(live.tolist()):
-                        good = np.flatnonzero((scores[:, j] > 0) & (shown[:, j] >= top.least[q]))
-                        if len(good):
-                            top.add(q, [(-float(shown[g, j]), columns["ord"][group[g][0]], columns["card_id"][group[g][0]], float(scores[g, j])) for g in good.tolist()])
+        for batch in groups(batches):
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            rows: dict[str, list] = {kind: [] for kind in kinds}
+            for k in range(batch.num_rows):
+                dl = columns["dl"][k]
+                hits = [(p, tf) for t, tf in zip(columns["terms"][k], columns["tfs"][k]) if (p := place.get(t)) is not None]
+                if not hits:
+                    continue
+                at, tf = np.array([p for p, _ in hits]), np.array([tf for _, tf in hits], float)
+                if "bm25" in rows:
+                    part = tf * (K1 + 1) / np.maximum(1e-9, tf + K1 * (1 - B + B * dl / max(1.0, avgdl)))
+                    some = any_ratio[at]
+                    if some.any():
+                        rows["bm25"].append((k, at[some], part[some]))
+                if "cosine" in rows:
+                    rows["cosine"].append((k, at, tf / dl * idf[at] / columns["norm"][k]))
+            for kind, group in rows.items():
+                if not group:
+                    continue
+                top, w = tops[kind], weights[kind]
+                met = np.unique(np.concatenate([at for _, at, _ in group]))
+                x = np.zeros((len(group), len(met)))
+                for g, (_, at, v) in enumerate(group):
+                    x[g, np.searchsorted(met, at)] = v
+                near = w[met]
+                live = np.flatnonzero(x.max(axis=0) @ near >= np.maximum(top.least - 1e-8, 1e-300))
+                if not len(live):
+                    continue
+                scores = x @ near[:, live]
+                shown = np.round(scores, TIE_DIGITS)
+                for j, q in enumerate(live.tolist()):
+                    good = np.flatnonzero((scores[:, j] > 0) & (shown[:, j] >= top.least[q]))
+                    if len(good):
+                        top.add(q, [(-float(shown[g, j]), columns["ord"][group[g][0]], columns["card_id"][group[g][0]], float(scores[g, j])) for g in good.tolist()])
         out = [(ids[q], kind, card, ord_, raw, -shown) for kind, top in tops.items() for q, kept in enumerate(top.kept) for shown, ord_, card, raw in kept]
         if out:
             kinds_of = (id_kind, pa.string(), batch.schema.field("card_id").type, batch.schema.field("ord").type, pa.float64(), pa.float64())

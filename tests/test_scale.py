@@ -3,11 +3,12 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quireworks.functions import geometry as G
-from quireworks.operators import checks, corpus, evaluation
+from quireworks.operators import checks, corpus, evaluation, retrieval
 from quireworks.plans import bands
 
 
@@ -78,3 +79,9 @@ def test_grams_that_are_rare_make_no_rows(spark):
     d = spark.range(3000).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2((F.col("id") * 300 + i).cast("string"), 256))).alias("t"), F.lit("token").alias("u"))
     got = quick(lambda: corpus.gram_frequency(d.select("id", F.concat("t", "u").alias("t")), "id", "t", 0.999).collect(), 90)
     assert ("token", 3000) in {tuple(r) for r in got}
+
+
+def test_texts_are_held_by_groups():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
+    got = list(retrieval.groups([batch, batch.slice(0, 0)]))
+    assert [b.num_rows for b in got] == [64, 64, 22] and [v for b in got for v in b.column("x").to_pylist()] == list(range(150))
