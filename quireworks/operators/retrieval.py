@@ -249,9 +249,11 @@ def field_boost(queries: DataFrame, fields: DataFrame) -> DataFrame:
     """query_id, card_id, boost: 0.35 for each field value (2 characters or more) that the query holds, three at most. fields(card_id, value) is matched by value length, so no pair of query and value is made that does not hold."""
     q = queries.select("query_id", T.normal_retrieval(F.col("query")).alias("q"))
     v = fields.select("card_id", T.normal_retrieval(F.col("value")).alias("v")).where(F.length("v") >= BOOST_LENGTH)
-    lengths = v.groupBy(F.length("v").alias("n")).agg(F.lit(1).alias("one")).select("n")
+    forms = v.select("v").distinct()
+    lengths = forms.select(F.length("v").alias("n")).distinct()
     pieces = q.join(F.broadcast(lengths)).where("length(q) >= n").select("query_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substr(F.col("q"), i, F.col("n"))))).alias("v"))
-    return pieces.join(v, "v").groupBy("query_id", "card_id").agg((F.least(F.count("*"), F.lit(BOOST_CAP)) * BOOST).alias("boost"))
+    held = pieces.join(forms, "v", "left_semi")  # the queries are a stated set: what they hold goes to all tasks, so a frequent value is no task's alone
+    return v.join(F.broadcast(held), "v").groupBy("query_id", "card_id").agg((F.least(F.count("*"), F.lit(BOOST_CAP)) * BOOST).alias("boost"))
 
 
 def hybrid_boosted(queries: DataFrame, corpus: DataFrame, fields: DataFrame, k: int = 5, over: int = 3, similarity: DataFrame | None = None) -> DataFrame:

@@ -85,3 +85,16 @@ def test_texts_are_held_by_groups():
     batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
     got = list(retrieval.groups([batch, batch.slice(0, 0)]))
     assert [b.num_rows for b in got] == [64, 64, 22] and [v for b in got for v in b.column("x").to_pylist()] == list(range(150))
+
+
+def test_field_values_of_many_cards_are_not_dealt_by_value(spark):
+    q = spark.createDataFrame([(1, "an en text"), (2, "other")], "query_id int, query string")
+    fields = spark.range(1000).select(F.col("id").alias("card_id"), F.lit("en").alias("value"))
+    got = retrieval.field_boost(q, fields)
+    assert [tuple(r) for r in got.groupBy("query_id", "boost").count().collect()] == [(1, 0.35, 1000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval.field_boost(q, fields)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan.partition("SortMergeJoin")[0]
