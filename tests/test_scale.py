@@ -89,7 +89,7 @@ def test_texts_are_held_by_groups():
 
 def test_field_values_of_many_cards_are_not_dealt_by_value(spark):
     q = spark.createDataFrame([(1, "an en text"), (2, "other")], "query_id int, query string")
-    fields = spark.range(1000).select(F.col("id").alias("card_id"), F.lit("en").alias("value"))
+    fields = spark.range(1000).select(F.col("id").alias("card_id"), F.when(F.col("id") >= 0, "en").otherwise("zz").alias("value"))
     got = retrieval.field_boost(q, fields)
     assert [tuple(r) for r in got.groupBy("query_id", "boost").count().collect()] == [(1, 0.35, 1000)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
