@@ -7,10 +7,10 @@ whole; one that is shorter than a window but not than the quote gives 0.
 
 The filter loses nothing. A ratio of `least` needs M >= least (n + w) / 2 characters in matching blocks, so a window needs as
 many of the quote's characters, and at most n - M characters of the quote and w - M of the window are unmatched.
-Matching blocks keep order and do not overlap, so a gap between two of them holds an unmatched character on either
-side; one of the quote destroys 3 of the quote's 3-grams at most, one of the window 2. Those that are left stand in
-the window too, each at a place of its own. And matching blocks are a common subsequence, whose longest length is found for
-many windows at once, by words of 64 bits. Only windows that pass all three counts are compared.
+Matching blocks are a common subsequence. Its longest length is found for the windows of many quotes and texts at once, by
+words of 64 bits, and only near the diagonal: a character of the quote has its match at most n - M places before its own in the window
+and w - M after it. A window is given up as soon as the quote's beginning has more than n - M unmatched characters (its first
+i, when i + w - n of the window are read: what is left of both is equally long). Only windows that pass both counts are compared.
 
 Searches take a stated set of quotes, in blocks, against all texts: a text goes once through each block, and only hits
 leave a task.
@@ -31,8 +31,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quireworks.functions import text as T
 from quireworks.operators.tables import spread
 
-#: Least ratio of a near hit; length of a window by that of the quote; quotes, and their characters, of a block; characters that are counted apart; texts taken together.
-LEAST, STRETCH, BLOCK_QUOTES, BLOCK_CHARS, LETTERS, TEXTS = 0.85, 1.2, 200, 200_000, 64, 64
+#: Least ratio of a near hit; length of a window by that of the quote; quotes, and their characters, of a block; characters that are counted apart.
+LEAST, STRETCH, BLOCK_QUOTES, BLOCK_CHARS, LETTERS = 0.85, 1.2, 200, 200_000, 64
+#: Characters of texts taken together and counted at once, windows compared at once, and steps between looks at which of them can still pass.
+TEXTS_CHARS, PIECE, WINDOWS, STEPS = 500_000, 100_000, 4096, 8
 
 
 def window_size(n: int, stretch: float = STRETCH) -> int:
@@ -44,24 +46,10 @@ def least_matched(n: int, window: int, least: float) -> int:
     return int(np.ceil(least * (n + window) / 2 - 1e-9))
 
 
-def surviving_grams(n: int, window: int, q: int, least: float) -> int:
-    """How many q-grams of a quote of n characters must stand in a window that reaches the ratio, at least."""
-    matched = min(least_matched(n, window, least), n)
-    return n - q + 1 - q * (n - matched) - (q - 1) * max(0, window - matched)
-
-
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def grams(c: np.ndarray, q: int = 3) -> np.ndarray:
-    """A number for each stretch of q characters (q up to 3), equal for equal stretches only."""
-    out = c[: max(0, len(c) - q + 1)]
-    for k in range(1, q):
-        out = (out << 21) | c[k : len(c) - q + 1 + k]
-    return out
-
-
 def window_starts(n: int, size: int, stretch: float = STRETCH) -> np.ndarray:
     """Starts of the windows of a quote of n characters in a text of `size`, the last window last."""
     w = window_size(n, stretch)
@@ -70,21 +58,21 @@ def window_starts(n: int, size: int, stretch: float = STRETCH) -> np.ndarray:
 
 
 class Block:
-    """Quotes in normal form, and what the filter needs of them: counts of the block's frequent characters (all others together), and which of its 3-grams each has."""
+    """Quotes in normal form, and what the filter needs of them: counts of the block's frequent characters (all others together), and for each quote's characters the places where they stand, as bits."""
 
     def __init__(self, quotes: list[str], least: float, stretch: float):
         self.quotes, self.least, self.stretch = quotes, least, stretch
         self.codes = [codes(q) for q in quotes]
-        found, seen = np.unique(np.concatenate([*self.codes, np.zeros(0, np.int64)]), return_counts=True)
-        self.letters = np.sort(found[np.argsort(-seen, kind="stable")[:LETTERS]])
-        self.counts = np.array([np.bincount(self.place(c), minlength=len(self.letters) + 1) for c in self.codes]).reshape(len(quotes), -1)
-        self.grams = np.unique(np.concatenate([*(grams(c) for c in self.codes), np.zeros(0, np.int64)]))
-        self.has = np.zeros((len(quotes), len(self.grams) + 1), bool)
-        for k, c in enumerate(self.codes):
-            self.has[k, np.searchsorted(self.grams, grams(c))] = True
-        self.window = [window_size(len(q), stretch) for q in quotes]
-        self.matched = [least_matched(len(q), w, least) for q, w in zip(quotes, self.window)]
-        self.shared = [surviving_grams(len(q), w, 3, least) for q, w in zip(quotes, self.window)]
+        self.letters, seen = np.unique(np.concatenate([*self.codes, np.zeros(0, np.int64)]), return_counts=True)
+        self.counted = np.full(len(self.letters) + 1, min(LETTERS, len(self.letters)))
+        self.counted[np.argsort(-seen, kind="stable")[:LETTERS]] = np.arange(min(LETTERS, len(self.letters)))
+        self.size = np.array([len(q) for q in quotes], np.int64)
+        self.window = np.array([window_size(len(q), stretch) for q in quotes], np.int64)
+        self.matched = np.array([least_matched(n, w, least) for n, w in zip(self.size.tolist(), self.window.tolist())], np.int64)
+        kind = np.uint16 if self.window.max(initial=0) < 1 << 16 else np.uint32  # counts up to a place may wrap: only their differences are used
+        self.counts = np.array([np.bincount(self.counted[self.place(c)], minlength=self.counted[-1] + 1) for c in self.codes], kind).reshape(len(quotes), -1)
+        words = -(-self.size // 64)
+        self.groups = [Bits(self, np.flatnonzero(words == n), n) for n in np.unique(words).tolist()]
 
     def place(self, c: np.ndarray) -> np.ndarray:
         """The place of each character among the letters, that of all others last."""
@@ -93,57 +81,100 @@ class Block:
         at = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
         return np.where(self.letters[at] == c, at, len(self.letters))
 
-    def promising(self, text: "Text", which: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-        """Quotes with the starts of windows that share as many characters and 3-grams with them as they must."""
-        size = len(text.codes)
-        for k in which:
-            n, w = len(self.quotes[k]), self.window[k]
-            starts = window_starts(n, size, self.stretch) if n <= size else np.zeros(0, np.int64)
-            if len(starts):
-                inside = text.upto[starts + w] - text.upto[starts]
-                starts = starts[np.minimum(inside, self.counts[k]).sum(axis=1) >= self.matched[k]]
-            if len(starts) and self.shared[k] > 0:
-                run = np.concatenate([[0], np.cumsum(self.has[k][text.grams])])
-                starts = starts[run[starts + w - 2] - run[starts] >= self.shared[k]]
-            if len(starts):
-                yield k, starts
-
-
-class Text:
-    """A text in normal form with counts of letters up to each place, and its 3-grams as places in the block's."""
-
-    def __init__(self, text: str, block: Block):
-        self.text, self.codes = text, codes(text)
-        at = block.place(self.codes)
-        self.upto = np.zeros((len(at) + 1, len(block.letters) + 1), np.int32)
-        self.upto[np.arange(1, len(at) + 1), at] = 1
-        np.cumsum(self.upto, axis=0, out=self.upto)
-        g = grams(self.codes)
-        place = np.minimum(np.searchsorted(block.grams, g), max(len(block.grams) - 1, 0))
-        self.grams = np.where(block.grams[place] == g, place, len(block.grams)) if len(block.grams) else np.zeros(len(g), np.int64)
-
-
-def common_length(quote: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of the quote and each window (a row of codes), 64 characters of the quote to a word: matching blocks cannot have more."""
-    letters, place = np.unique(quote, return_inverse=True)
-    n, words = len(quote), -(-len(quote) // 64)
-    masks = np.zeros((len(letters) + 1, words), np.uint64)
-    np.bitwise_or.at(masks, (place, np.arange(n) // 64), np.uint64(1) << (np.arange(n) % 64).astype(np.uint64))
-    at = np.minimum(np.searchsorted(letters, windows), len(letters) - 1)
-    at = np.where(letters[at] == windows, at, len(letters))
-    v = [np.full(len(windows), ~np.uint64(0)) for _ in range(words)]
-    for j in range(windows.shape[1]):
-        m, carry = masks[at[:, j]], np.zeros(len(windows), np.uint64)
-        for k in range(words):
-            u = v[k] & m[:, k]
-            total = v[k] + u
-            over = total < u
-            total += carry
-            carry = (over | (total < carry)).astype(np.uint64)
-            v[k] = total | (v[k] ^ u)
-    tail = np.uint64((1 << (n - 64 * (words - 1))) - 1) if n % 64 else ~np.uint64(0)
-    left = sum(np.bitwise_count(x if k < words - 1 else x & tail).astype(np.int64) for k, x in enumerate(v))
-    return n - left
+    def promising(self, line: "Line", k: int, ok: np.ndarray) -> np.ndarray:
+        """Starts, in the line, of windows that share as many characters with quote k as they must; ok tells the texts to look at."""
+        w, starts = int(self.window[k]), line.starts(len(self.quotes[k]), self.stretch, ok)
+        if not len(starts):
+            return starts
+        kept, edges = [], np.searchsorted(starts, np.arange(len(line.counts) + 1) * PIECE)
+        for upto, first, lo, hi in zip(line.counts, range(0, len(line.codes), PIECE), edges, edges[1:]):
+            at = starts[lo:hi] - first
+            inside = np.take(upto, at + w, axis=0)
+            inside -= np.take(upto, at, axis=0)
+            np.minimum(inside, self.counts[k], out=inside)
+            kept.append(starts[lo:hi][np.einsum("ij->i", inside) >= self.matched[k]])  # the sum is no larger than the quote, so it fits the kind of the counts
+        return np.concatenate(kept)
+
+
+class Bits:
+    """Quotes of one number of words of 64 bits, and for each of their characters where it stands; row 0 is of characters that a quote lacks."""
+
+    def __init__(self, block: Block, which: np.ndarray, words: int):
+        self.which, self.words = which, words
+        self.size, self.window, self.matched = block.size[which], block.window[which], block.matched[which]
+        self.row, found, rows = np.zeros((len(which), len(block.letters) + 1), np.int32), [np.zeros((1, words), np.uint64)], 1
+        for i, k in enumerate(which.tolist()):
+            own, place = np.unique(block.place(block.codes[k]), return_inverse=True)
+            bits, at = np.zeros((len(own), words), np.uint64), np.arange(len(place))
+            np.bitwise_or.at(bits, (place, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+            self.row[i, own] = np.arange(rows, rows + len(own))
+            found.append(bits)
+            rows += len(own)
+        self.masks = [np.ascontiguousarray(m) for m in np.concatenate(found).T]
+
+    def begun(self, j: int) -> list[np.ndarray]:
+        """For each word, the bits of each quote's beginning that must be matched when j characters of a window are read."""
+        n = np.clip(j - (self.window - self.size), 0, self.size)
+        most = [np.clip(n - 64 * k, 0, 64) for k in range(self.words)]
+        return [np.where(m == 64, ~np.uint64(0), (np.uint64(1) << (m % 64).astype(np.uint64)) - np.uint64(1)) for m in most]
+
+    def common(self, place: np.ndarray, starts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which windows, by the start of each in the places of characters and by its quote here, have a common subsequence with it as long as must be."""
+        left, lost = np.arange(len(starts)), self.size - self.matched
+        v = [np.full(len(starts), ~np.uint64(0)) for _ in range(self.words)]
+        before, after, shortest, last = int((self.window - self.matched).max()), int(lost.max()), int(self.window.min()), int(self.window.max())
+        for j in range(last):
+            at = self.row[own, place[starts + j]]
+            if j >= shortest:
+                at[j >= self.window[own]] = 0
+            carry = None
+            for k in range(max(0, j - before) // 64, min((j + after) // 64, self.words - 1) + 1):
+                u = self.masks[k][at]
+                u &= v[k]
+                total = v[k] + u
+                over = total < u
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+                u ^= v[k]
+                v[k] = np.bitwise_or(total, u, out=total)
+            if j % STEPS == STEPS - 1 or j == last - 1:
+                missed = sum(np.bitwise_count(x & b[own]).astype(np.int64) for x, b in zip(v, self.begun(j + 1)))
+                good = missed <= lost[own]
+                if not good.all():
+                    left, starts, own, v = left[good], starts[good], own[good], [x[good] for x in v]
+                if not len(left):
+                    break
+        return left
+
+
+class Line:
+    """Texts in normal form, one behind the other, with counts of letters up to each place of a piece. A piece goes on for the longest window, so any text is counted in bounded memory."""
+
+    def __init__(self, texts: list[str], block: Block):
+        self.texts, found = texts, [codes(t) for t in texts]
+        self.sizes = np.array([len(c) for c in found], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.concatenate([*found, np.zeros(0, np.int64)])
+        longest = int(block.window.max(initial=0))
+        self.place = np.concatenate([block.place(self.codes), np.full(longest, len(block.letters))])
+        self.counts = []
+        for at in range(0, len(self.codes), PIECE):
+            letters = block.counted[self.place[at : min(at + PIECE + longest, len(self.codes))]]
+            upto = np.zeros((len(letters) + 1, block.counts.shape[1]), block.counts.dtype)
+            upto[np.arange(1, len(letters) + 1), letters] = 1
+            self.counts.append(np.cumsum(upto, axis=0, out=upto))
+
+    def starts(self, n: int, stretch: float, ok: np.ndarray) -> np.ndarray:
+        """Starts of the windows of a quote of n characters in the texts to look at, ascending."""
+        w, step = window_size(n, stretch), max(1, n // 4)
+        fits = np.flatnonzero(ok & (self.sizes >= w))
+        sizes, first = self.sizes[fits], self.first[fits]
+        inner = (sizes - w) // step + 1
+        total = inner + (sizes > w)
+        at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        return np.repeat(first, total) + np.where(at < np.repeat(inner, total), at * step, np.repeat(sizes - w, total))
 
 
 def ratio(quote: str, window: str, least: float = 0.0) -> float:
@@ -152,29 +183,28 @@ def ratio(quote: str, window: str, least: float = 0.0) -> float:
     return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
 
 
-def near_hits(block: Block, texts: list[str], open_: list[list[int]]) -> Iterator[tuple[int, int, float]]:
-    """(quote, text, score) of near hits; open_ has the quotes to look for in each text, which none of them holds wholly."""
-    rows = [Text(t, block) for t in texts]
-    waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for j, row in enumerate(rows):
-        for k, starts in block.promising(row, open_[j]):
-            waiting.setdefault(k, []).append((j, starts))
-        for k in open_[j]:
-            n, size = len(block.quotes[k]), len(row.codes)
-            if n > size and 2 * size >= block.least * (n + size) and (got := ratio(block.quotes[k], row.text, block.least)) >= block.least:
-                yield k, j, got
-    for k, found in waiting.items():
-        w = block.window[k]
-        spans = np.concatenate([rows[j].codes[starts[:, None] + np.arange(w)] for j, starts in found])
-        good = common_length(block.codes[k], spans) >= block.matched[k]
-        at = 0
-        for j, starts in found:
-            for s in starts[good[at : at + len(starts)]].tolist():
-                got = ratio(block.quotes[k], rows[j].text[s : s + w], block.least)
-                if got >= block.least:
+def near_hits(block: Block, texts: list[str], held: list[set[int]]) -> Iterator[tuple[int, int, float]]:
+    """(quote, text, score) of near hits; held has the quotes that each text holds wholly, which are not looked for in it."""
+    line = Line(texts, block)
+    ok = np.ones((len(block.quotes), len(texts)), bool)
+    for j, ks in enumerate(held):
+        ok[list(ks), j] = False
+    n = block.size[:, None]
+    for k, j in np.argwhere(ok & (n > line.sizes) & (2 * line.sizes >= block.least * (n + line.sizes))).tolist():
+        if (got := ratio(block.quotes[k], texts[j], block.least)) >= block.least:
+            yield k, j, got
+    for group in block.groups:
+        found = [block.promising(line, k, ok[k]) for k in group.which.tolist()]
+        starts, own = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+        done = None
+        for at in range(0, len(starts), WINDOWS):
+            for i in (at + group.common(line.place, starts[at : at + WINDOWS], own[at : at + WINDOWS])).tolist():
+                k = int(group.which[own[i]])
+                j = int(np.searchsorted(line.first, starts[i], "right")) - 1
+                s, w = int(starts[i] - line.first[j]), int(block.window[k])
+                if (k, j) != done and (got := ratio(block.quotes[k], texts[j][s : s + w], block.least)) >= block.least:
+                    done = k, j
                     yield k, j, got
-                    break
-            at += len(starts)
 
 
 def score(quote: str, text: str, least: float = LEAST, stretch: float = STRETCH) -> tuple[bool, float]:
@@ -183,7 +213,7 @@ def score(quote: str, text: str, least: float = LEAST, stretch: float = STRETCH)
         return False, 0.0
     if quote in text:
         return True, 1.0
-    for _, _, hit in near_hits(Block([quote], least, stretch), [text], [[0]]):
+    for _, _, hit in near_hits(Block([quote], least, stretch), [text], [set()]):
         return True, hit
     if len(quote) > len(text):
         return False, ratio(quote, text)
@@ -206,6 +236,18 @@ def _blocks(quotes: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
+def _lots(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts taken together, each lot with the place of its first."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > first and size + len(t) > TEXTS_CHARS:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t)
+    if texts:
+        yield first, texts[first:]
+
+
 def _search(quotes: DataFrame, corpus: DataFrame, least: float | None, stretch: float = STRETCH) -> DataFrame:
     """quote_id, card_id, score of hits; least None asks for whole hits only."""
     spark, cards = corpus.sparkSession, spread(corpus).select("card_id", T.normal_retrieval(F.col("text")).alias("t")).where("t <> ''")
@@ -223,12 +265,11 @@ def _search(quotes: DataFrame, corpus: DataFrame, least: float | None, stretch:
             for batch in batches:
                 hits: list[tuple[int, int, float]] = []
                 texts = batch.column("t").to_pylist()
-                for first in range(0, len(texts), TEXTS):
-                    some = texts[first : first + TEXTS]
+                for first, some in _lots(texts):
                     held = [{k for _, ks in whole.iter(t) for k in ks} for t in some]
                     hits += [(k, first + j, 1.0) for j, ks in enumerate(held) for k in sorted(ks)]
                     if near is not None:
-                        hits += [(k, first + j, got) for k, j, got in near_hits(near, some, [[k for k in range(len(near.quotes)) if k not in ks] for ks in held])]
+                        hits += [(k, first + j, got) for k, j, got in near_hits(near, some, held)]
                 if hits:
                     q, row, s = zip(*hits)
                     ids = pa.array([block.value[k][0] for k in q], id_kind)

@@ -88,6 +88,26 @@ def test_verdicts_equal_brute_force(spark):
     assert quotes.quote_verdicts(q.limit(0), c).count() == 0 and quotes.quote_verdicts(q, c.limit(0)).where("verdict = 'fabricated'").count() == len(asked)
 
 
+def test_windows_of_many_quotes_and_texts_are_compared_at_once(monkeypatch):
+    r, calls, common = random.Random(11), [], quotes.Bits.common
+    monkeypatch.setattr(quotes.Bits, "common", lambda *a: calls.append(len(a[2])) or common(*a))
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(5)) for _ in range(60)]
+    asked = ["".join(r.choice(words) for _ in range(n)) for n in (1, 4, 13, 26, 27, 40) for _ in range(4)]
+    texts = ["".join(r.choice(words) for _ in range(r.randrange(90))) + (edited(r, asked[k % 24], ("change", "drop", "add")[k % 3], 19) if k % 2 else "") for k in range(60)] + ["", "zz"]
+    want = {(k, j): s for k, q in enumerate(asked) for j, t in enumerate(texts) for hit, s in [plain_score(q, t)] if hit and q not in t}
+    held = [{k for k, q in enumerate(asked) if q in t} for t in texts]
+    for piece, most, steps in ((100_000, 4096, 8), (70, 7, 3)):
+        calls.clear()
+        monkeypatch.setattr(quotes, "PIECE", piece)
+        monkeypatch.setattr(quotes, "WINDOWS", most)
+        monkeypatch.setattr(quotes, "STEPS", steps)
+        block = quotes.Block(asked, 0.85, 1.2)
+        got = {(k, j): s for k, j, s in quotes.near_hits(block, texts, held)}
+        assert got == want
+        assert len(want) > 15
+        assert max(calls) <= most and len(calls) <= len(block.groups) + sum(calls) / most
+
+
 def test_answers(spark):
     rows = [(1, ["alpha beta gamma delta [unit_3]", "alpha beta 参考 [gold_1]. ", "nothing like it", None], "say: Alpha; alpha beta gamma delta!"), (2, [], "x"), (3, None, None)]
     got = {r.answer_id: r for r in quotes.verify_answers(spark.createDataFrame(rows, "answer_id int, quotes array<string>, text string")).collect()}
