@@ -3,7 +3,7 @@
 A result is one row for a page, with its records, values and boxes nested, as a page bounds them; the page's lines,
 true size and plan regions are joined to it. Checks are data: a code, a level, and the expression that counts
 faults. Those of a page are compiled into one pass over its row, those of a record into one over the exploded
-records; lines that records share and ranges that overlap are found by windows over lines and records.
+records; lines that records share and ranges that overlap are found in the page's row, in sorted arrays.
 
 results(stem, kind, schema_version, profile_id, tier, text_stream, chain, trace, layout, page, records, unassigned):
 chain is an array of tiers (null: CHAIN), trace an array of (tier, ok), layout (covered, policy), page (w, h),
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as T
@@ -157,41 +157,68 @@ def record_checks() -> list[Check]:
     ]
 
 
-def records_of(pages: DataFrame) -> DataFrame:
-    """stem, record, lines, attrs (with a text), boxes, areas (the region of each box's centre), and the page's columns that record checks need."""
-    r = pages.select("stem", "n_lines", "size", "regions", F.posexplode("records").alias("record", "r"))
+def records_of(pages: DataFrame, *page: str) -> DataFrame:
+    """stem, record, lines, attrs (with a text), boxes, areas (the region of each box's centre), and the page's columns that record checks need, or that are asked for; a page without records has a row without any."""
+    r = pages.select("stem", "n_lines", "size", "regions", *page, F.posexplode_outer("records").alias("record", "r"))
     attrs_kind = pages.schema["records"].dataType.elementType["attrs"].dataType
     attrs = F.filter(F.coalesce("r.attrs", F.array().cast(attrs_kind)), lambda a: ~_blank(a["text"]))
     all_boxes = F.concat(F.flatten(F.transform(F.coalesce("r.attrs", F.array().cast(attrs_kind)), lambda a: F.coalesce(a["boxes"], F.array().cast(f"array<{_BOX}>")))), F.array("r.box"))
-    r = r.select("stem", "record", "n_lines", "size", "regions", F.coalesce("r.lines", F.array().cast("array<int>")).alias("lines"), attrs.alias("attrs"), F.transform(F.filter(all_boxes, lambda b: (F.size(b) == 4) & ~F.exists(b, lambda x: x.isNull())), _corners).alias("boxes"))
+    r = r.select("stem", "record", "n_lines", "size", "regions", *page, F.coalesce("r.lines", F.array().cast("array<int>")).alias("lines"), attrs.alias("attrs"), F.transform(F.filter(all_boxes, lambda b: (F.size(b) == 4) & ~F.exists(b, lambda x: x.isNull())), _corners).alias("boxes"))
     at = lambda b: F.get(F.filter("regions", lambda g: (g["lo"] <= (b["y0"] + b["y1"]) / 2 / F.col("size.h")) & ((b["y0"] + b["y1"]) / 2 / F.col("size.h") < g["hi"])), F.lit(0))
     return r.withColumn("areas", F.when(F.col("size").isNotNull() & F.col("regions").isNotNull(), F.transform("boxes", at)))
 
 
-def shared_lines(records: DataFrame) -> DataFrame:
-    """Faults of lines that an earlier record of the page has too: a line belongs to its first record."""
-    used = records.select("stem", "record", "n_lines", F.explode("lines").alias("line")).where((F.col("line") >= 0) & F.coalesce(F.col("line") < F.col("n_lines"), F.lit(True)))
-    first = F.min("record").over(Window.partitionBy("stem", "line"))
-    return used.withColumn("first", first).where("record <> first").groupBy("stem", "record").agg(F.count("*").alias("n"))
+def _with_former(items: str) -> Column:
+    """Each element of a column's array with the one before it, the first with itself."""
+    return F.zip_with(items, F.slice(F.concat(F.slice(items, 1, 1), items), F.lit(1), F.size(items)), lambda x, former: F.struct(x.alias("x"), former.alias("former")))
 
 
-def overlapping(records: DataFrame) -> DataFrame:
-    """Faults of records whose range of lines begins within the range before it, in the order of ranges."""
-    spans = records.where(F.size("lines") > 0).select("stem", "record", F.array_min("lines").alias("lo"), F.array_max("lines").alias("hi"))
-    before = F.lag("hi").over(Window.partitionBy("stem").orderBy("lo", "hi", "record"))
-    return spans.withColumn("before", before).where("lo <= before").select("stem", "record", F.lit(1).cast("long").alias("n"))
+def _error(code: str, record: Column, n: Column) -> Column:
+    return F.struct(F.lit("error").alias("level"), F.lit(code).alias("code"), record.cast("int").alias("record"), n.cast("long").alias("n"))
+
+
+def used_lines() -> Column:
+    """Lines that records of a page have, sorted, each once for a record, as line * 2^31 + record."""
+    known = lambda line: (line >= 0) & F.coalesce(line < F.col("n_lines"), F.lit(True))
+    used = F.transform("records", lambda r, i: F.transform(F.filter(F.coalesce(r["lines"], F.array().cast("array<int>")), known), lambda line: F.shiftleft(line.cast("long"), 31) + i))
+    return F.sort_array(F.array_distinct(F.flatten(used)))
+
+
+def reused_lines() -> Column:
+    """Those of `used` that an earlier record has too: a line belongs to its first record."""
+    line = lambda u: F.shiftright(u, 31)
+    return F.transform(F.filter(_with_former("used"), lambda p: (p["x"] != p["former"]) & (line(p["x"]) == line(p["former"]))), lambda p: p["x"])
+
+
+def shared_lines() -> Column:
+    """Faults of records with `reused` lines; a record that names a line twice has two."""
+    record = lambda u: u.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    times = lambda u: F.size(F.filter(F.get("records", record(u))["lines"], lambda line: line == F.shiftright(u, 31)))
+    n = lambda i: F.aggregate(F.filter("reused", lambda u: record(u) == i), F.lit(0), lambda n, u: n + times(u))
+    return F.transform(F.array_distinct(F.transform("reused", record)), lambda i: _error("line_reused", i, n(i)))
+
+
+def ranges() -> Column:
+    """(lo, hi, record) of a page's records that have lines, sorted."""
+    return F.sort_array(F.filter(F.transform("records", lambda r, i: F.when(F.size(r["lines"]) > 0, F.struct(F.array_min(r["lines"]).alias("lo"), F.array_max(r["lines"]).alias("hi"), i.alias("record")))), lambda s: s.isNotNull()))
+
+
+def overlapping() -> Column:
+    """Faults of records whose range of lines begins within the one before it in `ranges`."""
+    inside = F.filter(_with_former("ranges"), lambda s: (s["x"]["record"] != s["former"]["record"]) & (s["x"]["lo"] <= s["former"]["hi"]))
+    return F.transform(inside, lambda s: _error("record_overlap", s["x"]["record"], F.lit(1)))
 
 
 def findings(results: DataFrame, lines: DataFrame, sizes: DataFrame, regions: DataFrame) -> DataFrame:
-    """stem, level, code, record (null for faults of the page), n for every check that counts a fault."""
-    broken = results.withColumn("n", schema_faults()).where("n > 0")
-    schema = broken.select("stem", F.lit("error").alias("level"), F.lit("schema").alias("code"), F.lit(None).cast("int").alias("record"), F.col("n").cast("long").alias("n"))
-    pages = prepared(results.where(schema_faults() == 0), lines, sizes, regions)
-    records = records_of(pages)
-    flat = lambda d, checks, record: d.select("stem", F.inline(_flags(checks, record)))
-    cross = lambda d, code: d.select("stem", F.lit("error").alias("level"), F.lit(code).alias("code"), "record", "n")
-    out = schema.unionByName(flat(pages, page_checks(), F.lit(None))).unionByName(flat(records, record_checks(), F.col("record")))
-    return out.unionByName(cross(shared_lines(records), "line_reused")).unionByName(cross(overlapping(records), "record_overlap"))
+    """stem, level, code, record (null for faults of the page), n for every check that counts a fault. A page's row is made once, and all its checks are made on it, so nothing is dealt out a second time."""
+    broken = schema_faults() > 0
+    schema = F.array(F.struct(F.lit("error").alias("level"), F.lit("schema").alias("code"), F.lit(None).cast("int").alias("record"), schema_faults().cast("long").alias("n")))
+    pages = prepared(results, lines, sizes, regions).withColumns({"used": used_lines(), "ranges": ranges()}).withColumn("reused", reused_lines())
+    of_page = F.when(broken, schema).otherwise(F.concat(_flags(page_checks(), F.lit(None)), shared_lines(), overlapping()))
+    pages = pages.withColumns({"of_page": of_page, "records": F.when(~broken, F.col("records"))})
+    first, record = F.coalesce("record", F.lit(0)) == 0, F.col("record")
+    found = F.concat(F.when(first, F.col("of_page")).otherwise(F.filter("of_page", lambda f: F.lit(False))), F.when(record.isNotNull(), _flags(record_checks(), record)).otherwise(F.filter("of_page", lambda f: F.lit(False))))
+    return records_of(pages, "of_page").select("stem", F.inline(found))
 
 
 def report(results: DataFrame, found: DataFrame) -> DataFrame:

@@ -105,19 +105,25 @@ def result_findings(t):
     """Findings of records, boxes, tiers and layouts; those of texts are in result_text_findings."""
     k = F.col("o_orderkey")
     tier = lambda i: F.get(F.array(*map(F.lit, validation.CHAIN)), i.cast("int"))
-    items = t("lineitem").withColumns({"q": F.col("l_quantity").cast("int"), "y": ((F.col("l_partkey") * 7) % 1000).cast("double"), "x": (F.col("l_partkey") % 985).cast("double")})
-    box = F.array("x", "y", F.col("x") + 20, F.col("y") + F.col("l_suppkey") % 4 * 20)
-    ls = F.when(F.col("q") % 9 == 0, F.array().cast("array<int>")).otherwise(F.array(F.col("q") % 8, (F.col("q") % 8 + F.col("l_partkey") % 3).cast("int")))
+    kept = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
     attrs = F.array().cast("array<struct<attr:string,text:string,lines:array<int>,boxes:array<array<double>>>>")
-    records = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(ls.alias("lines"), box.alias("box"), attrs.alias("attrs")).alias("r")))), lambda x: x["r"]).alias("records"))
-    orders = t("orders").join(records, "o_orderkey", "left").withColumn("records", F.coalesce("records", F.array().cast(records.schema["records"].dataType)))
+
+    def record(i):
+        """The record of a line item; made behind the shuffle, which its few columns pass more cheaply."""
+        q, x, y = i["q"], (i["l_partkey"] % 985).cast("double"), ((i["l_partkey"] * 7) % 1000).cast("double")
+        ls = F.when(q % 9 == 0, F.array().cast("array<int>")).otherwise(F.array(q % 8, (q % 8 + i["l_partkey"] % 3).cast("int")))
+        return F.struct(ls.alias("lines"), F.array(x, y, x + 20, y + i["l_suppkey"] % 4 * 20).alias("box"), attrs.alias("attrs"))
+
+    items = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("stem")).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("items"))
+    records = items.select("stem", F.transform("items", record).alias("records"))
+    orders = t("orders").withColumn("stem", k.cast("string")).join(records, "stem", "left").withColumn("records", F.coalesce("records", F.array().cast(records.schema["records"].dataType)))
     results = orders.select(
-        k.cast("string").alias("stem"), F.lit(validation.KIND).alias("kind"), F.lit("0.1.0").alias("schema_version"), F.lit("p").alias("profile_id"), F.get(F.array(*map(F.lit, (*validation.CHAIN, "odd"))), (k % 5).cast("int")).alias("tier"),
+        "stem", F.lit(validation.KIND).alias("kind"), F.lit("0.1.0").alias("schema_version"), F.lit("p").alias("profile_id"), F.get(F.array(*map(F.lit, (*validation.CHAIN, "odd"))), (k % 5).cast("int")).alias("tier"),
         F.lit("").alias("text_stream"), F.lit(None).cast("array<string>").alias("chain"), F.array(F.struct(tier(k % 4).alias("tier"), (k % 3 == 0).alias("ok")), F.struct(tier(F.floor(k / 4) % 4).alias("tier"), (k % 2 == 0).alias("ok"))).alias("trace"),
         F.struct(F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("covered"), F.when(k % 4 == 0, "page_fallback").when(k % 4 == 1, "family_params").when(k % 4 == 2, "guess").alias("policy")).alias("layout"),
         F.struct(F.lit(1000.0).alias("w"), F.when(k % 49 > 0, 950.0 + k % 5 * 25).alias("h")).alias("page"), "records", F.array().cast("array<struct<text:string,reason:string>>").alias("unassigned"),
     )
-    stems = orders.select(k.cast("string").alias("stem"), k.alias("k"))
+    stems = t("orders").select(k.cast("string").alias("stem"), k.alias("k"))
     lines = stems.where("k % 13 > 0").select("stem", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("at"), F.lit("x").alias("text"))
     sizes = stems.where("k % 7 > 0").select("stem", F.lit(1000.0).alias("w"), F.lit(1000.0).alias("h"))
     areas = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(role).alias("role")) for i, lo, hi, role in ((0, 0.0, 0.2, "unannotated_top"), (1, 0.2, 0.7, "body"), (2, 0.7, 1.0, "foot"))))

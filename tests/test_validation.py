@@ -140,3 +140,12 @@ def test_random_results_against_plain_loops(spark, seed):
         got[f.stem][f.code] += f.n
     for s, c in want.items():
         assert {k: got[s][k] for k in c if got[s][k]} == {k: n for k, n in c.items() if n}, s
+
+
+def test_each_table_is_read_once_for_all_checks(spark):
+    rows = [result("twice", records=changed(1, lines=[1, 1, 2, 3, 7, -1])), result("none", records=[]), result("broken", kind="other", records=changed(1, lines=[1]))]
+    found = V.findings(*tables(spark, rows, ["twice", "none", "broken"]))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4
+    got = {(f.stem, f.code, f.record): f.n for f in found.collect()}
+    assert got["twice", "line_reused", 1] == 2 and got["twice", "record_overlap", 0] == 1 and got["none", "silent_gap", None] > 0
+    assert [k for k in got if k[0] == "broken"] == [("broken", "schema", None)]
