@@ -18,7 +18,7 @@ leave a task.
 
 from __future__ import annotations
 
-import difflib
+import bisect
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -177,10 +177,52 @@ class Line:
         return np.repeat(first, total) + np.where(at < np.repeat(inner, total), at * step, np.repeat(sizes - w, total))
 
 
+def matching_blocks(a: str, b: str) -> int:
+    """Characters in the matching blocks of difflib's SequenceMatcher(None, a, b), which this equals. Only characters of a that can begin a block are walked, where it walks all of a stretch for each block."""
+    at: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        at.setdefault(c, []).append(j)
+    if len(b) >= 200:  # as there: characters that are frequent in b begin no block
+        at = {c: js for c, js in at.items() if len(js) <= len(b) // 100 + 1}
+    seeds = [i for i, c in enumerate(a) if c in at]
+    total, queue = 0, [(0, len(a), 0, len(b))]
+    while queue:
+        alo, ahi, blo, bhi = queue.pop()
+        i0, j0, size, former, ends = alo, blo, 0, -2, {}
+        for i in seeds[bisect.bisect_left(seeds, alo) : bisect.bisect_left(seeds, ahi)]:
+            if i != former + 1:
+                ends = {}
+            former, new = i, {}
+            for j in at[a[i]]:
+                if j < blo:
+                    continue
+                if j >= bhi:
+                    break
+                k = new[j] = ends.get(j - 1, 0) + 1
+                if k > size:
+                    i0, j0, size = i - k + 1, j - k + 1, k
+            ends = new
+        while i0 > alo and j0 > blo and a[i0 - 1] == b[j0 - 1]:
+            i0, j0, size = i0 - 1, j0 - 1, size + 1
+        while i0 + size < ahi and j0 + size < bhi and a[i0 + size] == b[j0 + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < i0 and blo < j0:
+                queue.append((alo, i0, blo, j0))
+            if i0 + size < ahi and j0 + size < bhi:
+                queue.append((i0 + size, ahi, j0 + size, bhi))
+    return total
+
+
 def ratio(quote: str, window: str, least: float = 0.0) -> float:
     """The ratio of matching blocks; 0 where its bounds from above already stay under `least`."""
-    m = difflib.SequenceMatcher(None, quote, window)
-    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+    both = len(quote) + len(window)
+    if not both:
+        return 1.0
+    if 2.0 * min(len(quote), len(window)) / both < least or 2.0 * sum(min(quote.count(c), window.count(c)) for c in set(quote)) / both < least:
+        return 0.0
+    return 2.0 * matching_blocks(quote, window) / both
 
 
 def near_hits(block: Block, texts: list[str], held: list[set[int]]) -> Iterator[tuple[int, int, float]]:
@@ -310,6 +352,9 @@ def verify_answers(answers: DataFrame, least: float = LEAST, stretch: float = ST
     kind = answers.schema["answer_id"].dataType.simpleString()
     clean = F.transform(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: F.struct(F.coalesce(q, F.lit("")).alias("quote"), F.coalesce(T.strip_card_note(q), F.lit("")).alias("clean_quote")))
     ready = answers.select("answer_id", clean.alias("claims"), F.transform(clean, lambda c: T.normal_retrieval(c["clean_quote"])).alias("q"), T.normal_retrieval(F.col("text")).alias("t"))
+    # answers are small rows and much work: adaptive execution would put them into few parts by their bytes
+    spark = answers.sparkSession
+    ready = ready.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     item = pa.struct([("matched", pa.bool_()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,6 +108,17 @@ def test_windows_of_many_quotes_and_texts_are_compared_at_once(monkeypatch):
         assert max(calls) <= most and len(calls) <= len(block.groups) + sum(calls) / most
 
 
+def test_matching_blocks_equal_those_of_difflib():
+    r = random.Random(3)
+    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "aaaabcdeéfgh 中文字典"):
+        for _ in range(150):
+            a = "".join(r.choice(alphabet) for _ in range(r.randrange(260)))
+            b = edited(r, a, r.choice(("change", "drop", "add")), r.randrange(2, 30)) if r.random() < 0.5 else "".join(r.choice(alphabet) for _ in range(r.choice((5, 150, 199, 200, 320))))
+            want = difflib.SequenceMatcher(None, a, b)
+            assert quotes.matching_blocks(a, b) == sum(m.size for m in want.get_matching_blocks()), (a, b)
+            assert quotes.ratio(a, b) == want.ratio() and quotes.ratio(a, b, 0.6) == (want.ratio() if want.quick_ratio() >= 0.6 else 0.0)
+
+
 def test_answers(spark):
     rows = [(1, ["alpha beta gamma delta [unit_3]", "alpha beta 参考 [gold_1]. ", "nothing like it", None], "say: Alpha; alpha beta gamma delta!"), (2, [], "x"), (3, None, None)]
     got = {r.answer_id: r for r in quotes.verify_answers(spark.createDataFrame(rows, "answer_id int, quotes array<string>, text string")).collect()}
@@ -152,3 +163,8 @@ def test_rankings_equal_scores_of_every_pair(spark, monkeypatch):
             got = [(x.ord, round(x.raw, 6)) for x in sorted((x for x in found if x.kind == kind and x.query_id == k), key=lambda x: x.rank)]
             assert got == want[kind][k], (kind, k)
     assert retrieval.hybrid(q.limit(0), c).count() == 0 and retrieval.bm25(q, c.limit(0)).count() == 0
+
+
+def test_answers_are_dealt_over_all_cores(spark):
+    rows = spark.createDataFrame([(1, ["a"], "a")], "answer_id int, quotes array<string>, text string")
+    assert "REPARTITION_BY_NUM" in quotes.verify_answers(rows)._jdf.queryExecution().executedPlan().toString()
