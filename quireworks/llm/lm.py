@@ -11,7 +11,8 @@ Class bigrams are counted at last with all words in their places. Only words tha
 text holds go by their ending. A text's probability is the product over its tokens of
 P(class | class before) and P(word | class), both smoothed.
 
-Tokens: words of bytes other than white space (space, \\t to \\r) with A-Z lower-cased, then one end token.
+Tokens: words of bytes other than white space (space, \\t to \\r) with A-Z lower-cased, then one end token. A batch's texts
+are cut and coded by Arrow, each different word of a lot is looked up once, and arrays do the rest.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as empty text in the fold;
 repeated rows are scored each; with no training text all counts are 0; an empty table gives an empty
@@ -22,13 +23,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,32 +43,98 @@ ENDING_WEIGHT = 1.0
 SWEEPS, MOVE_COST = 0, 8.0
 #: Distinct words, and words with their contexts, a task gathers before it hands them on.
 FLUSH_WORDS, FLUSH_CONTEXTS = 300_000, 2_000_000
+#: Rows of words, and bytes of texts, that a task works on at once; batches of Arrow are smaller.
+WORDS_AT_ONCE, TEXT_AT_ONCE = 8_192, 4 << 20
 FOLDS, HELD_OUT = 5, 1
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """bytes.lower and bytes.split touch A-Z and ASCII white space only."""
-    return text.lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts, for each token its word's place among them, and each text's number of tokens. Arrow's kernels touch A-Z and ASCII white space only."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    flat, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.greater(pc.binary_length(flat), 0)  # white space at a text's edge leaves empty words
+    if not pc.all(filled, min_count=0).as_py():
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[filled.to_numpy(zero_copy_only=False)], minlength=len(lengths))
+        flat = flat.filter(filled)
+    coded = flat.view(pa.binary()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), lengths
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a binary column's values, from 0 on, and their joined bytes."""
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, ends, raw = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return ends - ends[0], np.frombuffer(raw or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def binary_column(ends: np.ndarray, raw: bytes) -> pa.Array:
+    """Values of raw between ends (from 0 on)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def same_words(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The different words of parts, and the place among them of each word of all parts."""
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
 
 
 def ending_unit(word: bytes) -> int:
     return 1 + WORD_UNITS + zlib.crc32(word[-3:]) % ENDING_UNITS
 
 
+_CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)  # steps of a crc32 by a byte
+
+
+def ending_units(words: pa.Array) -> np.ndarray:
+    """ending_unit of each word."""
+    ends, raw = binary_parts(words)
+    lengths, crc = np.diff(ends), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        at = np.flatnonzero(lengths >= k)
+        crc[at] = _CRC[(crc[at] ^ raw[ends[1:][at] - k]) & 0xFF] ^ (crc[at] >> 8)
+    return (1 + WORD_UNITS + (crc ^ np.uint32(0xFFFFFFFF)) % ENDING_UNITS).astype(np.int32)
+
+
+def in_lots(batches: Iterable[pa.RecordBatch], rows: int | None = None, size: int = TEXT_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `rows` rows or `size` bytes."""
+    held, n, n_bytes = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, n_bytes = n + len(batch), n_bytes + batch.nbytes
+        if n_bytes >= size or (rows and n >= rows):
+            yield pa.concat_batches(held)
+            held, n, n_bytes = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """word, c over all rows of train(text), pre-added in each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > FLUSH_WORDS:
-                    yield emit()
-                    seen.clear()
-        if seen:
-            yield emit()
+        parts, counts, held = [], [], 0
+
+        def merged() -> tuple[pa.Array, np.ndarray]:
+            words, of = same_words(parts)
+            return words, np.bincount(of, np.concatenate(counts), len(words)).astype(np.int64)
+
+        for batch in in_lots(batches):
+            words, at, _ = words_of(batch.column("text"))
+            parts.append(words)
+            counts.append(np.bincount(at, minlength=len(words)))
+            held += len(words)
+            if held > 2 * FLUSH_WORDS:
+                words, c = merged()
+                parts, counts, held = [words], [c], len(words)
+                if held > FLUSH_WORDS:
+                    yield pa.RecordBatch.from_arrays([words, pa.array(c)], ["word", "c"])
+                    parts, counts, held = [], [], 0
+        if held:
+            words, c = merged()
+            yield pa.RecordBatch.from_arrays([words, pa.array(c)], ["word", "c"])
 
     return train.mapInArrow(gives_back(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -78,17 +143,17 @@ class Lexicon:
     """What each task needs of the frequent words: position, unit and log10(count + 0.5)."""
 
     def __init__(self, words: list[bytes], counts: list[int]):
-        self.at = {w: k for k, w in enumerate(words)}
-        self.unit = np.array([1 + k if k < WORD_UNITS else ending_unit(w) for k, w in enumerate(words)], dtype=np.int32)
+        self.words = pa.array(words, pa.binary())
+        self.unit = ending_units(self.words)
+        self.unit[:WORD_UNITS] = 1 + np.arange(len(self.unit[:WORD_UNITS]))
         self.log_count = np.log10(np.array(counts, dtype=np.float64) + 0.5)
 
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Positions (-1: not frequent) and units of words."""
-        get = self.at.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        unit = self.unit[at] if len(self.unit) else np.zeros(len(words), np.int32)
-        for k in np.flatnonzero(at < 0).tolist():
-            unit[k] = ending_unit(words[k])
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        unit = ending_units(words)
+        known = np.flatnonzero(at >= 0)
+        unit[known] = self.unit[at[known]]
         return at, unit
 
 
@@ -98,11 +163,10 @@ def count_bigrams(train: DataFrame, lexicon) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            _, unit = lexicon.value.units(list(chain.from_iterable(texts)))
-            ends = np.cumsum([0] + [len(t) for t in texts])
-            whole = np.concatenate([[0], np.insert(unit, ends[1:], 0)]).astype(np.int64)  # an end after each text
+        for batch in in_lots(batches):
+            words, at, lengths = words_of(batch.column("text"))
+            unit = lexicon.value.units(words)[1][at]
+            whole = np.concatenate([[0], np.insert(unit, np.cumsum(lengths), 0)]).astype(np.int64)  # an end after each text
             total += np.bincount(whole[:-1] * size + whole[1:], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at], pa.int64())], ["prev", "next", "n"])
@@ -164,14 +228,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> n
 _CONTEXT = np.dtype([("code", np.uint8), ("n", np.uint32)])
 
 
-class _Numbers(dict):
-    """Words numbered as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def count_contexts(train: DataFrame, lexicon, model, head_class=None) -> DataFrame:
     """word, contexts (packed codes and counts): code c for class c before the word, CLASSES + c for class c after it. Pre-added in each task.
 
@@ -181,51 +237,72 @@ def count_contexts(train: DataFrame, lexicon, model, head_class=None) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.value.of
-        number, home, mine, gathered, held = _Numbers(), np.zeros(0, np.int64), np.zeros(0, bool), [], 0
+        parts, gathered, n_words, held = [], [], 0, 0
 
         def emit() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(gathered), return_counts=True)
+            words, place = same_words(parts)
+            found = np.concatenate(gathered)
+            keys, n = np.unique(place[found // (2 * CLASSES)].astype(np.int64) * (2 * CLASSES) + found % (2 * CLASSES), return_counts=True)
             owner = keys // (2 * CLASSES)
             packed = np.empty(len(keys), _CONTEXT)
             packed["code"], packed["n"] = keys % (2 * CLASSES), n
             begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            raw, ends = packed.tobytes(), np.r_[begin[1:], len(keys)] * _CONTEXT.itemsize
-            words = list(number)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([words[k] for k in owner[begin].tolist()], pa.binary()), pa.array([raw[s:e] for s, e in zip((begin * _CONTEXT.itemsize).tolist(), ends.tolist())], pa.binary())], ["word", "contexts"]
-            )
+            return pa.RecordBatch.from_arrays([words.take(pa.array(owner[begin])), binary_column(np.r_[begin, len(keys)] * _CONTEXT.itemsize, packed.tobytes())], ["word", "contexts"])
 
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            flat = list(chain.from_iterable(texts))
-            at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-            if len(number) > len(home):
-                at_head, unit = lexicon.value.units(list(number)[len(home) :])
-                classes = of[unit] if head_class is None or not len(head_class.value) else np.where(at_head >= 0, head_class.value[at_head], of[unit])
-                home, mine = np.concatenate([home, classes]), np.concatenate([mine, (unit > WORD_UNITS) | (head_class is not None)])
-            ends = np.cumsum([len(t) for t in texts])
+        for batch in in_lots(batches):
+            words, at, lengths = words_of(batch.column("text"))
+            at_head, unit = lexicon.value.units(words)
+            home = of[unit] if head_class is None or not len(head_class.value) else np.where(at_head >= 0, head_class.value[at_head], of[unit])
+            mine = (unit > WORD_UNITS) | (head_class is not None)
+            ends = np.cumsum(lengths)
             whole = np.concatenate([[-1], np.insert(at, ends, -1)])  # -1: the end, before the first word too
             cls = np.where(whole >= 0, home[whole] if len(home) else of[0], of[0])
             own = np.flatnonzero((whole >= 0) & mine[whole]) if len(mine) else np.zeros(0, np.int64)
             if len(own):
-                gathered += [whole[own] * (2 * CLASSES) + cls[own - 1], whole[own] * (2 * CLASSES) + CLASSES + cls[own + 1]]
+                first = (whole[own] + n_words) * (2 * CLASSES)
+                gathered += [first + cls[own - 1], first + CLASSES + cls[own + 1]]
                 held += 2 * len(own)
-            if held > FLUSH_CONTEXTS or len(number) > FLUSH_WORDS:
-                if held:
-                    yield emit()
-                number, home, mine, gathered, held = _Numbers(), np.zeros(0, np.int64), np.zeros(0, bool), [], 0
+                parts.append(words)
+                n_words += len(words)
+            if held > FLUSH_CONTEXTS or n_words > 4 * FLUSH_WORDS:
+                yield emit()
+                parts, gathered, n_words, held = [], [], 0, 0
         if held:
             yield emit()
 
     return train.mapInArrow(gives_back(run), "word binary, contexts binary")
 
 
-def _seen(parts: list[list[bytes]]) -> np.ndarray:
-    """Contexts of each word as a row of counts by code."""
-    joined = [b"".join(p) for p in parts]
-    own = np.frombuffer(b"".join(joined), _CONTEXT)
-    row = np.repeat(np.arange(len(parts)), np.fromiter(map(len, joined), np.int64, len(parts)) // _CONTEXT.itemsize)
-    return np.bincount(row * (2 * CLASSES) + own["code"], own["n"], len(parts) * 2 * CLASSES).reshape(len(parts), 2 * CLASSES)
+def _seen(contexts: pa.Array, owner: np.ndarray, n: int) -> np.ndarray:
+    """Packed contexts of each of n owners as a row of counts by code."""
+    ends, raw = binary_parts(contexts)
+    own = np.frombuffer(raw.tobytes(), _CONTEXT)
+    row = np.repeat(owner, np.diff(ends) // _CONTEXT.itemsize)
+    return np.bincount(row * (2 * CLASSES) + own["code"], own["n"], n * 2 * CLASSES).reshape(n, 2 * CLASSES)
+
+
+def _of_lists(parts: pa.Array) -> np.ndarray:
+    """Rows of counts of a column of lists."""
+    return _seen(parts.flatten(), np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False)), len(parts))
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Lots of sorted rows, and where in them each new key begins; no key's rows are in two lots."""
+
+    def begins(rows: pa.RecordBatch) -> np.ndarray:
+        column = rows.column(key)
+        return np.flatnonzero(np.r_[True, pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)])
+
+    last = None
+    for batch in in_lots(batches, WORDS_AT_ONCE):
+        rows = batch if last is None else pa.concat_batches([last, batch])
+        if len(rows):
+            begin = begins(rows)
+            last = rows.slice(begin[-1])
+            if len(begin) > 1:
+                yield rows.slice(0, begin[-1]), begin[:-1]
+    if last is not None:
+        yield last, begins(last)
 
 
 def exchange_words(train: DataFrame, words: DataFrame, lexicon, model, head_class, ending_contexts: np.ndarray, end: int, n_texts: int) -> DataFrame:
@@ -236,8 +313,8 @@ def exchange_words(train: DataFrame, words: DataFrame, lexicon, model, head_clas
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CLASSES, CLASSES))
-        for batch in batches:
-            seen, cls = _seen(batch.column("parts").to_pylist()), batch.column("cls").to_numpy()
+        for batch in in_lots(batches, WORDS_AT_ONCE):
+            seen, cls = _of_lists(batch.column("parts")), batch.column("cls").to_numpy()
             np.add.at(total[0].T, cls, seen[:, :CLASSES])
             np.add.at(total[1], cls, seen[:, CLASSES:])
         at = np.flatnonzero(total)
@@ -260,9 +337,9 @@ def exchange_words(train: DataFrame, words: DataFrame, lexicon, model, head_clas
         m = shared.value
         gain = np.concatenate([m.transition, m.transition.T])
         prior = ENDING_WEIGHT * (ending_contexts @ gain - ending_contexts.sum(axis=1, keepdims=True) / 2 * m.denominator)
-        for batch in batches:
-            seen, old = _seen(batch.column("parts").to_pylist()), batch.column("cls").to_numpy()
-            ending = np.fromiter(map(ending_unit, batch.column("word").to_pylist()), np.int64, len(old)) - 1 - WORD_UNITS
+        for batch in in_lots(batches, WORDS_AT_ONCE):
+            seen, old = _of_lists(batch.column("parts")), batch.column("cls").to_numpy()
+            ending = ending_units(batch.column("word")) - 1 - WORD_UNITS
             score = seen @ gain - seen[:, :CLASSES].sum(axis=1)[:, None] * m.denominator + prior[ending]
             best = score.argmax(axis=1)
             stays = score[np.arange(len(old)), best] <= score[np.arange(len(old)), old] + MOVE_COST
@@ -278,14 +355,15 @@ def place_words(contexts: DataFrame, model, ending_contexts: np.ndarray) -> Data
         m = model.value
         gain = np.concatenate([m.transition, m.transition.T])  # by code, for each class
         prior = ENDING_WEIGHT * (ending_contexts @ gain - ending_contexts.sum(axis=1, keepdims=True) / 2 * m.denominator)
-        for batch in batches:
-            words, seen = batch.column("word").to_pylist(), _seen(batch.column("parts").to_pylist())
+        for rows, begin in whole_runs(batches, "word"):
+            words = rows.column("word").take(pa.array(begin))
+            seen = _seen(rows.column("contexts"), np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(rows)])), len(begin))
             c = seen[:, :CLASSES].sum(axis=1)
-            ending = np.fromiter(map(ending_unit, words), np.int64, len(words)) - 1 - WORD_UNITS
-            cls = (seen @ gain - c[:, None] * m.denominator + prior[ending]).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.astype(np.int64)), pa.array(cls, pa.int32())], ["word", "c", "cls"])
+            cls = (seen @ gain - c[:, None] * m.denominator + prior[ending_units(words) - 1 - WORD_UNITS]).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([words, pa.array(c.astype(np.int64)), pa.array(cls, pa.int32())], ["word", "c", "cls"])
 
-    return contexts.groupBy("word").agg(F.collect_list("contexts").alias("parts")).mapInArrow(gives_back(run), "word binary, c bigint, cls int")
+    # a row a word and task: sorted once, where a list a word would be sorted before and after the shuffle
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(gives_back(run), "word binary, c bigint, cls int")
 
 
 def count_classes(classes: DataFrame, end: int) -> np.ndarray:
@@ -351,19 +429,16 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     found = count_bigrams(train, lexicon).toArrow()  # at most size * size rows
     bigrams[found["prev"].to_numpy(), found["next"].to_numpy()] = found["n"].to_numpy()
 
-    def unit_types(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, kinds = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for frame in frames:
-            _, unit = lexicon.value.units([bytes(w) for w in frame["word"]])
-            tokens += np.bincount(unit, frame["c"], size).astype(np.int64)
-            kinds += np.bincount(unit, minlength=size)
-        at = np.flatnonzero(kinds)
-        yield pd.DataFrame({"unit": at, "tokens": tokens[at], "types": kinds[at]})
-
+    # tokens and word types of each unit: all words by their endings, less those that are units themselves
+    own = list(zip(head["word"][:WORD_UNITS].to_pylist(), head["c"][:WORD_UNITS].to_pylist()))
     per_unit = np.zeros((2, size))
     per_unit[:, 0] = n_texts, n_texts > 0
-    for r in counts.mapInPandas(unit_types, "unit int, tokens long, types long").groupBy("unit").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():
+    ending = (F.crc32(F.substring("word", -3, 3)) % ENDING_UNITS + 1 + WORD_UNITS).alias("unit")
+    for r in counts.groupBy(ending).agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
         per_unit[:, r.unit] = r.tokens, r.types
+    for k, (w, c) in enumerate(own):
+        per_unit[:, 1 + k] = c, 1
+        per_unit[:, ending_unit(w)] -= c, 1
     first = ClassModel(bigrams, *per_unit)
     model = sc.broadcast(first)
     base_floor = math.log10(total + 0.5 * (distinct + 1))
@@ -374,7 +449,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     around = np.concatenate([bigrams.T @ member, bigrams @ member], axis=1)[1 + WORD_UNITS :]
     around /= np.maximum(around[:, :CLASSES].sum(axis=1, keepdims=True), 1)
     own_units = spark.createDataFrame(
-        [(bytearray(w.as_py()), c.as_py(), int(first.of[1 + k])) for k, (w, c) in enumerate(zip(head["word"][:WORD_UNITS], head["c"][:WORD_UNITS]))], "word binary, c bigint, cls int"
+        [(bytearray(w), c, int(first.of[1 + k])) for k, (w, c) in enumerate(own)], "word binary, c bigint, cls int"
     )
     words = durable(place_words(count_contexts(train, lexicon, model), model, around).unionByName(own_units), "word-classes")
     end_class = int(first.of[0])
@@ -391,34 +466,34 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
 
     def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, of, classes_of = lexicon.value, model.value.of, head_class.value
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            flat = list(chain.from_iterable(texts))
-            at, unit = lex.units(flat)
-            lengths = np.array([len(t) for t in texts], dtype=np.int64)
-            doc = np.repeat(np.arange(len(texts)), lengths)
-            logs = np.where(at >= 0, lex.log_count[at] if len(lex.log_count) else 0.0, 0.0)
-            known = np.bincount(doc[at >= 0], minlength=len(texts)) + (n_texts > 0)
-            log_sum = np.bincount(doc, logs, len(texts)) + end_log
+        for batch in in_lots(batches):
+            words, token, lengths = words_of(batch.column("text"))
+            word_at, word_unit = lex.units(words)
+            n_docs, at, by_ending = len(lengths), word_at[token], of[word_unit]
+            doc = np.repeat(np.arange(n_docs), lengths)
+            logs = np.where(word_at >= 0, lex.log_count[word_at] if len(lex.log_count) else 0.0, 0.0)[token]
+            known = np.bincount(doc[at >= 0], minlength=n_docs) + (n_texts > 0)
+            log_sum = np.bincount(doc, logs, n_docs) + end_log
             ends = np.cumsum(lengths)
-            cls = np.where(at >= 0, classes_of[at] if len(classes_of) else 0, of[unit]).astype(np.uint8)
+            cls = np.where(word_at >= 0, classes_of[word_at] if len(classes_of) else 0, by_ending).astype(np.uint8)[token]
             raw = np.insert(cls, ends, end_class).tobytes()  # an end after each text
-            stop = (ends + np.arange(1, len(texts) + 1)).tolist()
             rows = batch.column("row")
             none = lambda n, t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column("doc_id"), batch.column("held_out"), none(len(texts), pa.binary()), none(len(texts), pa.binary()), none(len(texts), pa.int32()), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(log_sum), pa.array([raw[s:e] for s, e in zip([0, *stop], stop)], pa.binary())],
+                [rows, batch.column("doc_id"), batch.column("held_out"), none(n_docs, pa.binary()), none(n_docs, pa.binary()), none(n_docs, pa.int32()), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(log_sum), binary_column(np.r_[0, ends + np.arange(1, n_docs + 1)], raw)],
                 names,
             )
             rare = np.flatnonzero(at < 0)
             if len(rare):
-                number, place = rows.to_numpy(zero_copy_only=False), np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
-                pairs: dict[tuple[int, bytes], list[int]] = {}
-                for r, k, p in zip(number[doc[rare]].tolist(), rare.tolist(), place[rare].tolist()):
-                    pairs.setdefault((r, flat[k]), []).append(p)
-                n = len(pairs)
+                # each rare word of a text, with its places there
+                key = doc[rare] * len(words) + token[rare]
+                order = np.argsort(key, kind="stable")
+                key, place = key[order], (rare - (ends - lengths)[doc[rare]])[order].astype(np.uint32)
+                begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                bounds, n = np.r_[begin, len(key)], len(begin)
+                owner, word = np.divmod(key[begin], len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pairs], pa.int64()), none(n, batch.column("doc_id").type), none(n, pa.bool_()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([np.array(p, np.uint32).tobytes() for p in pairs.values()], pa.binary()), pa.array([int(of[ending_unit(p[1])]) for p in pairs], pa.int32()), pa.array(list(map(len, pairs.values())), pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.binary())],
+                    [rows.take(pa.array(owner)), none(n, batch.column("doc_id").type), none(n, pa.bool_()), words.take(pa.array(word)), binary_column(bounds * place.itemsize, place.tobytes()), pa.array(by_ending[word], pa.int32()), pa.array(np.diff(bounds)), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.binary())],
                     names,
                 )
 
@@ -436,15 +511,15 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw, moved in zip(batch.column("classes").to_pylist(), batch.column("moved").to_pylist()):
-                if moved:
-                    cls = np.frombuffer(raw, np.uint8).copy()
-                    at = [np.frombuffer(x["places"], np.uint32) for x in moved]
-                    cls[np.concatenate(at)] = np.repeat(np.array([x["cls"] for x in moved], np.uint8), list(map(len, at)))
-                    raw = cls.tobytes()
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "classes"])
+            ends, raw = binary_parts(batch.column("classes"))
+            moved, cls = batch.column("moved"), raw.copy()
+            found = moved.flatten()
+            if len(found):
+                word_ends, places = binary_parts(pc.struct_field(found, "places"))
+                each = np.diff(word_ends) // 4
+                begin = np.repeat(ends[:-1], pc.fill_null(pc.list_value_length(moved), 0).to_numpy(zero_copy_only=False))
+                cls[np.repeat(begin, each) + np.frombuffer(places.tobytes(), np.uint32)] = np.repeat(pc.struct_field(found, "cls").to_numpy(zero_copy_only=False).astype(np.uint8), each)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), binary_column(ends, cls.tobytes())], [*kept, "classes"])
 
     kept = ["doc_id", "held_out", "n", "known", "logs"]
     whole = tagged.where("word is null").select("row", "doc_id", "held_out", "n", "known", "log_sum", "classes").join(rare, "row", "left").select(
