@@ -71,6 +71,16 @@ def test_a_hot_passage_with_many_edges(spark):
     assert result(repeats.digests(frame(spark, rows), 40, 20, 16)) == plain(list(enumerate(rows)), 40)
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    r = random.Random(50)
+    say = lambda words: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(words))
+    long, short = say(58), say(56)  # 405 and 391 bytes, and a space at either end
+    rows = [f"{say(80)}{m} {passage} {m}{say(40)}" for passage in (long, short) for m in "AB"] + [say(300) for _ in range(20)]
+    got = result(repeats.digests(frame(spark, rows)))
+    assert [(n_bytes, n_removed) for _, n_bytes, n_removed, _, _ in got] == [(len(t), len(long) + 2 if k < 2 else 0) for k, t in enumerate(rows)]
+    assert got == plain(list(enumerate(rows)), 400)
+
+
 @pytest.mark.parametrize("depth, shallow", [(40, 32), (40, 8), (24, 0), (9, 32), (5, 32)])
 def test_deep_shallow_sorts_like_a_plain_sort(depth, shallow):
     r = random.Random(depth)
