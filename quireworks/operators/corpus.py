@@ -71,6 +71,15 @@ def _speller(size: int, names: list[str]):
     return spell
 
 
+def _stretches(chars: np.ndarray, size: int) -> np.ndarray:
+    """A code for each stretch of `size` characters (BASE at most), equal for equal stretches only."""
+    last = max(0, len(chars) - size + 1)
+    out = chars[:last]
+    for k in range(1, size):
+        out = (out << 21) | chars[k : k + last]
+    return out
+
+
 def _pairs(at: np.ndarray, apart: int, n: int) -> np.ndarray:
     """Codes of stretches of which all shorter ones are frequent, from their places among n frequent ones; else -1."""
     size = max(0, len(at) - apart)
@@ -82,7 +91,7 @@ def _pairs(at: np.ndarray, apart: int, n: int) -> np.ndarray:
 
 def _places(chars: np.ndarray, chain: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Of each stretch of a text its place among the longest frequent grams, -1 for others."""
-    at, before = quotes.grams(chars, chain[0][0]), None
+    at, before = _stretches(chars, chain[0][0]), None
     for size, known in chain:
         coded = at if before is None else _pairs(at, size - before[0], len(before[1]))
         place = np.minimum(np.searchsorted(known, coded), max(0, len(known) - 1))
@@ -96,7 +105,7 @@ def _counted(lengths: range, held):
     def of(text: str) -> np.ndarray:
         chars, chain = quotes.codes(text), held.value
         if not chain:
-            return np.unique(quotes.grams(chars, lengths[0]))
+            return np.unique(_stretches(chars, lengths[0]))
         at, (size, known) = _places(chars, chain), chain[-1]
         found = np.unique(np.concatenate([_pairs(at, n - size, len(known)) for n in lengths]))
         return found[found >= 0]

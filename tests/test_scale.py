@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireworks.functions import geometry as G
-from quireworks.operators import checks, corpus, evaluation, retrieval
+from quireworks.operators import checks, corpus, evaluation, quotes, retrieval
 from quireworks.plans import bands
 
 
@@ -81,6 +81,14 @@ def test_grams_that_are_rare_make_no_rows(spark):
     assert ("token", 3000) in {tuple(r) for r in got}
 
 
+def test_stretches_of_characters_have_their_own_codes():
+    chars = quotes.codes("aba\U0010ffff\U0010ffff\U0010ffffab")
+    for size in (1, 2, 3):
+        got = corpus._stretches(chars, size).tolist()
+        assert [corpus._characters(size)(c) for c in got] == ["aba\U0010ffff\U0010ffff\U0010ffffab"[k : k + size] for k in range(9 - size)] and min(got) >= 0
+    assert all(len(corpus._stretches(quotes.codes(t), 3)) == 0 for t in ("", "a", "ab"))
+
+
 def test_texts_are_held_by_groups():
     batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
     got = list(retrieval.groups([batch, batch.slice(0, 0)]))
