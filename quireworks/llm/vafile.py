@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from quireworks.llm.common import durable, gives_back, small_batches
 
-#: Vectors of a block, queries of a block, bits of a cell, and vector blocks that a lane searches; vectors that a query reads first, by k.
-BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS, LANE_BLOCKS, FIRST_READ = 4096, 512, 6, 4, 2
+#: Vectors of a block, queries of a block, and bits of a cell; vectors that a query reads first, by k.
+BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS, FIRST_READ = 4096, 512, 6, 2
+#: Vector blocks of a lane and query blocks of a part, so many lanes a core where there are as many blocks, and query blocks whose bounds a task holds.
+LANE_BLOCKS, PART_BLOCKS, CORE_LANES, HELD_BLOCKS = 16, 80, 16, 1024
 #: Largest size of a component; the square of it times any usual length stays below 10 ** 38.
 LARGEST = 2**56
 
@@ -90,34 +92,47 @@ def query_blocks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (row, ids, reach), exact in _batches(batches, ["row", "vec_id", "reach"], BLOCK_QUERIES):
-            raw = [[x.tobytes()] for x in (row, ids.astype(np.int64), reach.astype(np.float64), exact)]
-            yield pa.RecordBatch.from_arrays([pa.array([exact.shape[1]], pa.int32()), *(pa.array(x, pa.binary()) for x in raw)], ["width", "query_rows", "query_ids", "reach", "queries"])
+            kind = np.int16 if np.abs(exact).max(initial=0) < 1 << 15 else np.int64
+            raw = [[x.tobytes()] for x in (row, ids.astype(np.int64), reach.astype(np.float64), exact.astype(kind))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(row[0])]), pa.array([exact.shape[1]], pa.int32()), *(pa.array(x, pa.binary()) for x in raw)], ["query_block", "width", "query_rows", "query_ids", "reach", "queries"])
 
-    return rows.select("row", "vec_id", "reach", "ints").mapInArrow(gives_back(run), "width int, query_rows binary, query_ids binary, reach binary, queries binary")
+    return rows.select("row", "vec_id", "reach", "ints").mapInArrow(gives_back(run), "query_block long, width int, query_rows binary, query_ids binary, reach binary, queries binary")
 
 
-def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest product of each query with each cell vector, widened by what doubles may round."""
+def bound(q: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray, upper: bool) -> np.ndarray:
+    """Least or greatest product of each query with each cell vector, widened by what doubles may round."""
     q, side = q.astype(np.float64), step - 1.0
     floor = cells.astype(np.float64) * step + low
-    base = q @ floor.T
     rounded = np.abs(q) @ np.maximum(np.abs(low), np.abs(low + step.astype(np.float64) * 2**CELL_BITS)) * 1e-12
-    return base + (np.minimum(q, 0) @ side - rounded)[:, None], base + (np.maximum(q, 0) @ side + rounded)[:, None]
+    out = q @ floor.T
+    out += (np.maximum(q, 0) @ side + rounded if upper else np.minimum(q, 0) @ side - rounded)[:, None]
+    return out
 
 
-def _meet(index: DataFrame, queries: DataFrame, lanes: int, found, schema: str) -> DataFrame:
-    """found(query rows, vector rows, other members than the query's id?, lower, upper, reach) over every pair of a query block and a vector block of one length. Query blocks go to every lane, a vector block to one."""
-    laned = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
-    pairs = laned.join(query_blocks(queries).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), ["lane", "width"])
+def _meet(index: DataFrame, queries: DataFrame, lanes: int, parts: int, upper: bool, found, schema: str) -> DataFrame:
+    """found(pairs), in each task over its pairs of a query block and a vector block of one length: query rows, vector rows, other members than the query's id?, the upper or the lower bounds, reach.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A query block is in one part and goes to every lane, a vector block is in one lane and goes to every part. What
+    stands for the queries here grows with queries times lanes, whatever their table's size is, so it is not broadcast.
+    """
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    laned = index.withColumn("lane", dealt("block", lanes)).withColumn("part", each(parts))
+    asked = query_blocks(queries).withColumn("part", dealt("query_block", parts)).withColumn("lane", each(lanes))
+    pairs = laned.join(asked.hint("merge"), ["lane", "part", "width"])
+
+    def met(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for x in batch.to_pylist():
                 rows, ids, low, step, query_rows, query_ids = (np.frombuffer(x[c], np.int64) for c in ("rows", "ids", "low", "step", "query_rows", "query_ids"))
-                q, cells = np.frombuffer(x["queries"], np.int64).reshape(len(query_rows), x["width"]), np.frombuffer(x["cells"], np.uint8).reshape(len(rows), x["width"])
-                yield pa.RecordBatch.from_arrays(*found(query_rows, rows, np.frombuffer(x["many"], bool)[None, :] | (ids[None, :] != query_ids[:, None]), *bounds(q, cells, low, step), np.frombuffer(x["reach"], np.float64)))
+                kind = np.int16 if len(x["queries"]) < 8 * x["width"] * len(query_rows) else np.int64
+                q, cells = np.frombuffer(x["queries"], kind).reshape(len(query_rows), x["width"]), np.frombuffer(x["cells"], np.uint8).reshape(len(rows), x["width"])
+                yield query_rows, rows, np.frombuffer(x["many"], bool)[None, :] | (ids[None, :] != query_ids[:, None]), bound(q, cells, low, step, upper), np.frombuffer(x["reach"], np.float64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (pa.RecordBatch.from_arrays(*x) for x in found(met(batches)))
 
-    return pairs.drop("block", "lane").mapInArrow(gives_back(run), schema)
+    return pairs.drop("block", "query_block", "lane", "part").mapInArrow(gives_back(run), schema)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -130,33 +145,47 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS
     rows = durable(integer_vectors(vectors).withColumn("row", F.monotonically_increasing_id()), "va-rows")
     kept, members = distinct_vectors(rows, k)
     index = durable(build_index(kept, block_rows), "va-index")
-    lanes = max(1, -(-index.count() // LANE_BLOCKS))
-    queries = rows.where(is_query).withColumn("reach", F.lit(float("-inf")))
-    near, reaching = candidates(index, queries, lanes, k)
+    blocks, queries = index.count(), rows.where(is_query).withColumn("reach", F.lit(float("-inf")))
+    lanes = max(1, -(-blocks // LANE_BLOCKS), min(blocks, CORE_LANES * vectors.sparkSession.sparkContext.defaultParallelism))
+    near, reaching = candidates(index, queries, lanes, k, max(1, -(-queries.count() // (BLOCK_QUERIES * PART_BLOCKS))))
     kind = _product(rows)
     best, _ = read_in_order(near, reaching, kept, members, k, kind)
     limit = lambda c: F.least(F.greatest(c, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long") if "decimal" in kind else c
     return best.select("query_id", "rank", "vec_id", limit(F.col("exact")).alias("score"))
 
 
-def candidates(index: DataFrame, queries: DataFrame, lanes: int, k: int) -> tuple[DataFrame, DataFrame]:
+def candidates(index: DataFrame, queries: DataFrame, lanes: int, k: int, parts: int = 1) -> tuple[DataFrame, DataFrame]:
     """near(query_row, row, upper): the vectors that may be among a query's k best; and the queries with the score that is certain."""
 
-    def least(query_rows, rows, other, lower, upper, reach):
-        lower = np.where(other, lower, -np.inf)
-        best = lower if lower.shape[1] <= k else -np.partition(-lower, k - 1, axis=1)[:, :k]
-        keep = best > -np.inf
-        return [pa.array(np.repeat(query_rows, keep.sum(axis=1))), pa.array(best[keep])], ["row", "reach"]
+    def largest(x: np.ndarray) -> np.ndarray:
+        return x if x.shape[1] <= k else np.partition(x, x.shape[1] - k, axis=1)[:, -k:].copy()
+
+    def least(pairs):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for query_rows, _, other, lower, _ in pairs:
+            lower[~other] = -np.inf
+            at, best = int(query_rows[0]), largest(lower)
+            held[at] = query_rows, largest(np.hstack([held[at][1], best])) if at in held else best
+            if len(held) == HELD_BLOCKS:
+                yield from told(held)
+        yield from told(held)
+
+    def told(held):
+        for query_rows, best in held.values():
+            keep = best > -np.inf
+            yield [pa.array(np.repeat(query_rows, keep.sum(axis=1))), pa.array(best[keep])], ["row", "reach"]
+        held.clear()
 
     kth = Window.partitionBy("row").orderBy(F.desc("reach"))
-    certain = _meet(index, queries, lanes, least, "row long, reach double").withColumn("n", F.row_number().over(kth)).where(F.col("n") <= k).where(F.col("n") == k).select("row", "reach")
-    reaching = durable(queries.drop("reach").join(certain, "row", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf")))), "va-queries")
+    certain = _meet(index, queries, lanes, parts, False, least, "row long, reach double").withColumn("n", F.row_number().over(kth)).where(F.col("n") <= k).where(F.col("n") == k).select("row", "reach")
+    reaching = durable(queries.drop("reach").join(certain.hint("merge"), "row", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf")))), "va-queries")
 
-    def able(query_rows, rows, other, lower, upper, reach):
-        r, c = np.nonzero(other & (upper >= reach[:, None]))
-        return [pa.array(query_rows[r]), pa.array(rows[c]), pa.array(upper[r, c])], ["query_row", "row", "upper"]
+    def able(pairs):
+        for query_rows, rows, other, upper, reach in pairs:
+            r, c = np.nonzero(other & (upper >= reach[:, None]))
+            yield [pa.array(query_rows[r]), pa.array(rows[c]), pa.array(upper[r, c])], ["query_row", "row", "upper"]
 
-    return durable(_meet(index, reaching, lanes, able, "query_row long, row long, upper double"), "va-near"), reaching
+    return durable(_meet(index, reaching, lanes, parts, True, able, "query_row long, row long, upper double"), "va-near"), reaching
 
 
 def _product(rows: DataFrame) -> str:
@@ -169,7 +198,8 @@ def read_in_order(near: DataFrame, queries: DataFrame, kept: DataFrame, members:
     """The k best rows (query_id, rank, vec_id, exact) of each query, and how many vectors were read exactly.
 
     A round reads the next vectors of each query by their bounds from above, twice as many as before. What is left
-    whose bound is under the kth exact score cannot be a result and is not read.
+    whose bound is under the kth exact score cannot be a result and is not read. Nothing is broadcast: vectors
+    of small whole numbers take many times the room of their files, which Spark goes by.
     """
     step = "aggregate(zip_with(q, ints, (x, y) -> x * y), 0L, (a, b) -> a + b)"
     if kind != "long":
@@ -184,12 +214,12 @@ def read_in_order(near: DataFrame, queries: DataFrame, kept: DataFrame, members:
         if not some:
             break
         read += some
-        exact = now.join(asked, "query_row").join(kept.select("row", "ints"), "row").select("query_row", "query_id", "row", F.expr(step).alias("exact"))
-        each = exact.join(members, "row").where("vec_id <> query_id").select("query_row", "query_id", "vec_id", "exact", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+        exact = now.join(asked.hint("merge"), "query_row").join(kept.select("row", "ints").hint("merge"), "row").select("query_row", "query_id", "row", F.expr(step).alias("exact"))
+        each = exact.join(members.hint("merge"), "row").where("vec_id <> query_id").select("query_row", "query_id", "vec_id", "exact", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         best = durable((each if best is None else each.unionByName(best.drop("rank"))).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "va-best")
         # a double holds a long score up to one part in 2 ** 53: the margin keeps what might tie
         sure = best.where(F.col("rank") == k).select("query_row", F.col("exact").cast("double").alias("sure"))
         margin = F.col("sure") - F.abs("sure") * 1e-12
-        left = left.join(now, ["query_row", "row"], "left_anti").join(sure, "query_row", "left").where(F.col("sure").isNull() | (F.col("upper") >= margin)).drop("sure")
+        left = left.join(now.hint("merge"), ["query_row", "row"], "left_anti").join(sure.hint("merge"), "query_row", "left").where(F.col("sure").isNull() | (F.col("upper") >= margin)).drop("sure")
         left, size = durable(left, "va-near"), size * 2
     return (best if best is not None else queries.sparkSession.createDataFrame([], f"query_row long, query_id {queries.schema['vec_id'].dataType.simpleString()}, vec_id long, exact {kind}, copy int, rank int")), read

@@ -578,6 +578,26 @@ def test_conflicting_labels_count_as_toxic_whatever_the_order(spark):
     assert fits[0].voters.entry.keys() == fits[1].voters.entry.keys() and fits[0].score(rows[0][1]) == pytest.approx(fits[1].score(rows[0][1]), abs=1e-6)
 
 
+def test_vector_search_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Small whole numbers, and queries that stand there once for each lane, take many times the room of their files."""
+    plans = []
+
+    def durable(df, label, f=vafile.durable):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df, label)
+
+    monkeypatch.setattr(vafile, "durable", durable)
+    monkeypatch.setattr(vafile, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(vafile, "PART_BLOCKS", 2, raising=False)
+    monkeypatch.setattr(vafile, "HELD_BLOCKS", 2, raising=False)
+    v = np.random.default_rng(3).integers(-128, 128, (240, 6))
+    d = spark.createDataFrame([(k, (x / 256).tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(x) for x in vafile.top_k(d, F.col("vec_id") % 7 == 0, block_rows=16).select("query_id", "rank", "vec_id", "score").collect())
+    want = [(q, n + 1, k, -s) for q in range(0, 240, 7) for n, (s, k) in enumerate(sorted((-int(v[q] @ x), k) for k, x in enumerate(v) if k != q)[:5])]
+    assert got == want
+    assert any("MapInArrow" in p and "SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_vector_search_reads_in_the_order_of_bounds_and_stops(spark, monkeypatch):
     monkeypatch.setattr(vafile, "CELL_BITS", 2)
     monkeypatch.setattr(vafile, "FIRST_READ", 1)
