@@ -51,3 +51,13 @@ def test_events_of_one_second_come_as_in_the_sql_on_one_thread(spark, tmp_path):
     con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
     want = con.sql(ORACLE_SQL["span_overlaps"]).fetchall()
     assert sorted(map(tuple, QUERIES["span_overlaps"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 20
+
+
+def test_constants_that_touch_or_overlap_are_in_no_row_left_out(spark, tmp_path):
+    texts = ["erer", "Licenser", "LicenserLicenseer token", "tokenr tokener ertoken erLicense", "tokentokenLicenseLicense", "plain", "", None, "a\nerer\n務er"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLE_SQL["strip_page_constants"]).fetchall())
+    assert sorted(map(tuple, QUERIES["strip_page_constants"](spark, str(tmp_path)).collect())) == want
+    assert [r[1:] for r in want] == [("", 1), ("", 1), (" ", 2), ("r   ", 4), ("", 1), ("plain", 0), ("", 0), (None, None), ("a\n\n務", 2)]
