@@ -18,6 +18,8 @@ from quireworks.operators.tables import written
 BASE = 3
 #: Codes of pages that a task adds up at once, looked at every 64 pages.
 CODES = 1 << 21
+#: What stands between texts that are read together: the code of no character.
+BREAK = 0x1FFFFF
 SHAPES = ["dateish", "money", "short", "body", "other"]
 
 
@@ -80,6 +82,13 @@ def _stretches(chars: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _one(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of texts, one behind the other with a BREAK between two, and where these stand."""
+    chars, breaks = quotes.codes("\n".join(texts)), np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64) - 1
+    chars[breaks] = BREAK
+    return chars, breaks
+
+
 def _pairs(at: np.ndarray, apart: int, n: int) -> np.ndarray:
     """Codes of stretches of which all shorter ones are frequent, from their places among n frequent ones; else -1."""
     size = max(0, len(at) - apart)
@@ -102,16 +111,20 @@ def _places(chars: np.ndarray, chain: list[tuple[int, np.ndarray]]) -> np.ndarra
 def _counted(lengths: range, held):
     """For batches of page and text, in the order of pages: codes of grams with the number of pages that have them, in parts."""
 
-    def of(text: str) -> np.ndarray:
-        chars, chain = quotes.codes(text), held.value
+    def of(texts: list[str]) -> np.ndarray:
+        (chars, breaks), chain = _one(texts), held.value
         if not chain:
-            return np.unique(_stretches(chars, lengths[0]))
-        at, (size, known) = _places(chars, chain), chain[-1]
-        found = np.unique(np.concatenate([_pairs(at, n - size, len(known)) for n in lengths]))
-        return found[found >= 0]
+            found = _stretches(chars, lengths[0])
+            within = np.ones(len(chars), bool)
+            for k in range(lengths[0]):
+                within[np.maximum(breaks - k, 0)] = False
+            return np.unique(found[within[: len(found)]])
+        at, (size, known) = _places(chars, chain), chain[-1]  # no stretch with a BREAK is frequent
+        found = np.concatenate([_pairs(at, n - size, len(known)) for n in lengths])
+        return np.unique(found[found >= 0])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, parts, done, size = None, [], [], 0
+        page, texts, parts, done, chars, size = None, [], [], [], 0, 0
 
         def added() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(done), return_counts=True)
@@ -119,24 +132,32 @@ def _counted(lengths: range, held):
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
         def joined() -> np.ndarray:
+            if texts:
+                parts.append(of(texts))
+                texts.clear()
             return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
         for batch in batches:
             for p, t in zip(batch.column("page").to_pylist(), batch.column("text").to_pylist()):
-                if p != page and parts:
+                if p != page and (texts or parts):
                     done.append(joined())
                     parts.clear()
+                    chars = size = 0
                     if len(done) % 64 == 0 and sum(map(len, done)) > CODES:
                         yield added()
                 page = p
-                parts.append(of(t))
-                size = len(parts[0]) if len(parts) == 1 else size + len(parts[-1])
-                if size > CODES and len(parts) > 1:
-                    parts[:] = [joined()]
-                    size = 0
+                texts.append(t)
+                chars += len(t) + 1
+                if chars > CODES:
+                    parts.append(of(texts))
+                    texts.clear()
+                    chars, size = 0, size + len(parts[-1])
+                    if size > CODES and len(parts) > 1:
+                        parts[:] = [joined()]
+                        size = 0
             if done:
                 yield added()
-        if parts:
+        if texts or parts:
             done.append(joined())
             yield added()
 

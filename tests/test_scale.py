@@ -89,6 +89,26 @@ def test_stretches_of_characters_have_their_own_codes():
     assert all(len(corpus._stretches(quotes.codes(t), 3)) == 0 for t in ("", "a", "ab"))
 
 
+def test_texts_of_a_page_are_read_together(monkeypatch):
+    class Held:
+        value = []
+
+    rows = [(1, "ab"), (1, ""), (1, "bcd"), (2, ""), (3, "abc"), (3, "\U0010ffffabc"), (3, "a"), (4, "a"), (4, "b")]
+    want = {}
+    for p, t in rows:
+        for k in range(len(t) - 2):
+            want.setdefault(t[k : k + 3], set()).add(p)
+    for codes in (1 << 21, 1, 4):
+        monkeypatch.setattr(corpus, "CODES", codes)
+        for cut in range(1, len(rows)):
+            batches = [pa.RecordBatch.from_pylist([{"page": p, "text": t} for p, t in x]) for x in (rows[:cut], rows[cut:])]
+            got = {}
+            for b in corpus._counted(range(3, 4), Held)(batches):
+                for r in b.to_pylist():
+                    got[corpus._characters(3)(r["code"])] = got.get(corpus._characters(3)(r["code"]), 0) + r["n"]
+            assert got == {g: len(k) for g, k in want.items()}
+
+
 def test_texts_are_held_by_groups():
     batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
     got = list(retrieval.groups([batch, batch.slice(0, 0)]))
